@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from relictum.llm.common import held_out, table
 from relictum.llm.decontaminate import find_leaks
+from relictum.llm.html_text import extract_text, fit_dom_model, sample_pages
 from relictum.llm.mixing import mix_sources, topic_by_form
 from relictum.llm.quality import fit_quality, score_quality
 from relictum.llm.secret_scan import joined_spans, scan_secrets
 from relictum.llm.simhash import simhash_components
 from relictum.llm.token_counts import token_counts
+from relictum.llm.toxicity import fit_toxicity, score_toxicity
 
 TOKEN_LIMIT = 4096
 QUALITY_THRESHOLD = 0.3
@@ -43,12 +45,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("secrets")).alias("spans"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     mixed = mix_sources(docs, MIX_TARGETS, columns=mix_columns())
     return mixed.select("doc_id", "source", "lang", topic_by_form(F.col("text")).alias("topic"), "n_tokens", "probability", "selected")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_dom_model(sample_pages(spark))
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -73,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_source_mixing, op7_quality, op9_decontamination, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_toxicity, op4_source_mixing, op5_html_extraction, op7_quality, op9_decontamination, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
