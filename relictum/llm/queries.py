@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relictum.llm.common import held_out, table
 from relictum.llm.decontaminate import find_leaks
+from relictum.llm.embedding_dedup import embedding_components
 from relictum.llm.html_text import extract_text, fit_dom_model, sample_pages
 from relictum.llm.mixing import mix_sources, topic_by_form
 from relictum.llm.quality import fit_quality, score_quality
@@ -69,6 +70,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that it holds."""
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -87,8 +92,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_toxicity, op4_source_mixing, op5_html_extraction, op7_quality, op9_decontamination, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_toxicity, op4_source_mixing, op5_html_extraction, op7_quality, op8_embedding_dedup, op9_decontamination, op10_simhash, pipeline)}
+
+
+OP8_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as x from embeddings
+), usable as (
+  select vec_id, label, x from v
+  where vec_id is not null and label is not null and x is not null and list_inner_product(x, x) > 0
+    and not list_contains(list_transform(x, lambda e: e is null or not isfinite(e)), true)
+), links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.98
+), reach as (
+  select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join links l on r.b = l.a
+), least as (
+  select a, min(b) as component_id from reach group by a
+), degree as (
+  select a, count(*) as n_links from links group by a
+)
+select v.vec_id, cast(coalesce(d.n_links, 0) as bigint) as n_links, l.component_id, v.vec_id = l.component_id as kept
+from v join least l on l.a = v.vec_id left join degree d on d.a = v.vec_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_embedding_dedup": OP8_SQL}
