@@ -15,6 +15,7 @@ from relictum.llm.mixing import mix_sources, topic_by_form
 from relictum.llm.quality import fit_quality, score_quality
 from relictum.llm.secret_scan import joined_spans, scan_secrets
 from relictum.llm.simhash import simhash_components
+from relictum.llm.suffix_dedup import remove_repeats
 from relictum.llm.token_counts import token_counts
 from relictum.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -64,6 +65,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_toxicity, op4_source_mixing, op5_html_extraction, op7_quality, op8_embedding_dedup, op9_decontamination, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_toxicity, op4_source_mixing, op5_html_extraction, op6_suffix_dedup, op7_quality, op8_embedding_dedup, op9_decontamination, op10_simhash, pipeline)}
 
 
 OP8_SQL = """
