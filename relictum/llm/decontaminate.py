@@ -15,7 +15,9 @@ items each match; repeated rows each get their matches; columns named like the a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,12 @@ OTHER = re.compile(r"[\W_]+")
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
+ASCII_FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
+
+
 def normalise(text: str) -> bytes:
+    if text.isascii():  # the same, without a pattern
+        return b" ".join(text.encode().translate(ASCII_FOLD).split())
     return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
@@ -49,8 +56,11 @@ class Items:
     budget: np.ndarray
     need: np.ndarray
     gram: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    narrow: np.ndarray
     seen: np.ndarray
     shift: np.uint64
 
@@ -64,11 +74,13 @@ def index_items(rows: list[tuple[int, str]], rate: float) -> Items:
     item = np.repeat(np.arange(len(rows)), [len(g) for g in each])
     place = np.concatenate([np.arange(len(g)) for g in each]) if each else np.empty(0, np.int64)
     order = np.argsort(gram, kind="stable")
+    distinct, first, count = np.unique(gram[order], return_index=True, return_counts=True)
+    narrow = np.array([int(k).bit_length() for k in budget], np.int64)  # 2**narrow diagonals are more than k
     bits = max(16, int(len(gram) * 16).bit_length())
     shift = np.uint64(64 - bits)
     seen = np.zeros(1 << bits, bool)
     seen[((gram * MIXER) >> shift).astype(np.int64)] = True
-    return Items([i for i, _ in rows], [t for _, t in rows], budget, size - Q + 1 - budget * Q, gram[order], item[order], place[order], seen, shift)
+    return Items([i for i, _ in rows], [t for _, t in rows], budget, size - Q + 1 - budget * Q, distinct, first, count, item[order], place[order], narrow, seen, shift)
 
 
 def align(item: bytes, region: bytes, slack: int, budget: int) -> tuple[int, int, int] | None:
@@ -108,32 +120,37 @@ def find_items(texts: list[str], items: Items) -> list[list[dict]]:
                 if (at := (b" " + data + b" ").find(b" " + item + b" ")) >= 0:
                     found[n][i] = (0, at, at + len(item))
     gap = b"\0" * Q
-    begins = np.cumsum([0, *(len(x) + Q for x in clean)])
+    begins = list(accumulate((len(x) + Q for x in clean), initial=0))
     data = gap.join(clean)
     g = grams(data)
     hits = np.flatnonzero(items.seen[((g * MIXER) >> items.shift).astype(np.int64)]) if len(items.gram) and len(g) else np.empty(0, np.int64)
-    low = np.searchsorted(items.gram, g[hits])
-    count = np.searchsorted(items.gram, g[hits], "right") - low
-    hits, low, count = hits[count > 0], low[count > 0], count[count > 0]
+    at = np.searchsorted(items.gram, g[hits])
+    same = items.gram[np.minimum(at, len(items.gram) - 1)] == g[hits] if len(hits) else np.empty(0, bool)
+    hits, at = hits[same], at[same]
     if len(hits):
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        place = np.repeat(hits, count)
+        count = items.count[at]
+        entry = np.repeat(items.first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         item = items.item[entry]
-        doc = np.searchsorted(begins, place, "right") - 1
-        width = items.budget[item] + 1
-        band = (place - items.place[entry] + len(data)) // width
-        keys = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
-        shared = np.diff(np.concatenate([first, [keys.shape[1]]]))
-        for n, i, b in keys[:, first[shared >= items.need[keys[1, first]]]].T.tolist():
-            k, begin, end = int(items.budget[i]), int(begins[n]), int(begins[n]) + len(clean[n])
-            lowest = b * (k + 1) - len(data)  # diagonals lowest .. lowest + 2 k + 1
-            start = max(begin, lowest - k)
-            region = data[start : max(start, min(end, lowest + 2 * k + 1 + len(items.texts[i]) + k))]
-            if (m := align(items.texts[i], region, 4 * k + 2, k)) and (old := (m[0], m[1] + start - begin, m[2] + start - begin)) < found[n].get(i, (1 << 30, 0, 0)):
-                found[n][i] = old
+        longest = max(map(len, items.texts))
+        bands = len(data) + longest + 2
+        key = item * bands + ((np.repeat(hits, count) - items.place[entry] + longest) >> items.narrow[item])
+        key.sort()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, shared = key[edge], np.diff(np.concatenate([edge, [len(key)]]))
+        both = shared.copy()  # of a band and the next one
+        both[:-1] += np.where(key[1:] == key[:-1] + 1, shared[1:], 0)
+        item, band = key // bands, key % bands
+        enough = both >= items.need[item]
+        for i, b in zip(item[enough].tolist(), band[enough].tolist(), strict=True):
+            k, width = int(items.budget[i]), 1 << int(items.narrow[i])
+            lowest = b * width - longest  # diagonals lowest .. lowest + 2 width - 1
+            start, stop = lowest - k, lowest + 2 * width + len(items.texts[i]) + k
+            for n in range(max(0, bisect_right(begins, start) - 1), min(len(texts), bisect_right(begins, stop))):
+                begin, end = max(start, begins[n]), min(stop, begins[n] + len(clean[n]))
+                if end - begin < len(items.texts[i]) - k:
+                    continue
+                if (m := align(items.texts[i], data[begin:end], 2 * width + 2 * k, k)) and (old := (m[0], m[1] + begin - begins[n], m[2] + begin - begins[n])) < found[n].get(i, (1 << 30, 0, 0)):
+                    found[n][i] = old
     return [[{"item_id": items.ids[i], "distance": d, "start": a, "end": b} for i, (d, a, b) in sorted(x.items(), key=lambda y: (items.ids[y[0]], y[1]))] for x in found]
 
 
