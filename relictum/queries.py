@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relictum.catalog import captures, control, pages
+from relictum.catalog.registry import QUERIES, SQL
+
+__all__ = ["captures", "control", "flagship", "oracle_sql", "pages", "queries"]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Pages with the share of their text that is their own, as a signal of fidelity."""
+    return QUERIES["boilerplate"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
