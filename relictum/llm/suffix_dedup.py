@@ -5,9 +5,10 @@ bytes hash lowest among all GRAM-byte strings of some window. Two equal windows
 window meets its copy at a common anchor and none is lost. Around an anchor at most WINDOW - GRAM bytes to the left and
 WINDOW bytes to the right matter: its context.
 
-1. Anchor suffixes are range-partitioned by their leading bytes with sampled splitters and sorted in their buckets, then
-   adjacent ones are compared. Suffixes with equal contexts repeat whole. Where the contexts of one gram differ, one suffix
-   of each context goes on. Runs that touch a bucket's edge are decided across buckets by counts.
+1. Texts with a copy are repeats as a whole, and one row of each goes on. Anchor suffixes are range-partitioned by their
+   leading bytes with sampled splitters and sorted in their buckets, then adjacent ones are compared. Suffixes with equal
+   contexts repeat whole. Where the contexts of one gram differ, one suffix of each context goes on. The first and the last
+   context of each bucket are compared across buckets.
 2. Contexts that share REACH bytes to the right, or the rest of the window to the left, form groups; any two contexts with
    a common window share one of the two. Groups are range-partitioned and sorted the same way. All windows of a group are
    compared at once; groups that touch an edge of their bucket, or are cut for size, send one row for each distinct window
@@ -38,7 +39,7 @@ WINDOW, GRAM = 200, 32
 LEFT = WINDOW - GRAM
 REACH = 116
 NEAR = WINDOW - REACH
-CHUNK = 4096
+CHUNK = 1 << 16
 U = np.uint64
 BASE = 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
@@ -86,7 +87,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-SUFFIXES = "lead long, gram long, context long, k1 long, k2 long, place int, size int"
+SUFFIXES = "lead long, gram long, context long, k1 long, k2 long, place int, size int, copied boolean"
+SUFFIX_NAMES = ["lead", "gram", "context", "k1", "k2", "place", "size", "copied"]
 
 
 def emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +96,8 @@ def emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")]
-        out: list[list] = [[] for _ in range(7)]
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "copied")]
+        out: list[list] = [[] for _ in SUFFIX_NAMES]
         size = 0
         for n, text in enumerate(batch.column("content")):
             raw = text.as_buffer()
@@ -106,45 +108,46 @@ def emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             raw = data.tobytes()
             context = [digest(raw[max(0, p - LEFT) : p + WINDOW], min(p, LEFT) << 8 | min(len(raw) - p, WINDOW)) for p in at.tolist()]
             lead = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))[at].astype(U) ^ U(1 << 63)  # signed order is byte order
-            for column, values in zip(out, (lead.view(np.int64), gram.view(np.int64), np.array(context, U).view(np.int64), np.full(len(at), keys[0][n]), np.full(len(at), keys[1][n]), at.astype(np.int32), np.full(len(at), len(raw), np.int32)), strict=True):
+            for column, values in zip(out, (lead.view(np.int64), gram.view(np.int64), np.array(context, U).view(np.int64), np.full(len(at), keys[0][n]), np.full(len(at), keys[1][n]), at.astype(np.int32), np.full(len(at), len(raw), np.int32), np.full(len(at), keys[2][n])), strict=True):
                 column.append(values)
             size += len(at)
             if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["lead", "gram", "context", "k1", "k2", "place", "size"])
-                out, size = [[] for _ in range(7)], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=SUFFIX_NAMES)
+                out, size = [[] for _ in SUFFIX_NAMES], 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["lead", "gram", "context", "k1", "k2", "place", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=SUFFIX_NAMES)
 
 
-FOUND = "kind int, gram long, context long, k1 long, k2 long, place int, size int"
-REPEATED, ASKED, ASKED_REPEATED, OPEN = range(4)
+FOUND = "kind int, lead long, gram long, context long, k1 long, k2 long, place int, size int, copied boolean, n long, several boolean"
+REPEATED, ASKED, ASKED_REPEATED, EDGE = range(4)
 
 
-def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes come sorted by (lead, gram, context). Runs of one gram inside the bucket are decided; the first and the last
-    run, and runs that are cut for size, stay open."""
+def compare_neighbours(batches: Iterator[pa.RecordBatch], most_held: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Suffixes come sorted by (lead, gram, context). What adjacent suffixes of a bucket show is decided here. The first and
+    the last context of a bucket also leave as one row each, with their number, to be compared with other buckets."""
     held: list[np.ndarray] | None = None
     first = True
 
-    def decide(columns: list[np.ndarray], open_first: bool, open_last: bool) -> pa.RecordBatch:
+    def decide(columns: list[np.ndarray], edge_first: bool, edge_last: bool) -> pa.RecordBatch:
         lead, gram, context = columns[:3]
-        n = len(gram)
+        copied = columns[7].astype(bool)
         new_gram = np.concatenate([[True], (gram[1:] != gram[:-1]) | (lead[1:] != lead[:-1])])
         new = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
-        run, kind_of = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
-        rows_of = np.bincount(kind_of)
-        contexts = np.bincount(run[new])
-        opened = np.zeros(n, bool)
-        if open_first:
-            opened |= run == 0
-        if open_last:
-            opened |= run == run[-1]
-        repeated = (rows_of[kind_of] > 1) & ~opened
-        asked = new & (contexts[run] > 1) & ~opened
-        kinds = [np.full(x.sum(), k, np.int32) for x, k in ((opened, OPEN), (repeated, REPEATED))]
-        kinds.append(np.where(rows_of[kind_of[asked]] > 1, ASKED_REPEATED, ASKED).astype(np.int32))
-        picked = np.concatenate([np.flatnonzero(opened), np.flatnonzero(repeated), np.flatnonzero(asked)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), *(pa.array(c[picked]) for c in columns[1:])], names=["kind", "gram", "context", "k1", "k2", "place", "size"])
+        run, kind = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        rows_of = np.bincount(kind)
+        repeated = (rows_of > 1) | (np.bincount(kind, copied) > 0)
+        several = np.bincount(run[heads])[run[heads]] > 1
+        edge = np.zeros(len(heads), bool)
+        edge[0] |= edge_first
+        edge[-1] |= edge_last
+        spans = np.flatnonzero(repeated[kind] & ~copied)
+        asked = np.flatnonzero(several & (repeated | ~edge))
+        edges = np.flatnonzero(edge)
+        kinds = np.concatenate([np.full(len(spans), REPEATED), np.where(repeated[asked], ASKED_REPEATED, ASKED), np.full(len(edges), EDGE)]).astype(np.int32)
+        picked = np.concatenate([spans, heads[asked], heads[edges]])
+        own = np.concatenate([kind[spans], asked, edges])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(c[picked]) for c in columns[:7]), pa.array(copied[picked]), pa.array(rows_of[own].astype(np.int64)), pa.array(several[own])], names=["kind", *SUFFIX_NAMES, "n", "several"])
 
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -159,8 +162,8 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield decide([c[:begin] for c in columns], first, False)
             first = False
         held = [c[begin:] for c in columns]
-        if len(held[0]) > 1 << 18:  # a run that fills the bucket
-            yield decide(held, True, False)
+        if len(held[0]) > most_held:  # one gram fills the bucket: cut it as if the bucket ended here
+            yield decide(held, True, True)
             held, first = None, True
     if held is not None:
         yield decide(held, True, True)
@@ -202,25 +205,28 @@ def emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
-def window_hashes(contexts: list[bytes], before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows that start 0 .. LEFT bytes left of each anchor, and which of them lie within the context. A
-    context has at most LEFT + WINDOW bytes; it is set so that all anchors stand in one column."""
-    m, widest = len(contexts), int(before.max(initial=0))
-    size = int(after.max(initial=0)) + widest
-    values = np.zeros((size, m), U)
-    for i, c in enumerate(contexts):
-        at = widest - int(before[i])
-        values[at : at + len(c), i] = VALUES[np.frombuffer(c, np.uint8)]
-    sums = np.zeros((size + 1, m), U)
-    for j in range(size):
-        sums[j + 1] = sums[j] * U(BASE) + values[j]
-    whole = U(pow(BASE, WINDOW, 1 << 64))
-    lowest = max(0, WINDOW - int(after.max(initial=0)))
-    steps = np.arange(lowest, widest + 1)
-    start = widest - steps
-    hashes = mixed(sums[start + WINDOW] - sums[start] * whole) if len(steps) else np.empty((0, m), U)
-    valid = (steps[:, None] <= before[None, :]) & (WINDOW - steps[:, None] <= after[None, :])
-    return hashes, valid, steps
+def window_hashes(contexts: list[bytes], before: np.ndarray, after: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each distance that a window may start left of its anchor: the distance, the windows' hashes, and which of them lie
+    within their context. The hashes roll leftward byte by byte over contexts set so that all anchors share a column."""
+    widest, longest = int(before.max(initial=0)), int(after.max(initial=0))
+    size = widest + longest
+    data = np.zeros((len(contexts), size), np.uint8)
+    for row, context, left in zip(data, contexts, before.tolist(), strict=True):
+        row[widest - left : widest - left + len(context)] = np.frombuffer(context, np.uint8)
+    data = np.ascontiguousarray(data.T)
+    lowest = max(0, WINDOW - longest)
+    if lowest > widest:
+        return
+    inverse, top = U(pow(BASE, -1, 1 << 64)), U(pow(BASE, WINDOW - 1, 1 << 64))
+    h = np.zeros(len(contexts), U)
+    start = widest - lowest
+    for j in range(WINDOW):
+        h = h * U(BASE) + VALUES[data[start + j]]
+    for step in range(lowest, widest + 1):
+        if step > lowest:
+            start -= 1
+            h = (h - VALUES[data[start + WINDOW]]) * inverse + VALUES[data[start]] * top
+        yield step, mixed(h), (step <= before) & (WINDOW - step <= after)
 
 
 WINDOWS = "start int, end int, k1 long, k2 long, grp long, step int, hash long"
@@ -237,37 +243,35 @@ def compare_windows(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> It
     held: list[tuple] = []
 
     def decide(rows: list[tuple], open_groups: set[int]) -> Iterator[pa.RecordBatch]:
-        group = np.array([r[0] for r in rows], np.int64).view(U)
+        group = mixed(np.array([r[0] for r in rows], np.int64).view(U))
         repeated = np.array([r[1] for r in rows], bool)
         before, after = (np.array([r[i] for r in rows], np.int64) for i in (5, 6))
-        hashes, valid, steps = window_hashes([r[7] for r in rows], before, after)
-        key = hashes ^ mixed(group)[None, :]
-        shared = np.zeros(valid.shape, bool)
-        lone = []
         opened = np.array([r[0] in open_groups for r in rows], bool)
+        steps, shared = [], []
         out: list[list] = [[] for _ in range(7)]
-        for s in range(len(steps)):
-            at = np.flatnonzero(valid[s])
-            if not len(at):
-                continue
-            order = at[np.argsort(key[s, at], kind="stable")]
-            sorted_key = key[s, order]
-            same = sorted_key[1:] == sorted_key[:-1]
-            both = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            shared[s, order] = both
-            head = order[np.concatenate([[True], ~same])]
-            for i in head[opened[head]].tolist():
-                lone.append((s, i))
+        lone: list[tuple[int, int, int, bool]] = []
+        for step, hashes, valid in window_hashes([r[7] for r in rows], before, after):
+            at = np.flatnonzero(valid)
+            both = np.zeros(len(rows), bool)
+            if len(at):
+                key = hashes ^ group
+                order = at[np.argsort(key[at], kind="stable")]
+                same = key[order][1:] == key[order][:-1]
+                both[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+                head = order[np.concatenate([[True], ~same])]
+                lone += [(step, i, int(hashes[i].view(np.int64)), bool(repeated[i] or both[i])) for i in head[opened[head]].tolist()]
+            steps.append(step)
+            shared.append(both)
+        shared = np.array(shared, bool).reshape(len(steps), len(rows))
         for i in np.flatnonzero(~repeated & shared.any(0)).tolist():
             for a, b in runs_of(shared[:, i]):
                 place = rows[i][4]
-                for column, value in zip(out, (place - int(steps[b - 1]), place - int(steps[a]) + WINDOW, rows[i][2], rows[i][3], None, None, None), strict=True):
+                for column, value in zip(out, (place - steps[b - 1], place - steps[a] + WINDOW, rows[i][2], rows[i][3], None, None, None), strict=True):
                     column.append(value)
-        for s, i in lone:
-            decided = repeated[i] or shared[s, i]
-            start = rows[i][4] - int(steps[s])
+        for step, i, h, decided in lone:
+            start = rows[i][4] - step
             span = (None, None, None, None) if decided else (start, start + WINDOW, rows[i][2], rows[i][3])
-            for column, value in zip(out, (*span, rows[i][0], int(steps[s]), int(hashes[s, i].view(np.int64))), strict=True):
+            for column, value in zip(out, (*span, rows[i][0], step, h), strict=True):
                 column.append(value)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["start", "end", "k1", "k2", "grp", "step", "hash"])
@@ -299,8 +303,10 @@ RESULT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(4)]
-        for text, spans in zip(batch.column("content"), batch.column("spans"), strict=True):
+        for text, copied, spans in zip(batch.column("content"), batch.column("copied"), batch.column("spans"), strict=True):
             raw, spans = text.as_py(), sorted((s["start"], s["end"]) for s in spans.as_py() or [])
+            if copied.as_py() and len(raw) >= WINDOW:
+                spans = [(0, len(raw))]
             kept, at, removed, count = [], 0, 0, 0
             i = 0
             while i < len(spans):
@@ -316,21 +322,21 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeat_spans(keyed: DataFrame, texts: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
-    """Spans (k1, k2, start, end) of repeated windows; `keyed` has every row, `texts` each distinct text once."""
+def repeat_spans(texts: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """Spans (k1, k2, start, end) of repeated windows of texts that have no copy."""
     order = ["lead", "gram", "context", "k1", "place"]
-    suffixes = keyed.mapInArrow(emit_suffixes, SUFFIXES)
+    suffixes = texts.select("k1", "k2", "content", "copied").mapInArrow(emit_suffixes, SUFFIXES)
     found = materialize(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compare_neighbours, FOUND), "suffixes")
 
-    opened = found.where(F.col("kind") == OPEN)
-    contexts = materialize(opened.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place", "size")).alias("one")), "open-contexts")
-    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
-    late_asked = contexts.join(several, "gram").select("one.k1", "one.k2", "one.place", (F.col("n") > 1).alias("repeated"))
-    late_repeated = opened.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"]).select("k1", "k2", "place", "size")
-    repeated = found.where(F.col("kind") == REPEATED).select("k1", "k2", "place", "size").unionByName(late_repeated)
+    edges = found.where(F.col("kind") == EDGE)  # two rows a bucket
+    kinds = edges.groupBy("lead", "gram", "context").agg(((F.sum("n") > 1) | F.max("copied")).alias("repeated"))
+    grams = edges.groupBy("lead", "gram").agg((F.max("several") | (F.count_distinct("context") > 1)).alias("mixed"))
+    late = materialize(edges.join(kinds, ["lead", "gram", "context"]).join(grams, ["lead", "gram"]).select("k1", "k2", "place", "size", "n", "copied", "repeated", "mixed"), "edges")
+    repeated = found.where(F.col("kind") == REPEATED).select("k1", "k2", "place", "size").unionByName(late.where("repeated and n = 1 and not copied").select("k1", "k2", "place", "size"))
     whole = repeated.select("k1", "k2", F.greatest(F.lit(0), F.col("place") - LEFT).alias("start"), F.least(F.col("size"), F.col("place") + WINDOW).alias("end"))
 
-    asked = found.where(F.col("kind").isin(ASKED, ASKED_REPEATED)).select("k1", "k2", "place", (F.col("kind") == ASKED_REPEATED).alias("repeated")).unionByName(late_asked)
+    asked = found.where(F.col("kind").isin(ASKED, ASKED_REPEATED)).select("k1", "k2", "place", (F.col("kind") == ASKED_REPEATED).alias("repeated"))
+    asked = asked.unionByName(late.where("mixed").select("k1", "k2", "place", "repeated")).distinct()
     by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "repeated")).alias("asked"))
     around = texts.join(by_text, ["k1", "k2"]).select("k1", "k2", "content", "asked").mapInArrow(emit_contexts, CONTEXTS)
     order = ["group", "k1", "place"]
@@ -348,9 +354,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select(F.col(id_col).alias("doc_id"), content.cast("binary").alias("content")).withColumns({"k1": F.xxhash64("content"), "k2": F.xxhash64(F.lit(1), "content")})
     total = keyed.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
     parts = max(8, -(-total // part_bytes))
-    texts = keyed.groupBy("k1", "k2").agg(F.first("content").alias("content"))
-    spans = repeat_spans(keyed.select("k1", "k2", "content"), texts, parts, chunk)
+    once = keyed.groupBy("k1", "k2").agg(F.first("content").alias("content"), (F.count(F.lit(1)) > 1).alias("copied"))
+    texts = materialize(once, "texts")
+    spans = repeat_spans(texts, parts, chunk)
     spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    cut = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "content", "spans").mapInArrow(cut_texts, RESULT)
+    cut = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "content", "copied", "spans").mapInArrow(cut_texts, RESULT)
     cut = materialize(cut, "cut")
     return keyed.select("doc_id", "k1", "k2").join(cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
