@@ -1,13 +1,13 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Every element, and every block of text below one, is a node with a hidden label, content or not. A child's label depends
-on its parent's, by kind of node; a node's label explains its observed features (tag, words of class and id, length, links,
-punctuation). Sum-product messages pass from the leaves upward and from the root downward, which on a tree gives exact
-marginals; blocks with a marginal of at least one half make the text. All tables are smoothed counts over labelled pages,
-added up by Spark.
+Every block element, and every block of text below one, is a node with a hidden label: other, content, or mixed (an
+element with blocks of both below it). A child's label depends on its parent's, by kind of node; a node's label explains
+its observed features (tag and words of class and id, its parent's too, length, links, punctuation). Sum-product messages
+pass from the leaves upward and from the root downward, which on a tree gives exact marginals; blocks whose marginal for
+content is at least one half make the text. All tables are smoothed counts over labelled pages, added up by Spark.
 
-Labelled pages are pairs of html and main text; a block is content if it is one of the blocks of the text, an element if
-all blocks below it are. `sample_pages` makes such pairs by rule for use where none exist.
+Labelled pages are pairs of html and main text; a block is content if it is one of the blocks of the text, and labels of
+elements follow from the blocks below. `sample_pages` makes such pairs by rule for use where none exist.
 
 Defined cases: null and empty pages, and pages without text, give the empty text; broken markup is read as far as it goes;
 an open comment, script or style runs to the end; very long pages are read whole; repeated rows give equal texts; columns
@@ -143,63 +143,75 @@ def node_kind(kind: str) -> str:
     return kind if kind in ("block", "root") else "element"
 
 
+def observed(nodes: list[Node], i: int) -> list[str]:
+    """A node's own features and, marked as such, its parent's tag and names."""
+    parent = nodes[nodes[i].parent] if nodes[i].parent >= 0 else None
+    return nodes[i].features + (["up:" + f for f in parent.features if not f.startswith(("up:", "words:"))] if parent else [])
+
+
+OTHER, CONTENT, MIXED = range(3)
+States = tuple[float, float, float]
+
+
+def scaled(x: list[float]) -> States:
+    total = sum(x) or 1.0
+    return x[0] / total, x[1] / total, x[2] / total
+
+
 @dataclass(frozen=True)
 class DomModel:
-    """Log ratios of each feature, and for each kind the chance of content below content and below other."""
-
-    features: dict[str, float]
-    below: dict[str, tuple[float, float]]
-    root: float = 1e-3
-
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """Chance of content for each node. Messages are pairs (other, content) that add up to 1."""
-        own, to_parent = [], [(1.0, 1.0)] * len(nodes)
-        up = []
-        for node in nodes:
-            s = sum(self.features.get(f, 0.0) for f in node.features)
-            p = 1 / (1 + math.exp(-max(-60.0, min(60.0, s))))
-            own.append((1 - p, p))
-            up.append((1 - p, p))
+    """Log chances of each feature by label, and for each kind of node the chances of its labels below each label."""
+
+    features: dict[str, States]
+    below: dict[str, tuple[States, States, States]]
+    root: States = (0.05, 0.05, 0.9)
+
+    def evidence(self, nodes: list[Node], i: int) -> States:
+        sums = [0.0, 0.0, 0.0]
+        for f in observed(nodes, i):
+            if (known := self.features.get(f)) is not None:
+                sums = [a + b for a, b in zip(sums, known, strict=True)]
+        top = max(sums)
+        return scaled([math.exp(max(-500.0, x - top)) for x in sums])
+
+    def marginals(self, nodes: list[Node]) -> list[States]:
+        """Chances of the labels of each node."""
+        up = [self.evidence(nodes, i) for i in range(len(nodes))]
+        message: list[States] = [(1.0, 1.0, 1.0)] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
-            a, b = self.below.get(node_kind(nodes[i].kind), (0.1, 0.9))
-            zero, one = up[i]
-            m = (zero * (1 - a) + one * a, zero * (1 - b) + one * b)
-            total = m[0] + m[1]
-            to_parent[i] = m = (m[0] / total, m[1] / total)
-            j = nodes[i].parent
-            zero, one = up[j][0] * m[0], up[j][1] * m[1]
-            total = zero + one or 1.0
-            up[j] = (zero / total, one / total)
-        down = [(1 - self.root, self.root)] * len(nodes)
+            table, j = self.below[node_kind(nodes[i].kind)], nodes[i].parent
+            message[i] = scaled([sum(p * x for p, x in zip(row, up[i], strict=True)) for row in table])
+            up[j] = scaled([a * b for a, b in zip(up[j], message[i], strict=True)])
+        down: list[States] = [self.root] * len(nodes)
         out = []
         for i, node in enumerate(nodes):
-            zero, one = up[i][0] * down[i][0], up[i][1] * down[i][1]
-            total = zero + one or 1.0
-            zero, one = zero / total, one / total
-            out.append(one)
+            own = scaled([a * b for a, b in zip(up[i], down[i], strict=True)])
+            out.append(own)
             for c in node.children:  # the parent's belief without what this child told it
-                m = to_parent[c]
-                x, y = zero / max(m[0], 1e-300), one / max(m[1], 1e-300)
-                a, b = self.below.get(node_kind(nodes[c].kind), (0.1, 0.9))
-                d = (x * (1 - a) + y * (1 - b), x * a + y * b)
-                down[c] = (d[0] / (d[0] + d[1]), d[1] / (d[0] + d[1]))
+                rest = [x / max(m, 1e-300) for x, m in zip(own, message[c], strict=True)]
+                table = self.below[node_kind(nodes[c].kind)]
+                down[c] = scaled([sum(rest[s] * table[s][t] for s in range(3)) for t in range(3)])
         return out
 
     def extract(self, page: str) -> str:
         nodes = parse(page)
-        return "\n\n".join(n.text for n, p in zip(nodes, self.marginals(nodes), strict=True) if n.text is not None and p >= 0.5)
+        return "\n\n".join(n.text for n, p in zip(nodes, self.marginals(nodes), strict=True) if n.text is not None and p[CONTENT] >= 0.5)
 
 
-def label_nodes(nodes: list[Node], text: str) -> list[int]:
+def label_nodes(nodes: list[Node], text: str) -> list[int | None]:
+    """Labels; None for an element without text below it."""
     wanted = Counter(text.split("\n\n"))
-    labels = [0] * len(nodes)
+    labels: list[int | None] = [None] * len(nodes)
     for i, node in enumerate(nodes):
-        if node.text is not None and wanted[node.text] > 0:
-            wanted[node.text] -= 1
-            labels[i] = 1
-    for i in range(len(nodes) - 1, 0, -1):
+        if node.text is not None:
+            labels[i] = OTHER
+            if wanted[node.text] > 0:
+                wanted[node.text] -= 1
+                labels[i] = CONTENT
+    for i in range(len(nodes) - 1, -1, -1):
         if nodes[i].text is None:
-            labels[i] = int(bool(nodes[i].children) and all(labels[c] for c in nodes[i].children))
+            found = {labels[c] for c in nodes[i].children} - {None}
+            labels[i] = None if not found else found.pop() if len(found) == 1 else MIXED
     return labels
 
 
@@ -210,31 +222,35 @@ def count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, text in zip(batch.column("html").to_pylist(), batch.column("text").to_pylist(), strict=True):
             nodes = parse(page or "")
             labels = label_nodes(nodes, text or "")
-            for node, label in zip(nodes[1:], labels[1:], strict=True):
-                kind = node_kind(node.kind)
-                total[f"kind:{kind}", labels[node.parent], label] += 1
-                for f in node.features:
-                    total[f, -1, label] += 1
+            for i in range(1, len(nodes)):
+                if labels[i] is not None:
+                    total[f"kind:{node_kind(nodes[i].kind)}", labels[nodes[i].parent], labels[i]] += 1
+                    for f in observed(nodes, i):
+                        total[f, -1, labels[i]] += 1
     keys = list(total)
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["what", "above", "label", "n"])
 
 
 def fit_dom_model(labelled: DataFrame, *, least_count: int = 3, max_features: int = 20_000) -> DomModel:
-    """`labelled` has html and text. Rare features are left out, so the model stays small."""
-    counts = labelled.select(F.col("html").cast("string"), F.col("text").cast("string")).mapInArrow(count_pages, "what string, above int, label int, n long").groupBy("what").agg(*[F.sum(F.when((F.col("above") == a) & (F.col("label") == b), F.col("n")).otherwise(0)).alias(f"n_{name}") for a, b, name in ((-1, 0, "x0"), (-1, 1, "x1"), (0, 0, "00"), (0, 1, "01"), (1, 0, "10"), (1, 1, "11"))])
-    total = F.col("n_x0") + F.col("n_x1")
-    rows = counts.where(F.col("what").startswith("kind:") | (total >= least_count)).orderBy(F.desc(F.col("what").startswith("kind:")), F.desc(total), "what").limit(max_features).collect()
-    below, size = {}, {"element": [1, 1], "block": [1, 1]}
+    """`labelled` has html and text. Rare features are left out, and at most `max_features` stay, so the model is small."""
+    cells = [F.coalesce(F.sum(F.when((F.col("above") == a) & (F.col("label") == b), F.col("n"))), F.lit(0)) for a in (-1, 0, 1, 2) for b in range(3)]
+    counts = labelled.select(F.col("html").cast("string"), F.col("text").cast("string")).mapInArrow(count_pages, "what string, above int, label int, n long").groupBy("what").agg(F.array(*cells).alias("n"), F.sum("n").alias("total"))
+    kinds = F.col("what").startswith("kind:")
+    rows = counts.where(kinds | (F.col("total") >= least_count)).orderBy(F.desc(kinds), F.desc("total"), "what").limit(max_features).collect()
+    below = {k: tuple((1 / 3, 1 / 3, 1 / 3) for _ in range(3)) for k in ("element", "block")}
+    size = {"element": [3.0, 3.0, 3.0], "block": [3.0, 3.0, 3.0]}
     for r in rows:
         if r.what.startswith("kind:"):
             kind = r.what[5:]
-            below[kind] = ((r.n_01 + 1) / (r.n_00 + r.n_01 + 2), (r.n_11 + 1) / (r.n_10 + r.n_11 + 2))
-            size[kind] = [r.n_00 + r.n_10 + 1, r.n_01 + r.n_11 + 1]
+            table = [[r.n[3 + 3 * a + b] + (0.5 if kind == "element" or b != MIXED else 0.0) for b in range(3)] for a in range(3)]
+            below[kind] = tuple(scaled(row) for row in table)
+            size[kind] = [sum(table[a][b] for a in range(3)) + 1 for b in range(3)]
     features = {}
     for r in rows:
         if not r.what.startswith("kind:"):
-            n0, n1 = size["element" if r.what.startswith(("tag:", "name:")) else "block"]
-            features[r.what] = math.log((r.n_x1 + 0.5) / (n1 + 1)) - math.log((r.n_x0 + 0.5) / (n0 + 1))
+            kind = "block" if r.what.startswith(("words:", "links:", "end:", "in:")) else "element"
+            total = size[kind] if not r.what.startswith("up:") else [a + b for a, b in zip(size["element"], size["block"], strict=True)]
+            features[r.what] = tuple(math.log((r.n[b] + 0.5) / (total[b] + 1)) for b in range(3))
     return DomModel(features, below)
 
 
