@@ -59,6 +59,44 @@ def attempt_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), A.attempt_verdict(status, F.col("event_id") % 4, F.col("event_id") % 7, A.Budgets()).alias("verdict"))
 
 
+CHAIN = """
+r as (select event_id as ord, user_id % 300 as item, [200, 301, 404, 408, 429, 500, 503, 302, 301, 302][1 + event_id % 10] as status, 'http://a.example/' || event_id % 13 as url, 'http://a.example/' || event_id % 17 as location from events)
+"""
+
+
+@query(f"""
+with {CHAIN}, s as (
+  select *, case when status in (301, 302, 303, 307, 308) then 1 else 0 end as hop, row_number() over (partition by item order by ord) as n from r
+), t as (select *, coalesce(sum(hop) over (partition by item order by ord rows between unbounded preceding and 1 preceding), 0) as hops, list(url) over (partition by item order by ord rows unbounded preceding) as asked from s
+), u as (select *, row_number() over (partition by item, hops order by ord) as try from t
+), v as (
+  select *, case when hop = 1 and list_contains(asked, location) then 'redirect-loop' when hop = 1 then case when hops < 5 then 'follow' else 'redirect-limit' end
+    when status in (429, 503) then case when try < 3 then 'retry' else 'provider-throttled' end when status >= 500 or status = 408 then case when try < 3 then 'retry' else 'http-status' end
+    when status >= 400 then 'http-status' else 'take' end as verdict from u
+), e as (select item, arg_min(verdict, n) as verdict, min(n) as requests, arg_min(hops, n) as hops from v where verdict not in ('follow', 'retry') group by item)
+select v.item, coalesce(any_value(e.verdict), 'unfinished') as verdict, cast(coalesce(any_value(e.requests), max(v.n)) as bigint) as requests, cast(coalesce(any_value(e.hops), max(v.hops)) as bigint) as hops
+from v left join e on e.item = v.item group by v.item
+""")
+def settled_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    status = F.get(F.array(*[F.lit(s) for s in (200, 301, 404, 408, 429, 500, 503, 302, 301, 302)]), (e % 10).cast("int"))
+    url = lambda n: F.concat(F.lit("http://a.example/"), (e % n).cast("string"))
+    rows = table(spark, sf_dir, "events").select(e.alias("ord"), (F.col("user_id") % 300).alias("item"), status.alias("status"), url(13).alias("url"), url(17).alias("location"))
+    return A.settle(rows, A.Budgets(), key="item")
+
+
+@query("""
+with h as (select page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) as host from pages)
+select page_id, host = 'example.com' or ends_with(host, '.example.com') as by_domain, host = 'example.com' as by_host, false as by_prefix, false as by_part from h
+""")
+def inventory_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relictum.functions.url import host_of
+
+    host = host_of(F.col("url"))
+    proves = lambda complete, kind: cdx.proves_absence(complete, False, kind, host, "example.com")
+    return table(spark, sf_dir, "pages").select("page_id", proves(True, "domain").alias("by_domain"), proves(True, "host").alias("by_host"), proves(True, "prefix").alias("by_prefix"), proves(False, "domain").alias("by_part"))
+
+
 @query("""
 with recursive edge as (select distinct c_custkey as src, c_custkey * 7 % 150 as dst from customer union select distinct o_custkey, o_custkey * 3 % 150 from orders),
 walk as (select cast(5 as bigint) as node, 0 as wave union select e.dst, w.wave + 1 from walk w join edge e on e.src = w.node where w.wave < 6)

@@ -426,3 +426,81 @@ def replay_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, host, host = 'example.com' or ends_with(host, '.example.com') or host = 'casino-win.example.net' as in_scope from (select page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) as host from pages)")
 def host_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.host_of(F.col("url")).alias("host"), L.in_scope(F.col("url"), ["example.com", "casino-win.example.net"]).alias("in_scope"))
+
+
+MARKED = """case page_id % 3 when 0 then '<!-- FILE ARCHIVED ON 1999 -->' when 1 then '<div id="wm-ipp"><div>bar</div></div>' else '' end || html"""
+
+
+@query(f"""
+with m as (select page_id, {MARKED} as t from pages)
+select page_id, array_to_string(list_filter([{', '.join(f"case when contains(t, '{m}') then '{m}' end" for m in M.INJECTION_MARKERS)}], lambda x: x is not null), ',') as markers from m
+""")
+def injection_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(M.injection_markers(F.expr(MARKED)), ",").alias("markers"))
+
+
+@query("""
+select page_id, sha256(html) as clean_hash, case page_id % 3 when 0 then 'file-archived-comment' when 1 then 'wayback-toolbar-element' else '' end as rules,
+  cast(case page_id % 3 when 0 then 30 when 1 then 37 else 0 end as bigint) as removed_characters from pages
+""")
+def injection_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was added comes off again, and nothing else. Pages without a marker never reach the vectorised function."""
+    from relictum.functions.injection import strip_injection
+
+    marked = table(spark, sf_dir, "pages").select("page_id", F.expr(MARKED).alias("t"))
+    needs = marked.where(M.has_injection(F.col("t"))).withColumn("s", strip_injection(F.col("t")))
+    done = needs.select("page_id", U.sha256(F.col("s.text")).alias("clean_hash"), F.array_join("s.rules", ",").alias("rules"), F.col("s.removed_characters").alias("removed_characters"))
+    rest = marked.where(~M.has_injection(F.col("t"))).select("page_id", U.sha256(F.col("t")).alias("clean_hash"), F.lit("").alias("rules"), F.lit(0).cast("long").alias("removed_characters"))
+    return done.unionByName(rest)
+
+
+#: Bytes in hexadecimal, content type, and what must come of them: kind, encoding, source, text.
+DECODE_CASES = (
+    ("706c61696e", None, "text", "us-ascii", "detected", "plain"),
+    ("93686994", "text/html; charset=iso-8859-1", "text", "windows-1252", "http-header", "\u201chi\u201d"),
+    ("93686994", None, "text", "windows-1252", "era-default", "\u201chi\u201d"),
+    ("c3a9", "text/html; charset=utf-8", "text", "utf-8", "http-header", "\u00e9"),
+    ("636166e9", "text/html; charset=utf-8", "text", "windows-1252", "era-default", "caf\u00e9"),
+    ("93fa967b8cea", "text/html; charset=x-sjis", "text", "shift_jis", "http-header", "\u65e5\u672c\u8a9e"),
+    ("efbbbf626f6d", None, "text", "utf-8", "detected", "bom"),
+    ("89504e470d0a1a0a00", "text/html", "binary", None, "none", None),
+    ("610062", None, "binary", None, "none", None),
+)
+
+
+def value(x: str | None) -> str:
+    return "null" if x is None else quoted(x)
+
+
+@query("select * from (values " + ", ".join(f"({i}, {value(k)}, {value(e)}, {value(s)}, {value(t)})" for i, (_, _, k, e, s, t) in enumerate(DECODE_CASES)) + ") t(n, kind, encoding, source, decoded_text)")
+def decode_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL states what each body must become."""
+    cases = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(DECODE_CASES)], "n int, hex string, content_type string")
+    d = cases.select("n", E.decoded(F.unhex("hex"), F.col("content_type")).alias("d"))
+    return d.select("n", F.col("d.kind").alias("kind"), F.col("d.chosen_encoding").alias("encoding"), F.col("d.chosen_source").alias("source"), F.col("d.text").alias("decoded_text"))
+
+
+@query("""
+select doc_id, case when doc_id % 2 = 0 then 'utf-8' when octet_length(encode(text)) = length(text) then 'us-ascii' else 'utf-8' end as encoding, sha256(text) as text_hash from documents
+""")
+def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: half of them declared, half detected."""
+    d = table(spark, sf_dir, "documents")
+    header = F.when(F.col("doc_id") % 2 == 0, "text/plain; charset=utf-8")
+    got = E.decoded(F.encode("text", "UTF-8"), header)
+    return d.select("doc_id", got.alias("d")).select("doc_id", F.col("d.chosen_encoding").alias("encoding"), U.sha256(F.col("d.text")).alias("text_hash"))
+
+
+@query()
+def collection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole collection classified and scored: templates, frames, links, segments, assets and captures together. Its parts
+    have SQL of their own; tests check the whole on a small collection."""
+    from relictum.catalog.captures import captures
+    from relictum.plans.collection import classify_collection
+
+    made = staged(spark, sf_dir)
+    rows = made.select(F.col("page_id").alias("item_id"), "ord", "original_url", F.lit("page").alias("relation"), F.lit("fetched").alias("status"), F.lit(None).cast("string").alias("unattempted_reason"), F.lit(None).cast("struct<kind:string,message:string,http_status:int,retryable:boolean>").alias("failure"), F.lit(True).alias("validated"), "archive_status", "text", (F.col("page_id") % 8 / 100.0).cast("double").alias("replacement_ratio"), F.lit("19950101000000").alias("requested_ts"))
+    wanted = made.select(F.col("original_url").alias("page_url"), (F.col("page_id") % 2 == 0).alias("resolved"), (F.col("page_id") % 4 == 0).alias("acquired"), (F.col("page_id") % 8 == 0).alias("distant")).where(~F.col("page_url").endswith("3"))
+    known = captures(spark, sf_dir).withColumn("capture_key", F.concat(F.lit("http://host"), (F.col("capture_key") % 5).cast("string"), F.lit(".example/"), F.col("capture_key").cast("string")))
+    done = classify_collection(rows, wanted, known, cut)
+    return done.select("item_id", "outcome", "outcome_detail", "reference_eligible", "score", "band", "weakest", "promotion_blocked")

@@ -9,10 +9,15 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from relictum.catalog.registry import cut
 from relictum.config import ConfigError, parse_project
 from relictum.operators import evidence, outcomes
-from relictum.plans.acquire import Run
-from relictum.sources.store import load_job, save_job
+from relictum.plans.acquire import Run, widened
+from relictum.plans.collection import classify_collection
+from relictum.sources.store import load_job, save_job, write_report
+
+#: Names the code in recorded revisions.
+CODE = "relictum-1"
 
 
 def report(tables: dict) -> dict:
@@ -26,13 +31,23 @@ def report(tables: dict) -> dict:
     }
 
 
+def reclassify(tables: dict) -> dict:
+    """A job's tables with new outcomes, scores and gaps."""
+    decided = ("outcome", "outcome_source", "outcome_detail", "reference_eligible", "structure", "boilerplate", "encoding", "assets", "cross-capture", "applied_weight", "weakest", "score", "band", "overridden", "promotion_blocked", "matched_template", "redirect_raw")
+    done = classify_collection(tables["items"].drop(*decided), tables["assets"], tables["captures"], cut)
+    return tables | {"items": done, "gaps": evidence.gaps(widened(done))}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="relictum")
     sub = parser.add_subparsers(dest="command", required=True)
     run = sub.add_parser("acquire", help="index pages and responses (Parquet) to a job")
     for name in ("--project", "--index", "--responses", "--job"):
         run.add_argument(name, required=True)
-    sub.add_parser("report", help="totals of a job as JSON").add_argument("--job", required=True)
+    for name, said in (("report", "totals of a job as JSON"), ("reclassify", "outcomes and scores again from what a job stores, without a request")):
+        again = sub.add_parser(name, help=said)
+        again.add_argument("--job", required=True)
+        again.add_argument("--out", help="where to keep the report, with the revisions that it had")
     try:
         args = parser.parse_args(argv)
     except SystemExit as e:
@@ -43,7 +58,13 @@ def main(argv: list[str] | None = None) -> int:
             project = parse_project(spark.read.text(args.project, wholetext=True).first().value, args.project)
             tables = Run(spark, project, f"{args.job}/work").execute(spark.read.parquet(args.index), spark.read.parquet(args.responses))
             save_job(tables, args.job)
-        print(json.dumps(report(load_job(spark, args.job)), indent=2, sort_keys=True))
+        tables = load_job(spark, args.job)
+        if args.command == "reclassify":
+            tables = reclassify(tables)
+        said = report(tables)
+        if getattr(args, "out", None):
+            write_report(spark, said, args.out, {"code": CODE})
+        print(json.dumps(said, indent=2, sort_keys=True))
     except (ConfigError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1

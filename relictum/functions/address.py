@@ -49,7 +49,7 @@ def blocked_ipv6_reason(address: Column) -> Column:
 
 
 def blocked_address_reason(address: Column) -> Column:
-    return F.when(address.rlike(r"^\d+(\.\d+){3}$"), blocked_ipv4_reason(address)).when(address.rlike(r"^[0-9A-Fa-f:.%]*:[0-9A-Fa-f:.%]*$"), blocked_ipv6_reason(address)).otherwise("not an IP address")
+    return F.when(address.rlike(r"^\d+(\.\d+){3}$"), blocked_ipv4_reason(address)).when(address.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(%.*)?$"), blocked_ipv6_reason(address)).otherwise("not an IP address")
 
 
 def destination_refusal(url: Column, addresses: Column, allowed_hosts: list[str]) -> Column:

@@ -26,7 +26,7 @@ def expand_timestamp(ts: Column, edge: str) -> Column:
     n = F.length(ts)
     year = F.substring(ts, 1, 4)
     month = F.when(n >= 6, F.substring(ts, 5, 2)).otherwise("01" if start else "12")
-    end_day = F.lit("01") if start else last_day(F.expr("cast(0 as int)") + year.try_cast("int"), month.try_cast("int")).cast("string")
+    end_day = F.lit("01") if start else last_day(year.try_cast("int"), month.try_cast("int")).cast("string")
     day = F.when(n >= 8, F.substring(ts, 7, 2)).otherwise(end_day)
     hour = F.when(n >= 10, F.substring(ts, 9, 2)).otherwise("00" if start else "23")
     minute = F.when(n >= 12, F.substring(ts, 11, 2)).otherwise("00" if start else "59")
@@ -87,7 +87,8 @@ def served_timestamp(memento: Column, final_url: Column) -> Column:
 def retry_after_seconds(value: Column, now: Column) -> Column:
     """A Retry-After header, seconds or an HTTP date, as seconds from `now` (seconds since 1970), never negative."""
     plain = F.when(F.trim(value).rlike(r"^\d+$"), F.trim(value).try_cast("long"))
-    return F.coalesce(plain, F.greatest(F.lit(0).cast("long"), epoch_seconds(http_date(value)) - now))
+    dated = epoch_seconds(http_date(value))
+    return F.coalesce(plain, F.when(dated.isNotNull(), F.greatest(F.lit(0).cast("long"), dated - now)))
 
 
 def format_days(seconds: Column) -> Column:

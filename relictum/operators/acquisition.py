@@ -62,6 +62,24 @@ def attempt_verdict(status: Column, attempt: Column, hops: Column, budgets: Budg
     )
 
 
+def settle(responses: DataFrame, budgets: Budgets, *, key: str, order: str = "ord") -> DataFrame:
+    """How each item's chain of responses ends: the verdict that stopped it, after how many requests and hops. Needs status,
+    url (what was asked for) and location (where a redirect leads). A redirect to a URL asked for before is a loop."""
+    w = Window.partitionBy(key).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    hop = F.col("status").isin(*REDIRECTS).cast("int")
+    steps = responses.withColumns({"__hops": F.coalesce(F.sum(hop).over(before), F.lit(0)), "__asked": F.collect_set("url").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.row_number().over(w)})
+    since = Window.partitionBy(key, "__hops").orderBy(order)
+    steps = steps.withColumn("__try", F.row_number().over(since))
+    loop = (hop == 1) & F.array_contains("__asked", F.col("location"))
+    verdict = F.when(F.coalesce(loop, F.lit(False)), "redirect-loop").otherwise(attempt_verdict(F.col("status"), F.col("__try"), F.col("__hops"), budgets))
+    said = steps.withColumn("verdict", verdict)
+    ends = said.where(~F.col("verdict").isin("follow", "retry"))
+    stop = ends.groupBy(key).agg(F.min_by(F.struct("verdict", F.col("__n").alias("requests"), F.col("__hops").alias("hops")), "__n").alias("s"))
+    every = said.groupBy(key).agg(F.max("__n").alias("n"), F.max("__hops").alias("h"))
+    return every.join(stop, key, "left").select(key, F.coalesce("s.verdict", F.lit("unfinished")).alias("verdict"), F.coalesce("s.requests", "n").cast("long").alias("requests"), F.coalesce("s.hops", "h").cast("long").alias("hops"))
+
+
 def waves(roots: DataFrame, edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, max_waves: int, most: int | None = None) -> DataFrame:
     """What is reached from `roots` (node, ord) over `edges` (src, dst), with the wave that reached it. Each wave is written
     by `cut` before the next one reads it. `most` admits only so many nodes, the first by wave and order; that is the

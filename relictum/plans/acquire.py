@@ -20,6 +20,11 @@ from relictum.plans.collection import classify_collection, decode_bodies, valida
 from relictum.sources.cdx import page_rows
 
 
+def widened(items: DataFrame) -> DataFrame:
+    """Classified items with the flat columns that evidence reads."""
+    return items.withColumns({"failure_kind": F.col("failure.kind"), "failure_message": F.col("failure.message"), "retryable": F.col("failure.retryable"), "distant": F.coalesce("temporally_distant", F.lit(False)), "degraded": F.col("decoded.degraded"), "encoding": F.col("decoded.chosen_encoding")})
+
+
 @dataclass
 class Run:
     """Tables of one run in a shared folder; each is written once and read back."""
@@ -92,5 +97,4 @@ class Run:
         read = self.cut(validated(decode_bodies(items.drop("body"), bodies).withColumns({"unattempted_reason": F.lit(None).cast("string"), "replacement_ratio": F.col("decoded.replacement_ratio")})), "read")
         assets = read.where("referrer is not null").select(F.col("referrer").alias("page_url"), "original_url", (F.col("requested_ts").isNotNull()).alias("resolved"), (F.col("status") == "fetched").alias("acquired"), F.coalesce("temporally_distant", F.lit(False)).alias("distant"))
         done = self.cut(classify_collection(read, assets, known, self.cut), "done")
-        wide = done.withColumns({"failure_kind": F.col("failure.kind"), "failure_message": F.col("failure.message"), "retryable": F.col("failure.retryable"), "outcome_detail": F.col("outcome_detail"), "distant": F.coalesce("temporally_distant", F.lit(False)), "degraded": F.col("decoded.degraded"), "encoding": F.col("decoded.chosen_encoding")})
-        return {"captures": known, "items": done, "assets": assets, "gaps": evidence.gaps(wide)}
+        return {"captures": known, "items": done, "assets": assets, "gaps": evidence.gaps(widened(done))}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relictum.functions.url import store_path
 
 JOB_VERSION = 3
+REPORT_VERSION = 5
 
 
 def bodies_by_hash(bodies: DataFrame, column: str = "bytes") -> DataFrame:
@@ -65,3 +66,29 @@ def load_manifest(spark: SparkSession, path: str) -> str:
 def revision(spark: SparkSession, path: str) -> str:
     """SHA-256 of a file's bytes."""
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
+def recorded_revisions(spark: SparkSession, path: str) -> list[dict]:
+    """Revisions that an earlier report at `path` records; none if there is no report."""
+    try:
+        return json.loads(spark.read.text(path, wholetext=True).first().value).get("revisions", [])
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+
+
+def write_report(spark: SparkSession, report: dict, path: str, revision_now: dict) -> None:
+    """A report as JSON. Revisions recorded before stay; a new one is added once."""
+    kept = recorded_revisions(spark, path)
+    revisions = kept if revision_now in kept else [*kept, revision_now]
+    text = json.dumps(report | {"schemaVersion": REPORT_VERSION, "revisions": revisions}, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def summary(report: dict) -> str:
+    """One screen of counts."""
+    lines = [", ".join(f"{k} {v}" for k, v in report["counts"].items())]
+    for name in ("outcomes", "bands", "gaps"):
+        lines += [f"{name}: " + ", ".join(f"{k} {v}" for k, v in sorted(report[name].items()) if v)]
+    return "\n".join(lines)
