@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,26 +22,35 @@ def last_day(year: Column, month: Column) -> Column:
     return F.when(of_year == 2, F.when(leap, 29).otherwise(28)).when(of_year.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def expand_timestamp(ts: Column, edge: str) -> Column:
-    """Fill a prefix up to 14 digits with the first or last instant that it covers; anything else stays as it is."""
-    start = edge == "start"
-    n = F.length(ts)
-    year = F.substring(ts, 1, 4)
-    month = F.when(n >= 6, F.substring(ts, 5, 2)).otherwise("01" if start else "12")
-    end_day = F.lit("01") if start else last_day(year.try_cast("int"), month.try_cast("int")).cast("string")
-    day = F.when(n >= 8, F.substring(ts, 7, 2)).otherwise(end_day)
-    hour = F.when(n >= 10, F.substring(ts, 9, 2)).otherwise("00" if start else "23")
-    minute = F.when(n >= 12, F.substring(ts, 11, 2)).otherwise("00" if start else "59")
-    filled = F.concat(year, month, day, hour, minute, F.lit("00" if start else "59"))
-    return F.when(is_usable(ts) & (n < 14), filled).otherwise(ts)
+    """Fill a prefix up to 14 digits with the first or last instant that it covers; anything else stays as it is. Of an odd
+    number of digits the last one falls away."""
+    whole = (F.length(ts) - F.length(ts) % 2).cast("int")
+    kept = F.substring(ts, F.lit(1), whole)
+    if edge == "start":
+        filled = F.concat(kept, F.substring(F.lit("00000101000000"), whole + 1, F.lit(14)))
+    else:
+        month = F.when(whole >= 6, F.substring(ts, 5, 2)).otherwise("12")
+        day = F.when(whole >= 8, F.substring(ts, 7, 2)).otherwise(last_day(F.substring(ts, 1, 4).try_cast("int"), month.try_cast("int")).cast("string"))
+        filled = F.concat(F.substring(ts, 1, 4), month, day, F.substring(kept, 9, 4), F.substring(F.lit("00000000235959"), F.greatest(whole, F.lit(8)) + 1, F.lit(14)))
+        filled = F.when(whole < 12, filled).otherwise(F.concat(kept, F.lit("59")))
+    return F.when(is_usable(ts) & (F.length(ts) < 14), filled).otherwise(ts)
 
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a 14-digit timestamp; null if it is none or names no instant. No time zone enters."""
-    whole = F.when(ts.rlike(r"\A\d{14}\z"), ts)
-    part = lambda at, n: F.substring(whole, at, n).try_cast("int")
-    made = F.try_make_timestamp_ntz(part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2), part(13, 2).cast("decimal(16,6)"))
-    return seconds_of(F.when(part(13, 2) < 60, made))
+
+    def seconds(v: Column) -> Column:
+        part = lambda low, size: ((v % (low * size) - v % low) / low).cast("int")
+        made = F.try_make_timestamp_ntz(part(10**10, 10**4), part(10**8, 100), part(10**6, 100), part(10**4, 100), part(100, 100), (v % 100).cast("decimal(16,6)"))
+        return F.when(v % 100 < 60, seconds_of(made))
+
+    return let(F.when(ts.rlike(r"\A\d{14}\z"), ts.try_cast("long")), seconds)
 
 
 def seconds_of(moment: Column) -> Column:

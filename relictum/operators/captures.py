@@ -58,7 +58,7 @@ def rank(target: Column | None) -> Column:
     """Order by nearness to the target: then the larger, the later and the first seen. Without a target: the latest."""
     if target is None:
         return F.struct(F.col("timestamp").alias("a"), (-F.col("ord")).alias("b"))
-    away = F.abs(start_epoch(F.col("timestamp")) - epoch_seconds(target))
+    away = F.abs(F.col("__at") - epoch_seconds(target))
     known = away.isNotNull()
     near = F.struct(known.cast("int").alias("known"), F.coalesce(-away, F.lit(0)).alias("near"), F.when(known, F.coalesce(F.col("length"), F.lit(-1))).otherwise(0).alias("size"), F.when(known, F.col("timestamp")).otherwise("").alias("late"), (-F.col("ord")).alias("first"))
     last = F.struct(F.lit(0).alias("known"), F.lit(0).cast("long").alias("near"), F.lit(0).cast("long").alias("size"), F.col("timestamp").alias("late"), (-F.col("ord")).alias("first"))
@@ -69,6 +69,7 @@ def select_captures(captures: DataFrame, key: str = "capture_key", *, policy: st
     """One chosen capture for each key, by partial aggregates alone. Excluded captures count only where a key has no other,
     and then the choice says so. Needs timestamp, length, ord and excluded_by."""
     usable = captures.where(is_usable(F.col("timestamp")))
+    columns = [c for c in captures.columns if c != key]
     eligible = F.col("excluded_by").isNull()
     if policy == EARLIEST_LARGEST:
         pools = usable.groupBy(key).agg(F.max(eligible).alias("has_eligible"), F.min(F.when(eligible, F.col("timestamp"))).alias("first_eligible"), F.min("timestamp").alias("first_any"))
@@ -76,16 +77,13 @@ def select_captures(captures: DataFrame, key: str = "capture_key", *, policy: st
         pooled = usable.join(pools, key).where(eligible | ~F.col("has_eligible"))
         inside = F.coalesce(start_epoch(F.col("timestamp")) - start_epoch(F.col("earliest")) <= cluster_days * DAY, F.col("timestamp") == F.col("earliest"))
         best = F.struct(F.coalesce(-F.col("length"), F.lit(1)).alias("a"), F.col("timestamp").alias("b"), F.col("ord").alias("c"))
-        chosen = pooled.groupBy(key).agg(F.min_by(F.struct(*usable.columns), F.when(inside, best)).alias("chosen"), F.count(F.lit(1)).alias("considered"), (~F.max("has_eligible")).alias("from_excluded"))
-        return chosen.select(key, *[F.col("chosen")[c].alias(c) for c in usable.columns if c != key], "considered", "from_excluded")
-    order = rank(target)
-    row = F.struct(*usable.columns)
-    best = usable.groupBy(key).agg(
-        F.max_by(row, F.when(eligible, order)).alias("good"), F.max_by(row, order).alias("any"),
-        F.count_if(eligible).alias("n_good"), F.count(F.lit(1)).alias("n_any"),
-    )
-    chosen = F.when(F.col("n_good") > 0, F.col("good")).otherwise(F.col("any"))
-    return best.select(key, chosen.alias("chosen"), F.when(F.col("n_good") > 0, F.col("n_good")).otherwise(F.col("n_any")).alias("considered"), (F.col("n_good") == 0).alias("from_excluded")).select(key, *[F.col("chosen")[c].alias(c) for c in usable.columns if c != key], "considered", "from_excluded")
+        chosen = pooled.groupBy(key).agg(F.min_by(F.struct(*columns), F.when(inside, best)).alias("chosen"), F.count(F.lit(1)).alias("considered"), (~F.max("has_eligible")).alias("from_excluded"))
+        return chosen.select(key, *[F.col("chosen")[c].alias(c) for c in columns], "considered", "from_excluded")
+    ranked = usable.withColumn("__at", start_epoch(F.col("timestamp")) if target is not None else F.lit(0))
+    order = F.struct(eligible.alias("eligible"), rank(target).alias("rank"))  # any eligible capture comes before all others
+    best = ranked.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("chosen"), F.count_if(eligible).alias("n_good"), F.count(F.lit(1)).alias("n_any"))
+    considered = F.when(F.col("n_good") > 0, F.col("n_good")).otherwise(F.col("n_any"))
+    return best.select(key, *[F.col("chosen")[c].alias(c) for c in columns], considered.alias("considered"), (F.col("n_good") == 0).alias("from_excluded"))
 
 
 def unused_captures(captures: DataFrame, used: DataFrame, key: str = "capture_key") -> DataFrame:
@@ -119,13 +117,13 @@ def content_drift(captures: DataFrame, key: str = "capture_key") -> DataFrame:
 def cross_capture(captures: DataFrame, chosen: DataFrame, key: str = "capture_key") -> DataFrame:
     """How the chosen capture's digest compares with that of the capture nearest to it. `chosen` has key and
     chosen_timestamp; where that is no known capture, the first one stands in, and the flag says so."""
-    known = captures.where(is_usable(F.col("timestamp")))
+    known = captures.where(is_usable(F.col("timestamp"))).select(key, "timestamp", "digest", "ord", start_epoch(F.col("timestamp")).alias("at"))
     marked = known.join(chosen.select(key, "chosen_timestamp"), key)
-    fields = F.struct("timestamp", "digest", "ord")
+    fields = F.struct("timestamp", "digest", "ord", "at")
     hit = F.col("timestamp") == F.col("chosen_timestamp")
     base = marked.groupBy(key).agg(F.min_by(fields, F.when(hit, F.col("ord"))).alias("hit"), F.min_by(fields, "ord").alias("first"), F.count(F.lit(1)).alias("capture_count"))
     base = base.select(key, "capture_count", F.coalesce("hit", "first").alias("c"), F.col("hit").isNull().alias("stand_in"))
-    away = F.abs(start_epoch(F.col("timestamp")) - start_epoch(F.col("c.timestamp")))
+    away = F.abs(F.col("at") - F.col("c.at"))
     others = known.join(base, key).where(F.col("ord") != F.col("c.ord"))
     near = others.groupBy(key).agg(F.min_by(F.struct("timestamp", "digest", away.alias("away")), F.struct(away.isNull().alias("a"), away.alias("b"), F.col("ord").alias("c"))).alias("n"))
     own, other = F.nullif(F.col("c.digest"), F.lit("")), F.nullif(F.col("n.digest"), F.lit(""))
