@@ -15,6 +15,7 @@ import xxhash
 
 from relictum.llm import secret_scan as S
 from relictum.llm import simhash as H
+from relictum.llm import simhash_wide as W
 from relictum.llm.decontaminate import align, find_leaks, index_items, find_items, normalise
 from relictum.llm.suffix_dedup import remove_repeats
 from relictum.llm.token_counts import token_counts
@@ -188,6 +189,44 @@ def test_one_of_each_group_stays(odd_docs, odd_rows, no_docs):
     assert H.simhash_components(odd_docs.withColumn("fp", F.lit("clash"))).count() == len(odd_rows)
 
 
+# copies by similarity
+
+
+def edited(text: str, share: float, seed: int) -> str:
+    import random
+
+    r = random.Random(seed)
+    return " ".join("changed" + str(r.randrange(10**6)) if r.random() < share else w for w in text.split())
+
+
+def test_wide_fingerprints_follow_similarity():
+    base = words(11, 500)
+    far = [int.from_bytes(bytes(a ^ b for a, b in zip(W.wide_fingerprint(base), W.wide_fingerprint(edited(base, e, 3)), strict=True))).bit_count() for e in (0.0, 0.01, 0.05, 0.5)]
+    assert far[0] == 0 and far == sorted(far) and far[1] < 35 < far[2] and far[3] > 60
+    assert W.wide_fingerprint("") == bytes(32) == W.wide_fingerprint(" \n")
+
+
+def test_tables_keep_recall_as_the_table_grows():
+    share = W.differing_share(0.8)
+    for n in (10, 10**5, 10**10):
+        bits, tables = W.tables_for(n, share, 0.98)
+        assert 1 - (1 - (1 - share) ** bits) ** tables >= 0.98 and 2**bits >= min(n, 2**60)
+
+
+@pytest.mark.parametrize("held", [20_000, 5])
+def test_one_of_each_set_of_copies_stays(spark, odd_docs, odd_rows, no_docs, held, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(W, "bucket_forest", partial(W.bucket_forest, held_rows=held))
+    bases = [words(300 + i, 300) for i in range(20)]
+    texts = bases + [edited(b, 0.008, i) for i, b in enumerate(bases[:10])] + [bases[0]] * 30 + [edited(bases[1], 0.004, 50 + i) for i in range(30)] + [words(900, 150) + " " + bases[15][:700]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in W.drop_similar(docs).collect()} == {*range(20), len(texts) - 1}
+    kept = W.drop_similar(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() == len({" ".join((r[1] or "").split()) for r in odd_rows})
+    assert W.drop_similar(no_docs).count() == 0
+
+
 # repeats
 
 
