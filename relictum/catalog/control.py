@@ -169,17 +169,17 @@ WIDE = {
 WIDE_SQL = "wide as (select " + ", ".join(f"{v} as {k}" for k, v in WIDE.items()) + " from orders)"
 GAPS = f"""
 with {WIDE_SQL}, gap as (
-  select 'asset-content-drift' as kind, original_url, 'this URL served ' || digests || ' distinct content hashes; ' || resolution_detail as detail, 'confirm the chosen capture is the content the referring page showed' as remedy from wide where digests > 1
-  union all select 'archive-injection', original_url, 'the defensive strip removed ' || removed_nodes || ' archive-injected node(s) (' || removal_rules || ')', 'confirm the replay modifier reached the provider; the stored bytes are not raw capture bytes' from wide where removed_nodes > 0
-  union all select 'low-fidelity', original_url, 'fidelity 0.5000 needs review; weakest signal structure', case when overridden then 'the override is recorded; confirm it still holds before freezing this as a reference' else 'select an alternative capture, or record an explicit override before freezing this as a reference' end from wide where band = 'review-required'
-  union all select 'non-content-body', original_url, outcome || ': ' || outcome_detail, 'select an alternative capture; this body must not become a reference' from wide where status = 'fetched' and outcome <> 'ok'
-  union all select 'failed-fetch', original_url, failure_kind || ': ' || failure_message, case when retryable then 'resume the job with retry enabled, or select an alternative capture' else 'select an alternative capture or record the item as unavailable' end from wide where status = 'failed'
-  union all select 'excluded-capture-only', original_url, 'every indexed capture failed the candidate filter; acquired 19990101000000 with archive status 404', 'widen the inventory period to look for a capture the origin answered normally' from wide where from_excluded
-  union all select 'unattempted', original_url, 'no request was made: ' || coalesce(unattempted_reason, 'queued'), case when unattempted_reason = 'budget-exhausted' then 'raise the declared budget and resume' else 'resume the job' end from wide where status = 'unattempted'
-  union all select 'no-capture', original_url, 'no capture is known for this URL', 'widen the inventory period or supply the file from another source' from wide where status = 'skipped'
-  union all select 'degraded-encoding', original_url, 'replacement ratio 0.2500 exceeds 0.01 under windows-1252', 'review the chosen encoding before this body is used as a reference' from wide where degraded
-  union all select 'truncated-body', original_url, 'body hit the response byte cap at 8388608 bytes', 'raise maxResponseBytes and re-acquire this item' from wide where truncated
-  union all select 'capture-era-distance', original_url, 'served capture 20010101000000 is ' || distance_seconds || 's from the requested 19990101000000', 'choose a capture inside the declared period before freezing a reference' from wide where distance_seconds > 365 * 86400
+  select 'asset-content-drift' as kind, original_url, 'this URL served ' || digests || ' distinct content hashes; ' || resolution_detail as detail, '{V.REMEDY["asset-content-drift"]}' as remedy from wide where digests > 1
+  union all select 'archive-injection', original_url, 'the defensive strip removed ' || removed_nodes || ' archive-injected node(s) (' || removal_rules || ')', '{V.REMEDY["archive-injection"]}' from wide where removed_nodes > 0
+  union all select 'low-fidelity', original_url, 'fidelity 0.5000 needs review; weakest signal structure', case when overridden then '{V.REMEDY["low-fidelity, overridden"]}' else '{V.REMEDY["low-fidelity"]}' end from wide where band = 'review-required'
+  union all select 'non-content-body', original_url, outcome || ': ' || outcome_detail, '{V.REMEDY["non-content-body"]}' from wide where status = 'fetched' and outcome <> 'ok'
+  union all select 'failed-fetch', original_url, failure_kind || ': ' || failure_message, case when retryable then '{V.REMEDY["failed-fetch, retryable"]}' else '{V.REMEDY["failed-fetch"]}' end from wide where status = 'failed'
+  union all select 'excluded-capture-only', original_url, 'every indexed capture failed the candidate filter; acquired 19990101000000 with archive status 404', '{V.REMEDY["excluded-capture-only"]}' from wide where from_excluded
+  union all select 'unattempted', original_url, 'no request was made: ' || coalesce(unattempted_reason, 'queued'), case when unattempted_reason = 'budget-exhausted' then '{V.REMEDY["unattempted, budget"]}' else '{V.REMEDY["unattempted"]}' end from wide where status = 'unattempted'
+  union all select 'no-capture', original_url, 'no capture is known for this URL', '{V.REMEDY["no-capture"]}' from wide where status = 'skipped'
+  union all select 'degraded-encoding', original_url, 'replacement ratio 0.2500 exceeds 0.01 under windows-1252', '{V.REMEDY["degraded-encoding"]}' from wide where degraded
+  union all select 'truncated-body', original_url, 'body hit the response byte cap at 8388608 bytes', '{V.REMEDY["truncated-body"]}' from wide where truncated
+  union all select 'capture-era-distance', original_url, 'served capture 20010101000000 is ' || distance_seconds || 's from the requested 19990101000000', '{V.REMEDY["capture-era-distance"]}' from wide where distance_seconds > 365 * 86400
 )
 """
 

@@ -15,6 +15,7 @@ def blocked_ipv4_reason(address: Column) -> Column:
     pattern = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
     a, b, c, d = (F.regexp_extract(address, pattern, i).try_cast("int") for i in range(1, 5))
     fine = F.coalesce(address.rlike(pattern) & (F.greatest(a, b, c, d) <= 255), F.lit(False))
+    # Reserved ranges, in the order in which they are tried, with the reasons that reports give.
     return (
         F.when(~fine, "unparseable IPv4 address")
         .when(a == 0, "unspecified 0.0.0.0/8")
@@ -36,6 +37,7 @@ def blocked_ipv6_reason(address: Column) -> Column:
     hexed = r"^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
     high, low = (F.conv(F.regexp_extract(plain, hexed, i), 16, 10).try_cast("int") for i in (1, 2))
     embedded = F.concat_ws(".", *[x.cast("string") for x in (F.floor(high / 256), high % 256, F.floor(low / 256), low % 256)])
+    # Likewise.
     return (
         F.when(plain == "::", "unspecified ::")
         .when(plain == "::1", "loopback ::1")

@@ -16,6 +16,7 @@ ARCHIVE_ERROR_MARKERS = ("Wayback Machine has not archived that URL", "Got an HT
 PARKED_MARKERS = ("this domain is for sale", "buy this domain", "this domain name is parked", "parked free, courtesy of", "this domain name has expired")
 SOFT_404_MARKERS = ("404", "not found", "page cannot be found", "no such page")
 INJECTION_MARKERS = ("wm-ipp", "/_static/", "WAYBACK TOOLBAR INSERT", "__wm.", "archive_analytics", "FILE ARCHIVED ON")
+# Patterns of the markup that is read.
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT_OR_STYLE = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 TITLE_ELEMENT = r"(?is)<title\b[^>]*>.*?</title\s*>"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relictum.functions.time import DAY, epoch_seconds, expand_timestamp, is_usable, start_epoch
 
+# Fields of an index row, the default filter, policies and page types.
 FIELDS = ("urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "length")
 DEFAULT_FILTERS = ("statuscode:200",)
 NEAREST, EARLIEST_LARGEST = "nearest", "earliest-largest"

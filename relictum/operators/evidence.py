@@ -11,6 +11,25 @@ ERA_DISTANCE = 365 * DAY
 # Kinds of gaps in the order in which an item raises them.
 GAP_KINDS = ("temporally-distant-asset", "asset-content-drift", "archive-injection", "low-fidelity", "non-content-body", "failed-fetch", "excluded-capture-only", "unattempted", "no-capture", "degraded-encoding", "truncated-body", "capture-era-distance", "partial-inventory")
 
+# What a report advises for each kind of gap.
+REMEDY = {
+    "temporally-distant-asset": "accept the era difference explicitly, or narrow the window and record the asset as unavailable",
+    "asset-content-drift": "confirm the chosen capture is the content the referring page showed",
+    "archive-injection": "confirm the replay modifier reached the provider; the stored bytes are not raw capture bytes",
+    "low-fidelity": "select an alternative capture, or record an explicit override before freezing this as a reference",
+    "low-fidelity, overridden": "the override is recorded; confirm it still holds before freezing this as a reference",
+    "non-content-body": "select an alternative capture; this body must not become a reference",
+    "failed-fetch": "select an alternative capture or record the item as unavailable",
+    "failed-fetch, retryable": "resume the job with retry enabled, or select an alternative capture",
+    "excluded-capture-only": "widen the inventory period to look for a capture the origin answered normally",
+    "unattempted": "resume the job",
+    "unattempted, budget": "raise the declared budget and resume",
+    "no-capture": "widen the inventory period or supply the file from another source",
+    "degraded-encoding": "review the chosen encoding before this body is used as a reference",
+    "truncated-body": "raise maxResponseBytes and re-acquire this item",
+    "capture-era-distance": "choose a capture inside the declared period before freezing a reference",
+}
+
 #: Column of the wide item table -> its type. A table may lack any of them; what it lacks is null.
 ITEM = {
     "original_url": "string", "status": "string", "unattempted_reason": "string", "failure_kind": "string", "failure_message": "string", "retryable": "boolean",
@@ -36,18 +55,18 @@ def gaps(items: DataFrame) -> DataFrame:
     trail = F.when(c["reselection_trail"].isNotNull(), text("; captures tried: ", c["reselection_trail"])).otherwise("")
     budget = c["unattempted_reason"] == "budget-exhausted"
     found = (
-        (yes(c["distant"]), text("acquired from ", F.coalesce(c["served_ts"], c["requested_ts"]), ", ", c["distance_text"], " from the referring page"), F.lit("accept the era difference explicitly, or narrow the window and record the asset as unavailable")),
-        (yes(c["digests"] > 1), text("this URL served ", c["digests"], " distinct content hashes; ", c["resolution_detail"]), F.lit("confirm the chosen capture is the content the referring page showed")),
-        (yes(c["removed_nodes"] > 0), text("the defensive strip removed ", c["removed_nodes"], " archive-injected node(s) (", c["removal_rules"], ")"), F.lit("confirm the replay modifier reached the provider; the stored bytes are not raw capture bytes")),
-        (yes(c["band"] == "review-required"), text("fidelity ", F.format_string("%.4f", c["score"]), " needs review; weakest signal ", c["weakest"]), F.when(yes(c["overridden"]), "the override is recorded; confirm it still holds before freezing this as a reference").otherwise("select an alternative capture, or record an explicit override before freezing this as a reference")),
-        (yes(complete & F.coalesce(c["outcome"] != "ok", F.lit(True))), F.concat(text(F.coalesce(c["outcome"], F.lit("unclassified")), ": ", F.coalesce(c["outcome_detail"], F.lit("no classification pass has run"))), trail), F.lit("select an alternative capture; this body must not become a reference")),
-        (yes((c["status"] == "failed") & c["failure_kind"].isNotNull()), text(c["failure_kind"], ": ", c["failure_message"]), F.when(yes(c["retryable"]), "resume the job with retry enabled, or select an alternative capture").otherwise("select an alternative capture or record the item as unavailable")),
-        (yes(c["from_excluded"]), text("every indexed capture failed the candidate filter; acquired ", c["requested_ts"], " with archive status ", c["archive_status"]), F.lit("widen the inventory period to look for a capture the origin answered normally")),
-        (yes(c["status"] == "unattempted"), text("no request was made: ", F.coalesce(c["unattempted_reason"], F.lit("queued"))), F.when(yes(budget), "raise the declared budget and resume").otherwise("resume the job")),
-        (yes(c["status"] == "skipped"), F.lit("no capture is known for this URL"), F.lit("widen the inventory period or supply the file from another source")),
-        (yes(c["degraded"]), text("replacement ratio ", F.format_string("%.4f", c["replacement_ratio"]), " exceeds 0.01 under ", c["encoding"]), F.lit("review the chosen encoding before this body is used as a reference")),
-        (yes(c["truncated"]), text("body hit the response byte cap at ", c["bytes_read"], " bytes"), F.lit("raise maxResponseBytes and re-acquire this item")),
-        (yes(c["distance_seconds"] > ERA_DISTANCE), text("served capture ", c["served_ts"], " is ", c["distance_seconds"], "s from the requested ", c["requested_ts"]), F.lit("choose a capture inside the declared period before freezing a reference")),
+        (yes(c["distant"]), text("acquired from ", F.coalesce(c["served_ts"], c["requested_ts"]), ", ", c["distance_text"], " from the referring page"), F.lit(REMEDY["temporally-distant-asset"])),
+        (yes(c["digests"] > 1), text("this URL served ", c["digests"], " distinct content hashes; ", c["resolution_detail"]), F.lit(REMEDY["asset-content-drift"])),
+        (yes(c["removed_nodes"] > 0), text("the defensive strip removed ", c["removed_nodes"], " archive-injected node(s) (", c["removal_rules"], ")"), F.lit(REMEDY["archive-injection"])),
+        (yes(c["band"] == "review-required"), text("fidelity ", F.format_string("%.4f", c["score"]), " needs review; weakest signal ", c["weakest"]), F.when(yes(c["overridden"]), REMEDY["low-fidelity, overridden"]).otherwise(REMEDY["low-fidelity"])),
+        (yes(complete & F.coalesce(c["outcome"] != "ok", F.lit(True))), F.concat(text(F.coalesce(c["outcome"], F.lit("unclassified")), ": ", F.coalesce(c["outcome_detail"], F.lit("no classification pass has run"))), trail), F.lit(REMEDY["non-content-body"])),
+        (yes((c["status"] == "failed") & c["failure_kind"].isNotNull()), text(c["failure_kind"], ": ", c["failure_message"]), F.when(yes(c["retryable"]), REMEDY["failed-fetch, retryable"]).otherwise(REMEDY["failed-fetch"])),
+        (yes(c["from_excluded"]), text("every indexed capture failed the candidate filter; acquired ", c["requested_ts"], " with archive status ", c["archive_status"]), F.lit(REMEDY["excluded-capture-only"])),
+        (yes(c["status"] == "unattempted"), text("no request was made: ", F.coalesce(c["unattempted_reason"], F.lit("queued"))), F.when(yes(budget), REMEDY["unattempted, budget"]).otherwise(REMEDY["unattempted"])),
+        (yes(c["status"] == "skipped"), F.lit("no capture is known for this URL"), F.lit(REMEDY["no-capture"])),
+        (yes(c["degraded"]), text("replacement ratio ", F.format_string("%.4f", c["replacement_ratio"]), " exceeds 0.01 under ", c["encoding"]), F.lit(REMEDY["degraded-encoding"])),
+        (yes(c["truncated"]), text("body hit the response byte cap at ", c["bytes_read"], " bytes"), F.lit(REMEDY["truncated-body"])),
+        (yes(c["distance_seconds"] > ERA_DISTANCE), text("served capture ", c["served_ts"], " is ", c["distance_seconds"], "s from the requested ", c["requested_ts"]), F.lit(REMEDY["capture-era-distance"])),
     )
     rows = F.array(*[F.when(test, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), remedy.alias("remedy"))) for kind, (test, detail, remedy) in zip(GAP_KINDS, found, strict=False)])
     return items.select(c["original_url"].alias("original_url"), F.explode(F.filter(rows, lambda g: g.isNotNull())).alias("g")).select("g.kind", "original_url", "g.detail", "g.remedy")

@@ -50,6 +50,7 @@ def classify_text(pages: DataFrame, templates: DataFrame, frames: DataFrame, *,
     by = templates.select(F.col("host").alias("__host"), F.col("fingerprint").alias("__print"), "template_id", "observed_from")
     met = looked.join(by, ["__host", "__print"], "left").join(frames, key, "left")
     no_frame = t.rlike(FRAMESET) & (F.coalesce("held_frames", F.lit(0)) == 0)
+    # Outcomes in the order in which they are tried, with the details that reports give.
     ways = (
         (F.col("__marker").isNotNull(), "archive-interstitial", F.concat(F.lit('provider marker "'), F.col("__marker"), F.lit('"'))),
         (F.col("template_id").isNotNull(), "origin-soft-404", F.concat(F.lit("matches the error template observed at "), F.col("observed_from"))),
