@@ -89,7 +89,8 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """`edges` has two long columns. Returns (node, root) for every node that an edge names but the roots themselves; root
-    is the smallest node of its component. Alternating large-star and small-star steps over tables in the shared folder."""
+    is the smallest node of its component. Alternating large-star and small-star steps over tables in the shared folder; the
+    minimum of each node is written before it is joined, so that Spark can split the edges of a node that has very many."""
     a, b = (F.col(c) for c in edges.columns[:2])
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
     e = materialize(e.mapInArrow(local_forest, "u long, v long").distinct(), "edges")
@@ -97,10 +98,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         after = e.agg(signature).first()[0]
@@ -108,3 +109,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete every table that operators have left in the shared folder. Results that were not written yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{workdir(spark)}/relictum")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -176,7 +176,7 @@ def fingerprint_groups(prints: DataFrame, *, id_col: str = "doc_id", fp_col: str
     roots = connected_components(links)
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    ids = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "ids")
     return materialize(rooted.join(ids, "root").select("fp", "root", "least_id", "component_id"), "groups")
 
 
@@ -193,6 +193,6 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     prints = docs.withColumn("__fp", text_udf(fingerprints_array, "long")(F.col(text_col)))
     known = materialize(prints.select(F.col(id_col).alias("doc_id"), F.col("__fp").alias("fp")), "prints")
     order = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id"), F.col("fp"))
-    best = fingerprint_groups(known).groupBy("root").agg(F.min(order).alias("best")).select("best.least_id", "best.fp")
+    best = materialize(fingerprint_groups(known).groupBy("root").agg(F.min(order).alias("best")).select("best.least_id", "best.fp"), "best")
     kept = prints.join(best, (F.col("__fp") == F.col("fp")) & F.col(id_col).eqNullSafe(F.col("least_id")), "left_semi")
     return kept.dropDuplicates([id_col, "__fp"]).drop("__fp")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
 from relictum.llm import toxicity as T
-from relictum.llm.common import connected_components, held_out
+from relictum.llm.common import clear_tables, connected_components, held_out, materialize, workdir
 from relictum.llm.embedding_dedup import embedding_components
 from relictum.llm.html_text import extract_text, fit_dom_model, label_nodes, made_page, parse, sample_pages
 from relictum.llm.mixing import mix_sources, rake
@@ -35,6 +36,14 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_can_be_cleared(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    kept = materialize(spark.range(3), "t")
+    assert kept.count() == 3 and before == spark.conf.get("spark.checkpoint.dir")
+    clear_tables(spark)
+    assert not list(Path(workdir(spark).removeprefix("file://")).glob("relictum/*"))
+
+
 # quality
 
 
