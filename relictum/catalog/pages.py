@@ -454,6 +454,17 @@ def injection_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.unionByName(rest)
 
 
+@query("""
+select case page_id % 3 when 0 then 'file-archived-comment' when 1 then 'wayback-toolbar-element' end as rule, count(*) as pages, cast(sum(case page_id % 3 when 0 then 30 else 37 end) as bigint) as removed_characters
+from pages where page_id % 3 < 2 group by all
+""")
+def injection_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relictum.functions.injection import strip_injection
+
+    marked = table(spark, sf_dir, "pages").select(F.expr(MARKED).alias("t")).where(M.has_injection(F.col("t"))).withColumn("s", strip_injection(F.col("t")))
+    return marked.select(F.explode("s.rules").alias("rule"), F.col("s.removed_characters").alias("n")).groupBy("rule").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("removed_characters"))
+
+
 #: Bytes in hexadecimal, content type, and what must come of them: kind, encoding, source, text.
 DECODE_CASES = (
     ("706c61696e", None, "text", "us-ascii", "detected", "plain"),

@@ -15,8 +15,9 @@ from relictum.config import Project
 from relictum.functions.time import selection_target
 from relictum.functions.url import host_of, item_id, local_path
 from relictum.operators import captures as C
-from relictum.operators import evidence, links
-from relictum.plans.collection import classify_collection, decode_bodies, validated
+from relictum.operators import acquisition as A
+from relictum.operators import evidence, links, outcomes
+from relictum.plans.collection import classify_collection, decode_bodies, item_outcomes, validated
 from relictum.sources.cdx import page_rows
 
 
@@ -67,12 +68,46 @@ class Run:
         status = F.when(F.col("requested_ts").isNull(), "skipped").when(failure.isNotNull(), "failed").otherwise("fetched")
         return met.withColumns({"failure": failure, "status": status, "body_hash": F.when(failure.isNull() & F.col("body").isNotNull(), F.sha2("body", 256)), "item_id": item_id(F.col("original_url")), "local_path": local_path(F.col("original_url"))})
 
+    def read_bodies(self, items: DataFrame, bodies: DataFrame) -> DataFrame:
+        """Items with decoded, validated texts."""
+        read = decode_bodies(items.drop("body"), bodies)
+        return validated(read.withColumns({"unattempted_reason": F.lit(None).cast("string"), "replacement_ratio": F.col("decoded.replacement_ratio")}))
+
+    def reselected(self, read: DataFrame, known: DataFrame, responses: DataFrame) -> DataFrame:
+        """Pages without content get another capture where one has content. The captures that would be tried one after the
+        other are chosen, read and classified together; then it is decided for each page where its tries would have ended.
+        A page none of whose tries is ok stays as it was. Adds reselection_trail."""
+        project, most = self.project, self.project.reselection_attempts
+        first, _, _ = item_outcomes(read, self.cut)
+        poor = self.cut(first.where(F.col("relation").isin("page", "frame") & F.col("outcome").isin(*outcomes.RESELECTABLE)).select("item_id", "original_url", "ord", "relation", "requested_ts", "outcome", "wave"), "poor")
+        if not most or poor.isEmpty():
+            return read.withColumn("reselection_trail", F.lit(None).cast("string"))
+        target = selection_target(project.start, project.end) if project.start or project.end else None
+        own = known.join(poor.select(F.col("original_url").alias("capture_key")), "capture_key", "left_semi")
+        used = poor.select(F.col("original_url").alias("capture_key"), F.col("requested_ts").alias("timestamp"))
+        tries = None
+        for place in range(1, most + 1):
+            pick = self.cut(C.select_captures(C.unused_captures(own, used), policy=project.policy, target=target, cluster_days=project.cluster_days).withColumn("place", F.lit(place)), f"pick{place}")
+            used = used.unionByName(pick.select("capture_key", "timestamp"))
+            tries = pick if tries is None else tries.unionByName(pick)
+        wanted = tries.select(F.col("capture_key").alias("original_url"), F.col("timestamp").alias("requested_ts"), F.col("status_code").alias("archive_status"), "from_excluded", "place").join(poor.select("original_url", "ord", "relation", "wave"), "original_url")
+        fetched = self.fetch(wanted, responses).withColumn("item_id", F.concat("item_id", F.lit("#"), F.col("place").cast("string")))
+        fetched = self.cut(fetched, "tries")
+        bodies = fetched.where("body_hash is not null").select(F.col("body_hash").alias("hash"), F.col("body").alias("bytes")).dropDuplicates(["hash"])
+        looked = self.cut(self.read_bodies(fetched, bodies), "tried")
+        tried, _, _ = item_outcomes(looked, self.cut)
+        ranked = poor.select(F.col("original_url").alias("capture_key"), F.lit(0).alias("place"), F.col("requested_ts").alias("timestamp"), "outcome").unionByName(tried.select(F.col("original_url").alias("capture_key"), "place", F.col("requested_ts").alias("timestamp"), "outcome"))
+        decided = self.cut(A.reselect(ranked.where("place = 0").select("capture_key", "outcome"), self.cut(ranked, "ranked"), most), "decided").withColumnRenamed("capture_key", "original_url")
+        better = looked.join(decided.select("original_url", F.col("used_place").alias("place")), ["original_url", "place"]).drop("place").withColumn("item_id", item_id(F.col("original_url")))
+        rest = read.join(better.select("item_id"), "item_id", "left_anti")
+        return rest.unionByName(better, allowMissingColumns=True).join(decided.select("original_url", F.col("trail").alias("reselection_trail")), "original_url", "left")
+
     def execute(self, index_pages: DataFrame, responses: DataFrame, max_waves: int = 8) -> dict[str, DataFrame]:
         """All tables of a finished run: captures, items, assets and gaps."""
         project = self.project
         known = self.inventory(index_pages)
         chosen = self.cut(self.choose(known), "chosen")
-        front = self.cut(self.fetch(self.seeds(chosen), responses).withColumn("wave", F.lit(0)).withColumn("referrer", F.lit(None).cast("string")), "wave0")
+        front = self.cut(self.fetch(self.seeds(chosen), responses).withColumns({"wave": F.lit(0), "referrer": F.lit(None).cast("string"), "temporally_distant": F.lit(None).cast("boolean")}), "wave0")
         items = front
         for wave in range(1, max_waves + 1):
             bodies = front.where("body_hash is not null").select(F.col("body_hash").alias("hash"), F.col("body").alias("bytes")).dropDuplicates(["hash"])
@@ -94,7 +129,8 @@ class Run:
             items = items.unionByName(front, allowMissingColumns=True)
         items = self.cut(items, "items")
         bodies = items.where("body_hash is not null").select(F.col("body_hash").alias("hash"), F.col("body").alias("bytes")).dropDuplicates(["hash"])
-        read = self.cut(validated(decode_bodies(items.drop("body"), bodies).withColumns({"unattempted_reason": F.lit(None).cast("string"), "replacement_ratio": F.col("decoded.replacement_ratio")})), "read")
+        read = self.cut(self.read_bodies(items, bodies), "read")
+        read = self.cut(self.reselected(read, known, responses), "reselected")
         assets = read.where("referrer is not null").select(F.col("referrer").alias("page_url"), "original_url", (F.col("requested_ts").isNotNull()).alias("resolved"), (F.col("status") == "fetched").alias("acquired"), F.coalesce("temporally_distant", F.lit(False)).alias("distant"))
         done = self.cut(classify_collection(read, assets, known, self.cut), "done")
         return {"captures": known, "items": done, "assets": assets, "gaps": evidence.gaps(widened(done))}

@@ -32,17 +32,22 @@ def validated(items: DataFrame) -> DataFrame:
     return items.withColumn("failure", found).withColumn("validated", (F.col("status") == "fetched") & found.isNull())
 
 
-def classify_collection(items: DataFrame, assets: DataFrame, captures: DataFrame, cut: Cut, *, overrides: DataFrame | None = None) -> DataFrame:
-    """Outcome and fidelity of every item. `items` has item_id, ord, original_url, relation, status, unattempted_reason,
-    failure, validated, archive_status, text, replacement_ratio and requested_ts; `assets` has page_url, resolved, acquired
-    and distant; `captures` has capture_key, timestamp, digest and ord. `cut` writes a table and reads it back."""
+def item_outcomes(items: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items with their outcomes, the links of their pages, and the URLs of which a body is held."""
     held = cut(items.where("validated").select("original_url").distinct(), "held")
     found = cut(links.discover_links(items.where(F.col("text").isNotNull()), key="item_id", url="original_url", text="text"), "links")
     frames = outcomes.declared_frames(found.where(F.col("relation") == "frame"), held, key="item_id")
     looked = outcomes.classify_text(items, outcomes.error_templates(items.where(F.col("text").isNotNull())), frames, key="item_id")
     looked = looked.withColumnsRenamed({"outcome": "__text_outcome", "detail": "__text_detail"})
-    classed = cut(outcomes.classify_items(looked, F.col("__text_outcome"), F.col("__text_detail")).drop("__text_outcome", "__text_detail"), "classified")
+    classed = outcomes.classify_items(looked, F.col("__text_outcome"), F.col("__text_detail")).drop("__text_outcome", "__text_detail")
+    return cut(classed, "classified"), found, held
+
 
+def classify_collection(items: DataFrame, assets: DataFrame, captures: DataFrame, cut: Cut, *, overrides: DataFrame | None = None) -> DataFrame:
+    """Outcome and fidelity of every item. `items` has item_id, ord, original_url, relation, status, unattempted_reason,
+    failure, validated, archive_status, text, replacement_ratio and requested_ts; `assets` has page_url, resolved, acquired
+    and distant; `captures` has capture_key, timestamp, digest and ord. `cut` writes a table and reads it back."""
+    classed, found, held = item_outcomes(items, cut)
     segs = cut(fidelity.page_segments(classed.where("text is not null"), key="item_id", text="text"), "segments")
     pages = classed.where((F.col("outcome") == "ok") & F.col("relation").isin("page", "frame") & F.col("text").isNotNull())
     from relictum.operators.captures import cross_capture

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relictum.operators.captures import FIELDS
@@ -55,3 +57,22 @@ def proves_absence(complete: bool, bounded: bool, match_type: str, host: Column,
         return F.lit(False)
     same = host == inventory_host
     return same | host.endswith("." + inventory_host) if match_type == "domain" else same
+
+
+def scan_index(spark: SparkSession, fetch: Callable[[str | None], str | None], *, limit: int, max_pages: int) -> tuple[DataFrame, dict]:
+    """Index pages one after the other, each asked for with the resume key of the one before: (page_ord, body), and how the
+    scan ended. Pages depend on each other, so they cannot be read in parallel; only keys are looked at here. `fetch` gives
+    the body for a resume key, or None if the request failed."""
+    bodies: list[tuple[int, str]] = []
+    key, failed, full = None, False, False
+    while len(bodies) < max_pages:
+        body = fetch(key)
+        if body is None:
+            failed = True
+            break
+        bodies.append((len(bodies), body))
+        end = page_ends(spark.createDataFrame(bodies[-1:], "page_ord int, body string"), limit).first()
+        key, full = (end.resume_key, full or end.limit_reached) if end else (None, full)
+        if key is None:
+            break
+    return spark.createDataFrame(bodies, "page_ord int, body string"), {"pages": len(bodies), "continued": key is not None and not failed, "failed": failed, "limit_reached": full}

@@ -15,6 +15,7 @@ from relictum.operators import fidelity as FI
 from relictum.operators import links as L
 from relictum.operators import outcomes as O
 from relictum.plans.acquire import Run
+from relictum.sources.cdx import page_rows, scan_index
 from relictum.sources.store import bodies_by_hash, load_job, load_manifest, read_bodies, recorded_revisions, revision, save_job, summary, write_bodies
 
 
@@ -146,6 +147,25 @@ def test_a_whole_run(spark, inputs, tmp_path):
     assert {("no-capture", "ghost.gif"), ("failed-fetch", "gone"), ("non-content-body", "news"), ("excluded-capture-only", "gone"), ("temporally-distant-asset", "late.gif")} <= kinds
 
 
+def test_pages_without_content_get_another_capture(spark, tmp_path):
+    index = [INDEX[0]] + [["a", t, "http://a.example/a", "text/html", "200", t, "9"] for t in ("19991201000000", "19990901000000", "19990601000000", "19990301000000")] + [["b", "19991201000000", "http://a.example/b", "text/html", "200", "b", "9"]]
+    parked, real = b"<p>this domain is for sale</p>", b"<title>t</title><p>words</p>"
+    responses = [("http://a.example/a", "19991201000000", 200, "text/html", parked, False), ("http://a.example/a", "19990901000000", 500, "text/html", b"", False), ("http://a.example/a", "19990601000000", 200, "text/html", real, False), ("http://a.example/b", "19991201000000", 200, "text/html", parked, False)]
+    tables = Run(spark, parse_project(json.dumps(PROJECT)), f"file://{tmp_path}/run").execute(spark.createDataFrame([(0, json.dumps(index))], "page_ord long, body string"), spark.createDataFrame(responses, "original_url string, timestamp string, http_status int, content_type string, body binary, truncated boolean"))
+    got = {r.original_url[-1]: r for r in tables["items"].collect()}
+    assert set(got) == {"a", "b"} and got["a"].outcome == "ok" and got["a"].requested_ts == "19990601000000" and got["a"].score is not None
+    assert got["a"].reselection_trail == "19991201000000=parked-domain, 19990901000000=http-error, 19990601000000=ok"
+    assert got["b"].outcome == "parked-domain" and got["b"].reselection_trail == "19991201000000=parked-domain"
+
+
+def test_index_scans_resume(spark):
+    bodies = {None: [INDEX[0], INDEX[1], INDEX[2], [], ["k1"]], "k1": [INDEX[0], INDEX[3]]}
+    pages, end = scan_index(spark, lambda k: json.dumps(bodies[k]), limit=2, max_pages=5)
+    assert pages.count() == 2 and page_rows(pages).count() == 3 and end == {"pages": 2, "continued": False, "failed": False, "limit_reached": True}
+    assert scan_index(spark, lambda k: json.dumps(bodies[k]), limit=2, max_pages=1)[1]["continued"]
+    assert scan_index(spark, lambda k: None if k else json.dumps(bodies[k]), limit=2, max_pages=5)[1] == {"pages": 1, "continued": False, "failed": True, "limit_reached": True}
+
+
 def test_command_line(spark, inputs, tmp_path, capsys):
     root = f"file://{tmp_path}"
     (tmp_path / "project.json").write_text(json.dumps(PROJECT))
