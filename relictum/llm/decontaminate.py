@@ -28,6 +28,7 @@ from relictum.llm.common import text_udf
 
 Q = 8
 BLOCK_BYTES = 16 << 20
+PIECE = 1 << 20
 LEAKS = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 LEAKS_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 OTHER = re.compile(r"[\W_]+")
@@ -123,7 +124,9 @@ def find_items(texts: list[str], items: Items) -> list[list[dict]]:
     begins = list(accumulate((len(x) + Q for x in clean), initial=0))
     data = gap.join(clean)
     g = grams(data)
-    hits = np.flatnonzero(items.seen[((g * MIXER) >> items.shift).astype(np.int64)]) if len(items.gram) and len(g) else np.empty(0, np.int64)
+    hits = np.empty(0, np.int64)
+    if len(items.gram) and len(g):  # in pieces, so that a very long text takes little memory
+        hits = np.concatenate([at + np.flatnonzero(items.seen[((g[at : at + PIECE] * MIXER) >> items.shift).astype(np.int64)]) for at in range(0, len(g), PIECE)])
     at = np.searchsorted(items.gram, g[hits])
     same = items.gram[np.minimum(at, len(items.gram) - 1)] == g[hits] if len(hits) else np.empty(0, bool)
     hits, at = hits[same], at[same]

@@ -76,10 +76,15 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the lowest hashes of all windows, ties included, and the hashes there."""
+def anchors(data: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lowest hashes of all windows, ties included, and the hashes there. Long texts are read in pieces that
+    share all but one byte of a window, so memory stays bounded and no window is missed."""
     if len(data) < WINDOW:
         return np.empty(0, np.int64), np.empty(0, U)
+    if len(data) > piece + WINDOW:
+        parts = [(at, *anchors(data[at : at + piece + WINDOW - 1], piece)) for at in range(0, len(data) - WINDOW + 1, piece)]
+        places, first = np.unique(np.concatenate([at + p for at, p, _ in parts]), return_index=True)
+        return places, np.concatenate([h for _, _, h in parts])[first]
     h, width = gram_hashes(data), LEFT + 1
     low = sliding(h, width, np.minimum)
     edge = np.zeros(width - 1, U)

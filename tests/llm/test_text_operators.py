@@ -17,7 +17,7 @@ from relictum.llm import secret_scan as S
 from relictum.llm import simhash as H
 from relictum.llm import simhash_wide as W
 from relictum.llm.decontaminate import align, find_leaks, index_items, find_items, normalise
-from relictum.llm.suffix_dedup import remove_repeats
+from relictum.llm.suffix_dedup import anchors, remove_repeats
 from relictum.llm.token_counts import token_counts
 
 from .conftest import SCHEMA, words
@@ -243,6 +243,13 @@ def plain_repeats(texts: list[bytes]) -> list[tuple[int, int, str]]:
     return out
 
 
+def test_pieces_give_the_same_anchors():
+    data = np.frombuffer((words(5, 3000) + " ab" * 300 + words(6, 2000)).encode(), np.uint8)
+    whole = anchors(data)
+    for piece in (1, 200, 777, 5000):
+        assert all((a == b).all() for a, b in zip(whole, anchors(data, piece), strict=True))
+
+
 @pytest.mark.parametrize("chunk,part_bytes", [(1 << 16, 24 << 20), (5, 2000)])
 def test_repeats_match_all_windows(spark, chunk, part_bytes):
     common = [words(90 + i, n) for i, n in enumerate((20, 45, 60, 120))]
