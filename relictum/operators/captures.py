@@ -135,8 +135,11 @@ def cross_capture(captures: DataFrame, chosen: DataFrame, key: str = "capture_ke
 def resolve_assets(dependencies: DataFrame, captures: DataFrame, *, window_days: int = 365, key: str = "capture_key") -> DataFrame:
     """Each dependency with the capture nearest in time to the page that refers to it: a two-sided as-of join. Dependencies
     and captures of a key are sorted together, and each dependency looks at the capture before and the one after it, so
-    rows never multiply. Needs dep_id, key and referring_timestamp; dependencies without any capture stay, unresolved."""
+    rows never multiply. References at one instant share an answer, so what is sorted for a key is its distinct instants,
+    however many pages refer to it. Needs dep_id, key and referring_timestamp; dependencies without any capture stay,
+    unresolved."""
     target = epoch_seconds(expand_timestamp(F.col("referring_timestamp"), "start"))
+    wanted = dependencies.select("dep_id", key, "referring_timestamp", target.alias("at")).withColumn("instant", F.coalesce("at", F.lit(-(1 << 62))))
     usable = captures.where(is_usable(F.col("timestamp"))).withColumns({"at": start_epoch(F.col("timestamp")), "good": F.col("excluded_by").isNull()})
     pick = F.struct(F.coalesce(F.col("length"), F.lit(-1)).alias("size"), F.col("timestamp"), (-F.col("ord")).alias("first"))
     late = F.struct(F.col("timestamp"), (-F.col("ord")).alias("first"))
@@ -147,7 +150,7 @@ def resolve_assets(dependencies: DataFrame, captures: DataFrame, *, window_days:
     )
     moments = usable.where("at is not null").groupBy(key, "at").agg(F.max(F.when(F.col("good"), pick)).alias("good"), F.max(pick).alias("any"))
     named = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("at"), F.col(c).alias("pick")))
-    left = dependencies.select(key, target.alias("at"), F.lit(1).alias("asks"), "dep_id", "referring_timestamp")
+    left = wanted.select(key, "at", "instant").distinct().withColumn("asks", F.lit(1))
     right = moments.select(key, "at", F.lit(0).alias("asks"), named("good").alias("g"), named("any").alias("o"))
     both = left.unionByName(right, allowMissingColumns=True)
     before = Window.partitionBy(key).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
@@ -164,7 +167,8 @@ def resolve_assets(dependencies: DataFrame, captures: DataFrame, *, window_days:
     undated = F.when(F.col("at").isNull(), F.when(good, F.col("late_good")).otherwise(F.col("late_any"))).otherwise(F.when(good, F.col("first_good")).otherwise(F.col("first_any")))
     chosen = F.coalesce(F.when(F.col("at").isNotNull(), F.when(good, nearest("g")).otherwise(nearest("o"))), undated)
     out = seen.withColumn("resolved_timestamp", chosen).withColumn("delta_seconds", F.abs(F.col("at") - start_epoch(F.col("resolved_timestamp"))))
-    return out.select("dep_id", key, "referring_timestamp", "resolved_timestamp", "delta_seconds", F.coalesce(F.col("delta_seconds") > window_days * DAY, F.lit(False)).alias("temporally_distant"), F.coalesce(F.when(good, F.col("n_good")).otherwise(F.col("n_any")), F.lit(0)).alias("considered"))
+    answers = out.select(key, "instant", "resolved_timestamp", "delta_seconds", F.coalesce(F.col("delta_seconds") > window_days * DAY, F.lit(False)).alias("temporally_distant"), F.coalesce(F.when(good, F.col("n_good")).otherwise(F.col("n_any")), F.lit(0)).alias("considered"))
+    return wanted.drop("at").join(answers, [key, "instant"], "left").select("dep_id", key, "referring_timestamp", "resolved_timestamp", "delta_seconds", "temporally_distant", "considered")
 
 
 def absent_keys(wanted: DataFrame, captures: DataFrame, key: str = "capture_key") -> DataFrame:
