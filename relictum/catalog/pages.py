@@ -174,12 +174,13 @@ MADE = ", ".join(f'{v if k != "boilerplate" else "least(1e0, " + v + ")"} as "{k
 WEIGHT = {k: f"{round(v * 100)}e-2" for k, v in FI.WEIGHTS.items()}
 TOTAL = " + ".join(f'case when "{k}" is null then 0e0 else {WEIGHT[k]} end' for k in SIGNALS)
 GAIN = " + ".join(f'case when "{k}" is null then 0e0 else floor("{k}" * {WEIGHT[k]} * 1e4 + 5e-1) / 1e4 end' for k in SIGNALS)
+WEAKEST = f"""list_sort(list_filter([{', '.join(f"case when {chr(34)}{k}{chr(34)} is not null then {{'v': {chr(34)}{k}{chr(34)}, 'i': {i}, 'n': '{k}'}} end" for i, k in enumerate(SIGNALS))}], lambda x: x is not null))[1].n"""
 COMPOSITE = f"""
 with s as (select page_id, url, {MADE} from pages), c as (select *, 0e0 + {TOTAL} as total, 0e0 + {GAIN} as gain from s), r as (select *, gain / total as raw from c),
 scored as (
   select page_id, floor(raw * 1e4 + 5e-1) / 1e4 as score, floor(total * 1e4 + 5e-1) / 1e4 as applied_weight,
     case when raw >= 85e-2 then 'accept' when raw >= 7e-1 then 'accept-with-warning' else 'review-required' end as band,
-    list_sort(list_filter([{', '.join(f"case when {chr(34)}{k}{chr(34)} is not null then {{'v': {chr(34)}{k}{chr(34)}, 'i': {i}, 'n': '{k}'}} end" for i, k in enumerate(SIGNALS))}], lambda x: x is not null))[1].n as weakest,
+    {WEAKEST} as weakest,
     page_id % 9 = 0 as has_override
   from r)
 """
@@ -529,10 +530,41 @@ def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", got.alias("d")).select("doc_id", F.col("d.chosen_encoding").alias("encoding"), U.sha256(F.col("d.text")).alias("text_hash"))
 
 
-@query()
+SCORED = f"""
+with {STAGED}, item as (select page_id, ord, original_url, text, archive_status from staged), {RESOLVED}, {SEGMENT}, {TEMPLATES}, {REDIRECT}, classed as (
+  select s.page_id, s.original_url, case when {ARCHIVE.replace('text', 's.text')} is not null then 'archive-interstitial' when t.template_id is not null then 'origin-soft-404'
+    when {PARKED.replace('text', 's.text')} is not null then 'parked-domain' when r.raw is not null then 'meta-refresh-redirect'
+    when regexp_matches(s.text, '(?i)<frameset\\b') then 'frameset-only' when f.marker is not null then 'unverified-soft-404' else 'ok' end as outcome
+  from staged s join prints p on s.page_id = p.page_id left join template t on p.host = t.host and p.fingerprint = t.fingerprint
+    join redirect r on r.page_id = s.page_id join (select page_id, {SOFT} as marker from staged) f on f.page_id = s.page_id
+), freq as (select segment, count(distinct page_id) as df from segment group by segment
+), chars as (
+  select page_id, cast(sum(length(s.segment)) as bigint) as total, cast(sum(case when df >= 2 then length(s.segment) else 0 end) as bigint) as shared from segment s join freq f on s.segment = f.segment group by page_id
+), linked as (select f.page_id, count(*) filter (i.original_url is not null and f.resolved_url <> f.original_url) as resolving from found f left join item i on i.original_url = f.resolved_url where f.relation = 'link' group by f.page_id
+), cap as (
+  select 'http://host' || o_custkey % 5 || '.example/' || o_custkey as u, o_orderkey as ord, o_orderpriority as digest, cast(epoch(o_orderdate) as bigint) as moment from orders
+), first as (select u, min(ord) as ord from cap group by u
+), near as (
+  select c.u, b.digest = c.digest as same, row_number() over (partition by c.u order by abs(c.moment - b.moment), c.ord) as n from cap c join first f on f.u = c.u join cap b on b.u = f.u and b.ord = f.ord where c.ord <> f.ord
+), s as (
+  select i.page_id, c.outcome, c.outcome = 'ok' as eligible,
+    floor((cast(length({TITLE.replace('text', 'i.text')}) > 0 as int) + greatest(0e0, least(1e0, coalesce(h.total, 0) / 4e2)) + cast(coalesce(l.resolving, 0) > 0 as int)) / 3 * 1e4 + 5e-1) / 1e4 as structure,
+    coalesce(floor(least(1e0, greatest(0e0, ((h.total - h.shared) / h.total - 1e-1) / (5e-1 - 1e-1))) * 1e4 + 5e-1) / 1e4, 0e0) as boilerplate,
+    floor(greatest(0e0, least(1e0, 1 - (i.page_id % 8 / 1e2) / 5e-2)) * 1e4 + 5e-1) / 1e4 as encoding,
+    case when i.page_id % 10 = 3 then null when i.page_id % 2 = 1 then 0e0 when i.page_id % 4 <> 0 then 25e-2 when i.page_id % 8 = 0 then 6e-1 else 1e0 end as assets,
+    case when n.same then 1e0 end as "cross-capture"
+  from item i join classed c on c.page_id = i.page_id left join chars h on h.page_id = i.page_id left join linked l on l.page_id = i.page_id left join near n on n.u = i.original_url and n.n = 1
+), g as (select *, 0e0 + {TOTAL} as total, 0e0 + {GAIN} as gain from s), r as (select *, gain / total as raw from g)
+select page_id as item_id, outcome, eligible as reference_eligible, case when eligible then floor(raw * 1e4 + 5e-1) / 1e4 end as score,
+  case when not eligible then null when raw >= 85e-2 then 'accept' when raw >= 7e-1 then 'accept-with-warning' else 'review-required' end as band,
+  case when eligible then {WEAKEST} end as weakest, coalesce(eligible and raw < 7e-1, false) as promotion_blocked
+from r
+"""
+
+
+@query(SCORED)
 def collection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole collection classified and scored: templates, frames, links, segments, assets and captures together. Its parts
-    have SQL of their own; tests check the whole on a small collection."""
+    """A whole collection classified and scored: templates, frames, links, segments, assets and captures together."""
     from relictum.catalog.captures import captures
     from relictum.plans.collection import classify_collection
 
@@ -541,4 +573,4 @@ def collection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = made.select(F.col("original_url").alias("page_url"), (F.col("page_id") % 2 == 0).alias("resolved"), (F.col("page_id") % 4 == 0).alias("acquired"), (F.col("page_id") % 8 == 0).alias("distant")).where(~F.col("page_url").endswith("3"))
     known = captures(spark, sf_dir).withColumn("capture_key", F.concat(F.lit("http://host"), (F.col("capture_key") % 5).cast("string"), F.lit(".example/"), F.col("capture_key").cast("string")))
     done = classify_collection(rows, wanted, known, cut)
-    return done.select("item_id", "outcome", "outcome_detail", "reference_eligible", "score", "band", "weakest", "promotion_blocked")
+    return done.select("item_id", "outcome", "reference_eligible", "score", "band", "weakest", F.coalesce("promotion_blocked", F.lit(False)).alias("promotion_blocked"))
