@@ -194,13 +194,13 @@ with {CAPTURE}, c as (
     from capture k join base b on k.capture_key = b.capture_key and k.ord <> b.ord) where r = 1
 ), sizes as (select capture_key, count(*) as capture_count from capture group by capture_key)
 select b.capture_key, s.capture_count, case when n.digest is null then 'single-capture' when n.digest = b.digest then 'identical' else 'different' end as state,
-  n.timestamp as compared_timestamp, n.away as distance_seconds, false as stand_in
+  n.timestamp as compared_timestamp, coalesce(n.away, -1) as distance_seconds, false as stand_in
 from base b join sizes s on s.capture_key = b.capture_key left join near n on n.capture_key = b.capture_key
 """)
 def cross_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = captures(spark, sf_dir)
     chosen = C.select_captures(known, target=T.selection_target(None, TARGET)).select("capture_key", F.col("timestamp").alias("chosen_timestamp"))
-    return C.cross_capture(known, chosen)
+    return C.cross_capture(known, chosen).withColumn("distance_seconds", F.coalesce("distance_seconds", F.lit(-1).cast("long")))
 
 
 DEPENDENCY = "dep as (select distinct l_orderkey * 10 + l_linenumber as dep_id, o_custkey as capture_key, strftime(l_shipdate, '%Y%m%d%H%M%S') as referring_timestamp, cast(epoch(l_shipdate) as bigint) as t from lineitem join orders on l_orderkey = o_orderkey)"
