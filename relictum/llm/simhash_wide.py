@@ -1,24 +1,30 @@
-"""Near-duplicates by similarity of word shingles, through wide SimHash fingerprints.
+"""Near-duplicates by similarity of word shingles: candidates through wide SimHash fingerprints, decided on the shingles.
 
 Copies that share four fifths of their five-word shingles differ in five to ten of 64 bits, beyond what Golay decoding of
 three segments reaches. So texts get WIDE bits here, from their distinct three-word shingles, and tables of sampled bits
-take the place of codewords. A pair at `similarity` differs in an expected share of bits; the number of tables follows from
-that share and the wanted `recall`, the bits of a table from the number of fingerprints, so that buckets stay small and
-recall stays the same at every size. Fingerprints in one bucket are compared in full; those within the share and one
-standard deviation link, and each bucket sends on a spanning forest of its links.
+take the place of codewords. A pair at `similarity` differs in an expected share of bits, most when its change is one run
+of words; the number of tables follows from that share and the wanted `recall`, the bits of a table from the number of
+texts, so that buckets stay small and recall stays the same at every size. Fingerprints in one bucket are compared in full;
+those within the share and SPARE standard deviations are candidates, and each bucket sends on a spanning forest of them.
+
+Candidates only bring texts together: in each component of candidates the sets of five-word shingles are compared, and
+only pairs of that Jaccard similarity link. Buckets and components beyond a bound are cut into chunks, and every two chunks
+meet in a task of their own, so that all members are compared.
 
 Defined cases: as in `simhash`: null, empty and blank texts are copies of each other, repeated rows and ids fall into one
-group, null ids come last, an empty table gives an empty table.
+group, null ids come last, an empty table gives an empty table; fewer than five words make one shingle.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relictum.llm.common import connected_components, materialize, text_udf
@@ -27,6 +33,9 @@ from relictum.llm.simhash import shingle_hashes
 WIDE = 256
 WORDS = WIDE // 64
 HELD = 20_000
+SPARE = 2.5
+TABLES_AT_ONCE = 24
+CHUNK_ROWS, CHUNK_SHINGLES = 2_000, 1 << 20
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -52,14 +61,24 @@ def wide_fingerprint(text: str, words: int = 3) -> bytes:
     return np.packbits(2 * total > len(hashes)).tobytes()
 
 
+def shingle_set(text: str, words: int = 5) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64))
+
+
 def wide_array(texts: list[str]) -> pa.Array:
-    return pa.array([wide_fingerprint(x) for x in texts], pa.binary())
+    """The fingerprint, and a digest of the set of five-word shingles."""
+    digests = [hashlib.blake2b(shingle_set(x).tobytes(), digest_size=16).digest() for x in texts]
+    return pa.StructArray.from_arrays([pa.array([wide_fingerprint(x) for x in texts], pa.binary()), pa.array(digests, pa.binary())], names=["wide", "digest"])
+
 
+def sets_array(texts: list[str]) -> pa.Array:
+    return pa.array([shingle_set(x).tobytes() for x in texts], pa.binary())
 
-def differing_share(similarity: float, words: int = 3, shingle: int = 5) -> float:
-    """Expected share of differing bits of texts whose `shingle`-word sets have that Jaccard similarity."""
-    kept = 2 * similarity / (1 + similarity)
-    return math.acos(kept ** (words / shingle)) / math.pi
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of texts whose shingle sets have that Jaccard similarity, if the change is one run of
+    words. Scattered edits touch fewer of the three-word shingles and differ in fewer bits."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
 def tables_for(n: int, share: float, recall: float) -> tuple[int, int]:
@@ -69,9 +88,11 @@ def tables_for(n: int, share: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
-def sampled_keys(bits: int, tables: int, seed: int = 11):
+def sampled_keys(bits: int, first: int, last: int, seed: int = 11):
+    """Keys of the tables first .. last - 1."""
+    tables = last - first
     rng = np.random.default_rng(seed)
-    chosen = [rng.choice(WIDE, bits, replace=False) for _ in range(tables)]
+    chosen = [rng.choice(WIDE, bits, replace=False) for _ in range(last)][first:]
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,86 +102,194 @@ def sampled_keys(bits: int, tables: int, seed: int = 11):
                 raw = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE // 8)
                 on = np.unpackbits(raw, axis=1)
                 values = np.concatenate([on[:, c].astype(np.int64) @ weights for c in chosen])
-                table = np.repeat(np.arange(tables, dtype=np.int32), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(table), pa.array(values), pa.concat_arrays([part.column("node")] * tables), pa.concat_arrays([part.column("wide")] * tables)], names=["table", "value", "node", "wide"])
+                table = np.repeat(np.arange(first, last), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(table), pa.array(values), pa.concat_arrays([part.column("node")] * tables), pa.concat_arrays([part.column("wide")] * tables)], names=["bucket", "value", "node", "wide"])
 
     return run
 
 
+FOREST = "a long, b long, bucket long, value long, chunk int, wide binary"
+
+
+def grow(n: int, near_of: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Tree edges of the components of 0 .. n - 1; `near_of` says which of some rows link with a row."""
+    left, links = np.arange(n), []
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            near = near_of(x, left)
+            if near.any():
+                links += [(int(x), int(y)) for y in left[near]]
+                frontier += list(left[near])
+                left = left[~near]
+    return links
+
+
 def bucket_forest(most: int, held_rows: int = HELD):
-    """Rows come sorted by (table, value). A bucket beyond `held_rows` goes on in parts, with one row of each component met."""
-
-    def forest(node: np.ndarray, wide: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-        left, links, heads = np.arange(len(node)), [], []
-        while len(left):
-            heads.append(int(left[0]))
-            frontier, left = [left[0]], left[1:]
-            while frontier and len(left):
-                x = frontier.pop()
-                near = np.bitwise_count(wide[left] ^ wide[x]).sum(1) <= most
-                if near.any():
-                    links += [(int(node[x]), int(node[y])) for y in left[near]]
-                    frontier += list(left[near])
-                    left = left[~near]
-        return links, heads
+    """Rows (bucket, value, node, wide) come sorted by the first two; links leave as (a, b). A bucket beyond `held_rows` is
+    cut into chunks: their own links leave, and all their rows (as a), so that every two chunks can meet (`chunk_pairs`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
+        chunk = 0
         a: list[int] = []
         b: list[int] = []
 
+        def out(a, b=None, bucket=None, value=None, chunk=None, wide=None) -> pa.RecordBatch:
+            n = len(a)
+            column = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x, kind)
+            names = [x.split()[0] for x in FOREST.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), column(b, pa.int64()), column(bucket, pa.int64()), column(value, pa.int64()), column(chunk, pa.int32()), column(wide, pa.binary())], names=names)
+
+        def link(node: np.ndarray, wide: np.ndarray) -> None:
+            for x, y in grow(len(node), lambda x, left: np.bitwise_count(wide[left] ^ wide[x]).sum(1) <= most):
+                a.append(int(node[x]))
+                b.append(int(node[y]))
+
         def settle(columns: list[np.ndarray]) -> None:
-            table, value, node, wide = columns
-            cut = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]) | (value[1:] != value[:-1]), [True]]))
+            bucket, value, node, wide = columns
+            cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (value[1:] != value[:-1]), [True]]))
             for i in np.flatnonzero(np.diff(cut) > 1):
-                for x, y in forest(node[cut[i] : cut[i + 1]], wide[cut[i] : cut[i + 1]])[0]:
-                    a.append(x)
-                    b.append(y)
+                link(node[cut[i] : cut[i + 1]], wide[cut[i] : cut[i + 1]])
+
+        def part(columns: list[np.ndarray]) -> pa.RecordBatch:
+            bucket, value, node, wide = columns
+            link(node, wide)
+            return out(node, None, bucket, value, np.full(len(node), chunk), [x.tobytes() for x in wide])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WORDS)
-            columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("table", "value", "node")), wide]
+            columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "value", "node")), wide]
+            if chunk:  # the bucket before this batch is one in chunks, and what is kept of it is its latest chunk
+                same = (columns[0] == ended[0]) & (columns[1] == ended[1])
+                own = len(same) if same.all() else int(np.argmin(same))
+                if own < len(same):
+                    kept = [np.concatenate([x, y[:own]]) for x, y in zip(kept, columns, strict=True)]
+                    if len(kept[0]):
+                        yield part(kept)
+                    kept, chunk, columns = None, 0, [c[own:] for c in columns]
             if kept is not None:
                 columns = [np.concatenate([x, y]) for x, y in zip(kept, columns, strict=True)]
             last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
             begin = int(np.argmax(last))
             settle([c[:begin] for c in columns]) if begin else None
             kept = [c[begin:] for c in columns]
-            if len(kept[0]) > held_rows:
-                links, heads = forest(kept[2], kept[3])
-                a += [x for x, _ in links]
-                b += [y for _, y in links]
-                kept = [c[heads] for c in kept]
+            while len(kept[0]) > held_rows:
+                ended = (kept[0][0], kept[1][0])
+                yield part([c[:held_rows] for c in kept])
+                kept, chunk = [c[held_rows:] for c in kept], chunk + 1
             if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        if kept is not None:
-            settle(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield out(a, b)
+                a.clear()
+                b.clear()
+        if kept is not None and len(kept[0]):
+            if chunk:
+                yield part(kept)
+            else:
+                settle(kept)
+        yield out(a, b)
+
+    return run
+
+
+def chunk_pairs(rows: DataFrame, whole: list[str], chunk: str, chunks: str) -> DataFrame:
+    """Each row once for every other chunk of its group, with the pair of chunks as i and j; a group of one chunk stays."""
+    others = F.when(F.col(chunks) == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col(chunks) - 1), F.col(chunk)))
+    each = rows.withColumn("__other", F.explode(others))
+    return each.withColumns({"i": F.least(chunk, "__other"), "j": F.greatest(chunk, "__other")}).select(*whole, "i", "j", *[c for c in rows.columns if c not in (*whole, chunk, chunks)])
+
+
+def candidates(distinct: DataFrame, most: int, bits: int, tables: int) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints share a bucket and differ in at most `most` bits; some tables at a time."""
+    found = []
+    for first in range(0, tables, TABLES_AT_ONCE):
+        keys = distinct.select("node", "wide").mapInArrow(sampled_keys(bits, first, min(tables, first + TABLES_AT_ONCE)), "bucket long, value long, node long, wide binary")
+        found.append(materialize(keys.repartition("bucket", "value").sortWithinPartitions("bucket", "value").mapInArrow(bucket_forest(most), FOREST), "candidates"))
+        over = found[-1].where("wide is not null")
+        if not over.isEmpty():
+            chunks = over.groupBy("bucket", "value").agg((F.max("chunk") + 1).alias("chunks"))
+            pairs = chunk_pairs(over.join(chunks, ["bucket", "value"]).select("bucket", "value", "chunk", "chunks", F.col("a").alias("node"), "wide"), ["bucket", "value"], "chunk", "chunks")
+            pairs = pairs.select(F.xxhash64("bucket", "value").alias("bucket"), F.xxhash64("value", "bucket", "i", "j").alias("value"), "node", "wide")
+            found.append(materialize(pairs.repartition("bucket", "value").sortWithinPartitions("bucket", "value").mapInArrow(bucket_forest(most, held_rows=1 << 62), FOREST), "chunks"))
+    return functools.reduce(DataFrame.unionByName, found).where("b is not null").select("a", "b").distinct()
+
+
+def set_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Tree edges of the components that sets of at least that Jaccard similarity make."""
+    size = np.array([len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    begin = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(number.max()) + 1, np.int32)
+
+    def near(x: int, left: np.ndarray) -> np.ndarray:
+        own = number[begin[x] : begin[x + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[number], begin[:-1])[left]
+        mark[own] = 0
+        return shared / (size[left] + size[x] - shared) >= similarity
+
+    return [(nodes[x], nodes[y]) for x, y in grow(len(nodes), near)]
+
+
+def decided(similarity: float):
+    """Rows (root, i, j, node, set) come sorted by the first three; links of each group leave as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets, links = None, [], [], []
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "set")), strict=True))
+        for *key, node, data in rows:
+            if key != group:
+                if len(nodes) > 1:
+                    links += set_forest(nodes, sets, similarity)
+                group, nodes, sets = key, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(data, np.uint64))
+        if len(nodes) > 1:
+            links += set_forest(nodes, sets, similarity)
+        for at in range(0, len(links), 50_000):
+            part = links[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def similar_groups(prints: DataFrame, *, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
-    """`prints` has doc_id and wide. One row for each distinct fingerprint: wide, root, least_id."""
-    distinct = prints.groupBy("wide").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id())
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.98, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row for each distinct set of shingles: root (the group's key), and the least (none, id, key) of its rows, `none`
+    for a null id and `key` for the text."""
+    known = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), text_udf(wide_array, "struct<wide:binary,digest:binary>")(F.col(text_col)).alias("p"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("least")
+    known = materialize(known.select("doc_id", "key", "p.*"), "prints")
+    distinct = known.groupBy("digest").agg(F.first("wide").alias("wide"), least).drop("digest").withColumn("node", F.monotonically_increasing_id())
     distinct = materialize(distinct, "wide")  # written, so that the numbers stay
     share = differing_share(similarity)
-    most = math.floor(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+    most = math.floor(WIDE * share + SPARE * math.sqrt(WIDE * share * (1 - share)))
     bits, tables = tables_for(distinct.count(), share, recall)
-    keys = distinct.select("node", "wide").mapInArrow(sampled_keys(bits, tables), "table int, value long, node long, wide binary")
-    links = keys.repartition("table", "value").sortWithinPartitions("table", "value").mapInArrow(bucket_forest(most), "a long, b long").distinct()
-    roots = connected_components(links)
-    return materialize(distinct.join(roots, "node", "left").select("wide", F.coalesce("root", "node").alias("root"), "least_id"), "similar")
-
-
-def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """One row of each group: that of the smallest id, and among rows of that id the smallest fingerprint; a null id is last."""
-    prints = docs.withColumn("__wide", text_udf(wide_array, "binary")(F.col(text_col)))
-    known = materialize(prints.select(F.col(id_col).alias("doc_id"), F.col("__wide").alias("wide")), "prints")
-    order = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id"), F.col("wide"))
-    best = materialize(similar_groups(known, similarity=similarity).groupBy("root").agg(F.min(order).alias("best")).select("best.least_id", "best.wide"), "best")
-    kept = prints.join(best, (F.col("__wide") == F.col("wide")) & F.col(id_col).eqNullSafe(F.col("least_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__wide"]).drop("__wide")
+    roots = connected_components(candidates(distinct, most, bits, tables))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = materialize(distinct.join(members, "node").select("node", "root", F.col("least.id").alias("id"), F.col("least.key").alias("key")), "members")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("__key"), F.col(text_col).alias("text"))
+    texts = texts.join(members, (F.col("__key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    sets = texts.select("node", "root", text_udf(sets_array, "binary")(F.col("text")).alias("set"))
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    chunks = sets.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk_rows), F.ceil(F.sum(F.length("set") / 8) / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    cut = sets.join(materialize(chunks, "sizes"), "root").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    pairs = chunk_pairs(cut, ["root"], "chunk", "chunks").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    links = materialize(pairs.mapInArrow(decided(similarity), "a long, b long").distinct(), "links")
+    found = connected_components(links)
+    return materialize(distinct.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least"), "similar")
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **options) -> DataFrame:
+    """One row of each group: that of the smallest id, and among rows of that id that of the smallest text key; a null id is last."""
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, similarity=similarity, **options)
+    best = materialize(groups.groupBy("root").agg(F.min("least").alias("best")).select("best.id", "best.key"), "best")
+    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
+    kept = keyed.join(best, (F.col("__key") == F.col("key")) & F.col(id_col).eqNullSafe(F.col("id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__key"]).drop("__key")

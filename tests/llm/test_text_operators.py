@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 import xxhash
@@ -227,6 +228,35 @@ def test_one_of_each_set_of_copies_stays(spark, odd_docs, odd_rows, no_docs, hel
     assert W.drop_similar(no_docs).count() == 0
 
 
+def five(text: str) -> set:
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a: str, b: str) -> float:
+    return len(five(a) & five(b)) / len(five(a) | five(b))
+
+
+def changed_passage(text: str, kind: int, similarity: float, seed: int) -> str:
+    """One run of words added, cut or replaced, as long as the similarity allows."""
+    w, new = text.split(), words(seed, len(text.split())).split()
+    for n in range(len(w), 0, -1):
+        at = (len(w) - n) // 2 if kind else len(w) // 2
+        out = " ".join([*w[:at], *(new[:n] if kind < 2 else []), *w[at + (n if kind else 0) :]])
+        if jaccard(text, out) >= similarity:
+            return out
+    raise AssertionError
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_copies_with_one_changed_passage_go(spark, similarity):
+    bases = [words(4000 + i, 250) for i in range(60)]
+    copies = [changed_passage(b, i % 3, similarity, 7000 + i) for i, b in enumerate(bases)]
+    docs = spark.createDataFrame(list(enumerate(bases + copies)), "doc_id long, text string")
+    left = {r.doc_id for r in W.drop_similar(docs).collect()}
+    assert left >= set(range(60)) and len(left) <= 60 + 3
+
+
 # repeats
 
 
