@@ -257,6 +257,16 @@ def test_copies_with_one_changed_passage_go(spark, similarity):
     assert left >= set(range(60)) and len(left) <= 60 + 3
 
 
+def test_texts_below_the_similarity_stay(spark):
+    bases = [words(5000 + i, 250) for i in range(40)]
+    near = [edited(b, 0.02, i) for i, b in enumerate(bases)]
+    like = [jaccard(a, b) for a, b in zip(bases, near, strict=True)]
+    docs = spark.createDataFrame(list(enumerate(bases + near)), "doc_id long, text string")
+    left = {r.doc_id for r in W.drop_similar(docs).collect()}
+    assert sum(0.7 <= x < 0.8 for x in like) > 3 and left >= {40 + i for i, x in enumerate(like) if x < 0.8}
+    assert not left & {40 + i for i, x in enumerate(like) if x >= 0.85}
+
+
 # repeats
 
 
