@@ -267,6 +267,42 @@ def test_texts_below_the_similarity_stay(spark):
     assert not left & {40 + i for i, x in enumerate(like) if x >= 0.85}
 
 
+def test_members_of_full_buckets_meet_every_later_row():
+    """A chain of fingerprints, each near the next alone, in one bucket beyond the bound: all are in one component."""
+    chain = [bytes(W.WIDE // 8)]
+    for i in range(24):
+        x = bytearray(chain[-1])
+        x[i] = 255
+        chain.append(bytes(x))
+    order = [*range(0, 25, 2), *range(1, 25, 2)]
+    batch = pa.RecordBatch.from_pydict({"bucket": [0] * 25, "value": [7] * 25, "node": order, "wide": [chain[i] for i in order]}, pa.schema([("bucket", pa.int64()), ("value", pa.int64()), ("node", pa.int64()), ("wide", pa.binary())]))
+    rows = [r for b in W.bucket_forest(8, held_rows=4)(iter([batch.slice(0, 11), batch.slice(11)])) for r in b.to_pylist()]
+    over = [r for r in rows if r["wide"] is not None]
+    assert sorted(r["a"] for r in over) == list(range(25)) and np.bincount([r["chunk"] for r in over]).max() <= 4
+
+
+def test_chunks_meet_in_pairs(spark, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(W, "bucket_forest", partial(W.bucket_forest, held_rows=4))
+    base = words(6000, 300)
+    texts = [edited(base, 0.012, 80 + i) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, base])), "doc_id long, text string")
+    root = {i: i for i in range(41)}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate([*texts, base]):
+        for j, b in enumerate(texts[:i]):
+            if jaccard(a, b) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    got = {r.doc_id for r in W.drop_similar(docs).collect()}
+    assert {top(i) for i in range(41)} == got == {r.doc_id for r in W.drop_similar(docs, chunk_rows=7).collect()}
+
+
 # repeats
 
 
