@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relictum.llm.common import materialize, table
 from relictum.llm.decontaminate import drop_leaks
-from relictum.llm.queries import MIX_TARGETS, QUALITY_THRESHOLD, mix_columns
+from relictum.llm.queries import MIX_TARGETS, MIX_TEMPERED, QUALITY_THRESHOLD, mix_columns
 from relictum.llm.mixing import mix_sources
 from relictum.llm.quality import fit_quality, score_quality
 from relictum.llm.secret_scan import redact_secrets
@@ -38,7 +38,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by calibrated probabilities; an inverse probability weights each."""
-    mixed = mix_sources(docs, MIX_TARGETS, columns=mix_columns())
+    mixed = mix_sources(docs, MIX_TARGETS, columns=mix_columns(), tempered=MIX_TEMPERED)
     return mixed.where("selected").withColumn("weight", 1 / F.col("probability")).drop("selected")
 
 

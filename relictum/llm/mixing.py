@@ -5,7 +5,8 @@ marginals, no cell above what it holds; a document's probability is what its cel
 expected tokens meet the targets. Documents are then drawn by a hash of their id and text, alike on every run.
 
 A class is a value that the targets name; all other values, and null, are the class 'other', which gets what is left of 1.
-So the number of cells is bounded by the targets, whatever the table holds, and the cells may be raked on the driver.
+A marginal in `tempered` has more classes: every value found shares what is left of 1 by its tokens to that power, so each is
+raked whatever it is called. Values beyond the MOST_VALUES with most tokens are the class 'other'. So the number of cells is bounded by the targets, whatever the table holds, and the cells may be raked on the driver.
 
 Defined cases: null and empty texts have no tokens and the probability of their cell (1 in a cell without tokens); targets
 of classes that the table lacks are spread over the others; an empty table gives an empty table; repeated rows share one
@@ -20,8 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relictum.llm.common import materialize
+
 OTHER = "other"
 MAX_CELLS = 1_000_000
+MOST_VALUES = 200
 Targets = Mapping[str, Mapping[str, float]]
 
 
@@ -55,9 +59,27 @@ def rake(held: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int =
     return kept
 
 
-def mix_sources(docs: DataFrame, targets: Targets, *, columns: Mapping[str, Column], keep: float = 0.5, text_col: str = "text", id_col: str = "doc_id", seed: int = 17) -> DataFrame:
-    """`docs` with n_tokens, probability and selected. `columns` gives the column of each marginal in `targets`."""
+def share_out(held: DataFrame, declared: Mapping[str, float], power: float) -> dict[str, float]:
+    """The declared targets, and for every other value of `held` (value, held) its tempered share of what they leave."""
+    others = held.where(F.col("value").isNull() | ~F.col("value").isin(*declared)) if declared else held
+    most = others.where((F.col("held") > 0) & (F.col("value") != OTHER)).orderBy(F.desc("held"), "value").limit(MOST_VALUES).collect()
+    named = {r.value: float(r.held) for r in most}
+    total = float(others.agg(F.sum("held")).first()[0] or 0)
+    weight = {v: n**power for v, n in named.items()}
+    if OTHER not in declared:
+        weight[OTHER] = max(0.0, total - sum(named.values())) ** power
+    left, whole = max(0.0, 1.0 - sum(declared.values())), sum(weight.values())
+    return dict(declared) | {v: left * w / whole if whole else 0.0 for v, w in weight.items()}
+
+
+def mix_sources(docs: DataFrame, targets: Targets, *, columns: Mapping[str, Column], keep: float = 0.5, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, tempered: Mapping[str, float] | None = None) -> DataFrame:
+    """`docs` with n_tokens, probability and selected. `columns` gives the column of each marginal in `targets`; `tempered`
+    gives the power of those in which every value is a class."""
     names = list(targets)
+    if tempered:
+        docs = docs.drop("n_tokens", "probability", "selected")
+        counted = docs.select(*[columns[m].alias(f"__{m}") for m in tempered], word_count(F.col(text_col)).alias("n_tokens"))
+        targets = dict(targets) | {m: share_out(materialize(counted.groupBy(F.col(f"__{m}").alias("value")).agg(F.sum("n_tokens").alias("held")), "held"), targets[m], power) for m, power in tempered.items()}
     values = {m: [v for v in targets[m] if v != OTHER] + [OTHER] for m in names}
     if np.prod([len(v) for v in values.values()]) > MAX_CELLS:
         raise ValueError(f"the targets make more than {MAX_CELLS} cells")

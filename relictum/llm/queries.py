@@ -26,6 +26,8 @@ MIX_TARGETS = {
     "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
     "topic": {"note": 0.1, "article": 0.5, "book": 0.4},
 }
+#: Sources without a target of their own share what is left by the square root of their tokens.
+MIX_TEMPERED = {"source": 0.5}
 
 
 def mix_columns() -> dict[str, Column]:
@@ -55,7 +57,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    mixed = mix_sources(docs, MIX_TARGETS, columns=mix_columns())
+    mixed = mix_sources(docs, MIX_TARGETS, columns=mix_columns(), tempered=MIX_TEMPERED)
     return mixed.select("doc_id", "source", "lang", topic_by_form(F.col("text")).alias("topic"), "n_tokens", "probability", "selected")
 
 

@@ -245,3 +245,16 @@ def test_mixing_odd_rows(odd_docs, odd_rows, no_docs):
         got = mix_sources(odd_docs.withColumn("selected", F.lit("x")), targets, columns=columns).collect()
         assert len(got) == len(odd_rows) and all(0 <= r.probability <= 1 for r in got)
         assert mix_sources(no_docs, targets, columns=columns).count() == 0
+
+
+def test_every_source_is_mixed_whatever_its_name(spark):
+    from relictum.llm.queries import MIX_TARGETS, MIX_TEMPERED
+
+    rows = [(i, "word " * 50, "hot" if i % 2 else f"s{i % 20}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mix_sources(docs, {"source": MIX_TARGETS["source"]}, columns={"source": F.col("source")}, tempered=MIX_TEMPERED)
+    kept = {r.source: r.k for r in mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("k")).collect()}
+    share = {s: k / sum(kept.values()) for s, k in kept.items()}
+    root = {s: (2000 if s == "hot" else 200) ** 0.5 for s in kept}
+    assert len(kept) == 11 and abs(share["s0"] - min(share.values())) < 1e-9
+    assert all(abs(share[s] - root[s] / sum(root.values())) < 0.02 for s in kept), share
