@@ -1,21 +1,22 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are lower-cased and every run of other than letters and digits becomes one space. An item of m
-bytes may be changed by k = floor(rate * m) edits, so an occurrence shares at least m - q + 1 - k * q of its q-grams, all
-on neighbouring diagonals (place in the text less place in the item). Shared q-grams are counted in overlapping bands of
+bytes may be changed by k = floor(rate * m) edits, so an occurrence shares at least m - q + 1 - k * q of its q-grams (q is
+eight, or less for an item so short that this would not be positive), all on neighbouring diagonals (place in the text less place in the item). Shared q-grams are counted in overlapping bands of
 diagonals; a band that meets the bound is verified by a banded alignment, the item whole, the ends in the text free.
 
 Items are handed to the tasks in blocks of bounded size, one pass over the documents for each block.
 
 Defined cases: null and empty texts hold no item; null and empty items match nothing; items shorter than q must occur as
 whole words without an edit; of several occurrences of an item in a text the closest counts, the first among those; equal
-items each match; repeated rows each get their matches; columns named like the added one are replaced.
+items each match; items without an id match with `null_ids`; repeated rows each get their matches; columns named like the added one are replaced.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -50,6 +51,11 @@ def grams(data: bytes) -> np.ndarray:
     return np.ndarray((n,), "<u8", data, strides=(1,)) if n > 0 else np.empty(0, np.uint64)
 
 
+def mask(q: int) -> np.uint64:
+    """The first q of eight bytes."""
+    return np.uint64((1 << 8 * q) - 1)
+
+
 @dataclass
 class Items:
     ids: list[int]
@@ -64,13 +70,32 @@ class Items:
     narrow: np.ndarray
     seen: np.ndarray
     shift: np.uint64
+    q: int
+    #: items with a shorter q: their numbers, and an index of them
+    short: list[tuple[list[int], Items]]
+
 
+def gram_length(size: int, edits: int) -> int:
+    return min(Q, size // (edits + 1))
 
-def index_items(rows: list[tuple[int, str]], rate: float) -> Items:
+
+def index_items(rows: list[tuple[int | None, str]], rate: float) -> Items:
     rows = [(i, normalise(t)) for i, t in rows if t and normalise(t)]
+    texts = [t for _, t in rows]
+    budget = np.array([int(len(t) * rate) if len(t) >= Q else 0 for t in texts], np.int64)
+    q = np.array([gram_length(len(t), k) if len(t) >= Q else Q for t, k in zip(texts, budget.tolist(), strict=True)], np.int64)
+    if q.size and q.min() < 1:
+        raise ValueError(f"rate {rate} allows more edits than an item has bytes")
+    short = []
+    for own in sorted({int(x) for x in q} - {Q}):
+        numbers = np.flatnonzero(q == own).tolist()
+        short.append((numbers, index_grams([rows[n] for n in numbers], budget[numbers], np.ones(len(numbers), bool), own, [])))
+    return index_grams(rows, budget, q == Q, Q, short)
+
+
+def index_grams(rows: list[tuple[int | None, bytes]], budget: np.ndarray, used: np.ndarray, q: int, short: list) -> Items:
     size = np.array([len(t) for _, t in rows], np.int64)
-    budget = np.maximum(0, np.minimum((size * rate).astype(np.int64), (size - Q) // Q))
-    each = [grams(t) for _, t in rows]
+    each = [grams(t + bytes(Q - q)) & mask(q) if use else np.empty(0, np.uint64) for (_, t), use in zip(rows, used.tolist(), strict=True)]
     gram = np.concatenate(each) if each else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(rows)), [len(g) for g in each])
     place = np.concatenate([np.arange(len(g)) for g in each]) if each else np.empty(0, np.int64)
@@ -81,7 +106,7 @@ def index_items(rows: list[tuple[int, str]], rate: float) -> Items:
     shift = np.uint64(64 - bits)
     seen = np.zeros(1 << bits, bool)
     seen[((gram * MIXER) >> shift).astype(np.int64)] = True
-    return Items([i for i, _ in rows], [t for _, t in rows], budget, size - Q + 1 - budget * Q, distinct, first, count, item[order], place[order], narrow, seen, shift)
+    return Items([i for i, _ in rows], [t for _, t in rows], budget, size - q + 1 - budget * q, distinct, first, count, item[order], place[order], narrow, seen, shift, q, short)
 
 
 def align(item: bytes, region: bytes, slack: int, budget: int) -> tuple[int, int, int] | None:
@@ -122,8 +147,16 @@ def find_items(texts: list[str], items: Items) -> list[list[dict]]:
                     found[n][i] = (0, at, at + len(item))
     gap = b"\0" * Q
     begins = list(accumulate((len(x) + Q for x in clean), initial=0))
-    data = gap.join(clean)
+    data = gap.join(clean) + gap
     g = grams(data)
+    search(texts, clean, data, begins, g, items, range(len(items.texts)), found)
+    for numbers, index in items.short:
+        search(texts, clean, data, begins, g & mask(index.q), index, numbers, found)
+    return [[{"item_id": items.ids[i], "distance": d, "start": a, "end": b} for i, (d, a, b) in sorted(x.items(), key=lambda y: (items.ids[y[0]] is None, items.ids[y[0]] or 0, y[1]))] for x in found]
+
+
+def search(texts: list[str], clean: list[bytes], data: bytes, begins: list[int], g: np.ndarray, items: Items, numbers: Sequence[int], found: list[dict[int, tuple[int, int, int]]]) -> None:
+    """Add the matches of the items to `found`, under their numbers."""
     hits = np.empty(0, np.int64)
     if len(items.gram) and len(g):  # in pieces, so that a very long text takes little memory
         hits = np.concatenate([at + np.flatnonzero(items.seen[((g[at : at + PIECE] * MIXER) >> items.shift).astype(np.int64)]) for at in range(0, len(g), PIECE)])
@@ -152,15 +185,14 @@ def find_items(texts: list[str], items: Items) -> list[list[dict]]:
                 begin, end = max(start, begins[n]), min(stop, begins[n] + len(clean[n]))
                 if end - begin < len(items.texts[i]) - k:
                     continue
-                if (m := align(items.texts[i], data[begin:end], 2 * width + 2 * k, k)) and (old := (m[0], m[1] + begin - begins[n], m[2] + begin - begins[n])) < found[n].get(i, (1 << 30, 0, 0)):
-                    found[n][i] = old
-    return [[{"item_id": items.ids[i], "distance": d, "start": a, "end": b} for i, (d, a, b) in sorted(x.items(), key=lambda y: (items.ids[y[0]], y[1]))] for x in found]
+                if (m := align(items.texts[i], data[begin:end], 2 * width + 2 * k, k)) and (old := (m[0], m[1] + begin - begins[n], m[2] + begin - begins[n])) < found[n].get(numbers[i], (1 << 30, 0, 0)):
+                    found[n][numbers[i]] = old
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leaks_col: str = "leaks", rate: float = 0.1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leaks_col: str = "leaks", rate: float = 0.1, block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> DataFrame:
     """`docs` with an array of the benchmark items that each whole text holds: item id, edits, and place in the normalised
     text (bytes)."""
-    known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    known = benchmark.where((F.lit(null_ids) | F.col("item_id").isNotNull()) & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes))
     out, empty = docs, F.from_json(F.lit("[]"), LEAKS)
@@ -173,7 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     return out
 
 
-def matcher(rows: list[tuple[int, str]], rate: float):
+def matcher(rows: list[tuple[int | None, str]], rate: float):
     cache: list[Items] = []
 
     def run(texts: list[str]) -> pa.Array:
@@ -186,4 +218,4 @@ def matcher(rows: list[tuple[int, str]], rate: float):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Only the rows whose texts hold no benchmark item."""
-    return find_leaks(docs, benchmark, leaks_col="__leaks", **options).where(F.size("__leaks") == 0).drop("__leaks")
+    return find_leaks(docs, benchmark, leaks_col="__leaks", **{"null_ids": True} | options).where(F.size("__leaks") == 0).drop("__leaks")

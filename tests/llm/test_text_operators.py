@@ -17,7 +17,7 @@ import xxhash
 from relictum.llm import secret_scan as S
 from relictum.llm import simhash as H
 from relictum.llm import simhash_wide as W
-from relictum.llm.decontaminate import align, find_leaks, index_items, find_items, normalise
+from relictum.llm.decontaminate import align, drop_leaks, find_leaks, index_items, find_items, normalise
 from relictum.llm.suffix_dedup import anchors, remove_repeats
 from relictum.llm.token_counts import token_counts
 
@@ -394,3 +394,22 @@ def test_leaks_over_spark(spark, odd_docs, odd_rows, no_docs):
         assert got == {1: [10], 2: [], 3: [], 4: [], 5: [13]}
     assert find_leaks(odd_docs, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
     assert find_leaks(no_docs, bench).count() == 0
+
+
+@pytest.mark.parametrize("size", [10, 15, 19, 20, 23, 30, 31, 39, 40])
+def test_short_items_have_the_whole_budget(size):
+    item = words(8000 + size, 40)[:size].rstrip().ljust(size, "z")
+    index = index_items([(1, item)], 0.1)
+    changed = list(item)
+    for k in range(size // 10):
+        changed[(2 * k + 1) * size // (2 * (size // 10))] = "9"
+    text = "before it " + "".join(changed) + " after it"
+    assert index.budget.tolist() == [size // 10]
+    assert [(m["item_id"], m["distance"]) for m in find_items([text], index)[0]] == [(1, size // 10)]
+
+
+def test_items_without_an_id_match(spark):
+    docs = spark.createDataFrame([(1, "some words and the item without an id here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the item without an id"), (4, "words and the item")], "item_id long, text string")
+    assert [m.item_id for m in find_leaks(docs, items, null_ids=True).first().leaks] == [4, None]
+    assert drop_leaks(docs, items.where("item_id is null")).count() == 0
