@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +25,28 @@ LABELS = {
 SIGNATURES = (("PNG", "89504e470d0a1a0a"), ("GIF", "47494638"), ("JPEG", "ffd8ff"), ("ZIP", "504b0304"), ("GZIP", "1f8b"), ("PDF", "255044462d"), ("OLE compound document", "d0cf11e0"), ("Java class", "cafebabe"))
 MARKS = (("utf-8", "efbbbf"), ("utf-16le", "fffe"), ("utf-16be", "feff"))
 CANDIDATES = ("shift_jis", "euc-kr")
-#: Where Python's codec of a name is not the web's.
-CODECS = {"windows-1252": "cp1252", "iso-8859-1": "latin-1", "us-ascii": "latin-1", "euc-kr": "cp949"}
+# The encodings that pages may declare, with the codec that reads each here. Any other label is unknown, however
+# many codecs Python has besides.
+CODECS = {
+    "utf-8": "utf-8", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "ibm866": "cp866",
+    "iso-8859-1": "latin-1", "us-ascii": "latin-1",
+    "iso-8859-2": "iso8859-2", "iso-8859-3": "iso8859-3", "iso-8859-4": "iso8859-4", "iso-8859-5": "iso8859-5", "iso-8859-6": "iso8859-6",
+    "iso-8859-7": "iso8859-7", "iso-8859-8": "iso8859-8", "iso-8859-9": "cp1254", "iso-8859-10": "iso8859-10", "iso-8859-11": "cp874",
+    "iso-8859-13": "iso8859-13", "iso-8859-14": "iso8859-14", "iso-8859-15": "iso8859-15", "iso-8859-16": "iso8859-16",
+    "koi8-r": "koi8-r", "koi8-u": "koi8-u", "macintosh": "mac-roman", "x-mac-cyrillic": "mac-cyrillic", "windows-874": "cp874",
+    "windows-1250": "cp1250", "windows-1251": "cp1251", "windows-1252": "cp1252", "windows-1253": "cp1253", "windows-1254": "cp1254",
+    "windows-1255": "cp1255", "windows-1256": "cp1256", "windows-1257": "cp1257", "windows-1258": "cp1258",
+    "gbk": "gbk", "gb18030": "gb18030", "big5": "big5hkscs", "euc-jp": "euc-jp", "iso-2022-jp": "iso2022-jp", "shift_jis": "shift_jis", "euc-kr": "cp949",
+}
+SHORT_NAMES = {"utf-16": "utf-16le", "gb2312": "gbk", "x-gbk": "gbk", "cp866": "ibm866", "866": "ibm866", "koi8": "koi8-r", "koi": "koi8-r", "koi8-ru": "koi8-u", "mac": "macintosh", "x-mac-roman": "macintosh", "tis-620": "windows-874", "big5-hkscs": "big5", "cn-big5": "big5", "x-x-big5": "big5", "x-euc-jp": "euc-jp", "windows-31j": "shift_jis", "windows-949": "euc-kr", "korean": "euc-kr", "ksc5601": "euc-kr", "dos-874": "windows-874", "logical": "iso-8859-8", "iso-8859-8-i": "iso-8859-8"}
+
+
+def codec_of(label: str) -> str | None:
+    """The codec of a lower-case label; None for one that no page may declare. Labels of the numbered families are told by rule."""
+    name = SHORT_NAMES.get(label, label)
+    name = re.sub(r"\A(?:cp|x-cp)(125\d)\Z", r"windows-\1", name)
+    name = re.sub(r"\A(?:cs)?iso[-_]?8859[-_]?(\d{1,2})(?::\d{4})?(?:-[ei])?\Z", r"iso-8859-\1", name)
+    return CODECS.get(name)
 
 
 def normal_label(raw: Column) -> Column:
@@ -73,17 +94,7 @@ def replacement_ratio(text: Column) -> Column:
 def decode_as(body: bytes, label: str) -> str:
     if label == "windows-1252":  # the web maps the five free bytes to controls
         return body.decode("cp1252", errors="cp1252-controls")
-    return body.decode(CODECS.get(label, label), errors="replace")
-
-
-def known_codec(label: str) -> bool:
-    import codecs
-
-    try:
-        codecs.lookup(CODECS.get(label, label))
-    except LookupError:
-        return False
-    return True
+    return body.decode(codec_of(label) or "cp1252", errors="replace")
 
 
 def is_utf8(body: bytes) -> bool:
@@ -96,6 +107,7 @@ def is_utf8(body: bytes) -> bool:
 
 def has_script(text: str) -> bool:
     """Any letter of the scripts that the candidate encodings are for."""
+    # Ranges of the scripts.
     spans = ((0x3000, 0x303F), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF60))
     return any(a <= ord(c) <= b for c in text if ord(c) >= 0x3000 for a, b in spans)
 
@@ -120,7 +132,7 @@ def choose(body: bytes, declared: list[tuple[str, str]]) -> tuple[str, str, floa
         elif label in ("iso-8859-1", "us-ascii"):
             upgrade = any(0x80 <= b <= 0x9F for b in body) or (label == "us-ascii" and not body.isascii())
             return ("windows-1252" if upgrade else label), source, 1.0, upgrade, number > 0
-        elif known_codec(label):
+        elif codec_of(label) is not None:
             return label, source, 1.0, False, number > 0
     found = detect(body)
     if found:
