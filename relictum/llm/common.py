@@ -61,11 +61,64 @@ def text_udf(fn: Callable[[list[str]], pa.Array], returns: str, piece_bytes: int
     return lambda col: udf(col.cast("string"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a passing column that no column of `df` bears."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """A digest of a whole text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+SLOTS = 1 << 24
+
+
+def slots(keys: DataFrame, *columns: str) -> DataFrame:
+    """A bitmap of hashed keys, (word, bits), of at most SLOTS / 64 rows whatever the number of keys."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(SLOTS))
+    marked = keys.select(F.shiftright(slot, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    return materialize(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")), "slots")
+
+
+def with_maybe(df: DataFrame, bitmap: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """`df` with a flag: false where the key is surely not among those of the bitmap, so that such rows need no join."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(SLOTS))
+    word = free_name(df, "word")
+    keyed = df.withColumn(word, F.shiftright(slot, 6).cast("int"))
+    held = bitmap.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    met = keyed.join(F.broadcast(held), keyed[word] == held["__word"], "left")  # at most SLOTS / 64 rows
+    return met.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits", word)
+
+
 def held_out(doc_id: Column) -> Column:
     """One fifth of the ids, fixed by a checksum of the id as text; a null id counts as the text 'null'."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), F.lit(5)) == 0
 
 
+def drawn_labels(labels: DataFrame, label_col: str, sample_rows: int) -> tuple[DataFrame, list[int], list[float]]:
+    """(doc_id, y) of about `sample_rows` labelled ids of each class outside the held-out fifth, drawn by a hash of the id, with
+    the size and the drawn share of each class. Ids whose labels disagree are left out. The result is small by its bound."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min(F.col(label_col).cast("int")).alias("y"), F.max(F.col(label_col).cast("int")).alias("__most")).where(F.col("y") == F.col("__most")).drop("__most")
+    known = materialize(known, "labels")
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [sizes.get(0, 0), sizes.get(1, 0)]
+    share = [min(1.0, sample_rows / max(1, k)) for k in n]
+    lot = F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    return known.where(lot < F.when(F.col("y") == 1, share[1]).otherwise(share[0])), n, share
+
+
+def drawn_rows(docs: DataFrame, drawn: DataFrame, text_col: str) -> DataFrame:
+    """(doc_id, y, text) of the drawn ids; of rows that share an id the one with the least text counts."""
+    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one task: at most one edge for each node leaves."""
     parent: dict[int, int] = {}

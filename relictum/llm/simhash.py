@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relictum.llm.common import connected_components, materialize, text_udf
+from relictum.llm.common import connected_components, free_name, materialize, text_key, text_udf
 
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -181,18 +181,22 @@ def fingerprint_groups(prints: DataFrame, *, id_col: str = "doc_id", fp_col: str
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with fp (the fingerprint as a signed long) and component_id."""
-    prints = docs.drop("fp", "component_id").withColumn("fp", text_udf(fingerprints_array, "long")(F.col(text_col)))
-    known = materialize(prints.select(F.col(id_col).alias("doc_id"), "fp"), "prints")
-    groups = fingerprint_groups(known)
-    return prints.join(groups.select("fp", "component_id"), "fp", "left")
+    """`docs` without its texts, with fp (the fingerprint as a signed long) and component_id. Each text is read once."""
+    prints = docs.drop("fp", "component_id").withColumn("fp", text_udf(fingerprints_array, "long")(F.col(text_col))).drop(text_col)
+    known = materialize(prints, "prints")
+    groups = fingerprint_groups(known.select(F.col(id_col).alias("doc_id"), "fp"))
+    return known.join(groups.select("fp", "component_id"), "fp", "left")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest id, and among rows of that id the smallest fingerprint; a null id is last."""
-    prints = docs.withColumn("__fp", text_udf(fingerprints_array, "long")(F.col(text_col)))
-    known = materialize(prints.select(F.col(id_col).alias("doc_id"), F.col("__fp").alias("fp")), "prints")
+    """One row of each group: that of the smallest id, among rows of that id that of the smallest fingerprint, and of rows
+    alike in both that of the smallest text key; a null id is last."""
+    known = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), text_udf(fingerprints_array, "long")(F.col(text_col)).alias("fp"))
+    known = materialize(known.groupBy("doc_id", "fp").agg(F.min("key").alias("key")), "prints")
     order = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id"), F.col("fp"))
     best = materialize(fingerprint_groups(known).groupBy("root").agg(F.min(order).alias("best")).select("best.least_id", "best.fp"), "best")
-    kept = prints.join(best, (F.col("__fp") == F.col("fp")) & F.col(id_col).eqNullSafe(F.col("least_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__fp"]).drop("__fp")
+    known = known.join(best, (known["fp"] == best["fp"]) & known["doc_id"].eqNullSafe(best["least_id"]), "left_semi").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    kept = keyed.join(known, (keyed[key] == known["__key"]) & keyed[id_col].eqNullSafe(known["__id"]), "left_semi")
+    return kept.dropDuplicates([id_col, key]).drop(key)
