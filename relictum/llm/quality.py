@@ -1,11 +1,12 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Each class has a Gaussian; its covariance is shrunk towards the pooled one and towards a multiple of the identity. The fit
-needs only counts, sums and cross products of the labelled rows, which Spark adds up; no row reaches the driver. A score
+needs only counts, sums and cross products of a bounded sample of labelled rows, which Spark adds up; no row reaches the
+driver. A score
 is the posterior from the difference of two Mahalanobis log densities; inverse Cholesky factors are computed once.
 
 Defined cases: null and empty texts have the statistics of the empty text and a score like any other; labels other than 0
-and 1 and null ids are left out of the fit; with one class only, or none, every score is that class's smoothed share;
+and 1, ids whose labels disagree and null ids are left out of the fit; of rows that share an id one counts in it; with one class only, or none, every score is that class's smoothed share;
 repeated rows score alike; columns named like the added ones are replaced.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relictum.llm.common import held_out, text_udf
+from relictum.llm.common import drawn_labels, drawn_rows, text_udf
 
 SYMBOLS = np.frombuffer(b"#$%&*<>=@^_~\\{}[]", np.uint8)
 FEATURES = 16
@@ -89,17 +90,19 @@ def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(total[k, i])], names=["k", "i", "total"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", text_col: str = "text", shrink_pooled: float = 0.1, shrink_identity: float = 0.02) -> Discriminant:
-    """Learn from every labelled row outside the held-out fifth."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).cast("int").alias("y"))
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", text_udf(statistics_array, "array<double>")(F.col(text_col)).alias("x")).join(known, "doc_id").select("x", "y")
+def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", text_col: str = "text", sample_rows: int = 50_000, shrink_pooled: float = 0.1, shrink_identity: float = 0.02) -> Discriminant:
+    """Learn from about `sample_rows` labelled ids of each class outside the held-out fifth, or all where there are fewer; only
+    their texts are described. Each row is weighed by the share of its class that was drawn."""
+    drawn, _, share = drawn_labels(labels, label_col, sample_rows)
+    rows = drawn_rows(docs, drawn, text_col).select(text_udf(statistics_array, "array<double>")(F.col("text")).alias("x"), "y")
     sums = rows.mapInArrow(moments, "k int, i int, total double").groupBy("k", "i").agg(F.sum("total").alias("total")).collect()
     total = np.zeros((2, 1 + FEATURES + FEATURES * FEATURES))
     for r in sums:
         total[r.k, r.i] = r.total
+    total /= np.array(share)[:, None]
     n = total[:, 0]
     prior = float((n[1] + 1) / (n.sum() + 2))
-    if n.min() < 2:
+    if min(total[:, 0] * share) < 2:
         return Discriminant(prior)
     mean = total[:, 1 : 1 + FEATURES] / n[:, None]
     scatter = total[:, 1 + FEATURES :].reshape(2, FEATURES, FEATURES) - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
