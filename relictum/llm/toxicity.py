@@ -3,20 +3,21 @@
 The lexicon is learned from labelled rows: words and beginnings of words that stand in toxic texts and hardly elsewhere.
 The trie of the terms and the Levenshtein automaton of a word run in step; the state sets they reach are made into a
 deterministic automaton as they occur, so most words take one table look-up a letter. Each hit gets a context score from a
-window of words: within quotation marks or after a reporting verb it counts as quotation, next to a second person as
-abuse. A logistic model on the sums of both gives the score.
+window of words: within a pair of quotation marks or after a reporting verb it counts as quotation, next to a second
+person as abuse. A misspelling begins with the letter of its term and is no word that stands in clean rows. A logistic model on the sums of both gives the score.
 
 The fit reads a bounded sample of labelled rows (`sample_rows` of each class, drawn by a hash of the id), in which near
 copies count once; scoring reads every row whole.
 
-Defined cases: null and empty texts score as texts without a hit; labels other than 0 and 1 and null ids are left out of
-the fit; with one class only every score is that class's smoothed share; repeated rows score alike; columns named like the
+Defined cases: null and empty texts score as texts without a hit; labels other than 0 and 1, ids whose labels disagree and
+null ids are left out of the fit; of rows that share an id one counts in it; with one class only every score is that class's smoothed share; repeated rows score alike; columns named like the
 added ones are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,22 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relictum.llm.common import held_out, materialize, text_udf
+from relictum.llm.common import drawn_labels, drawn_rows, materialize, text_udf
 
 EDGE = ".,;:!?\"'`()[]{}<>#$%&*|~^=+-_/\\…«»“”„‘’"
-QUOTES = frozenset("\"«»“”„‟")
+MARKS = frozenset("\"«»“”„‟")
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes reported cited according dit disait a-t-il sagte schrieb zitat dijo escribió".split())
 SECOND_PERSON = frozenset("you your you're yourself u tu te toi vous votre ton ta du dich dir dein deine sie ihr usted ustedes tú ti vosotros".split())
 WINDOW = 6
 SHORTEST, LONGEST = 4, 10
+QUOTATION = 60
 END = "$"
 FEATURES = 7
 
 
 def allowed_edits(term: str) -> int:
-    """Short terms must stand as they are, and so must beginnings of words, which vary as it is."""
+    """Terms under four letters must stand as they are, and so must beginnings of words, which vary as it is."""
     n = len(term.rstrip(END))
-    return 0 if n < 6 or not term.endswith(END) else 1 if n < 10 else 2
+    return 0 if n < 4 or not term.endswith(END) else 1 if n < 10 else 2
 
 
 class Automaton:
@@ -123,12 +125,26 @@ class Automaton:
         return best
 
 
+def quotations(words: list[str]) -> list[tuple[int, int]]:
+    """First and last word of each quotation: an opening mark and the next closing one, at most QUOTATION words on."""
+    spans, begun = [], -1
+    for i, w in enumerate(words):
+        if w.lstrip("([{")[:1] in MARKS and (begun < 0 or i - begun > QUOTATION):
+            begun = i
+        if begun >= 0 and w.rstrip(".,;:!?)]}")[-1:] in MARKS and (i > begun or len(w) > 2):
+            if i - begun <= QUOTATION:
+                spans.append((begun, i))
+            begun = -1
+    return spans
+
+
 @dataclass
 class Matcher:
     """Finds hits and their contexts; one for each task."""
 
     terms: list[str]
     weights: list[float]
+    clean: frozenset[str] = frozenset()
     memo: dict[str, tuple[int, int] | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -144,13 +160,17 @@ class Matcher:
                 found = memo[raw]
             except KeyError:
                 word = raw.strip(EDGE)
-                found = memo[raw] = self.automaton.match(word[:64]) if len(word) >= 3 else None
+                found = self.automaton.match(word) if len(word) >= 3 else None
+                if found is not None and found[0] and (word in self.clean or word[0] != self.terms[found[1]][0]):
+                    found = None
+                memo[raw] = found
             if found is not None:
                 hits.append((i, found))
         abuse = fuzzy = quoted = evidence = 0.0
         kinds, most = set(), 0.0
+        spans = quotations(words) if hits else []
         for i, (edits, term) in hits:
-            context = self.context(words, i)
+            context = self.context(words, i, spans)
             weight = self.weights[term]
             if context <= 0.5:
                 quoted += 1
@@ -163,14 +183,12 @@ class Matcher:
         return [math.log1p(abuse), math.log1p(fuzzy), math.log1p(quoted), math.log1p(len(kinds)), most, math.sqrt(abuse / max(1, len(words))), math.log1p(max(0.0, evidence))]
 
     @staticmethod
-    def context(words: list[str], i: int) -> float:
+    def context(words: list[str], i: int, spans: list[tuple[int, int]]) -> float:
         """1 for a bare hit, less within quotation, more beside a second person."""
         before, after = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
-        own = words[i]
         score = 1.0
-        opened = own[0] in QUOTES or any(w[0] in QUOTES for w in before)
-        shut = own.rstrip(".,;:!?")[-1:] in QUOTES or any(w.rstrip(".,;:!?")[-1:] in QUOTES for w in after)
-        if opened and shut:
+        at = bisect_right(spans, (i, len(words))) - 1
+        if at >= 0 and i <= spans[at][1]:
             score -= 0.6
         if any(w.strip(EDGE) in REPORTING for w in before):
             score -= 0.25
@@ -184,6 +202,7 @@ class ToxicityModel:
     prior: float
     terms: tuple[str, ...] = ()
     weights: tuple[float, ...] = ()
+    clean: frozenset[str] = frozenset()
     coefficients: tuple[float, ...] = ()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -220,7 +239,8 @@ def ratio(a: float, b: float, n1: float, n0: float) -> float:
 
 
 def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int, least_ratio: float, least_precision: float, most: int) -> list[tuple[str, float]]:
-    """Terms by strength; of terms that begin alike, the longest that loses no toxic row stands for all."""
+    """Terms by strength; of beginnings that begin alike, the longest that loses no toxic row stands for all. Whole words stay
+    beside a beginning of theirs, since only they may be misspelt."""
     scored = []
     for term, a, b in counts:
         precision = (a / n1) / (a / n1 + b / n0 + 1e-12)
@@ -230,12 +250,12 @@ def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int, least_rat
     chosen: dict[str, int] = {}
     out = []
     for _, _, term, a, b in scored:
-        bare = term.rstrip(END)
-        if any(bare[:n] in chosen for n in range(SHORTEST, len(bare) + 1)):
-            continue
-        related = [c for t, c in chosen.items() if t.rstrip(END).startswith(bare)]
-        if related and a < 1.25 * max(related):
-            continue
+        if not term.endswith(END):
+            if any(term[:n] in chosen for n in range(SHORTEST, len(term) + 1)):
+                continue
+            related = [c for t, c in chosen.items() if t.startswith(term)]
+            if related and a < 1.25 * max(related):
+                continue
         chosen[term] = a
         out.append((term, math.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)))))
         if len(out) == most:
@@ -256,19 +276,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return c
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", text_col: str = "text", sample_rows: int = 4000, least_ratio: float = 30.0, least_precision: float = 0.75, max_terms: int = 500) -> ToxicityModel:
-    """Learn from at most about `sample_rows` rows of each class outside the held-out fifth."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id"), F.col(label_col).cast("int").alias("y"))
-    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = [sizes.get(0, 0), sizes.get(1, 0)]
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", text_col: str = "text", sample_rows: int = 4000, least_ratio: float = 30.0, least_precision: float = 0.75, max_terms: int = 500, max_candidates: int = 50_000) -> ToxicityModel:
+    """Learn from at most about `sample_rows` rows of each class outside the held-out fifth. The lexicon holds at most `max_terms`
+    terms, chosen among the `max_candidates` strongest."""
+    drawn, n, share = drawn_labels(labels, label_col, sample_rows)
     prior = (n[1] + 1) / (sum(n) + 2)
     if min(n) < 2:
         return ToxicityModel(prior)
-    share = [min(1.0, sample_rows / k) for k in n]
-    lot = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.where(lot < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")  # drawn: about 2 * sample_rows pairs of numbers
-    rows = materialize(rows.repartition("doc_id").withColumn("d", text_udf(describe, "struct<parts:array<string>,bands:array<string>>")(F.col("text"))).select("doc_id", "y", "text", "d.parts", "d.bands"), "toxicity-sample")
+    rows = drawn_rows(docs, drawn, text_col)
+    rows = materialize(rows.withColumn("d", text_udf(describe, "struct<parts:array<string>,bands:array<string>>")(F.col("text"))).select("doc_id", "y", "text", "d.parts", "d.bands"), "toxicity-sample")
 
     group: dict[str, int] = {}
     parent: dict[int, int] = {}
@@ -291,37 +307,52 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic"
         return ToxicityModel(prior)
     alone = docs.sparkSession.createDataFrame([(i,) for i, _ in single], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}")
     parts = rows.join(F.broadcast(alone), "doc_id", "left_semi").select("y", F.explode("parts").alias("part"))
-    strong = parts.groupBy("part").agg(F.sum("y").cast("int").alias("a"), F.sum(1 - F.col("y")).cast("int").alias("b"))
-    strong = strong.where((F.col("a") >= 3) & (F.col("a") / n1 >= least_precision / (1 - least_precision) * F.col("b") / n0))
-    counts = [(r.part, r.a, r.b) for r in strong.orderBy(F.desc(F.col("a") / n1 - F.col("b") / n0), F.desc(F.length("part")), "part").limit(50_000).collect()]
+    parts = materialize(parts.groupBy("part").agg(F.sum("y").cast("int").alias("a"), F.sum(1 - F.col("y")).cast("int").alias("b")), "parts")
+    strong = parts.where((F.col("a") >= 3) & (F.col("a") / n1 >= least_precision / (1 - least_precision) * F.col("b") / n0))
+    counts = [(r.part, r.a, r.b) for r in strong.orderBy(F.desc(F.col("a") / n1 - F.col("b") / n0), F.desc(F.length("part")), "part").limit(max_candidates).collect()]
     terms = choose_terms(counts, n1, n0, least_ratio, least_precision, max_terms)
     words, weights = [t for t, _ in terms], [w for _, w in terms]
+    # Words of clean rows that only an edit makes a hit are no misspelling of it; of the bounded sample.
+    usual = parts.where(F.col("part").endswith(END) & (F.col("b") >= 1) & (F.col("a") / n1 < F.col("b") / n0))
+    near = usual.where(text_udf(misspelt_of(words, weights), "boolean")(F.col("part"))).select("part")
+    clean = frozenset(r.part.removesuffix(END) for r in near.collect())
 
-    seen = rows.select("y", text_udf(features_of(words, weights), "array<double>")(F.col("text")).alias("x")).collect()
+    seen = rows.select("y", text_udf(features_of(words, weights, clean), "array<double>")(F.col("text")).alias("x")).collect()
     x, y = np.array([r.x for r in seen], float), np.array([r.y for r in seen], float)
     balance = np.where(y == 1, 1 / share[1], 1 / share[0])
     c = logistic(x, y, balance / balance.mean())
-    return ToxicityModel(prior, tuple(words), tuple(weights), tuple(c.tolist()))
+    return ToxicityModel(prior, tuple(words), tuple(weights), clean, tuple(c.tolist()))
 
 
-def features_of(terms: list[str], weights: list[float]):
+def features_of(terms: list[str], weights: list[float], clean: frozenset[str]):
     cache: list[Matcher] = []
 
     def run(texts: list[str]) -> pa.Array:
         if not cache:
-            cache.append(Matcher(terms, weights))
+            cache.append(Matcher(terms, weights, clean))
         return pa.array([cache[0].features(t) for t in texts], pa.list_(pa.float64()))
 
     return run
 
 
+def misspelt_of(terms: list[str], weights: list[float]):
+    cache: list[Automaton] = []
+
+    def run(words: list[str]) -> pa.Array:
+        if not cache:
+            cache.append(Automaton(terms))
+        return pa.array([(m := cache[0].match(w.removesuffix(END))) is not None and m[0] > 0 for w in words], pa.bool_())
+
+    return run
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with the probability of label 1."""
     cache: list[Matcher] = []
 
     def run(texts: list[str]) -> pa.Array:
         if not cache:
-            cache.append(Matcher(list(model.terms), list(model.weights)))
+            cache.append(Matcher(list(model.terms), list(model.weights), model.clean))
         x = np.array([cache[0].features(t) for t in texts], float).reshape(-1, FEATURES)
         return pa.array(model.scores(x), pa.float64())
 
