@@ -9,8 +9,9 @@ content is at least one half make the text. All tables are smoothed counts over
 Labelled pages are pairs of html and main text; a block is content if it is one of the blocks of the text, and labels of
 elements follow from the blocks below. `sample_pages` makes such pairs by rule for use where none exist.
 
-Defined cases: null and empty pages, and pages without text, give the empty text; broken markup is read as far as it goes;
-an open comment, script or style runs to the end; very long pages are read whole; repeated rows give equal texts; columns
+Defined cases: null and empty pages, and pages without text, give the empty text; broken markup is read as browsers do: an
+open comment, script, style or tag holds the rest of the page, a head ends where content begins, a quotation mark that never
+closes is part of a bare value; very long pages are read whole, in linear time; repeated rows give equal texts; columns
 named like the added ones are replaced.
 """
 
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 
 from relictum.llm.common import text_udf
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)""", re.DOTALL)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+COMMENT_END = re.compile(r"-?>|--!?>")
+STOP = re.compile(r"[>=]")
+SPACE, BARE = re.compile(r"\s*"), re.compile(r"[^\s>]*")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +43,8 @@ RAW = frozenset("script style title textarea noscript iframe template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot li dd dt legend figcaption summary".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+IN_HEAD = frozenset("html head meta title link script style base basefont bgsound template noscript noframes".split())
+DEEP = 512
 FENCE = frozenset("table ul ol dl div article section aside nav header footer main form body td th blockquote".split())
 
 
@@ -50,19 +56,39 @@ class Node:
         self.children: list[int] = []
 
 
+def tag_end(page: str, at: int, open_ended: set[str]) -> int:
+    """Place of the > that ends a tag whose attributes begin at `at`, or -1. Quoted values may hold one; a quotation mark that
+    never closes is read as part of a bare value, and `open_ended` keeps such marks, so that they are looked for once."""
+    while (m := STOP.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        at = SPACE.match(page, m.end()).end()
+        mark = page[at : at + 1]
+        if mark in ("'", '"') and mark not in open_ended:
+            if (close := page.find(mark, at + 1)) >= 0:
+                at = close + 1
+                continue
+            open_ended.add(mark)
+        at = BARE.match(page, at).end()
+    return -1
+
+
 def parse(page: str) -> list[Node]:
-    """Elements and blocks in page order; a parent comes before its children."""
+    """Elements and blocks in page order; a parent comes before its children. The time is linear in the page: elements
+    below DEEP open ones are not nested further, though their text stays."""
     nodes = [Node(-1, "root")]
     stack: list[tuple[str, int]] = [("", 0)]
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = [0, 0]
     hidden = 0
+    open_ended: set[str] = set()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            owner = next(i for tag, i in reversed(stack) if tag in BLOCK or not i)
+            owner = stack[-1][1]
             node = Node(owner, "block")
             node.text = text
             words, share = len(text.split()), linked[1] / max(1, linked[0] + linked[1])
@@ -75,36 +101,66 @@ def parse(page: str) -> list[Node]:
         nonlocal hidden
         if any(tag in BLOCK for tag, _ in stack[depth:]):
             flush()
-        hidden -= sum(tag in HIDDEN for tag, _ in stack[depth:])
+        for tag, _ in stack[depth:]:
+            opened[tag] -= 1
+            hidden -= tag in HIDDEN
         del stack[depth:]
 
+    def innermost(wanted, fence) -> int:
+        """Depth of the innermost open element of the wanted ones, 0 if a fence comes first or none is open."""
+        if any(opened[t] > 0 for t in wanted):
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] in wanted:
+                    return depth
+                if stack[depth][0] in fence:
+                    break
+        return 0
+
+    def leave_head() -> None:
+        if opened["head"] and (depth := innermost(("head",), ())):
+            shut(depth)
+
     def add(text: str) -> None:
+        if stack[-1][0] == "head" and text and not text.isspace():
+            leave_head()
         if text and not hidden:
             pieces.append(text)
-            linked[any(tag == "a" for tag, _ in stack)] += len(text.strip())
+            linked[opened["a"] > 0] += len(text.strip())
 
     at = 0
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        add(page[at:lt])
+        closing = page.startswith("</", lt)
+        name = NAME.match(page, lt + 1 + closing)
+        if not name:
+            if page.startswith("<!--", lt):
+                # the shortest comments end in their own opening mark
+                end = COMMENT_END.match(page, lt + 4) or re.compile("--!?>").search(page, lt + 4)
+                at = end.end() if end else len(page)
+            elif closing or page[lt + 1 : lt + 2] in ("!", "?"):
+                end = page.find(">", lt + 2)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                add("<")
+                at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name[0].lower()
+        end = tag_end(page, name.end(), open_ended)
+        if end < 0:  # a tag that never ends holds the rest of the page
+            break
+        attributes, at = page[name.end() : end], end + 1
+        if closing:
             if tag == "br":
                 add(" ")
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    shut(depth)
-                    break
-                if stack[depth][0] in FENCE and tag not in FENCE:
-                    break
+            elif depth := innermost((tag,), () if tag in FENCE else FENCE):
+                shut(depth)
             continue
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -112,28 +168,30 @@ def parse(page: str) -> list[Node]:
                 add(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            end = page.find(">", found.end()) if found else -1
+            at = end + 1 if end >= 0 else len(page)
             continue
-        if m[3].endswith("/") and tag not in BLOCK:
+        if attributes.endswith("/") and tag not in BLOCK:
             continue
-        if tag == "body" and (depth := next((d for d, (t, _) in enumerate(stack) if t == "head"), 0)):
-            shut(depth)
         if tag in BLOCK:
             flush()
-        if tag in CLOSES_P and (depth := next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "p" or stack[d][0] in FENCE), 0)) and stack[depth][0] == "p":
+        if tag in CLOSES_P and (depth := innermost(("p",), FENCE)):
             shut(depth)
-        if tag in SAME and (depth := next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] in SAME[tag] or stack[d][0] in ("table", "ul", "ol", "dl")), 0)) and stack[depth][0] in SAME[tag]:
+        if tag in SAME and (depth := innermost(SAME[tag], ("table", "ul", "ol", "dl"))):
             shut(depth)
+        if len(stack) >= DEEP and (hidden or tag not in HIDDEN):
+            continue
         if tag in BLOCK:
             node = Node(stack[-1][1], tag)
-            words = [w.lower() for a in ATTRIBUTE.finditer(m[3]) for w in WORD.findall(a[2] or a[3] or a[4] or "")]
+            words = [w.lower() for a in ATTRIBUTE.finditer(attributes) for w in WORD.findall(a[2] or a[3] or a[4] or "")]
             node.features = [f"tag:{tag}", *(f"name:{w}" for w in dict.fromkeys(words))]
             nodes[node.parent].children.append(len(nodes))
             nodes.append(node)
             stack.append((tag, len(nodes) - 1))
         else:
             stack.append((tag, stack[-1][1]))
+        opened[tag] += 1
         hidden += tag in HIDDEN
     flush()
     return nodes
@@ -143,10 +201,13 @@ def node_kind(kind: str) -> str:
     return kind if kind in ("block", "root") else "element"
 
 
+def inherited(parent: Node) -> list[str]:
+    """What a node shows its children: its tag and names, marked as the parent's."""
+    return ["up:" + f for f in parent.features if not f.startswith(("up:", "words:"))]
+
+
 def observed(nodes: list[Node], i: int) -> list[str]:
-    """A node's own features and, marked as such, its parent's tag and names."""
-    parent = nodes[nodes[i].parent] if nodes[i].parent >= 0 else None
-    return nodes[i].features + (["up:" + f for f in parent.features if not f.startswith(("up:", "words:"))] if parent else [])
+    return nodes[i].features + (inherited(nodes[nodes[i].parent]) if nodes[i].parent >= 0 else [])
 
 
 OTHER, CONTENT, MIXED = range(3)
@@ -166,17 +227,28 @@ class DomModel:
     below: dict[str, tuple[States, States, States]]
     root: States = (0.05, 0.05, 0.9)
 
-    def evidence(self, nodes: list[Node], i: int) -> States:
+    def total(self, features: list[str]) -> list[float]:
         sums = [0.0, 0.0, 0.0]
-        for f in observed(nodes, i):
+        for f in features:
             if (known := self.features.get(f)) is not None:
                 sums = [a + b for a, b in zip(sums, known, strict=True)]
-        top = max(sums)
-        return scaled([math.exp(max(-500.0, x - top)) for x in sums])
+        return sums
+
+    def evidence(self, nodes: list[Node]) -> list[States]:
+        """What the features of each node say; those that children see of a parent are added up once."""
+        above: dict[int, list[float]] = {-1: [0.0, 0.0, 0.0]}
+        out = []
+        for node in nodes:
+            if node.parent not in above:
+                above[node.parent] = self.total(inherited(nodes[node.parent]))
+            sums = [a + b for a, b in zip(self.total(node.features), above[node.parent], strict=True)]
+            top = max(sums)
+            out.append(scaled([math.exp(max(-500.0, x - top)) for x in sums]))
+        return out
 
     def marginals(self, nodes: list[Node]) -> list[States]:
         """Chances of the labels of each node."""
-        up = [self.evidence(nodes, i) for i in range(len(nodes))]
+        up = self.evidence(nodes)
         message: list[States] = [(1.0, 1.0, 1.0)] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
             table, j = self.below[node_kind(nodes[i].kind)], nodes[i].parent
