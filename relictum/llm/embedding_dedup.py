@@ -9,8 +9,8 @@ is below the threshold. What is left is verified in double precision on the vect
 A meeting sends on link counts for each row and a spanning forest of its links, never its pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows whose label or id is null, link
-with nothing and are their own component; vectors of unlike length never link; equal rows link with each other; an empty
-table gives an empty table; other columns are not read.
+with nothing and are their own component; vectors of unlike length never link; equal rows link with each other; rows that
+share an id keep the links of their own vectors; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +30,19 @@ STEP = 8
 SLACK = 1e-9
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of an Arrow list column in double precision, and as unit vectors; all are of one length."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
-    largest = np.abs(x).max(1, keepdims=True)
-    scaled = x / largest
-    return x, scaled / np.sqrt(np.square(scaled).sum(1, keepdims=True))
+def scaled_rows(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: no digit changes, and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    s = scaled_rows(x)
+    return s / np.sqrt(np.square(s).sum(1, keepdims=True))
+
+
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column, all of one length, as unit vectors."""
+    return unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
 def second_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +50,7 @@ def second_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         sizes = np.array([len(v) for v in batch.column("v")])
         for d in np.unique(sizes):
-            _, u = unit_rows(batch.column("v").filter(pa.array(sizes == d)))
+            u = unit_rows(batch.column("v").filter(pa.array(sizes == d)))
             total[int(d)] = total.get(int(d), 0) + u.T @ u
     for d, m in total.items():
         yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d), pa.int32()), pa.array(np.arange(d * d), pa.int32()), pa.array(m.ravel())], names=["d", "i", "total"])
@@ -69,7 +75,7 @@ def with_leading(axes: dict[int, np.ndarray], width: float):
             lead = np.zeros((len(sizes), 3))
             for d in np.unique(sizes):
                 at = sizes == d
-                _, u = unit_rows(column.filter(pa.array(at)))
+                u = unit_rows(column.filter(pa.array(at)))
                 lead[at, : min(3, d)] = (u @ axes[int(d)])[:, :3]
             cells = np.floor(lead / width).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(cells[:, 2]), pa.array(lead[:, 0])], names=[*batch.schema.names, "d", "c0", "c1", "c2", "lead"])
@@ -85,9 +91,7 @@ def make_tiles(axes: dict[int, np.ndarray], tile_rows: int):
 
     def tile(label: str, d: int, name: str, rows: list[tuple]) -> pa.RecordBatch:
         x = np.array([r[2] for r in rows], np.float64)
-        scaled = x / np.abs(x).max(1, keepdims=True)
-        u = scaled / np.sqrt(np.square(scaled).sum(1, keepdims=True))
-        y = (u @ axes[d])[:, :BOX]
+        y = (unit(x) @ axes[d])[:, :BOX]
         cells = [[name], [label], [d], [len(rows)], [y.min(0).tolist()], [y.max(0).tolist()], [np.array([r[0] for r in rows], np.int64).tobytes()], [np.array([r[1] for r in rows], np.int64).tobytes()], [x.tobytes()]]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["tile", "label", "d", "n", "low", "high", "node", "weight", "vectors"])
@@ -111,7 +115,6 @@ def make_tiles(axes: dict[int, np.ndarray], tile_rows: int):
 
 def compare(xa: np.ndarray, xb: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) with cosine >= threshold."""
-    unit = lambda x: (s := x / np.abs(x).max(1, keepdims=True)) / np.sqrt(np.square(s).sum(1, keepdims=True))
     ya, yb = unit(xa) @ axes, unit(xb) @ axes
     d = ya.shape[1]
     rest = lambda y, k: np.sqrt(np.square(y[:, k:]).sum(1))
@@ -128,6 +131,7 @@ def compare(xa: np.ndarray, xb: np.ndarray, axes: np.ndarray, threshold: float)
         keep = value + ra[i] * rb[j] >= threshold - SLACK
         i, j, value, k = i[keep], j[keep], value[keep], to
     if len(i):
+        xa, xb = scaled_rows(xa), scaled_rows(xb)
         na, nb = np.sqrt(np.square(xa).sum(1)), np.sqrt(np.square(xb).sum(1))
         exact = np.concatenate([np.einsum("nd,nd->n", xa[i[at : at + (1 << 18)]], xb[j[at : at + (1 << 18)]]) for at in range(0, len(i), 1 << 18)]) / (na[i] * nb[j])
         i, j = i[exact >= threshold], j[exact >= threshold]
@@ -177,6 +181,22 @@ def meetings(axes: dict[int, np.ndarray], threshold: float, piece: int = 1024):
     return run
 
 
+def near_tiles(boxes: DataFrame, most: float, width: float) -> DataFrame:
+    """Pairs of tiles of one label and length whose boxes come as near as sqrt(most). Tiles meet in cells of `width` on the two
+    leading axes: one side sends the cells that its box covers, the other those and their neighbours, and a pair counts in
+    the first cell that both send."""
+    cell = lambda side, axis: F.coalesce(F.floor(F.get(side, F.lit(axis)) / width), F.lit(0)).cast("int")
+    placed = boxes.select("*", *[cell(side, axis).alias(f"{side[0]}{axis}") for side in ("low", "high") for axis in (0, 1)])
+
+    def spread(s: str, more: int) -> DataFrame:
+        sent = placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("tile", "low", "high", "l0", "l1")], "label", "d", F.explode(F.sequence(F.col("l0") - more, F.col("h0") + more)).alias("x"), "l1", "h1")
+        return sent.withColumn("y", F.explode(F.sequence(F.col("l1") - more, F.col("h1") + more))).drop("l1", "h1")
+
+    met = spread("a", 0).join(spread("b", 1), ["label", "d", "x", "y"]).where((F.col("tile_a") <= F.col("tile_b")) & (F.col("x") == F.greatest(F.col("l0_a"), F.col("l0_b") - 1)) & (F.col("y") == F.greatest(F.col("l1_a"), F.col("l1_b") - 1)))
+    gaps = F.transform(F.sequence(F.lit(0), F.size("low_a") - 1), lambda k: F.greatest(F.get("low_a", k) - F.get("high_b", k), F.get("low_b", k) - F.get("high_a", k), F.lit(0.0)))
+    return met.where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= most).withColumnRenamed("d", "d_a")
+
+
 def embedding_components(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile_rows: int = TILE) -> DataFrame:
     """Returns vec_id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
@@ -186,8 +206,8 @@ def embedding_components(vectors: DataFrame, *, threshold: float = 0.98, id_col:
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     keys = {"k1": F.xxhash64("label", "v"), "k2": F.xxhash64(F.lit(1), "label", "v")}
     good = rows.withColumn("good", usable).withColumns(keys)
-    groups = good.where("good").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("weight"))
-    groups = materialize(groups, "vectors")
+    groups = good.where("good").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").cast("long").alias("least"), F.count(F.lit(1)).alias("weight"))
+    groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "vectors")  # written, so that the numbers stay
     axes = principal_axes(groups)
     width = float(np.sqrt(max(1e-6, 2 - 2 * threshold)))
     order = ["label", "d", "c0", "c1", "c2", "lead", "node"]
@@ -196,11 +216,7 @@ def embedding_components(vectors: DataFrame, *, threshold: float = 0.98, id_col:
     parts = max(1, -(-n // (2 * tile_rows)))
     tiles = materialize(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(make_tiles(axes, tile_rows), TILES), "tiles")
 
-    boxes = tiles.select("tile", "label", "d", "low", "high")
-    a, b = (boxes.select(*[F.col(c).alias(f"{c}_{s}") for c in boxes.columns]) for s in "ab")
-    gaps = F.transform(F.sequence(F.lit(0), F.size("low_a") - 1), lambda k: F.greatest(F.get("low_a", k) - F.get("high_b", k), F.get("low_b", k) - F.get("high_a", k), F.lit(0.0)))
-    far = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    near = a.join(b, (F.col("label_a") == F.col("label_b")) & (F.col("d_a") == F.col("d_b")) & (F.col("tile_a") <= F.col("tile_b"))).where(far <= 2 - 2 * threshold + SLACK)
+    near = near_tiles(tiles.select("tile", "label", "d", "low", "high"), 2 - 2 * threshold + SLACK, width)
     pairs = near.select("tile_a", "tile_b", F.col("d_a").alias("d"))
     side = lambda s: tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("tile", "node", "weight", "vectors")])
     met = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b")
@@ -209,7 +225,11 @@ def embedding_components(vectors: DataFrame, *, threshold: float = 0.98, id_col:
     counts = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("other is not null").select("node", "other"))
 
-    known = materialize(groups.select("k1", "k2", "node", "weight").join(counts, "node", "left").join(roots, "node", "left").select("k1", "k2", F.lit(True).alias("good"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "components")
+    linked = groups.select("k1", "k2", "node", "least", "weight").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = materialize(linked, "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    known = linked.join(least, "root").select("k1", "k2", F.lit(True).alias("good"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    known = materialize(known, "components")
     out = good.select("vec_id", "k1", "k2", "good").join(known, ["k1", "k2", "good"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
