@@ -1,19 +1,23 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are lower-cased and every run of other than letters and digits becomes one space. An item of m
-bytes may be changed by k = floor(rate * m) edits, so an occurrence shares at least m - q + 1 - k * q of its q-grams (q is
-eight, or less for an item so short that this would not be positive), all on neighbouring diagonals (place in the text less place in the item). Shared q-grams are counted in overlapping bands of
-diagonals; a band that meets the bound is verified by a banded alignment, the item whole, the ends in the text free.
-
-Items are handed to the tasks in blocks of bounded size, one pass over the documents for each block.
-
-Defined cases: null and empty texts hold no item; null and empty items match nothing; items shorter than q must occur as
-whole words without an edit; of several occurrences of an item in a text the closest counts, the first among those; equal
-items each match; items without an id match with `null_ids`; repeated rows each get their matches; columns named like the added one are replaced.
+bytes may be changed by k = floor(rate * m) edits, so an occurrence shares at least m - q + 1 - k * q of its q-grams, all on
+neighbouring diagonals (place in the text less place in the item); q is eight, or less for an item so short that the bound
+would not be positive. Shared q-grams are counted in overlapping bands of diagonals; a band that meets the bound is verified
+by a banded alignment, the item whole, the ends in the text free.
+
+Items are handed to the tasks in blocks of bounded size, one pass over the documents for each block, and the driver holds one
+block at a time. Pairs of a gram and its places are counted in pieces, so a text that repeats itself takes little memory.
+
+Defined cases: null and empty texts hold no item; null and empty items match nothing; items so short that they may not be
+changed must occur as whole words; of several occurrences of an item in a text the closest counts, the first among those;
+equal items each match; items without an id match with `null_ids`; repeated rows each get their matches; columns named like
+the added one are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_right
 from collections.abc import Sequence
@@ -25,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relictum.llm.common import text_udf
+from relictum.llm.common import free_name, materialize, text_key, text_udf
 
 Q = 8
 BLOCK_BYTES = 16 << 20
 PIECE = 1 << 20
+PAIRS = 1 << 22
 LEAKS = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 LEAKS_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 OTHER = re.compile(r"[\W_]+")
@@ -82,15 +87,15 @@ def gram_length(size: int, edits: int) -> int:
 def index_items(rows: list[tuple[int | None, str]], rate: float) -> Items:
     rows = [(i, normalise(t)) for i, t in rows if t and normalise(t)]
     texts = [t for _, t in rows]
-    budget = np.array([int(len(t) * rate) if len(t) >= Q else 0 for t in texts], np.int64)
-    q = np.array([gram_length(len(t), k) if len(t) >= Q else Q for t, k in zip(texts, budget.tolist(), strict=True)], np.int64)
+    budget = np.array([int(len(t) * rate) for t in texts], np.int64)
+    q = np.array([gram_length(len(t), k) if k else Q for t, k in zip(texts, budget.tolist(), strict=True)], np.int64)
     if q.size and q.min() < 1:
         raise ValueError(f"rate {rate} allows more edits than an item has bytes")
     short = []
     for own in sorted({int(x) for x in q} - {Q}):
         numbers = np.flatnonzero(q == own).tolist()
         short.append((numbers, index_grams([rows[n] for n in numbers], budget[numbers], np.ones(len(numbers), bool), own, [])))
-    return index_grams(rows, budget, q == Q, Q, short)
+    return index_grams(rows, budget, (q == Q) & (budget > 0), Q, short)
 
 
 def index_grams(rows: list[tuple[int | None, bytes]], budget: np.ndarray, used: np.ndarray, q: int, short: list) -> Items:
@@ -123,12 +128,12 @@ def align(item: bytes, region: bytes, slack: int, budget: int) -> tuple[int, int
     cost, begin = np.zeros(slack + 1, np.int64), steps.copy()  # column c of row i: i bytes of the item, i + c of the region
     inside = len(region)
     for i in range(len(a)):
-        # 2**20 times the cost plus the place where the part begins: the least cost wins, then the first begin
-        diagonal = ((cost + (b[i : i + slack + 1] != a[i])) << 20) + begin
-        up = np.concatenate([((cost[1:] + 1) << 20) + begin[1:], [far << 20]])
+        # 2**32 times the cost plus the place where the part begins: the least cost wins, then the first begin
+        diagonal = ((cost + (b[i : i + slack + 1] != a[i])) << 32) + begin
+        up = np.concatenate([((cost[1:] + 1) << 32) + begin[1:], [far << 32]])
         best = np.minimum(diagonal, up)
-        best = np.minimum.accumulate(best - (steps << 20)) + (steps << 20)
-        cost, begin = best >> 20, best & ((1 << 20) - 1)
+        best = np.minimum.accumulate(best - (steps << 32)) + (steps << 32)
+        cost, begin = best >> 32, best & ((1 << 32) - 1)
         cost[i + 1 + steps > inside] = far
         if cost.min() > budget:
             return None
@@ -141,7 +146,7 @@ def find_items(texts: list[str], items: Items) -> list[list[dict]]:
     found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
     clean = [normalise(t) for t in texts]
     for i, item in enumerate(items.texts):
-        if len(item) < Q:
+        if not items.budget[i]:
             for n, data in enumerate(clean):
                 if (at := (b" " + data + b" ").find(b" " + item + b" ")) >= 0:
                     found[n][i] = (0, at, at + len(item))
@@ -155,6 +160,35 @@ def find_items(texts: list[str], items: Items) -> list[list[dict]]:
     return [[{"item_id": items.ids[i], "distance": d, "start": a, "end": b} for i, (d, a, b) in sorted(x.items(), key=lambda y: (items.ids[y[0]] is None, items.ids[y[0]] or 0, y[1]))] for x in found]
 
 
+def count_bands(hits: np.ndarray, at: np.ndarray, items: Items, bands: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (item and band) in order, and the grams that each shares. `hits` are places of the text, `at` their grams."""
+    done = np.cumsum(items.count[at])
+    keys, sums, held = [], [], 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        key, number = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(number.ravel(), np.concatenate(sums)).astype(np.int64)
+
+    begin = 0
+    while begin < len(hits):
+        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + PAIRS, side="right")))
+        part, gram = hits[begin:end], at[begin:end]
+        count = items.count[gram]
+        entry = np.repeat(items.first[gram] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        item = items.item[entry]
+        key = item * bands + ((np.repeat(part, count) - items.place[entry] + longest) >> items.narrow[item])
+        key.sort()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        keys.append(key[edge])
+        sums.append(np.diff(np.concatenate([edge, [len(key)]])))
+        held += len(edge)
+        if len(keys) > 1 and held > PAIRS:
+            key, total = fold()
+            keys, sums, held = [key], [total], 0
+        begin = end
+    return (keys[0], sums[0]) if len(keys) == 1 else fold()
+
+
 def search(texts: list[str], clean: list[bytes], data: bytes, begins: list[int], g: np.ndarray, items: Items, numbers: Sequence[int], found: list[dict[int, tuple[int, int, int]]]) -> None:
     """Add the matches of the items to `found`, under their numbers."""
     hits = np.empty(0, np.int64)
@@ -164,15 +198,9 @@ def search(texts: list[str], clean: list[bytes], data: bytes, begins: list[int],
     same = items.gram[np.minimum(at, len(items.gram) - 1)] == g[hits] if len(hits) else np.empty(0, bool)
     hits, at = hits[same], at[same]
     if len(hits):
-        count = items.count[at]
-        entry = np.repeat(items.first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        item = items.item[entry]
         longest = max(map(len, items.texts))
         bands = len(data) + longest + 2
-        key = item * bands + ((np.repeat(hits, count) - items.place[entry] + longest) >> items.narrow[item])
-        key.sort()
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, shared = key[edge], np.diff(np.concatenate([edge, [len(key)]]))
+        key, shared = count_bands(hits, at, items, bands, longest)
         both = shared.copy()  # of a band and the next one
         both[:-1] += np.where(key[1:] == key[:-1] + 1, shared[1:], 0)
         item, band = key // bands, key % bands
@@ -182,6 +210,8 @@ def search(texts: list[str], clean: list[bytes], data: bytes, begins: list[int],
             lowest = b * width - longest  # diagonals lowest .. lowest + 2 width - 1
             start, stop = lowest - k, lowest + 2 * width + len(items.texts[i]) + k
             for n in range(max(0, bisect_right(begins, start) - 1), min(len(texts), bisect_right(begins, stop))):
+                if found[n].get(numbers[i], (1,))[0] == 0:  # an earlier band held the item unchanged
+                    continue
                 begin, end = max(start, begins[n]), min(stop, begins[n] + len(clean[n]))
                 if end - begin < len(items.texts[i]) - k:
                     continue
@@ -195,14 +225,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     known = benchmark.where((F.lit(null_ids) | F.col("item_id").isNotNull()) & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes))
-    out, empty = docs, F.from_json(F.lit("[]"), LEAKS)
-    out = out.withColumn(leaks_col, empty)
-    for block in range(blocks):  # each block holds about half of block_bytes
-        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = [(r.item_id, r.text) for r in part.toLocalIterator()]
+    if blocks == 1:
+        rows = [(r.item_id, r.text) for r in known.toLocalIterator()]
+        return docs.withColumn(leaks_col, matcher(rows, rate)(F.col(text_col)) if rows else F.from_json(F.lit("[]"), LEAKS))
+    parts = []
+    for block in range(blocks):  # each block holds about half of block_bytes, and its matches are written before the next one
+        rows = [(r.item_id, r.text) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toLocalIterator()]
         if rows:
-            out = out.withColumn(leaks_col, F.concat(F.col(leaks_col), matcher(rows, rate)(F.col(text_col))))
-    return out
+            met = docs.select(text_key(F.col(text_col)).alias("__key"), matcher(rows, rate)(F.col(text_col)).alias("__found")).where(F.size("__found") > 0)
+            parts.append(materialize(met.dropDuplicates(["__key"]), "leaks"))
+    met = functools.reduce(DataFrame.unionByName, parts).groupBy("__key").agg(F.array_sort(F.flatten(F.collect_list("__found"))).alias("__found"))
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    joined = keyed.drop(leaks_col).join(met, keyed[key] == met["__key"], "left")
+    return joined.withColumn(leaks_col, F.coalesce(met["__found"], F.from_json(F.lit("[]"), LEAKS))).drop(key, met["__key"], met["__found"])
 
 
 def matcher(rows: list[tuple[int | None, str]], rate: float):
@@ -218,4 +254,5 @@ def matcher(rows: list[tuple[int | None, str]], rate: float):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Only the rows whose texts hold no benchmark item."""
-    return find_leaks(docs, benchmark, leaks_col="__leaks", **{"null_ids": True} | options).where(F.size("__leaks") == 0).drop("__leaks")
+    leaks = free_name(docs, "leaks")
+    return find_leaks(docs, benchmark, leaks_col=leaks, **{"null_ids": True} | options).where(F.size(leaks) == 0).drop(leaks)
