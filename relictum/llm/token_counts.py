@@ -87,5 +87,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
     misses.mapInArrow(encoder(kind, vocabulary, version, pattern), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select(F.col("digest").alias("__digest"), "n_tokens")
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
+    counts = counts.groupBy(F.col("digest").alias("__digest")).agg(F.min("n_tokens").alias("n_tokens"))  # two writers may have added a digest
     return keyed.join(counts, "__digest", "left").drop("__digest")
