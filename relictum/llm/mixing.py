@@ -2,61 +2,167 @@
 
 Tokens are added up by cell (source, language and topic class). Raking scales the cells until their shares meet the target
 marginals, no cell above what it holds; a document's probability is what its cell keeps over what it holds, so that the
-expected tokens meet the targets. Documents are then drawn by a hash of their id and text, alike on every run.
+expected tokens meet the targets. Documents are then drawn by a hash of their id and text, alike on every run. Targets that
+cannot be met, and raking that does not settle, are reported as a warning with the largest deviation of a share.
 
 A class is a value that the targets name; all other values, and null, are the class 'other', which gets what is left of 1.
 A marginal in `tempered` has more classes: every value found shares what is left of 1 by its tokens to that power, so each is
-raked whatever it is called. Values beyond the MOST_VALUES with most tokens are the class 'other'. So the number of cells is bounded by the targets, whatever the table holds, and the cells may be raked on the driver.
+raked whatever it is called. Values beyond the MOST_VALUES with most tokens are the class 'other'. So the number of cells is
+bounded by the targets, whatever the table holds, and the cells may be raked on the driver and broadcast.
 
-Defined cases: null and empty texts have no tokens and the probability of their cell (1 in a cell without tokens); targets
-of classes that the table lacks are spread over the others; an empty table gives an empty table; repeated rows share one
-decision; columns named like the added ones are replaced.
+Where no topic column exists, topics come from the texts (`fit_topics`): the principal axes of all texts' word profiles within
+their languages; a text belongs to the axis and side on which it stands out most. Tokens of a text are those of its words,
+each word encoded once a task (`describe_texts`).
+
+Defined cases: null and empty texts have no tokens, no topic (null), and the probability of their cell (1 in a cell without
+tokens); targets of classes that the table lacks are spread over the others; an empty table gives an empty table; repeated
+rows share one decision; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import itertools
+import warnings
+import zlib
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relictum.llm.common import materialize
+from relictum.llm.common import free_name, materialize
+from relictum.llm.token_counts import load_counter
 
 OTHER = "other"
-MAX_CELLS = 1_000_000
+MAX_CELLS = 100_000
 MOST_VALUES = 200
+DIMS = 256
+QUANTUM = 1 << 12
+DEVIATION = 0.01
 Targets = Mapping[str, Mapping[str, float]]
 
 
-def topic_by_form(text: Column) -> Column:
-    """A stand-in where no topic column exists: the form of a text."""
-    n = F.length(F.coalesce(text, F.lit("")))
-    return F.when(n < 600, "note").when(n < 6000, "article").otherwise("book")
-
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def rake(held: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = 1000, close: float = 1e-10) -> np.ndarray:
-    """What each cell should keep of the tokens that it holds."""
+def profile(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
+    """Square roots of hashed word counts, of length 1, in steps of 1 / QUANTUM so that sums hardly depend on their order."""
+    if len(place) > 500_000:
+        place.clear()
+    for w in words:
+        if w not in place:
+            place[w] = zlib.crc32(w) % DIMS
+    x = np.sqrt(np.bincount([place[w] for w in words], minlength=DIMS))
+    return np.round(x / np.sqrt(np.square(x).sum()) * QUANTUM) / QUANTUM
+
+
+@dataclass(frozen=True)
+class Topics:
+    """Means of the profiles of each group, and axes in units of their spread."""
+
+    means: dict[str, np.ndarray]
+    axes: np.ndarray
+
+    def name(self, group: str, x: np.ndarray) -> str:
+        y = (x - self.means.get(group, self.means[OTHER])) @ self.axes
+        k = int(np.argmax(np.abs(y)))
+        return f"topic{k}{'+' if y[k] > 0 else '-'}"
+
+
+def profile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each group of one task the number and the sum of its profiles, and for all the sums of their products."""
+    place: dict[bytes, int] = {}
+    sums: dict[str, np.ndarray] = {}
+    products = np.zeros((DIMS, DIMS))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            held = []
+            for group, text in zip(batch.column("group").slice(at, 256).to_pylist(), batch.column("text").slice(at, 256).to_pylist(), strict=True):
+                if words := (text or "").lower().encode("utf-8", "surrogatepass").split():
+                    held.append(profile(words, place))
+                    sums.setdefault(group, np.zeros(DIMS + 1))
+                    sums[group] += np.concatenate([[1.0], held[-1]])
+            if held:
+                products += np.array(held).T @ np.array(held)
+    for group, values in [*sums.items(), *([(None, products.ravel())] if sums else [])]:
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(values), pa.string()), pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], names=["group", "i", "total"])
+
+
+def fit_topics(docs: DataFrame, group: Column, *, text_col: str = "text", axes: int = 4) -> Topics:
+    """Topic axes of all texts. `group` is a column of few values (languages), whose means are taken out first."""
+    rows = docs.select(F.coalesce(group.cast("string"), F.lit(OTHER)).alias("group"), F.col(text_col).cast("string").alias("text"))
+    total = np.zeros((DIMS, DIMS))
+    sums: dict[str, np.ndarray] = {OTHER: np.zeros(DIMS + 1)}
+    for r in rows.mapInArrow(profile_sums, "group string, i int, total double").groupBy("group", "i").agg(F.sum("total").alias("total")).collect():
+        if r.group is None:
+            total.ravel()[r.i] = r.total
+        else:
+            sums.setdefault(r.group, np.zeros(DIMS + 1))[r.i] = r.total
+    n = sum(s[0] for s in sums.values())
+    means = {g: s[1:] / max(1.0, s[0]) for g, s in sums.items()}
+    if not sums[OTHER][0]:
+        means[OTHER] = sum(s[1:] for s in sums.values()) / max(1.0, n)
+    within = (total - sum(sums[g][0] * np.outer(m, m) for g, m in means.items())) / max(1.0, n)
+    value, vector = np.linalg.eigh(within)
+    vector = vector[:, ::-1][:, :axes]
+    vector = vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(axes)])
+    return Topics(means, vector / np.sqrt(np.maximum(value[::-1][:axes], 1e-9)))
+
+
+def describe_texts(docs: DataFrame, group: Column, topics: Topics, tokenizer_path: str, *, text_col: str = "text") -> DataFrame:
+    """`docs` without its texts, with topic, n_tokens and draw (a hash of the text). The vocabulary is read from the driver's installation."""
+    with open(tokenizer_path, "rb") as file:
+        vocabulary = file.read()
+    kind = tokenizer_path.rpartition(".")[2]
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        place: dict[bytes, int] = {}
+        tokens: dict[str, int] = {}
+        count: Callable[[list[str]], list[int]] | None = None
+        for groups, texts in batches:
+            count = count or load_counter(kind, vocabulary)
+            names, totals = [], []
+            for g, text in zip(groups, texts, strict=True):
+                words = (text.as_py() or "").split()
+                if len(tokens) > 500_000:
+                    tokens.clear()
+                if fresh := [w for w in dict.fromkeys(words) if w not in tokens]:
+                    tokens.update(zip(fresh, count(fresh), strict=True))
+                totals.append(sum([tokens[w] for w in words]))
+                low = (text.as_py() or "").lower().encode("utf-8", "surrogatepass").split()
+                names.append(topics.name(g.as_py(), profile(low, place)) if low else None)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(totals, pa.int64())], names=["topic", "n_tokens"])
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(run, "struct<topic:string,n_tokens:long>").asNondeterministic()
+    found = free_name(docs, "found")
+    read = docs.withColumn(found, udf(F.coalesce(group.cast("string"), F.lit(OTHER)), F.col(text_col).cast("string")))
+    return read.withColumns({"topic": F.col(f"{found}.topic"), "n_tokens": F.col(f"{found}.n_tokens"), "draw": F.xxhash64(F.col(text_col))}).drop(found)
+
+
+def rake(held: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = 1000, close: float = 1e-10) -> tuple[np.ndarray, float]:
+    """What each cell should keep of the tokens that it holds, and the largest deviation of a share from its target."""
     budget = keep * held.sum()
     goals = []
     for axis, share in enumerate(targets):
         there = held.sum(tuple(i for i in range(held.ndim) if i != axis)) > 0
         share = np.where(there, share, 0.0)
         goals.append(budget * (share / share.sum() if share.sum() else there / max(1, there.sum())))
+    margin = lambda x, axis: x.sum(tuple(i for i in range(held.ndim) if i != axis))
     kept = held * keep
     for _ in range(rounds):
         before = kept
         for axis, goal in enumerate(goals):
-            now = kept.sum(tuple(i for i in range(held.ndim) if i != axis))
+            now = margin(kept, axis)
             factor = np.divide(goal, now, out=np.ones_like(goal), where=now > 0)
             kept = np.minimum(kept * factor.reshape([-1 if i == axis else 1 for i in range(held.ndim)]), held)
         if np.abs(kept - before).max(initial=0) <= close * max(1.0, budget):
             break
-    return kept
+    away = max((np.abs(margin(kept, axis) - goal).max(initial=0) for axis, goal in enumerate(goals)), default=0.0) / max(1.0, budget)
+    return kept, float(away)
 
 
 def share_out(held: DataFrame, declared: Mapping[str, float], power: float) -> dict[str, float]:
@@ -72,31 +178,39 @@ def share_out(held: DataFrame, declared: Mapping[str, float], power: float) -> d
     return dict(declared) | {v: left * w / whole if whole else 0.0 for v, w in weight.items()}
 
 
-def mix_sources(docs: DataFrame, targets: Targets, *, columns: Mapping[str, Column], keep: float = 0.5, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, tempered: Mapping[str, float] | None = None) -> DataFrame:
-    """`docs` with n_tokens, probability and selected. `columns` gives the column of each marginal in `targets`; `tempered`
-    gives the power of those in which every value is a class."""
+def mix_sources(docs: DataFrame, targets: Targets, *, columns: Mapping[str, Column], keep: float = 0.5, tokens: Column | None = None, draw: Column | None = None, text_col: str = "text", id_col: str = "doc_id", seed: int = 17, tempered: Mapping[str, float] | None = None) -> DataFrame:
+    """`docs` with n_tokens, probability and selected. `columns` gives the column of each marginal in `targets`, `tokens` the
+    tokens of a row (words of the text, if not given), `draw` what decides besides the id (the text); `tempered` gives the
+    power of those marginals in which every value is a class."""
     names = list(targets)
-    if tempered:
-        docs = docs.drop("n_tokens", "probability", "selected")
-        counted = docs.select(*[columns[m].alias(f"__{m}") for m in tempered], word_count(F.col(text_col)).alias("n_tokens"))
-        targets = dict(targets) | {m: share_out(materialize(counted.groupBy(F.col(f"__{m}").alias("value")).agg(F.sum("n_tokens").alias("held")), "held"), targets[m], power) for m, power in tempered.items()}
+    tokens = F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else word_count(F.col(text_col))
+    classes = {m: free_name(docs, f"class_{m}") for m in names}
+    own = {m: columns[m].cast("string") for m in names}
+    lot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), draw if draw is not None else F.col(text_col)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    held_by = docs.select(*[own[m].alias(classes[m]) for m in names], tokens.alias("n")).groupBy(*classes.values()).agg(F.sum("n").alias("held"))
+    held_by = materialize(held_by, "cells")  # one pass over the documents serves every sum
+    targets = dict(targets)
+    for m, power in (tempered or {}).items():
+        targets[m] = share_out(held_by.groupBy(F.col(classes[m]).alias("value")).agg(F.sum("held").alias("held")), targets[m], power)
     values = {m: [v for v in targets[m] if v != OTHER] + [OTHER] for m in names}
     if np.prod([len(v) for v in values.values()]) > MAX_CELLS:
         raise ValueError(f"the targets make more than {MAX_CELLS} cells")
     shares = []
     for m in names:
-        own = [float(targets[m][v]) for v in values[m][:-1]]
-        shares.append(np.array([*own, float(targets[m].get(OTHER, max(0.0, 1.0 - sum(own))))]))
-    classes = {f"__{m}": F.when(columns[m].isin(*values[m][:-1]), columns[m]).otherwise(F.lit(OTHER)) if len(values[m]) > 1 else F.lit(OTHER) for m in names}
-    counted = docs.drop("n_tokens", "probability", "selected").withColumns({**classes, "n_tokens": word_count(F.col(text_col))})
+        given = [float(targets[m][v]) for v in values[m][:-1]]
+        shares.append(np.array([*given, float(targets[m].get(OTHER, max(0.0, 1.0 - sum(given))))]))
+    classed = {m: F.when(c.isin(*values[m][:-1]), c).otherwise(F.lit(OTHER)) if len(values[m]) > 1 else F.lit(OTHER) for m, c in ((m, F.col(classes[m])) for m in names)}
     held = np.zeros([len(values[m]) for m in names])
-    for r in counted.groupBy(*classes).agg(F.sum("n_tokens").alias("held")).collect():  # at most one row for each cell
-        held[tuple(values[m].index(r[f"__{m}"]) for m in names)] = r.held or 0
-    kept = rake(held, shares, keep)
-    probability = np.where(held > 0, np.divide(kept, held, out=np.ones_like(held), where=held > 0), 1.0)
-    cells = F.array(*[F.lit(float(p)) for p in probability.ravel()])
-    place = F.lit(0)
-    for m in names:
-        place = place * len(values[m]) + F.array_position(F.array(*[F.lit(v) for v in values[m]]), F.col(f"__{m}")).cast("int") - 1
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    return counted.withColumn("probability", F.get(cells, place)).withColumn("selected", draw < F.col("probability")).drop(*classes)
+    for r in held_by.select(*[classed[m].alias(classes[m]) for m in names], "held").groupBy(*classes.values()).agg(F.sum("held").alias("held")).collect():  # at most one row for each cell
+        held[tuple(values[m].index(r[classes[m]]) for m in names)] = r.held or 0
+    kept, away = rake(held, shares, keep)
+    if away > DEVIATION:
+        warnings.warn(f"raking leaves a share {away:.3f} away from its target", stacklevel=2)
+    chances = np.divide(kept, held, out=np.ones_like(held), where=held > 0)
+    rows = [(*key, float(p)) for key, p in zip(itertools.product(*values.values()), chances.ravel(), strict=True) if p != 1.0]
+    schema = ", ".join([*(f"`{c}` string" for c in classes.values()), "__probability double"])
+    cells = docs.sparkSession.createDataFrame(rows, schema)  # at most MAX_CELLS rows
+    out = docs.withColumns({**{classes[m]: own[m] for m in names}, "n_tokens": tokens})
+    out = out.withColumns({classes[m]: classed[m] for m in names}).join(F.broadcast(cells), list(classes.values()), "left")
+    out = out.withColumn("probability", F.coalesce("__probability", F.lit(1.0))).drop("__probability", *classes.values())
+    return out.withColumn("selected", lot < F.col("probability"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relictum.llm.common import held_out, table
+from relictum.llm.common import held_out, materialize, table
 from relictum.llm.decontaminate import find_leaks
 from relictum.llm.embedding_dedup import embedding_components
 from relictum.llm.html_text import extract_text, fit_dom_model, sample_pages
-from relictum.llm.mixing import mix_sources, topic_by_form
+from relictum.llm.mixing import describe_texts, fit_topics, mix_sources
 from relictum.llm.quality import fit_quality, score_quality
 from relictum.llm.secret_scan import joined_spans, scan_secrets
 from relictum.llm.simhash import simhash_components
@@ -21,24 +21,33 @@ from relictum.llm.toxicity import fit_toxicity, score_toxicity
 
 TOKEN_LIMIT = 4096
 QUALITY_THRESHOLD = 0.3
+TOKENIZER = "piece_bpe_32k.model"
+#: The hot source is held down; other sources, and topics, share what is left by the square root of their tokens.
 MIX_TARGETS = {
     "source": {"src0": 0.15},
     "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
-    "topic": {"note": 0.1, "article": 0.5, "book": 0.4},
+    "topic": {},
 }
-#: Sources without a target of their own share what is left by the square root of their tokens.
-MIX_TEMPERED = {"source": 0.5}
+MIX_TEMPERED = {"source": 0.5, "topic": 0.5}
 
 
-def mix_columns() -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_by_form(F.col("text"))}
+def tokenizer_path() -> str:
+    import public_tokenizers
 
+    return str(public_tokenizers.path(TOKENIZER))
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
 
+def mixed(docs: DataFrame, *, texts: bool) -> DataFrame:
+    """Documents, with or without their texts, with topic, n_tokens, probability and selected."""
+    described = describe_texts(docs, F.col("lang"), fit_topics(docs, F.col("lang")), tokenizer_path())
+    described = materialize(described if texts else described.drop("text"), "described")
+    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic")}
+    return mix_sources(described, MIX_TARGETS, columns=columns, tempered=MIX_TEMPERED, tokens=F.col("n_tokens"), draw=F.col("draw")).drop("draw")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = token_counts(docs, str(public_tokenizers.path("piece_bpe_32k.model")))
+    counts = token_counts(docs, tokenizer_path())
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
@@ -57,8 +66,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    mixed = mix_sources(docs, MIX_TARGETS, columns=mix_columns(), tempered=MIX_TEMPERED)
-    return mixed.select("doc_id", "source", "lang", topic_by_form(F.col("text")).alias("topic"), "n_tokens", "probability", "selected")
+    return mixed(docs, texts=False).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "selected")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
