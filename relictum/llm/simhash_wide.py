@@ -1,11 +1,13 @@
-"""Near-duplicates by similarity of word shingles: candidates through wide SimHash fingerprints, decided on the shingles.
+"""Near-duplicates by similarity of word shingles: candidates through Golay-coded wide fingerprints, decided on the shingles.
 
 Copies that share four fifths of their five-word shingles differ in five to ten of 64 bits, beyond what Golay decoding of
-three segments reaches. So texts get WIDE bits here, from their distinct three-word shingles, and tables of sampled bits
-take the place of codewords. A pair at `similarity` differs in an expected share of bits, most when its change is one run
-of words; the number of tables follows from that share and the wanted `recall`, the bits of a table from the number of
-texts, so that buckets stay small and recall stays the same at every size. Fingerprints in one bucket are compared in full;
-those within the share and SPARE standard deviations are candidates, and each bucket sends on a spanning forest of them.
+three segments reaches. So texts get WIDE bits here, from their distinct three-word shingles, and each table cuts segments
+of 23 bits out of them in an order of its own. A segment is decoded to its nearest Golay codeword, so that words which differ
+in a few bits mostly share the 12-bit index; the indices, and single bits for the rest, make the table's key. A pair at
+`similarity` differs in an expected share of bits, most when its change is one run of words; the number of tables follows
+from that share and the wanted `recall`, the bits of a key from the number of texts, so that buckets stay small and recall
+stays the same at every size. Fingerprints in one bucket are compared in full; those within the share and SPARE standard
+deviations are candidates, and each bucket sends on a spanning forest of them.
 
 Candidates only bring texts together: in each component of candidates the sets of five-word shingles are compared, and
 only pairs of that Jaccard similarity link. Buckets and components beyond a bound are cut into chunks, and every two chunks
@@ -24,18 +26,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relictum.llm.common import connected_components, materialize, text_udf
-from relictum.llm.simhash import shingle_hashes
+from relictum.llm.common import connected_components, free_name, materialize, slots, text_key, text_udf, with_maybe
+from relictum.llm.simhash import Golay, shingle_hashes
 
 WIDE = 256
 WORDS = WIDE // 64
 HELD = 20_000
 SPARE = 2.5
 TABLES_AT_ONCE = 24
-CHUNK_ROWS, CHUNK_SHINGLES = 2_000, 1 << 20
+CHUNK_ROWS, CHUNK_SHINGLES = 500, 1 << 20
+PRINT = [f"w{k}" for k in range(WORDS)]
+KEYS = "key long, node long, " + ", ".join(f"{w} long" for w in PRINT)
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -81,34 +85,52 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def same_codeword(share: float) -> float:
+    """Chance that two words of 23 bits whose bits differ with chance `share` have the same nearest codeword: the sum over all
+    pairs of error patterns of at most three bits (i of one, j of the other, o in common)."""
+    patterns = ((i, j, o) for i in range(4) for j in range(4) for o in range(min(i, j) + 1))
+    return sum(math.comb(23, i) * math.comb(i, o) * math.comb(23 - i, j - o) * share ** (i + j - 2 * o) * (1 - share) ** (23 - i - j + 2 * o) for i, j, o in patterns) / 2048
+
+
 def tables_for(n: int, share: float, recall: float) -> tuple[int, int]:
-    """(bits of a table, number of tables)."""
+    """(bits of a key, number of tables)."""
     bits = min(60, max(16, math.ceil(math.log2(max(2, n))) + 2))
-    hit = (1 - share) ** bits
+    hit = same_codeword(share) ** (bits // 12) * (1 - share) ** (bits % 12)
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
 def sampled_keys(bits: int, first: int, last: int, seed: int = 11):
-    """Keys of the tables first .. last - 1."""
-    tables = last - first
+    """Keys of the tables first .. last - 1: an index of 12 bits for each segment, then single bits."""
+    segments, single = divmod(bits, 12)
     rng = np.random.default_rng(seed)
-    chosen = [rng.choice(WIDE, bits, replace=False) for _ in range(last)][first:]
-    weights = 1 << np.arange(bits, dtype=np.int64)
+    order = [rng.permutation(WIDE)[: 23 * segments + single] for _ in range(last)][first:]
+    tables = last - first
+    pick = np.zeros((segments + 1, WIDE, tables))  # sums of powers of two, exact in double precision
+    for t, places in enumerate(order):
+        for k in range(segments):
+            pick[k, places[23 * k : 23 * k + 23], t] = 2.0 ** np.arange(23)
+        pick[segments, places[23 * segments :], t] = 2.0 ** np.arange(single)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Golay()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 raw = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE // 8)
-                on = np.unpackbits(raw, axis=1)
-                values = np.concatenate([on[:, c].astype(np.int64) @ weights for c in chosen])
-                table = np.repeat(np.arange(first, last), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(table), pa.array(values), pa.concat_arrays([part.column("node")] * tables), pa.concat_arrays([part.column("wide")] * tables)], names=["bucket", "value", "node", "wide"])
+                on = np.unpackbits(raw, axis=1).astype(np.float64)
+                value = (on @ pick[segments]).astype(np.int64)
+                for k in range(segments):
+                    value = value << 12 | code.index((on @ pick[k]).astype(np.int64))
+                # one number for table and value: where two fall together, rows meet that then prove unlike
+                key = ((value.T.view(np.uint64) << np.uint64(12)) ^ np.arange(first, last, dtype=np.uint64)[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+                words = np.frombuffer(raw.tobytes(), np.int64).reshape(-1, WORDS)
+                columns = [key.ravel().view(np.int64), np.tile(part.column("node").to_numpy(), tables), *(np.tile(words[:, k], tables) for k in range(WORDS))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", *PRINT])
 
     return run
 
 
-FOREST = "a long, b long, bucket long, value long, chunk int, wide binary"
+FOREST = "a long, b long, key long, chunk int, " + ", ".join(f"{w} long" for w in PRINT)
 
 
 def grow(n: int, near_of: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -127,20 +149,22 @@ def grow(n: int, near_of: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple
 
 
 def bucket_forest(most: int, held_rows: int = HELD):
-    """Rows (bucket, value, node, wide) come sorted by the first two; links leave as (a, b). A bucket beyond `held_rows` is
-    cut into chunks: their own links leave, and all their rows (as a), so that every two chunks can meet (`chunk_pairs`)."""
+    """Rows (key, node, print) come sorted by key; links leave as (a, b). A bucket beyond `held_rows` is cut into chunks: their
+    own links leave, and all their rows (as a), so that every two chunks can meet (`chunk_pairs`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         chunk = 0
+        ended = None
         a: list[int] = []
         b: list[int] = []
 
-        def out(a, b=None, bucket=None, value=None, chunk=None, wide=None) -> pa.RecordBatch:
+        def out(a, b=None, key=None, chunk=None, wide=None) -> pa.RecordBatch:
             n = len(a)
             column = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x, kind)
+            prints = [None if wide is None else np.ascontiguousarray(wide[:, k]).view(np.int64) for k in range(WORDS)]
             names = [x.split()[0] for x in FOREST.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), column(b, pa.int64()), column(bucket, pa.int64()), column(value, pa.int64()), column(chunk, pa.int32()), column(wide, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), column(b, pa.int64()), column(key, pa.int64()), column(chunk, pa.int32()), *(column(x, pa.int64()) for x in prints)], names=names)
 
         def link(node: np.ndarray, wide: np.ndarray) -> None:
             for x, y in grow(len(node), lambda x, left: np.bitwise_count(wide[left] ^ wide[x]).sum(1) <= most):
@@ -148,23 +172,28 @@ def bucket_forest(most: int, held_rows: int = HELD):
                 b.append(int(node[y]))
 
         def settle(columns: list[np.ndarray]) -> None:
-            bucket, value, node, wide = columns
-            cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (value[1:] != value[:-1]), [True]]))
-            for i in np.flatnonzero(np.diff(cut) > 1):
+            key, node, wide = columns
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            size = np.diff(cut)
+            two = cut[:-1][size == 2]  # most buckets
+            two = two[np.bitwise_count(wide[two] ^ wide[two + 1]).sum(1) <= most]
+            a.extend(node[two].tolist())
+            b.extend(node[two + 1].tolist())
+            for i in np.flatnonzero(size > 2):
                 link(node[cut[i] : cut[i + 1]], wide[cut[i] : cut[i + 1]])
 
         def part(columns: list[np.ndarray]) -> pa.RecordBatch:
-            bucket, value, node, wide = columns
+            key, node, wide = columns
             link(node, wide)
-            return out(node, None, bucket, value, np.full(len(node), chunk), [x.tobytes() for x in wide])
+            return out(node, None, key, np.full(len(node), chunk), wide)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WORDS)
-            columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "value", "node")), wide]
+            wide = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in PRINT], axis=1).view(np.uint64)
+            columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node")), wide]
             if chunk:  # the bucket before this batch is one in chunks, and what is kept of it is its latest chunk
-                same = (columns[0] == ended[0]) & (columns[1] == ended[1])
+                same = columns[0] == ended
                 own = len(same) if same.all() else int(np.argmin(same))
                 if own < len(same):
                     kept = [np.concatenate([x, y[:own]]) for x, y in zip(kept, columns, strict=True)]
@@ -173,12 +202,12 @@ def bucket_forest(most: int, held_rows: int = HELD):
                     kept, chunk, columns = None, 0, [c[own:] for c in columns]
             if kept is not None:
                 columns = [np.concatenate([x, y]) for x, y in zip(kept, columns, strict=True)]
-            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
-            begin = int(np.argmax(last))
-            settle([c[:begin] for c in columns]) if begin else None
+            begin = int(np.argmax(columns[0] == columns[0][-1]))
+            if begin:
+                settle([c[:begin] for c in columns])
             kept = [c[begin:] for c in columns]
             while len(kept[0]) > held_rows:
-                ended = (kept[0][0], kept[1][0])
+                ended = kept[0][0]
                 yield part([c[:held_rows] for c in kept])
                 kept, chunk = [c[held_rows:] for c in kept], chunk + 1
             if len(a) > 50_000:
@@ -205,15 +234,16 @@ def chunk_pairs(rows: DataFrame, whole: list[str], chunk: str, chunks: str) -> D
 def candidates(distinct: DataFrame, most: int, bits: int, tables: int) -> DataFrame:
     """Links (a, b) of nodes whose fingerprints share a bucket and differ in at most `most` bits; some tables at a time."""
     found = []
+    met = lambda rows, forest: rows.repartition("key").sortWithinPartitions("key").mapInArrow(forest, FOREST)
     for first in range(0, tables, TABLES_AT_ONCE):
-        keys = distinct.select("node", "wide").mapInArrow(sampled_keys(bits, first, min(tables, first + TABLES_AT_ONCE)), "bucket long, value long, node long, wide binary")
-        found.append(materialize(keys.repartition("bucket", "value").sortWithinPartitions("bucket", "value").mapInArrow(bucket_forest(most), FOREST), "candidates"))
-        over = found[-1].where("wide is not null")
+        keys = distinct.select("node", "wide").mapInArrow(sampled_keys(bits, first, min(tables, first + TABLES_AT_ONCE)), KEYS)
+        found.append(materialize(met(keys, bucket_forest(most)), "candidates"))
+        over = found[-1].where("b is null")
         if not over.isEmpty():
-            chunks = over.groupBy("bucket", "value").agg((F.max("chunk") + 1).alias("chunks"))
-            pairs = chunk_pairs(over.join(chunks, ["bucket", "value"]).select("bucket", "value", "chunk", "chunks", F.col("a").alias("node"), "wide"), ["bucket", "value"], "chunk", "chunks")
-            pairs = pairs.select(F.xxhash64("bucket", "value").alias("bucket"), F.xxhash64("value", "bucket", "i", "j").alias("value"), "node", "wide")
-            found.append(materialize(pairs.repartition("bucket", "value").sortWithinPartitions("bucket", "value").mapInArrow(bucket_forest(most, held_rows=1 << 62), FOREST), "chunks"))
+            chunks = over.groupBy("key").agg((F.max("chunk") + 1).alias("chunks"))
+            pairs = chunk_pairs(over.join(chunks, "key").select("key", "chunk", "chunks", F.col("a").alias("node"), *PRINT), ["key"], "chunk", "chunks")
+            pairs = pairs.select(F.xxhash64("key", "i", "j").alias("key"), "node", *PRINT)
+            found.append(materialize(met(pairs, bucket_forest(most, held_rows=1 << 62)), "chunks"))
     return functools.reduce(DataFrame.unionByName, found).where("b is not null").select("a", "b").distinct()
 
 
@@ -256,17 +286,18 @@ def decided(similarity: float):
     return run
 
 
-def text_key(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+def known_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every text read once: (doc_id, key, wide, digest), `key` for the text and `digest` for its set of shingles."""
+    known = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), text_udf(wide_array, "struct<wide:binary,digest:binary>")(F.col(text_col)).alias("p"))
+    return materialize(known.select("doc_id", "key", "p.*"), "prints")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.98, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One row for each distinct set of shingles: root (the group's key), and the least (none, id, key) of its rows, `none`
-    for a null id and `key` for the text."""
-    known = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), text_udf(wide_array, "struct<wide:binary,digest:binary>")(F.col(text_col)).alias("p"))
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.98, chunk_rows: int = CHUNK_ROWS, known: DataFrame | None = None) -> DataFrame:
+    """One row for each distinct set of shingles: digest, root (the group's key), and the least (none, id, key) of its rows,
+    `none` for a null id and `key` for the text."""
+    known = known_prints(docs, id_col, text_col) if known is None else known
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("least")
-    known = materialize(known.select("doc_id", "key", "p.*"), "prints")
-    distinct = known.groupBy("digest").agg(F.first("wide").alias("wide"), least).drop("digest").withColumn("node", F.monotonically_increasing_id())
+    distinct = known.groupBy("digest").agg(F.first("wide").alias("wide"), least).withColumn("node", F.monotonically_increasing_id())
     distinct = materialize(distinct, "wide")  # written, so that the numbers stay
     share = differing_share(similarity)
     most = math.floor(WIDE * share + SPARE * math.sqrt(WIDE * share * (1 - share)))
@@ -274,7 +305,9 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     roots = connected_components(candidates(distinct, most, bits, tables))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     members = materialize(distinct.join(members, "node").select("node", "root", F.col("least.id").alias("id"), F.col("least.key").alias("key")), "members")
+    # only texts that the bitmap of members may hold are dealt out
     texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("__key"), F.col(text_col).alias("text"))
+    texts = with_maybe(texts, slots(members, "key", "id"), "__maybe", F.col("__key"), F.col("doc_id")).where("__maybe")
     texts = texts.join(members, (F.col("__key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = texts.select("node", "root", text_udf(sets_array, "binary")(F.col("text")).alias("set"))
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
@@ -283,13 +316,22 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     pairs = chunk_pairs(cut, ["root"], "chunk", "chunks").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = materialize(pairs.mapInArrow(decided(similarity), "a long, b long").distinct(), "links")
     found = connected_components(links)
-    return materialize(distinct.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least"), "similar")
+    return materialize(distinct.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "least"), "similar")
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **options) -> DataFrame:
-    """One row of each group: that of the smallest id, and among rows of that id that of the smallest text key; a null id is last."""
-    groups = similar_groups(docs, id_col=id_col, text_col=text_col, similarity=similarity, **options)
-    best = materialize(groups.groupBy("root").agg(F.min("least").alias("best")).select("best.id", "best.key"), "best")
-    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
-    kept = keyed.join(best, (F.col("__key") == F.col("key")) & F.col(id_col).eqNullSafe(F.col("id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+    """One row of each group: that of the smallest id, and among rows of that id that of the smallest text key; a null id is
+    last. Rows that are no copy pass as they are; only those that may be one are dealt out."""
+    known = known_prints(docs, id_col, text_col)
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, similarity=similarity, known=known, **options)
+    best = materialize(groups.groupBy("root").agg(F.min("least").alias("best")), "best")
+    placed = materialize(groups.select("digest", "root").join(best, "root").select("digest", "best"), "placed")
+    rows = known.groupBy("doc_id", "key", "digest").agg(F.count(F.lit(1)).alias("n")).join(placed, "digest")
+    stays = (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.id"))
+    touched = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), stays.alias("__stays"), "n").where("n > 1 or not __stays").drop("n")
+    touched = materialize(touched, "touched")
+    key, maybe = free_name(docs, "text_key"), free_name(docs, "maybe")
+    flagged = with_maybe(docs.withColumn(key, text_key(F.col(text_col))), slots(touched, "__key", "__id"), maybe, F.col(key), F.col(id_col))
+    hit = flagged.where(F.col(maybe))
+    hit = hit.join(touched, (hit[key] == touched["__key"]) & hit[id_col].eqNullSafe(touched["__id"]), "left").where("__stays is null or __stays").select(*flagged.columns)
+    return flagged.where(~F.col(maybe)).unionByName(hit.dropDuplicates([id_col, key])).drop(key, maybe)
