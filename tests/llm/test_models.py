@@ -12,7 +12,7 @@ import pytest
 
 from relictum.llm import toxicity as T
 from relictum.llm.common import clear_tables, connected_components, held_out, materialize, workdir
-from relictum.llm.embedding_dedup import embedding_components
+from relictum.llm.embedding_dedup import embedding_components, near_tiles
 from relictum.llm.html_text import extract_text, fit_dom_model, label_nodes, made_page, parse, sample_pages
 from relictum.llm.mixing import mix_sources, rake
 from relictum.llm.quality import FEATURES, fit_quality, score_quality, statistics
@@ -54,6 +54,32 @@ def test_quality_on_held_out_rows(spark):
     assert right > 0.95
 
 
+def test_scores_are_those_of_a_plain_discriminant(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, labels)
+    known = docs.join(labels, "doc_id").where(~held_out(F.col("doc_id"))).select("text", "quality").collect()
+    x, y = np.array([statistics(r.text) for r in known]), np.array([r.quality for r in known])
+    pooled = sum((y == k).sum() * np.cov(x[y == k].T, bias=True) for k in (0, 1)) / len(y)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    density = []
+    for k in (0, 1):
+        own = np.cov(x[y == k].T, bias=True) / np.outer(scale, scale)
+        cov = 0.88 * own + 0.1 * pooled / np.outer(scale, scale) + (0.02 * np.trace(own) / FEATURES + 1e-4) * np.eye(FEATURES)
+        away = (x - x[y == k].mean(0)) / scale
+        density.append(np.log(((y == k).sum() + 1) / (len(y) + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (away @ np.linalg.inv(cov) * away).sum(1))
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500))), atol=1e-6)
+
+
+def test_labels_that_disagree_are_left_out(spark):
+    from relictum.llm.common import drawn_labels
+
+    learnt = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5]
+    one, two = [i for i in learnt if i % 2][:2]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(one, 0), (two, 1)], "doc_id long, quality int")
+    drawn, n, share = drawn_labels(labels, "quality", 10**6)
+    assert sorted(r.doc_id for r in drawn.collect()) == [i for i in learnt if i != one] and sum(n) == len(learnt) - 1 and share == [1.0, 1.0]
+
+
 def test_quality_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (5, None), (None, 1), (6, 7)], "doc_id long, quality int")
     for docs in (odd_docs, odd_docs.withColumn("score", F.lit("x"))):
@@ -109,6 +135,40 @@ def test_quotation_counts_less_than_abuse():
     assert direct[0] > bare[0] > quoted[0] == 0 and quoted[2] > 0
 
 
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    return T.fit_toxicity(docs, labels)
+
+
+def test_misspelt_short_terms_are_hits():
+    m = T.Matcher(["idiot$", "moron$", "scum$"], [5.0] * 3, frozenset({"scam"}))
+    clean = m.features("what a nice day it is")
+    for word in ("iddiot", "idi0t", "mor0n", "morn", "scumm"):
+        assert m.features(f"what an {word} that is")[:2] > clean[:2], word
+    for word in ("scam", "boron", "idea", "radiot"):
+        assert m.features(f"what an {word} that is") == clean, word
+
+
+def test_marks_pair_within_a_quotation():
+    assert T.quotations('he "said this" and then "that" too'.split()) == [(1, 2), (5, 5)]
+    m = T.Matcher(["idiot$"], [5.0])
+    between = m.features('the "first" one an idiot the "second" one')
+    assert between[0] > 0 and between[2] == 0
+
+
+def test_scores_are_those_of_the_features(toxic_model):
+    """The score from its parts: hits by edit distance, contexts, and the logistic model."""
+    terms, text = toxic_model.terms, "you are a %s and so it goes on"
+    whole = next(t for t in terms if t.endswith("$"))
+    words = (text % whole.rstrip("$")).split()
+    hits = [i for i, w in enumerate(words) if any(plain_distance(t.rstrip("$"), w) <= T.allowed_edits(t) and w not in toxic_model.clean if t.endswith("$") else w.startswith(t) for t in terms)]
+    x = np.array([T.Matcher(list(terms), list(toxic_model.weights), toxic_model.clean).features(text % whole.rstrip("$"))])
+    assert hits == [3] and abs(x[0][0] - np.log1p(1.25)) < 1e-9 and abs(x[0][5] - (1.25 / 9) ** 0.5) < 1e-9
+    z = x[0] @ np.array(toxic_model.coefficients[:-1]) + toxic_model.coefficients[-1]
+    assert abs(toxic_model.scores(x)[0] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     scored = T.score_toxicity(docs, T.fit_toxicity(docs, labels)).where(held_out(F.col("doc_id"))).join(labels, "doc_id")
@@ -133,7 +193,7 @@ def dom_model(spark):
 
 def test_unseen_made_pages(dom_model):
     right = sum(dom_model.extract(p) == t for p, t in (made_page(10_000 + i) for i in range(200)))
-    assert right >= 160
+    assert right >= 190
 
 
 def test_messages_give_exact_marginals(dom_model):
@@ -141,7 +201,7 @@ def test_messages_give_exact_marginals(dom_model):
     from itertools import product
 
     nodes = parse('<div class="x"><p>One two.</p><nav><a href="/">three</a></nav></div>')
-    own = [dom_model.evidence(nodes, i) for i in range(len(nodes))]
+    own = dom_model.evidence(nodes)
     total, each = 0.0, np.zeros((len(nodes), 3))
     for labels in product(range(3), repeat=len(nodes)):
         p = dom_model.root[labels[0]]
@@ -168,6 +228,38 @@ def test_page_cases(dom_model, page):
     assert dom_model.extract(page) == CASES[page]
 
 
+def blocks_of(page: str) -> list[str]:
+    return [n.text for n in parse(page) if n.text is not None]
+
+
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        ("<html><head><title>t</title><div>hello world</div><p>para</p></html>", ["hello world", "para"]),
+        ("<head> words<p>x", ["words", "x"]),
+        ('<p>one</p><a href="x>two</a>', ["one", "two"]),
+        ("<p>a < b</p><!--> c <!-- x --> d </> e", ["a < b", "c d e"]),
+        ('<p title="a > b">c</p>', ["c"]),
+        ("<p>kept</p><div class='x", ["kept"]),
+    ],
+)
+def test_broken_markup(page, blocks):
+    assert blocks_of(page) == blocks
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b>x", "<div>", "</x>", '<a href="x>', "<p><svg>", "<li><ul>", "<title", "&amp"])
+def test_a_megabyte_of_one_piece_is_read_quickly(piece):
+    import time
+
+    begun = time.process_time()
+    parse(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - begun < 20
+
+
+def test_text_below_very_deep_elements_stays():
+    assert blocks_of("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after</p>") == ["deep", "after"]
+
+
 def test_pages_over_spark(spark, dom_model):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>" * 3000 + "x"), (4, "<!-- never closed <p>a"), (5, "<div" * 50)], "page_id long, html string").withColumn("text", F.lit(1))
     got = {r.page_id: r.text for r in extract_text(pages, dom_model).collect()}
@@ -225,12 +317,84 @@ def test_embeddings_match_all_pairs(spark):
 # mixing
 
 
+def test_huge_and_tiny_vectors_link_and_ids_may_repeat(spark):
+    rows = [(1, [3e200, 1e200], 0), (2, [3e200, 1.01e200], 0), (3, [3e-200, 1e-200], 0), (4, [0.0, 1.0], 0), (4, [3.0, 1.0], 0)]
+    got = sorted(map(tuple, embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (4, 3, 1, False)]
+
+
+@pytest.mark.parametrize("width", [0.2, 0.05])
+def test_tiles_meet_wherever_their_boxes_are_near(spark, width):
+    r = random.Random(6)
+    boxes = []
+    for i in range(60):
+        low = [r.uniform(-1, 1), r.uniform(-1, 1), r.uniform(-1, 1)]
+        boxes.append((f"t{i:02}", "x", 3, low, [a + r.choice((0, 0.01, 0.3)) for a in low]))
+    gap = lambda a, b: sum(max(0, a[3][k] - b[4][k], b[3][k] - a[4][k]) ** 2 for k in range(3))
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] <= b[0] and gap(a, b) <= width * width}
+    got = near_tiles(spark.createDataFrame(boxes, "tile string, label string, d int, low array<double>, high array<double>"), width * width, width)
+    assert sorted((x.tile_a, x.tile_b) for x in got.collect()) == sorted(want)
+
+
 def test_raking_meets_margins():
     held = np.array([[400.0, 100], [50, 450]])
-    kept = rake(held, [np.array([0.5, 0.5]), np.array([0.6, 0.4])], 0.4)
+    kept, away = rake(held, [np.array([0.5, 0.5]), np.array([0.6, 0.4])], 0.4)
+    assert away < 1e-4
     assert np.allclose(kept.sum(1), [200, 200], rtol=1e-4) and np.allclose(kept.sum(0), [240, 160], rtol=1e-4) and (kept <= held + 1e-9).all()
 
 
+def plain_raking(held: dict, goals: list[dict], keep: float) -> dict:
+    """Iterative proportional fitting cell by cell."""
+    kept = {c: n * keep for c, n in held.items()}
+    budget = keep * sum(held.values())
+    for _ in range(2000):
+        for axis, goal in enumerate(goals):
+            for value, share in goal.items():
+                now = sum(n for c, n in kept.items() if c[axis] == value)
+                for c in kept:
+                    if c[axis] == value:
+                        kept[c] = min(held[c], kept[c] * share * budget / now)
+    return kept
+
+
+def test_raking_of_three_margins_is_the_plain_one():
+    r = random.Random(8)
+    held = {(a, b, c): float(r.randrange(50, 900)) for a in range(4) for b in range(3) for c in range(2)}
+    goals = [{0: 0.3, 1: 0.3, 2: 0.2, 3: 0.2}, {0: 0.5, 1: 0.3, 2: 0.2}, {0: 0.6, 1: 0.4}]
+    table = np.array([[[held[a, b, c] for c in range(2)] for b in range(3)] for a in range(4)])
+    kept, away = rake(table, [np.array(list(g.values())) for g in goals], 0.4)
+    want = plain_raking(held, goals, 0.4)
+    assert away < 1e-6 and all(abs(kept[c] - n) < 1e-3 for c, n in want.items())
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    docs = spark.createDataFrame([(i, "a b c", "rare" if i < 5 else "usual") for i in range(500)], "doc_id long, text string, source string")
+    with pytest.warns(UserWarning, match="away from its target"):
+        mixed = mix_sources(docs.withColumn("class_source", F.lit("own")), {"source": {"rare": 0.9}}, columns={"source": F.col("source")})
+    assert mixed.where("source = 'rare' and probability < 1").count() == 0 and mixed.where("class_source = 'own'").count() == 500
+
+
+def test_topics_tell_subjects_apart(spark):
+    from relictum.llm.mixing import describe_texts, fit_topics
+
+    r = random.Random(2)
+    subjects = [[f"{'xyz'[k]}{i}word" for i in range(30)] for k in range(3)]
+    rows = [(i, " ".join(r.choices(subjects[i % 3], k=60) + ["und"] * 10), "de") for i in range(300)] + [(300, None, "en"), (301, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = str(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    got = {x.doc_id: x for x in describe_texts(docs, F.col("lang"), fit_topics(docs, F.col("lang"), axes=2), path).collect()}
+    assert got[300].topic is None is got[301].topic and got[300].n_tokens == got[301].n_tokens == 0
+    groups = [{got[i].topic for i in range(k, 300, 3)} for k in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert all(abs(got[i].n_tokens - len(model.encode(rows[i][1]))) <= 1 for i in range(20))
+    empty = docs.limit(0)
+    assert describe_texts(empty, F.col("lang"), fit_topics(empty, F.col("lang")), path).count() == 0
+
+
 def test_mixture_is_close_to_its_targets(spark):
     docs = spark.createDataFrame([(i, words(i % 50, 40), "big" if i % 3 else "small", "en" if i % 2 else "de") for i in range(4000)], "doc_id long, text string, source string, lang string")
     mixed = mix_sources(docs, {"source": {"big": 0.4}, "lang": {"en": 0.5}}, columns={"source": F.col("source"), "lang": F.col("lang")}, keep=0.5)

@@ -211,7 +211,16 @@ def test_tables_keep_recall_as_the_table_grows():
     share = W.differing_share(0.8)
     for n in (10, 10**5, 10**10):
         bits, tables = W.tables_for(n, share, 0.98)
-        assert 1 - (1 - (1 - share) ** bits) ** tables >= 0.98 and 2**bits >= min(n, 2**60)
+        assert 1 - (1 - W.same_codeword(share) ** (bits // 12) * (1 - share) ** (bits % 12)) ** tables >= 0.98 and 2**bits >= min(n, 2**60)
+
+
+def test_chance_of_a_codeword_is_what_the_code_does():
+    rng = np.random.default_rng(3)
+    x, flips = rng.integers(0, 1 << 23, 100_000), np.zeros(100_000, np.int64)
+    for bit in range(23):
+        flips |= (rng.random(100_000) < 0.15).astype(np.int64) << bit
+    code = H.Golay()
+    assert abs((code.index(x) == code.index(x ^ flips)).mean() - W.same_codeword(0.15)) < 0.005
 
 
 @pytest.mark.parametrize("held", [20_000, 5])
@@ -275,9 +284,10 @@ def test_members_of_full_buckets_meet_every_later_row():
         x[i] = 255
         chain.append(bytes(x))
     order = [*range(0, 25, 2), *range(1, 25, 2)]
-    batch = pa.RecordBatch.from_pydict({"bucket": [0] * 25, "value": [7] * 25, "node": order, "wide": [chain[i] for i in order]}, pa.schema([("bucket", pa.int64()), ("value", pa.int64()), ("node", pa.int64()), ("wide", pa.binary())]))
+    prints = np.frombuffer(b"".join(chain[i] for i in order), np.int64).reshape(-1, W.WORDS)
+    batch = pa.RecordBatch.from_pydict({"key": np.full(25, 7), "node": order} | {w: prints[:, k].copy() for k, w in enumerate(W.PRINT)})
     rows = [r for b in W.bucket_forest(8, held_rows=4)(iter([batch.slice(0, 11), batch.slice(11)])) for r in b.to_pylist()]
-    over = [r for r in rows if r["wide"] is not None]
+    over = [r for r in rows if r["b"] is None]
     assert sorted(r["a"] for r in over) == list(range(25)) and np.bincount([r["chunk"] for r in over]).max() <= 4
 
 
