@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relictum.llm.common import materialize, table
+from relictum.llm.common import free_name, materialize, table
 from relictum.llm.decontaminate import drop_leaks
-from relictum.llm.queries import MIX_TARGETS, MIX_TEMPERED, QUALITY_THRESHOLD, mix_columns
-from relictum.llm.mixing import mix_sources
+from relictum.llm.queries import QUALITY_THRESHOLD, mixed
 from relictum.llm.quality import fit_quality, score_quality
 from relictum.llm.secret_scan import redact_secrets
 from relictum.llm.simhash_wide import drop_similar
@@ -17,7 +16,8 @@ from relictum.llm.simhash_wide import drop_similar
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, score_col="__score").where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+    score = free_name(docs, "score")
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= QUALITY_THRESHOLD).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by calibrated probabilities; an inverse probability weights each."""
-    mixed = mix_sources(docs, MIX_TARGETS, columns=mix_columns(), tempered=MIX_TEMPERED)
-    return mixed.where("selected").withColumn("weight", 1 / F.col("probability")).drop("selected")
+    return mixed(docs, texts=True).where("selected").withColumn("weight", 1 / F.col("probability")).drop("selected")
 
 
 STAGES = [
