@@ -173,9 +173,9 @@ def collapse_adjacent_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.collapse_adjacent(captures(spark, sf_dir)).select("capture_key", "timestamp", "digest", "ord")
 
 
-@query(f"with {CAPTURE} select capture_key, digest, min(ord) as first_seen, string_agg(timestamp, ',' order by ord) as timestamps from capture group by capture_key, digest")
+@query(f"with {CAPTURE} select capture_key, digest, min(ord) over (partition by capture_key, digest) as first_seen, ord, timestamp from capture")
 def distinct_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.distinct_digests(captures(spark, sf_dir)).withColumn("timestamps", F.array_join("timestamps", ","))
+    return C.distinct_digests(captures(spark, sf_dir))
 
 
 @query(f"with {CAPTURE} select capture_key, count(distinct digest) as digests from capture group by capture_key having count(distinct digest) > 1")
@@ -236,9 +236,18 @@ def asset_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets(spark, sf_dir).groupBy("capture_key").agg(F.count(F.lit(1)).alias("assets"), F.floor(F.sum(F.round(credit * 100)) / F.count(F.lit(1))).cast("double").alias("credit_hundredths"))
 
 
-@query("select c_custkey as capture_key from customer anti join orders on c_custkey = o_custkey")
+@query("select distinct c_custkey * 2 as capture_key from customer anti join orders on c_custkey * 2 = o_custkey")
 def asset_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.absent_keys(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("capture_key")), captures(spark, sf_dir))
+    return C.absent_keys(table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("capture_key")), captures(spark, sf_dir))
+
+
+@query("""
+with s as (select o_orderkey as ord, strftime(o_orderdate, '%Y%m%d%H%M%S') as timestamp, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') as iso, (o_orderkey * 2 + 1) * 37 % 500000 as away from orders)
+select ord, iso, case when away < 86400 then away || 's' else printf('%.1fd', away / 86400.0) end as away from s
+""")
+def iso_and_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("timestamp"))
+    return o.select("ord", T.iso_timestamp(F.col("timestamp")).alias("iso"), T.format_days((F.col("ord") * 2 + 1) * 37 % 500000).alias("away"))
 
 
 @query(f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from relictum.catalog.registry import cut, query, table
 from relictum.functions.address import blocked_address_reason, destination_refusal
 from relictum.operators import acquisition as A
+from relictum.operators import captures as C
 from relictum.operators import evidence as V
 from relictum.sources import cdx
 from relictum.sources.fixture import answer, read_fixture
@@ -97,17 +99,51 @@ def inventory_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", proves(True, "domain").alias("by_domain"), proves(True, "host").alias("by_host"), proves(True, "prefix").alias("by_prefix"), proves(False, "domain").alias("by_part"))
 
 
+#: Customers lead to their orders, orders to their parts, and a part to the one after it, ten parts in a row.
 @query("""
-with recursive edge as (select distinct c_custkey as src, c_custkey * 7 % 150 as dst from customer union select distinct o_custkey, o_custkey * 3 % 150 from orders),
-walk as (select cast(5 as bigint) as node, 0 as wave union select e.dst, w.wave + 1 from walk w join edge e on e.src = w.node where w.wave < 6)
+with recursive edge as (
+  select o_custkey as src, 10000000000 + o_orderkey as dst from orders union select 10000000000 + l_orderkey, 20000000000 + l_partkey from lineitem
+  union select 20000000000 + p_partkey, 20000000001 + p_partkey from part where p_partkey % 10 <> 9),
+walk as (select c_custkey as node, 0 as wave from customer where c_custkey % 20 = 0 union select e.dst, w.wave + 1 from walk w join edge e on e.src = w.node)
 select node, min(wave) as wave from walk group by node
 """)
 def worklist_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") * 7 % 150).alias("dst"))
-    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") * 3 % 150).alias("dst"))
-    edges = cut(a.union(b).distinct(), "edges")
-    roots = spark.createDataFrame([(5, 0)], "node long, ord long")
-    return A.waves(roots, edges, cut, max_waves=6).select("node", "wave")
+    order, part = 10_000_000_000, 20_000_000_000
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + order).alias("dst"))
+    b = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + order).alias("src"), (F.col("l_partkey") + part).alias("dst"))
+    c = table(spark, sf_dir, "part").where("p_partkey % 10 != 9").select((F.col("p_partkey") + part).alias("src"), (F.col("p_partkey") + part + 1).alias("dst"))
+    roots = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("node"), F.lit(0).alias("ord"))
+    return A.waves(roots, cut(a.union(b).union(c).distinct(), "edges"), cut).select("node", "wave")
+
+
+#: Pages as captures of a site: every fifth answers 503, every fifth leads elsewhere, every fifth is gone.
+@query("""
+with p as (select page_id, page_id % 5 as kind, case page_id % 5 when 1 then 3 when 2 then 2 else 1 end as requests from pages),
+run as (select *, sum(requests) over (order by page_id) as upto from p), stop as (select min(page_id) as halt from run where upto > 60)
+select 'http://site.example/' || page_id as original_url, case when page_id >= halt then 'unattempted' when kind in (1, 3) then 'failed' else 'fetched' end as status,
+  case when page_id >= halt then 'unattempted' when kind = 1 then 'rate-limited' when kind = 3 then 'not-archived' else 'ok' end as outcome, cast(case when page_id >= halt then 0 else requests end as bigint) as requests
+from run, stop
+""")
+def acquisition_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relictum.config import Project
+    from relictum.plans.acquire import Run
+    from relictum.workspace import own_folder
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://site.example/"), F.col("page_id").cast("string")).alias("url"), "html")
+    stamp = F.lit("19990101000000")
+    row = F.to_json(F.array(F.lit(""), stamp, F.col("url"), F.lit("text/html"), F.lit("200"), F.col("page_id").cast("string"), F.lit("1")))
+    header = F.lit(json.dumps(list(C.FIELDS)))
+    index = pages.select(F.col("page_id").alias("page_ord"), F.concat(F.lit("["), header, F.lit(","), row, F.lit("]")).alias("body"))
+    kind = F.col("page_id") % 5
+    status = F.get(F.array(*[F.lit(x) for x in (200, 503, 302, 404, 200)]), kind.cast("int"))
+    answers = pages.where("page_id % 5 != 2").select("url", status.alias("http_status"), F.lit(None).cast("string").alias("location"), "html")
+    moved = pages.where("page_id % 5 = 2").select("url", F.lit(302).alias("http_status"), F.concat(F.lit("/web/19990102000000/http://elsewhere.example/"), F.col("page_id").cast("string")).alias("location"), F.lit(None).cast("string").alias("html"))
+    target = pages.where("page_id % 5 = 2").select(F.concat(F.lit("http://elsewhere.example/"), F.col("page_id").cast("string")).alias("original_url"), F.lit("19990102000000").alias("timestamp"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("location"), F.col("html"))
+    here = answers.unionByName(moved).select(F.col("url").alias("original_url"), stamp.alias("timestamp"), "http_status", "location", "html")
+    responses = here.unionByName(target).withColumn("content_type", F.lit("text/html; charset=utf-8")).withColumn("body", F.col("html").cast("binary")).drop("html")
+    project = Project("site", "site.example", start="1999", end="1999", budgets=A.Budgets(max_requests=60, max_pages=1_000_000), reselection_attempts=0)
+    items = Run(spark, project, f"{own_folder(spark)}/{uuid.uuid4().hex}").execute(index, responses)["items"]
+    return items.select("original_url", "status", "outcome", "requests")
 
 
 TRIED = """
@@ -206,9 +242,12 @@ def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.evidence_counts(wide(spark, sf_dir).withColumn("promotion_blocked", (F.col("band") == "review-required") & ~F.col("overridden")))
 
 
-@query(f"with {WIDE_SQL} select status, string_agg(original_url, ',' order by original_url) as urls, count(*) as n from wide group by status")
+@query(f"with {WIDE_SQL} select status, original_url, row_number() over (partition by status order by original_url) as place, count(*) over (partition by status) as n from wide")
 def items_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide(spark, sf_dir).groupBy("status").agg(F.array_join(F.sort_array(F.collect_list("original_url")), ",").alias("urls"), F.count(F.lit(1)).alias("n"))
+    """One row for each item with its place among those of its status; sorted in ranges, so that a status may have very many."""
+    ranked = A.running_totals(wide(spark, sf_dir).select("status", "original_url"), ["status", "original_url"], {}, cut)
+    each = ranked.groupBy("status").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    return ranked.join(F.broadcast(each), "status").select("status", "original_url", (F.col("rank") - F.col("first") + 1).alias("place"), "n")  # one row a status
 
 
 @query("""

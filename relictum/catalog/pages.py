@@ -317,6 +317,26 @@ def redirect_target_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir).select("page_id", target["raw"].alias("raw"), target["mechanism"].alias("mechanism"))
 
 
+@query(f"""with {STAGED}, {REDIRECT} select r.page_id, case when starts_with(raw, '/') then 'http://host' || r.page_id % 5 || '.example' || raw else raw end as target from redirect r where raw is not null""")
+def redirect_target_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets lead to a path of their own host or to a whole URL."""
+    found = staged(spark, sf_dir).withColumn("raw", M.redirect_target(F.col("text"))["raw"])
+    return found.where("raw is not null").select("page_id", U.resolve_url(F.col("raw"), F.col("original_url")).alias("target"))
+
+
+@query("""
+select page_id, case page_id % 3 when 0 then 'http://base.example/d' || page_id || '/' when 1 then 'http://host.example/d/up.html' else 'http://host.example/d/e/f' end as base,
+  case page_id % 3 when 0 then 'http://base.example/d' || page_id || '/x.gif' when 1 then 'http://host.example/d/x.gif' else 'http://host.example/d/e/x.gif' end as target from pages
+""")
+def base_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with an absolute base, with a relative one, and without."""
+    kind = F.col("page_id") % 3
+    head = F.when(kind == 0, F.concat(F.lit("<base target=x href='http://BASE.example:80/d"), F.col("page_id").cast("string"), F.lit("/'>"))).when(kind == 1, '<BASE href="../up.html">').otherwise("")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("http://host.example/d/e/f").alias("original_url"), F.concat(head, F.lit("<img src=x.gif>")).alias("text"))
+    found = L.discover_links(pages, text="text").select("page_id", F.col("resolved_url").alias("target"))
+    return pages.select("page_id", L.base_url(F.col("text"), F.col("original_url")).alias("base")).join(found, "page_id")
+
+
 CLASSES = f"""
 with {STAGED}, {TEMPLATES}, {REDIRECT}, classed as (
   select s.page_id, case when {ARCHIVE.replace('text', 's.text')} is not null then 'archive-interstitial' when t.template_id is not null then 'origin-soft-404'

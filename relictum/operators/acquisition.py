@@ -27,26 +27,56 @@ class Budgets:
     max_dependencies: int = 500
 
 
-def ledger(attempts: DataFrame, budgets: Budgets, *, key: str, order: str = "ord") -> DataFrame:
+def running_totals(rows: DataFrame, order: list[str], sums: dict[str, str], cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """`rows` with rank (the number of rows before, by `order`) and for each of `sums` the total of its column over those rows.
+    Rows are dealt in ranges; only one row a range is added up in one place."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__rank"), *[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in ("rank", *sums)])
+    before = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = placed.join(F.broadcast(carried), "__range")  # one row a partition
+    own = {"rank": F.count(F.lit(1)).over(before)} | {n: F.sum(c).over(before) for n, c in sums.items()}
+    return met.withColumns({n: (F.coalesce(v, F.lit(0)) + F.col(f"__{n}")).cast("long") for n, v in own.items()}).drop("__range", *[f"__{n}" for n in ("rank", *sums)])
+
+
+#: Rows whose order column falls into one block of that width are sorted together; blocks of a key hand on what they hold.
+BLOCK = 100_000
+
+
+def block_of(order: Column, width: int) -> Column:
+    return F.floor(order / F.lit(width)).cast("long")
+
+
+def ledger(attempts: DataFrame, budgets: Budgets, *, key: str, order: str = "ord", width: int = BLOCK) -> DataFrame:
     """Each request with what its ledger had spent before it, and the first budget that refuses it. Needs is_index, bytes and
-    elapsed_ms; one ledger for each key."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = attempts.withColumns({
-        "spent_requests": F.count(F.lit(1)).over(before),
-        "spent_index": F.coalesce(F.sum(F.col("is_index").cast("int")).over(before), F.lit(0)),
-        "spent_bytes": F.coalesce(F.sum("bytes").over(before), F.lit(0)),
-    })
+    elapsed_ms; one ledger for each key. A key's requests are sorted in blocks of `width` by their order, so a ledger with a
+    third of all requests is the work of many tasks."""
+    block = block_of(F.col(order), width)
+    spent = {"requests": F.lit(1), "index": F.col("is_index").cast("int"), "bytes": F.col("bytes")}
+    totals = attempts.groupBy(key, block.alias("__block")).agg(*[F.sum(c).alias(n) for n, c in spent.items()])
+    ahead = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(key, "__block", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"__{n}") for n in spent])
+    before = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = attempts.withColumn("__block", block).join(carried, [key, "__block"])
+    counted = met.withColumns({f"spent_{n}": F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"__{n}") for n, c in spent.items()}).drop("__block", *[f"__{n}" for n in spent])
     refused = F.when(F.col("elapsed_ms") >= budgets.max_elapsed_ms, "elapsed time").when(F.col("spent_requests") >= budgets.max_requests, "requests").when(F.col("is_index") & (F.col("spent_index") >= budgets.max_index_requests), "index requests").when(F.col("spent_bytes") >= budgets.max_total_bytes, "total bytes")
-    return spent.withColumn("refused_by", refused)
+    return counted.withColumn("refused_by", refused)
 
 
-def schedule(requests: DataFrame, gap_ms: int, *, key: str, arrival: str = "arrival_ms", order: str = "ord") -> DataFrame:
+def schedule(requests: DataFrame, gap_ms: int, *, key: str, arrival: str = "arrival_ms", order: str = "ord", width: int = BLOCK) -> DataFrame:
     """Start of each request when a host's requests keep `gap_ms` apart: the recurrence start = max(arrival, last + gap) as a
-    running maximum of arrival - n * gap."""
-    w = Window.partitionBy(key).orderBy(order)
-    n = F.row_number().over(w) - 1
-    numbered = requests.withColumn("__slack", F.col(arrival) - n * gap_ms).withColumn("__n", n)
-    return numbered.withColumn("start_ms", F.max("__slack").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__n") * gap_ms).drop("__slack", "__n")
+    running maximum of arrival - n * gap. A host's requests are sorted in blocks of `width` by their order; a block hands on its
+    number of requests and its largest slack."""
+    w = Window.partitionBy(key, "__block").orderBy(order)
+    numbered = requests.withColumn("__block", block_of(F.col(order), width)).withColumn("__n", F.row_number().over(w) - 1).withColumn("__slack", F.col(arrival) - F.col("__n") * gap_ms)
+    blocks = numbered.groupBy(key, "__block").agg(F.count(F.lit(1)).alias("rows"), F.max("__slack").alias("slack"))
+    ahead = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
+    blocks = blocks.select(key, "__block", "__before", F.max(F.col("slack") - F.col("__before") * gap_ms).over(ahead).alias("__most"))
+    met = numbered.join(blocks, [key, "__block"])
+    most = F.greatest(F.max("__slack").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__before") * gap_ms, F.col("__most"))
+    return met.withColumn("start_ms", most + (F.col("__n") + F.col("__before")) * gap_ms).drop("__slack", "__n", "__block", "__before", "__most")
 
 
 def attempt_verdict(status: Column, attempt: Column, hops: Column, budgets: Budgets) -> Column:
@@ -80,19 +110,20 @@ def settle(responses: DataFrame, budgets: Budgets, *, key: str, order: str = "or
     return every.join(stop, key, "left").select(key, F.coalesce("s.verdict", F.lit("unfinished")).alias("verdict"), F.coalesce("s.requests", "n").cast("long").alias("requests"), F.coalesce("s.hops", "h").cast("long").alias("hops"))
 
 
-def waves(roots: DataFrame, edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, max_waves: int, most: int | None = None) -> DataFrame:
-    """What is reached from `roots` (node, ord) over `edges` (src, dst), with the wave that reached it. Each wave is written
-    by `cut` before the next one reads it. `most` admits only so many nodes, the first by wave and order; that is the
-    budget's meaning, not a limit on the work."""
-    seen = cut(roots.select("node", F.col("ord").cast("long").alias("ord"), F.lit(0).alias("wave")), "wave0")
-    front = seen
-    for number in range(1, max_waves + 1):
+def waves(roots: DataFrame, edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, max_waves: int | None = None, most: int | None = None) -> DataFrame:
+    """What is reached from `roots` (node, ord) over `edges` (src, dst), with the wave that reached it, until nothing new is
+    reached. Each wave is written by `cut` before the next one reads it. `most` admits only so many nodes, the first by wave and
+    order: a budget's meaning. With `max_waves` what the last wave would still lead to is left out."""
+    seen = front = cut(roots.select("node", F.col("ord").cast("long").alias("ord"), F.lit(0).alias("wave")), "wave0")
+    number = 0
+    while not front.isEmpty() and (max_waves is None or number < max_waves):
+        number += 1
         met = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("ord"))
         fresh = met.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("ord").alias("ord"))
         front = cut(fresh.select("node", "ord", F.lit(number).alias("wave")), f"wave{number}")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
+        if number % 8 == 0:  # so that the plan does not grow with the waves
+            seen = cut(seen, "seen")
     return seen if most is None else seen.orderBy("wave", "ord", "node").limit(most)
 
 

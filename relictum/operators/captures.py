@@ -12,6 +12,7 @@ from relictum.functions.time import DAY, epoch_seconds, expand_timestamp, is_usa
 # Fields of an index row, the default filter, policies and page types.
 FIELDS = ("urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "length")
 DEFAULT_FILTERS = ("statuscode:200",)
+SPAN = 30 * DAY
 NEAREST, EARLIEST_LARGEST = "nearest", "earliest-largest"
 PAGE_TYPES = r"(?i)^(?:text/html|application/xhtml\+xml|text/plain)\b"
 
@@ -99,15 +100,23 @@ def first_of_timestamp(captures: DataFrame, key: str = "capture_key") -> DataFra
 
 
 def collapse_adjacent(captures: DataFrame, key: str = "capture_key") -> DataFrame:
-    """Without captures whose digest is that of the one before."""
-    w = Window.partitionBy(key).orderBy("timestamp", "ord")
-    return captures.withColumn("__before", F.lag("digest").over(w)).where(F.col("__before").isNull() | ~F.col("digest").eqNullSafe(F.col("__before"))).drop("__before")
+    """Without captures whose digest is that of the one before. A key's history is sorted month by month, and each month gets
+    the last digest of the month before it."""
+    month = F.substring("timestamp", 1, 6)
+    w = Window.partitionBy(key, "__month").orderBy("timestamp", "ord")
+    last = captures.groupBy(key, month.alias("__month")).agg(F.max_by(F.struct("digest"), F.struct("timestamp", "ord")).alias("d"))
+    ahead = last.select(key, "__month", F.lag("d").over(Window.partitionBy(key).orderBy("__month")).alias("__ahead"))
+    met = captures.withColumn("__month", month).join(ahead, [key, "__month"])
+    met = met.withColumn("__before", F.coalesce(F.lag(F.struct("digest")).over(w), "__ahead"))
+    return met.where(F.col("__before.digest").isNull() | ~F.col("digest").eqNullSafe(F.col("__before.digest"))).drop("__before", "__month", "__ahead")
 
 
 def distinct_digests(captures: DataFrame, key: str = "capture_key") -> DataFrame:
-    """For each key and digest its timestamps, both in the order first seen."""
-    seen = captures.where(F.nullif(F.col("digest"), F.lit("")).isNotNull())
-    return seen.groupBy(key, "digest").agg(F.min("ord").alias("first_seen"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "timestamp"))), lambda x: x["timestamp"]).alias("timestamps"))
+    """Each capture with a digest once: key, digest, first_seen (the place of the digest among those of its key), ord and
+    timestamp. Lists of timestamps are left to reports, since a digest may have very many."""
+    seen = captures.where(F.nullif(F.col("digest"), F.lit("")).isNotNull()).select(key, "digest", "ord", "timestamp")
+    first = seen.groupBy(key, "digest").agg(F.min("ord").alias("first_seen"))
+    return seen.join(first, [key, "digest"]).select(key, "digest", "first_seen", "ord", "timestamp")
 
 
 def content_drift(captures: DataFrame, key: str = "capture_key") -> DataFrame:
@@ -135,8 +144,8 @@ def cross_capture(captures: DataFrame, chosen: DataFrame, key: str = "capture_ke
 def resolve_assets(dependencies: DataFrame, captures: DataFrame, *, window_days: int = 365, key: str = "capture_key") -> DataFrame:
     """Each dependency with the capture nearest in time to the page that refers to it: a two-sided as-of join. Dependencies
     and captures of a key are sorted together, and each dependency looks at the capture before and the one after it, so
-    rows never multiply. References at one instant share an answer, so what is sorted for a key is its distinct instants,
-    however many pages refer to it. Needs dep_id, key and referring_timestamp; dependencies without any capture stay,
+    rows never multiply. References at one instant share an answer, and a key's instants are sorted in spans of 30 days that
+    hand on their first and last captures, so no key is one task's work. Needs dep_id, key and referring_timestamp; dependencies without any capture stay,
     unresolved."""
     target = epoch_seconds(expand_timestamp(F.col("referring_timestamp"), "start"))
     wanted = dependencies.select("dep_id", key, "referring_timestamp", target.alias("at")).withColumn("instant", F.coalesce("at", F.lit(-(1 << 62))))
@@ -153,9 +162,19 @@ def resolve_assets(dependencies: DataFrame, captures: DataFrame, *, window_days:
     left = wanted.select(key, "at", "instant").distinct().withColumn("asks", F.lit(1))
     right = moments.select(key, "at", F.lit(0).alias("asks"), named("good").alias("g"), named("any").alias("o"))
     both = left.unionByName(right, allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumns({f"{c}_{n}": F.last(c, ignorenulls=True).over(w) for c in ("g", "o") for n, w in (("before", before), ("after", after))}).where("asks = 1")
+    # a key's instants are sorted in spans of time; a span gets the latest captures before it and the first ones after it
+    both = both.withColumn("__span", F.floor(F.col("at") / F.lit(SPAN)))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
+    ends = both.groupBy(key, "__span").agg(*[f(c).alias(f"{c}_{n}") for c in ("g", "o") for n, f in (("first", first), ("last", latest))])
+    along = Window.partitionBy(key).orderBy("__span")
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select(key, "__span", *[F.last(f"{c}_last", ignorenulls=True).over(earlier).alias(f"{c}_ahead") for c in ("g", "o")], *[F.first(f"{c}_first", ignorenulls=True).over(later).alias(f"{c}_next") for c in ("g", "o")])
+    before = Window.partitionBy(key, "__span").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key, "__span").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    looked = both.withColumns({f"{c}_{n}": F.last(c, ignorenulls=True).over(w) for c in ("g", "o") for n, w in (("before", before), ("after", after))}).where("asks = 1")
+    spans = looked.join(ends.withColumnsRenamed({key: "__key", "__span": "__of"}), (F.col(key) == F.col("__key")) & F.col("__span").eqNullSafe(F.col("__of")), "left")
+    seen = spans.withColumns({f"{c}_{n}": F.coalesce(f"{c}_{n}", f"{c}_{m}") for c in ("g", "o") for n, m in (("before", "ahead"), ("after", "next"))}).select(key, "at", "instant", "g_before", "g_after", "o_before", "o_after")
     seen = seen.join(pools, key, "left")
     good = F.coalesce(F.col("n_good") > 0, F.lit(False))
 

@@ -68,7 +68,7 @@ def gaps(items: DataFrame) -> DataFrame:
         (yes(c["truncated"]), text("body hit the response byte cap at ", c["bytes_read"], " bytes"), F.lit(REMEDY["truncated-body"])),
         (yes(c["distance_seconds"] > ERA_DISTANCE), text("served capture ", c["served_ts"], " is ", c["distance_seconds"], "s from the requested ", c["requested_ts"]), F.lit(REMEDY["capture-era-distance"])),
     )
-    rows = F.array(*[F.when(test, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), remedy.alias("remedy"))) for kind, (test, detail, remedy) in zip(GAP_KINDS, found, strict=False)])
+    rows = F.array(*[F.when(test, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), remedy.alias("remedy"))) for kind, (test, detail, remedy) in zip(GAP_KINDS[:-1], found, strict=True)])
     return items.select(c["original_url"].alias("original_url"), F.explode(F.filter(rows, lambda g: g.isNotNull())).alias("g")).select("g.kind", "original_url", "g.detail", "g.remedy")
 
 
@@ -82,6 +82,12 @@ def inventory_reasons(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("reason"))
 
 
+def inventory_gaps(runs: DataFrame, url: str) -> DataFrame:
+    """Gaps of the inventory itself, under the URL that it was asked for."""
+    remedy = "raise the index budget or page limit and resume; a URL that the inventory lacks may still be archived"
+    return inventory_reasons(runs).select(F.lit(GAP_KINDS[-1]).alias("kind"), F.lit(url).alias("original_url"), F.col("reason").alias("detail"), F.lit(remedy).alias("remedy"))
+
+
 def evidence_counts(items: DataFrame) -> DataFrame:
     """The report's totals, in one pass."""
     is_ = lambda c, v: F.count_if(F.col(c) == v)

@@ -1,24 +1,37 @@
-"""An acquisition over recorded responses: index, choice of captures, waves of requests, classification, evidence.
+"""An acquisition over recorded responses: index, choice of captures, waves of requests under budgets, classification, evidence.
 
-Nothing here opens a connection: responses come from a table, made by the fixture source or loaded beforehand.
+Nothing here opens a connection: responses come from a table, made by the fixture source or loaded beforehand. What a run
+decides is what working through its list one by one would decide: the list is in waves, each in a fixed order, and running
+sums over that order find the first item that a budget refuses. That item and all after it stay unattempted, with the reason.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
+import functools
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relictum.config import Project
-from relictum.functions.time import selection_target
-from relictum.functions.url import host_of, item_id, local_path
-from relictum.operators import captures as C
+from relictum.functions.time import distance_seconds, format_days, selection_target, served_timestamp
+from relictum.functions.url import capture_key, host_matches, host_of, item_id, local_path, replay_modifier, replay_parts, replay_url
 from relictum.operators import acquisition as A
+from relictum.operators import captures as C
 from relictum.operators import evidence, links, outcomes
 from relictum.plans.collection import classify_collection, decode_bodies, item_outcomes, validated
-from relictum.sources.cdx import page_rows
+from relictum.sources.cdx import page_ends, page_rows, proves_absence
+
+ENDPOINT = "https://web.archive.org/web"
+#: A row's place in the index: page and row in one number, two to the power of 32 rows a page.
+PAGE_ROWS = 1 << 32
+#: Optional columns of recorded responses.
+RECORDED = {"call": "int", "location": "string", "memento": "string", "retry_after": "long", "truncated": "boolean"}
+#: What an item carries from the list into its request.
+LISTED = "original_url string, ord long, wave int, kind string, relation string, requested_ts string, archive_status string, from_excluded boolean, referrer string, referring_timestamp string"
+PAGES = ("page", "frame")
+ALWAYS_GO = lambda: "continue"
 
 
 def widened(items: DataFrame) -> DataFrame:
@@ -26,6 +39,27 @@ def widened(items: DataFrame) -> DataFrame:
     return items.withColumns({"failure_kind": F.col("failure.kind"), "failure_message": F.col("failure.message"), "retryable": F.col("failure.retryable"), "distant": F.coalesce("temporally_distant", F.lit(False)), "degraded": F.col("decoded.degraded"), "encoding": F.col("decoded.chosen_encoding")})
 
 
+def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
+
+
+def failure(kind: Column, message: Column, status: Column, retryable: Column) -> Column:
+    return F.struct(kind.alias("kind"), message.alias("message"), status.cast("int").alias("http_status"), retryable.alias("retryable"))
+
+
+@dataclass
+class Spent:
+    """What a job has spent so far."""
+
+    requests: int = 0
+    index_requests: int = 0
+    bytes: int = 0
+    wait_ms: int = 0
+    pages: int = 0
+    dependencies: int = 0
+    listed: int = 0
+
+
 @dataclass
 class Run:
     """Tables of one run in a shared folder; each is written once and read back."""
@@ -33,53 +67,278 @@ class Run:
     spark: SparkSession
     project: Project
     path: str
+    endpoint: str = ENDPOINT
+    spent: Spent = field(default_factory=Spent)
+    number: int = 0
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(at)
+        self.number += 1
+        at = f"{self.path}/{self.number:04}-{name}"
+        df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    # the index
+
+    def typed(self, rows: DataFrame, key: Column) -> DataFrame:
+        tagged = C.tag_exclusions(rows, self.project.candidate_filters)
+        return C.as_candidates(tagged.withColumn("capture_key", key)).drop("page_ord", "row_ord", "of")
+
     def inventory(self, index_pages: DataFrame) -> DataFrame:
         """Captures of the index pages (page_ord, body), told apart by the candidate filters, each timestamp of a URL once."""
-        rows = page_rows(index_pages).withColumn("ord", F.col("page_ord") * 1_000_000 + F.col("row_ord"))
-        tagged = C.tag_exclusions(rows, self.project.candidate_filters)
-        typed = C.as_candidates(tagged).withColumn("capture_key", links.without_fragment(F.col("original")))
-        return self.cut(C.first_of_timestamp(typed), "captures")
+        rows = page_rows(index_pages).withColumn("ord", F.col("page_ord").cast("long") * PAGE_ROWS + F.col("row_ord"))
+        return self.cut(C.first_of_timestamp(self.typed(rows, capture_key(F.col("original")))), "captures")
+
+    def index_runs(self, index_pages: DataFrame) -> DataFrame:
+        """How the inventory ended: one row with run_id, continued, failed and limit_reached. A page without a body failed."""
+        limit = min(self.project.budgets.max_pages * 4, 1000)
+        ends = page_ends(index_pages, limit)
+        last = F.max_by(F.coalesce("resume_key", F.lit("")), "page_ord")
+        found = ends.agg(F.coalesce(last != "", F.lit(False)).alias("continued"), F.coalesce(F.max("limit_reached"), F.lit(False)).alias("limit_reached"))
+        failed = index_pages.agg((F.count_if(F.col("body").isNull()) > 0).alias("failed"))
+        return self.cut(found.crossJoin(failed).select(F.lit(0).alias("run_id"), "continued", "failed", "limit_reached"), "runs")  # one row each
+
+    def absence_proved(self, runs: DataFrame, url: Column) -> Column:
+        project = self.project
+        complete = evidence.inventory_reasons(runs).isEmpty()
+        bare = project.url.partition("://")[2] or project.url
+        host = bare.partition("/")[0].partition(":")[0].lower()
+        return F.coalesce(proves_absence(complete, bool(project.start or project.end), project.match_type, host_of(url), host), F.lit(False))
 
     def choose(self, known: DataFrame) -> DataFrame:
         target = selection_target(self.project.start, self.project.end)
         has_target = bool(self.project.start or self.project.end)
         return C.select_captures(known, policy=self.project.policy, target=target if has_target else None, cluster_days=self.project.cluster_days)
 
+    # the list
+
+    def listed(self, wanted: DataFrame, order: list[str], wave: int, name: str) -> DataFrame:
+        """The next items of the list, in order, as far as the job's caps on pages and dependencies allow."""
+        spent, budgets = self.spent, self.project.budgets
+        is_page = (F.col("kind") == "page").cast("long")
+        run = A.running_totals(wanted.withColumns({"__page": is_page, "__other": 1 - is_page}), order, {"pages_before": "__page", "others_before": "__other"}, self.cut)
+        room = F.when(F.col("kind") == "page", F.col("pages_before") < budgets.max_pages - spent.pages).otherwise(F.col("others_before") < budgets.max_dependencies - spent.dependencies)
+        placed = run.where(room).withColumns({"ord": F.col("rank") + spent.listed, "wave": F.lit(wave)})
+        front = self.cut(placed.select([c.split()[0] for c in LISTED.split(", ")]), name)
+        counts = front.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "page").alias("p")).first()
+        spent.pages, spent.dependencies, spent.listed = spent.pages + counts.p, spent.dependencies + counts.n - counts.p, spent.listed + run.count()
+        return front
+
     def seeds(self, chosen: DataFrame) -> DataFrame:
-        """Page items: what the index shows to be a page, and declared seeds, the first `max_pages` by order."""
-        listed = chosen.where(C.seeds_a_page(F.col("mimetype"))).select(F.col("capture_key").alias("original_url"), "ord", F.col("timestamp").alias("requested_ts"), F.col("status_code").alias("archive_status"), "from_excluded")
-        given = self.spark.createDataFrame([(u, -1 - i) for i, u in enumerate(reversed(self.project.seed_urls))], "original_url string, ord long")
-        extra = given.join(listed, "original_url", "left_anti").join(chosen.select(F.col("capture_key").alias("original_url"), F.col("timestamp").alias("requested_ts"), F.col("status_code").alias("archive_status"), "from_excluded"), "original_url", "left")
-        return listed.unionByName(extra).orderBy("ord").limit(self.project.budgets.max_pages).withColumn("relation", F.lit("page"))
-
-    def fetch(self, wanted: DataFrame, responses: DataFrame) -> DataFrame:
-        """Items with the response for their URL and capture: status, failure, bytes. `responses` has original_url, timestamp,
-        http_status, content_type, body and truncated."""
-        answers = responses.select("original_url", F.col("timestamp").alias("requested_ts"), "http_status", "content_type", "body", "truncated")
-        met = wanted.join(answers, ["original_url", "requested_ts"], "left")
-        kind = F.when(F.col("http_status").isNull(), "transport-error").when(F.col("http_status").isin(429, 503), "provider-throttled").when(F.col("http_status") >= 300, "http-status")
-        failure = F.when(F.col("requested_ts").isNotNull() & kind.isNotNull(), F.struct(kind.alias("kind"), F.concat(F.lit("status "), F.coalesce(F.col("http_status").cast("string"), F.lit("none"))).alias("message"), F.col("http_status").cast("int").alias("http_status"), (kind != "http-status").alias("retryable")))
-        status = F.when(F.col("requested_ts").isNull(), "skipped").when(failure.isNotNull(), "failed").otherwise("fetched")
-        return met.withColumns({"failure": failure, "status": status, "body_hash": F.when(failure.isNull() & F.col("body").isNotNull(), F.sha2("body", 256)), "item_id": item_id(F.col("original_url")), "local_path": local_path(F.col("original_url"))})
+        """Page items: what the index shows to be a page, and after them declared seeds that it lacks."""
+        fields = [F.col("capture_key").alias("original_url"), F.col("timestamp").alias("requested_ts"), F.col("status_code").alias("archive_status"), "from_excluded"]
+        seen = chosen.where(C.seeds_a_page(F.col("mimetype"))).select(*fields, "ord", F.lit(0).alias("rank_of"))
+        given = self.spark.createDataFrame(list(enumerate(self.project.seed_urls)), "ord long, url string").select(capture_key(F.col("url")).alias("original_url"), "ord").groupBy("original_url").agg(F.min("ord").alias("ord"))
+        known = chosen.select(*fields)
+        instant = F.lit(self.project.end or self.project.start).cast("string")
+        extra = given.join(seen.select("original_url"), "original_url", "left_anti").join(known, "original_url", "left").withColumns({"requested_ts": F.coalesce("requested_ts", instant), "rank_of": F.lit(1)})
+        typed = seen.unionByName(extra).withColumns({"kind": F.lit("page"), "relation": F.lit("page"), "referrer": F.lit(None).cast("string"), "referring_timestamp": F.lit(None).cast("string")})
+        return self.listed(typed, ["rank_of", "ord", "original_url"], 0, "wave0")
+
+    def found(self, read: DataFrame, items: DataFrame, wave: int) -> DataFrame:
+        """What the pages of a wave refer to and the list does not hold; the first reference counts."""
+        project = self.project
+        pages = read.where(F.col("relation").isin(*PAGES) & F.coalesce("validated", F.lit(False)) & F.col("text").isNotNull())
+        own = pages.select("item_id", "original_url", F.coalesce("served_ts", "requested_ts").alias("referring_timestamp"), F.col("ord").alias("page_ord"))
+        near = links.discover_links(pages, key="item_id", url="original_url", text="text").join(own, "item_id")
+        hosts = list(project.dependency_hosts)
+        inside = links.in_scope(F.col("resolved_url"), hosts) if hosts else F.coalesce(host_matches(host_of(F.col("resolved_url")), host_of(F.col("original_url"))), F.lit(False))
+        wanted = near.where(inside & links.followed(F.col("relation"), list(project.follow_relations), project.follow_page_links))
+        order = ["page_ord", "rule_ord", "match_ord"]
+        first = wanted.groupBy("resolved_url").agg(F.min_by(F.struct("relation", F.col("original_url").alias("referrer"), "referring_timestamp", *order), F.struct(*order)).alias("f"))
+        fresh = first.select(F.col("resolved_url").alias("original_url"), "f.*").join(items.select("original_url"), "original_url", "left_anti")
+        nothing = {"requested_ts": "string", "archive_status": "string", "from_excluded": "boolean"}
+        return self.listed(with_missing(fresh, nothing).withColumn("kind", F.when(F.col("relation") == "link", "page").otherwise("dependency")), [*order, "original_url"], wave, f"wave{wave}")
+
+    # captures of dependencies
+
+    def looked_up(self, front: DataFrame, known: DataFrame, runs: DataFrame, lookups: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The front with index_requests and lookup_failed, and all captures: a dependency that the inventory neither holds nor
+        proves absent is looked up, in as many pages as are recorded and allowed. Without recorded lookups none is made."""
+        plain = front.withColumns({"index_requests": F.lit(0).cast("long"), "lookup_failed": F.lit(False)})
+        if lookups is None:
+            return plain, known
+        asking = front.where(F.col("referring_timestamp").isNotNull() & ~self.absence_proved(runs, F.col("original_url"))).select(F.col("original_url").alias("capture_key"))
+        absent = self.cut(C.absent_keys(asking, known), "absent")
+        given = lookups.select(capture_key(F.col("original_url")).alias("capture_key"), F.col("page").cast("int").alias("page"), "body").where(F.col("page") < self.project.max_lookup_pages)
+        # page after page, as far as each is there: the first gap ends a lookup
+        asked = absent.join(given, "capture_key")
+        gap = asked.groupBy("capture_key").agg(F.collect_set(F.when(F.col("body").isNotNull(), F.col("page"))).alias("there"))
+        upto = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(self.project.max_lookup_pages)), F.col("there")))
+        pages = self.cut(absent.join(gap, "capture_key", "left").select("capture_key", F.coalesce(upto, F.lit(0)).alias("pages")), "lookups")
+        read = asked.join(pages, "capture_key").where(F.col("page") < F.col("pages")).withColumn("of", F.struct("capture_key", "page"))
+        rows = page_rows(read, key="of").withColumn("ord", F.col("of.page").cast("long") * PAGE_ROWS + F.col("row_ord"))
+        more = C.first_of_timestamp(self.typed(rows, F.col("of.capture_key")))
+        known = self.cut(known.unionByName(more.select(known.columns)), "captures")
+        asked_for = pages.select(F.col("capture_key").alias("original_url"), "pages")
+        marked = front.join(asked_for, "original_url", "left")
+        counted = F.when(F.col("pages").isNull(), 0).otherwise(F.greatest("pages", F.lit(1))).cast("long")
+        return marked.withColumns({"index_requests": counted, "lookup_failed": F.coalesce(F.col("pages") == 0, F.lit(False))}).drop("pages"), known
+
+    def resolved(self, front: DataFrame, known: DataFrame) -> DataFrame:
+        """Dependencies aim at the capture nearest to their page's."""
+        keyed = front.withColumn("item_id", item_id(F.col("original_url")))
+        asked = keyed.where("referring_timestamp is not null").select(F.col("item_id").alias("dep_id"), F.col("original_url").alias("capture_key"), "referring_timestamp")
+        answers = C.resolve_assets(asked, known, window_days=self.project.window_days).select(F.col("dep_id").alias("item_id"), "resolved_timestamp", "delta_seconds", "temporally_distant", "considered")
+        drift = C.content_drift(known).select(F.col("capture_key").alias("original_url"), F.col("digests").cast("long").alias("digests"))
+        status = known.select(F.col("capture_key").alias("original_url"), F.col("timestamp").alias("resolved_timestamp"), F.col("status_code").alias("resolved_status"), F.col("excluded_by").isNotNull().alias("resolved_excluded"))
+        met = keyed.join(answers, "item_id", "left").join(status, ["original_url", "resolved_timestamp"], "left").join(drift, "original_url", "left")
+        asset = F.col("referring_timestamp").isNotNull()
+        said = F.when(asset & F.col("resolved_timestamp").isNotNull(), F.concat(F.lit("nearest of "), F.col("considered").cast("string"), F.lit(" captures is "), F.col("resolved_timestamp")))
+        return met.withColumns({
+            "requested_ts": F.when(asset, F.col("resolved_timestamp")).otherwise(F.col("requested_ts")),
+            "archive_status": F.coalesce("archive_status", "resolved_status"),
+            "from_excluded": F.coalesce("from_excluded", "resolved_excluded", F.lit(False)),
+            "digests": F.when(asset, F.col("digests")),
+            "resolution_detail": said,
+            "distance_text": format_days(F.col("delta_seconds")),
+        }).drop("resolved_timestamp", "resolved_status", "resolved_excluded", "considered")
+
+    # requests
+
+    def recorded(self, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Recorded responses by normalised URL and capture: their bodies, and for each its tries without bodies. An item makes at
+        most `max_attempts` tries of a URL, so later calls do not matter; the last call answers all that follow."""
+        known = with_missing(responses, RECORDED).withColumns({"at_url": capture_key(F.col("original_url")), "at_ts": F.col("timestamp"), "call": F.coalesce("call", F.lit(0))})
+        most = self.project.budgets.max_response_bytes
+        known = known.where(F.col("call") < self.project.budgets.max_attempts).withColumns({
+            "truncated": F.coalesce("truncated", F.lit(False)) | F.coalesce(F.octet_length("body") > most, F.lit(False)),
+            "body": F.substring("body", 1, most),
+        })
+        known = self.cut(known.select("at_url", "at_ts", "call", "http_status", "content_type", "location", "memento", "retry_after", "truncated", "body"), "responses")
+        size = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long").alias("size")
+        tries = known.groupBy("at_url", "at_ts").agg(F.sort_array(F.collect_list(F.struct("call", "http_status", "location", "retry_after", size))).alias("tries"))
+        return known, self.cut(tries, "tries")
+
+    def chain(self, front: DataFrame, tries: DataFrame) -> DataFrame:
+        """How the requests of each item end: redirects are followed and failures tried again within the budgets of an item."""
+        project, budgets = self.project, self.project.budgets
+        backoff = max(project.min_interval_ms, 1000)
+        walk = front.where("requested_ts is not null and not lookup_failed").select("item_id", F.col("requested_ts").alias("at_ts"), F.col("original_url").alias("at_url"), F.array(F.concat_ws(" ", "requested_ts", "original_url")).alias("visited"), F.lit(0).cast("long").alias("requests"), F.lit(0).cast("long").alias("bytes_read"), F.lit(0).cast("long").alias("wait_ms"))
+        ended = []
+        for hop in range(budgets.max_redirects + 1):
+            met = walk.join(tries, ["at_url", "at_ts"], "left")
+            made = met.withColumn("made", F.transform(F.sequence(F.lit(0), F.lit(budgets.max_attempts - 1)), lambda k: F.get("tries", F.least(k, F.size("tries") - 1))))
+            again = lambda x: x["http_status"].isNull() | x["http_status"].isin(*A.THROTTLES) | (x["http_status"] >= 500)
+            settled = F.array_position(F.transform("made", lambda x: ~F.coalesce(again(x), F.lit(True))), True)
+            made = made.withColumn("n", F.when(settled > 0, settled).otherwise(F.lit(budgets.max_attempts)).cast("int")).withColumn("fails", F.when(settled > 0, F.col("n") - 1).otherwise(F.col("n")))
+            last = F.get("made", F.col("n") - 1)
+            total = lambda xs, of: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(of(x), F.lit(0)).cast("long"))
+            status, location = last["http_status"], last["location"]
+            parts = replay_parts(location)
+            host = host_of(location)
+            allowed = functools.reduce(lambda a, h: a | host_matches(host, F.lit(h)), project.allowed_hosts, host.isNull() | F.lit(not project.allowed_hosts))
+            made = made.withColumns({
+                "requests": F.col("requests") + F.col("n"),
+                "bytes_before_last": F.col("bytes_read") + total(F.slice("made", 1, F.col("n") - 1), lambda x: x["size"]),
+                "bytes_read": F.col("bytes_read") + total(F.slice("made", 1, F.col("n")), lambda x: x["size"]),
+                "wait_ms": F.col("wait_ms") + total(F.slice("made", 1, F.col("fails")), lambda x: F.coalesce(x["retry_after"] * 1000, F.lit(backoff))),
+                "call": F.coalesce(last["call"], F.lit(0)), "http_status": status, "location": location,
+                "next_ts": parts["timestamp"], "next_url": capture_key(parts["original_url"]),
+            })
+            redirect = F.col("http_status").isin(*A.REDIRECTS)
+            to = F.concat_ws(" ", "next_ts", "next_url")
+            kind = (
+                F.when(F.col("http_status").isNull(), "transport-error")
+                .when(F.col("http_status").isin(*A.THROTTLES), "provider-throttled")
+                .when(redirect & (F.coalesce("location", F.lit("")) == ""), "http-status")
+                .when(redirect & (F.col("next_url").isNull() | ~F.coalesce(allowed, F.lit(False))), "destination-refused")
+                .when(redirect & F.array_contains("visited", to), "redirect-loop")
+                .when(redirect & F.lit(hop == budgets.max_redirects), "redirect-limit")
+                .when(redirect, "follow")
+                .when(F.col("http_status") >= 400, "http-status")
+            )
+            step = self.cut(made.withColumns({"verdict": kind, "visited": F.when(redirect & F.col("next_url").isNotNull(), F.concat("visited", F.array(to))).otherwise(F.col("visited"))}).drop("tries", "made", "n", "fails"), f"hop{hop}")
+            ended.append(step.where("verdict is null or verdict != 'follow'"))
+            walk = step.where("verdict = 'follow'").select("item_id", F.col("next_ts").alias("at_ts"), F.col("next_url").alias("at_url"), "visited", "requests", "bytes_read", "wait_ms")
+            if walk.isEmpty():
+                break
+        done = functools.reduce(DataFrame.unionByName, ended)
+        retryable = F.col("http_status").isNull() | F.col("http_status").isin(*A.THROTTLES, 408) | (F.col("http_status") >= 500)
+        said = F.concat(F.lit("status "), F.coalesce(F.col("http_status").cast("string"), F.lit("none")))
+        failed = F.when(F.col("verdict").isNotNull(), failure(F.col("verdict"), said, F.col("http_status"), F.col("verdict").isin("transport-error", "provider-throttled", "http-status") & retryable))
+        return done.select("item_id", "at_url", "at_ts", "call", "http_status", failed.alias("failure"), "requests", "bytes_read", "bytes_before_last", "wait_ms", F.slice("visited", 2, F.size("visited")).alias("redirects"))
+
+    def fetch(self, front: DataFrame, recorded: tuple[DataFrame, DataFrame]) -> DataFrame:
+        """Items with the end of their requests: status, failure, bytes, what was served and what it cost."""
+        responses, tries = recorded
+        ends = self.chain(front, tries)
+        answers = responses.select("at_url", "at_ts", "call", "content_type", "memento", "truncated", "body")
+        got = ends.where("failure is null").join(answers, ["at_url", "at_ts", "call"], "left").select("item_id", "content_type", "memento", "truncated", "body")
+        met = front.join(ends.drop("call"), "item_id", "left").join(got, "item_id", "left")
+        lost = failure(F.lit("transport-error"), F.lit("the capture lookup for this URL failed"), F.lit(None), F.lit(True))
+        failed = F.when(F.col("lookup_failed"), lost).otherwise(F.col("failure"))
+        status = F.when(failed.isNotNull(), "failed").when(F.col("requested_ts").isNull(), "skipped").otherwise("fetched")
+        taken = status == "fetched"
+        final = replay_url(F.lit(self.endpoint), F.col("at_ts"), F.col("at_url"), replay_modifier(F.col("relation")))
+        return met.withColumns({
+            "failure": failed, "status": status, "local_path": local_path(F.col("original_url")),
+            "body_hash": F.when(taken & F.col("body").isNotNull(), F.sha2("body", 256)),
+            "served_ts": F.when(taken, served_timestamp(F.col("memento"), final)),
+            **{c: F.coalesce(c, F.lit(0).cast("long")) for c in ("requests", "bytes_read", "bytes_before_last", "wait_ms")},
+            "unattempted_reason": F.when(status == "skipped", "out-of-scope"),
+        }).withColumn("distance_seconds", distance_seconds(F.col("requested_ts"), F.col("served_ts"))).drop("at_url", "at_ts", "memento")
+
+    def admitted(self, fetched: DataFrame) -> tuple[DataFrame, bool]:
+        """The wave as the budgets leave it, and whether one stopped it: from the first item that is refused on, nothing was
+        attempted. A request starts the spacing of requests after the one before it, plus what was waited for."""
+        budgets, spent, gap = self.project.budgets, self.spent, self.project.min_interval_ms
+        sums = {"requests_before": "requests", "index_before": "index_requests", "bytes_sum": "bytes_read", "wait_sum": "wait_ms"}
+        run = A.running_totals(fetched.select("item_id", "ord", "requests", "index_requests", "bytes_read", "bytes_before_last", "wait_ms"), ["ord"], sums, self.cut)
+        before = F.col("requests_before") + F.col("index_before") + spent.requests + spent.index_requests
+        own = F.col("requests") + F.col("index_requests")
+        start = (before + own - 1) * gap + F.col("wait_sum") + F.col("wait_ms") + spent.wait_ms
+        reason = (
+            F.when(own == 0, F.lit(None).cast("string"))
+            .when(start >= budgets.max_elapsed_ms, "elapsed time")
+            .when(before + own > budgets.max_requests, "requests")
+            .when((F.col("index_requests") > 0) & (F.col("index_before") + spent.index_requests >= budgets.max_index_requests), "index requests")
+            .when((F.col("requests") > 0) & (F.col("bytes_sum") + F.col("bytes_before_last") + spent.bytes >= budgets.max_total_bytes), "total bytes")
+        )
+        refused = run.where(reason.isNotNull()).agg(F.min("ord").alias("ord")).first().ord
+        if refused is not None:
+            fetched = self.parked(fetched, F.col("ord") >= refused, "budget-exhausted")
+        went = fetched.where("status != 'unattempted'").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requests", "index_requests", "bytes_read", "wait_ms")]).first()
+        spent.requests, spent.index_requests, spent.bytes, spent.wait_ms = spent.requests + went.requests, spent.index_requests + went.index_requests, spent.bytes + went.bytes_read, spent.wait_ms + went.wait_ms
+        return fetched, refused is not None
+
+    @staticmethod
+    def parked(items: DataFrame, which: Column, reason: str) -> DataFrame:
+        """Items that were not attempted: nothing of a request stays on them."""
+        kinds = dict(items.dtypes)
+        gone = [c for c in ("failure", "body", "body_hash", "served_ts", "distance_seconds", "content_type", "http_status", "truncated", "redirects", "delta_seconds", "temporally_distant", "distance_text", "digests", "resolution_detail") if c in kinds]
+        none = {c: F.when(~which, F.col(c)) for c in gone}
+        zero = {c: F.when(which, F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("requests", "index_requests", "bytes_read", "bytes_before_last", "wait_ms") if c in kinds}
+        asset = {"requested_ts": F.when(which & F.col("referring_timestamp").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("requested_ts"))}
+        return items.withColumns({**none, **zero, **asset, "status": F.when(which, "unattempted").otherwise(F.col("status")), "unattempted_reason": F.when(which, reason).otherwise(F.col("unattempted_reason"))})
+
+    def waiting(self, front: DataFrame, reason: str) -> DataFrame:
+        """A front that is not attempted at all."""
+        kinds = {"status": "string", "unattempted_reason": "string", "requests": "long", "index_requests": "long", "bytes_read": "long", "wait_ms": "long"}
+        return self.parked(with_missing(front.withColumn("item_id", item_id(F.col("original_url"))), kinds), F.lit(True), reason)
+
+    # the run
 
     def read_bodies(self, items: DataFrame, bodies: DataFrame) -> DataFrame:
-        """Items with decoded, validated texts."""
-        read = decode_bodies(items.drop("body"), bodies)
-        return validated(read.withColumns({"unattempted_reason": F.lit(None).cast("string"), "replacement_ratio": F.col("decoded.replacement_ratio")}))
+        """Items with decoded, validated texts. A body that does not pass is a failed item."""
+        read = validated(decode_bodies(items.drop("body"), bodies).withColumn("replacement_ratio", F.col("decoded.replacement_ratio")))
+        return read.withColumn("status", F.when((F.col("status") == "fetched") & F.col("failure").isNotNull(), "failed").otherwise(F.col("status")))
+
+    def wave(self, front: DataFrame, known: DataFrame, runs: DataFrame, lookups: DataFrame | None, recorded: tuple[DataFrame, DataFrame], number: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+        """One wave: (items with their texts, bodies, captures, whether a budget stopped it)."""
+        front, known = self.looked_up(front, known, runs, lookups)
+        fetched = self.cut(self.fetch(self.resolved(front, known), recorded), f"fetched{number}")
+        fetched, stopped = self.admitted(fetched)
+        bodies = self.cut(fetched.where("body_hash is not null").select(F.col("body_hash").alias("hash"), F.col("body").alias("bytes")).dropDuplicates(["hash"]), f"bodies{number}")
+        return self.cut(self.read_bodies(fetched, bodies), f"read{number}"), bodies, known, stopped
 
-    def reselected(self, read: DataFrame, known: DataFrame, responses: DataFrame) -> DataFrame:
+    def reselected(self, read: DataFrame, known: DataFrame, recorded: tuple[DataFrame, DataFrame]) -> DataFrame:
         """Pages without content get another capture where one has content. The captures that would be tried one after the
         other are chosen, read and classified together; then it is decided for each page where its tries would have ended.
-        A page none of whose tries is ok stays as it was. Adds reselection_trail."""
+        A page none of whose tries is ok stays as it was. What the tries cost is not held against the budgets. Adds
+        reselection_trail."""
         project, most = self.project, self.project.reselection_attempts
         first, _, _ = item_outcomes(read, self.cut)
-        poor = self.cut(first.where(F.col("relation").isin("page", "frame") & F.col("outcome").isin(*outcomes.RESELECTABLE)).select("item_id", "original_url", "ord", "relation", "requested_ts", "outcome", "wave"), "poor")
+        poor = self.cut(first.where((F.col("kind") == "page") & F.col("outcome").isin(*outcomes.RESELECTABLE)).select(*[c.split()[0] for c in LISTED.split(", ")], "outcome"), "poor")
         if not most or poor.isEmpty():
             return read.withColumn("reselection_trail", F.lit(None).cast("string"))
         target = selection_target(project.start, project.end) if project.start or project.end else None
@@ -90,9 +349,10 @@ class Run:
             pick = self.cut(C.select_captures(C.unused_captures(own, used), policy=project.policy, target=target, cluster_days=project.cluster_days).withColumn("place", F.lit(place)), f"pick{place}")
             used = used.unionByName(pick.select("capture_key", "timestamp"))
             tries = pick if tries is None else tries.unionByName(pick)
-        wanted = tries.select(F.col("capture_key").alias("original_url"), F.col("timestamp").alias("requested_ts"), F.col("status_code").alias("archive_status"), "from_excluded", "place").join(poor.select("original_url", "ord", "relation", "wave"), "original_url")
-        fetched = self.fetch(wanted, responses).withColumn("item_id", F.concat("item_id", F.lit("#"), F.col("place").cast("string")))
-        fetched = self.cut(fetched, "tries")
+        picked = tries.select(F.col("capture_key").alias("original_url"), F.col("timestamp").alias("requested_ts"), F.col("status_code").alias("archive_status"), "from_excluded", "place")
+        wanted = poor.drop("requested_ts", "archive_status", "from_excluded", "outcome").join(picked, "original_url")
+        wanted = wanted.withColumns({"item_id": F.concat(item_id(F.col("original_url")), F.lit("#"), F.col("place").cast("string")), "lookup_failed": F.lit(False), "index_requests": F.lit(0).cast("long")})
+        fetched = self.cut(self.fetch(wanted, recorded), "tries")
         bodies = fetched.where("body_hash is not null").select(F.col("body_hash").alias("hash"), F.col("body").alias("bytes")).dropDuplicates(["hash"])
         looked = self.cut(self.read_bodies(fetched, bodies), "tried")
         tried, _, _ = item_outcomes(looked, self.cut)
@@ -102,35 +362,65 @@ class Run:
         rest = read.join(better.select("item_id"), "item_id", "left_anti")
         return rest.unionByName(better, allowMissingColumns=True).join(decided.select("original_url", F.col("trail").alias("reselection_trail")), "original_url", "left")
 
-    def execute(self, index_pages: DataFrame, responses: DataFrame, max_waves: int = 8) -> dict[str, DataFrame]:
-        """All tables of a finished run: captures, items, assets and gaps."""
-        project = self.project
-        known = self.inventory(index_pages)
-        chosen = self.cut(self.choose(known), "chosen")
-        front = self.cut(self.fetch(self.seeds(chosen), responses).withColumns({"wave": F.lit(0), "referrer": F.lit(None).cast("string"), "temporally_distant": F.lit(None).cast("boolean")}), "wave0")
-        items = front
-        for wave in range(1, max_waves + 1):
-            bodies = front.where("body_hash is not null").select(F.col("body_hash").alias("hash"), F.col("body").alias("bytes")).dropDuplicates(["hash"])
-            read = self.cut(decode_bodies(front.drop("body"), bodies), f"read{wave}")
-            pages = read.where(F.col("relation").isin("page", "frame") & F.col("text").isNotNull())
-            found = links.discover_links(pages, key="item_id", url="original_url", text="text")
-            hosts = list(project.dependency_hosts)
-            near = found.join(pages.select("item_id", "original_url", "requested_ts", "ord"), "item_id")
-            inside = links.in_scope(F.col("resolved_url"), hosts) if hosts else host_of(F.col("resolved_url")) == host_of(F.col("original_url"))
-            wanted = near.where(inside & links.followed(F.col("relation"), list(project.follow_relations), project.follow_page_links))
-            first = wanted.groupBy("resolved_url").agg(F.min_by(F.struct("relation", F.col("original_url").alias("referrer"), F.col("requested_ts").alias("referring_timestamp"), "ord"), F.struct("ord", "rule_ord", "match_ord")).alias("f"))
-            fresh = first.select(F.col("resolved_url").alias("capture_key"), "f.*").join(items.select(F.col("original_url").alias("capture_key")), "capture_key", "left_anti")
-            fresh = self.cut(fresh.withColumn("dep_id", item_id(F.col("capture_key"))), f"fresh{wave}")
-            if fresh.isEmpty():
+    def resumed(self, items: DataFrame, retry_failed: bool) -> tuple[DataFrame, DataFrame]:
+        """(what an earlier run settled, what is queued again in its order); what that run spent counts."""
+        again = (F.col("status") == "unattempted") & (F.coalesce("unattempted_reason", F.lit("queued")) != "out-of-scope")
+        if retry_failed:
+            again = again | ((F.col("status") == "failed") & F.coalesce(F.col("failure.retryable"), F.lit(False)))
+        queued = items.where(again).withColumn("requested_ts", F.when(F.col("referring_timestamp").isNull(), F.col("requested_ts")))
+        front = self.cut(queued.select([c.split()[0] for c in LISTED.split(", ")]), "queued")
+        sums = items.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requests", "index_requests", "bytes_read", "wait_ms")], F.count_if(F.col("kind") == "page").alias("p"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max("ord") + 1, F.lit(0)).alias("listed")).first()
+        self.spent = Spent(sums.requests, sums.index_requests, sums.bytes_read, sums.wait_ms, sums.p, sums.n - sums.p, sums.listed)
+        return items.where(~again), front
+
+    def execute(self, index_pages: DataFrame, responses: DataFrame, *, lookups: DataFrame | None = None, previous: dict[str, DataFrame] | None = None, retry_failed: bool = False, signal: Callable[[], str] = ALWAYS_GO) -> dict[str, DataFrame]:
+        """All tables of a run: captures, runs, items, bodies, assets and gaps. `lookups` holds recorded answers to lookups of one
+        URL: original_url, page (from 0) and body. `previous` holds the tables of an earlier run of this job, which goes on
+        where that one stopped. `signal` is asked before each wave and may say pause or cancel."""
+        recorded = self.recorded(responses)
+        settled = bodies = None
+        if previous is None:
+            known, runs = self.inventory(index_pages), self.index_runs(index_pages)
+            front = self.seeds(self.cut(self.choose(known), "chosen"))
+        else:
+            known, runs, bodies = previous["captures"], previous["runs"], previous["bodies"]
+            settled, front = self.resumed(previous["items"], retry_failed)
+        items, number, stop = settled, 0, None
+        listed = front if settled is None else settled.select("original_url").unionByName(front.select("original_url"))
+        while not front.isEmpty():
+            said = signal()
+            stop = stop or {"pause": "paused", "cancel": "cancelled"}.get(said)
+            if stop:
+                items = self.joined(items, self.waiting(front, stop))
                 break
-            resolved = C.resolve_assets(fresh.select("dep_id", "capture_key", "referring_timestamp"), known, window_days=project.window_days)
-            next_items = fresh.join(resolved.select("dep_id", F.col("resolved_timestamp").alias("requested_ts"), "temporally_distant"), "dep_id").select(F.col("capture_key").alias("original_url"), "ord", "requested_ts", F.lit(None).cast("string").alias("archive_status"), F.lit(False).alias("from_excluded"), "relation", "referrer", "temporally_distant")
-            front = self.cut(self.fetch(next_items.orderBy("ord", "original_url").limit(project.budgets.max_dependencies), responses).withColumn("wave", F.lit(wave)), f"wave{wave}")
-            items = items.unionByName(front, allowMissingColumns=True)
-        items = self.cut(items, "items")
-        bodies = items.where("body_hash is not null").select(F.col("body_hash").alias("hash"), F.col("body").alias("bytes")).dropDuplicates(["hash"])
-        read = self.cut(self.read_bodies(items, bodies), "read")
-        read = self.cut(self.reselected(read, known, responses), "reselected")
-        assets = read.where("referrer is not null").select(F.col("referrer").alias("page_url"), "original_url", (F.col("requested_ts").isNotNull()).alias("resolved"), (F.col("status") == "fetched").alias("acquired"), F.coalesce("temporally_distant", F.lit(False)).alias("distant"))
-        done = self.cut(classify_collection(read, assets, known, self.cut), "done")
-        return {"captures": known, "items": done, "assets": assets, "gaps": evidence.gaps(widened(done))}
+            read, held, known, exhausted = self.wave(front, known, runs, lookups, recorded, number)
+            items, bodies = self.joined(items, read), held if bodies is None else bodies.unionByName(held)
+            number += 1
+            stop = "budget-exhausted" if exhausted else None
+            front = self.found(read, listed, number)
+            listed = listed.select("original_url").unionByName(front.select("original_url"))
+            if number % 8 == 0:  # so that the plan does not grow with the waves
+                items, bodies, listed = self.cut(items, "items"), self.cut(bodies, "bodies"), self.cut(listed, "listed")
+        return self.finished(known, runs, items, bodies, recorded, stop)
+
+    @staticmethod
+    def joined(items: DataFrame | None, more: DataFrame) -> DataFrame:
+        return more if items is None else items.unionByName(more, allowMissingColumns=True)
+
+    def finished(self, known: DataFrame, runs: DataFrame, items: DataFrame | None, bodies: DataFrame | None, recorded: tuple[DataFrame, DataFrame], stop: str | None) -> dict[str, DataFrame]:
+        """Classification, fidelity and evidence of what was acquired."""
+        if items is None or "decoded" not in items.columns:  # nothing was attempted
+            empty, _, known, _ = self.wave(self.spark.createDataFrame([], LISTED), known, runs, None, recorded, 0)
+            items = self.joined(empty, items) if items is not None else empty
+        fresh = {"outcome", "outcome_source", "outcome_detail", "reference_eligible", "structure", "boilerplate", "encoding", "assets", "cross-capture", "applied_weight", "weakest", "score", "band", "overridden", "promotion_blocked", "matched_template", "redirect_raw"}
+        read = self.cut(items.drop(*fresh), "items")
+        if stop is None:
+            read = self.cut(self.reselected(read.drop("reselection_trail"), known, recorded), "reselected")
+        elif "reselection_trail" not in read.columns:
+            read = read.withColumn("reselection_trail", F.lit(None).cast("string"))
+        bodies = self.cut((bodies if bodies is not None else self.spark.createDataFrame([], "hash string, bytes binary")).dropDuplicates(["hash"]), "bodies")
+        assets = self.cut(read.where("referrer is not null").select(F.col("referrer").alias("page_url"), "original_url", (F.col("requested_ts").isNotNull()).alias("resolved"), (F.col("status") == "fetched").alias("acquired"), F.coalesce("temporally_distant", F.lit(False)).alias("distant")), "assets")
+        overrides = self.spark.createDataFrame([(u, r) for u, r, _ in self.project.overrides], "original_url string, override_reason string") if self.project.overrides else None
+        done = self.cut(classify_collection(read, assets, known, self.cut, overrides=overrides), "done")
+        partial = evidence.inventory_gaps(runs, self.project.url)
+        return {"captures": known, "runs": runs, "items": done, "bodies": bodies, "assets": assets, "gaps": self.cut(evidence.gaps(widened(done)).unionByName(partial), "gaps")}

@@ -22,7 +22,7 @@ def decode_bodies(items: DataFrame, bodies: DataFrame) -> DataFrame:
     met = items.join(read, items["body_hash"].eqNullSafe(read["body_hash"]) & items["content_type"].eqNullSafe(read["content_type"]), "left").drop(read["body_hash"]).drop(read["content_type"])
     text = F.col("decoded.text")
     stripped = strip_injection(F.when(has_injection(text), text))
-    return met.withColumn("stripped", stripped).withColumns({"text": F.coalesce("stripped.text", "decoded.text"), "removed_nodes": F.coalesce("stripped.removed_nodes", F.lit(0))}).drop("stripped")
+    return met.withColumn("stripped", stripped).withColumns({"text": F.coalesce("stripped.text", "decoded.text"), "removed_nodes": F.coalesce("stripped.removed_nodes", F.lit(0)), "removal_rules": F.array_join("stripped.rules", ", ")}).drop("stripped")
 
 
 def validated(items: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def validated(items: DataFrame) -> DataFrame:
 
 def item_outcomes(items: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items with their outcomes, the links of their pages, and the URLs of which a body is held."""
+    items = cut(items, "items")  # read for what is held, for links, templates and classes
     held = cut(items.where("validated").select("original_url").distinct(), "held")
     found = cut(links.discover_links(items.where(F.col("text").isNotNull()), key="item_id", url="original_url", text="text"), "links")
     frames = outcomes.declared_frames(found.where(F.col("relation") == "frame"), held, key="item_id")
