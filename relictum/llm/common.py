@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,35 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relictum.workspace import cut as materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workdir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the cluster names none."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="relictum-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: this cuts the lineage, survives lost executors,
-    and lets Spark delete the shuffle files that the table came from."""
-    spark = df.sparkSession
-    path = f"{workdir(spark)}/relictum/{uuid.uuid4().hex}/{tag}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_udf(fn: Callable[[list[str]], pa.Array], returns: str, piece_bytes: int = 4 << 20) -> Callable[[Column], Column]:
     """A vectorised function of one text column. `fn` gets lists of texts of about `piece_bytes` in all (null: empty) and
     returns an Arrow array. It counts as nondeterministic, so that the optimizer never evaluates it twice."""
@@ -162,9 +138,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def clear_tables(spark: SparkSession) -> None:
-    """Delete every table that operators have left in the shared folder. Results that were not written yet are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{workdir(spark)}/relictum")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relictum.llm.common import workdir
+from relictum.workspace import own_folder
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -77,7 +77,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
         vocabulary = file.read()
     kind = tokenizer_path.rpartition(".")[2]
     version = hashlib.sha256(vocabulary + (pattern or "").encode()).hexdigest()
-    cache_path = cache_path or f"{workdir(spark)}/relictum/{uuid.uuid4().hex}/token-cache"
+    cache_path = cache_path or f"{own_folder(spark)}/{uuid.uuid4().hex}/token-cache"
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
 

@@ -11,12 +11,14 @@ import pyspark.sql.functions as F
 import pytest
 
 from relictum.llm import toxicity as T
-from relictum.llm.common import clear_tables, connected_components, held_out, materialize, workdir
+from relictum.llm.common import connected_components, held_out, materialize
 from relictum.llm.embedding_dedup import embedding_components, near_tiles
 from relictum.llm.html_text import extract_text, fit_dom_model, label_nodes, made_page, parse, sample_pages
 from relictum.llm.mixing import mix_sources, rake
 from relictum.llm.quality import FEATURES, fit_quality, score_quality, statistics
 
+from relictum.workspace import clear_tables, own_folder
+
 from .conftest import words
 
 SF = "/root/testdata/sf0.01"
@@ -41,7 +43,7 @@ def test_tables_can_be_cleared(spark, tmp_path):
     kept = materialize(spark.range(3), "t")
     assert kept.count() == 3 and before == spark.conf.get("spark.checkpoint.dir")
     clear_tables(spark)
-    assert not list(Path(workdir(spark).removeprefix("file://")).glob("relictum/*"))
+    assert not Path(own_folder(spark).removeprefix("file://")).exists()
 
 
 # quality
