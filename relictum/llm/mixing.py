@@ -11,8 +11,8 @@ raked whatever it is called. Values beyond the MOST_VALUES with most tokens are
 bounded by the targets, whatever the table holds, and the cells may be raked on the driver and broadcast.
 
 Where no topic column exists, topics come from the texts (`fit_topics`): the principal axes of all texts' word profiles within
-their languages; a text belongs to the axis and side on which it stands out most. Tokens of a text are those of its words,
-each word encoded once a task (`describe_texts`).
+their languages; a text belongs to the axis and side on which it stands out most. `tokens` takes the weights of rows, such as
+the counts of a tokenizer; without it words between white space are counted.
 
 Defined cases: null and empty texts have no tokens, no topic (null), and the probability of their cell (1 in a cell without
 tokens); targets of classes that the table lacks are spread over the others; an empty table gives an empty table; repeated
@@ -23,8 +23,7 @@ from __future__ import annotations
 
 import itertools
 import warnings
-import zlib
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +32,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relictum.llm.common import free_name, materialize
-from relictum.llm.token_counts import load_counter
 
 OTHER = "other"
 MAX_CELLS = 100_000
@@ -48,15 +46,71 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def profile(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    """Square roots of hashed word counts, of length 1, in steps of 1 / QUANTUM so that sums hardly depend on their order."""
-    if len(place) > 500_000:
-        place.clear()
-    for w in words:
-        if w not in place:
-            place[w] = zlib.crc32(w) % DIMS
-    x = np.sqrt(np.bincount([place[w] for w in words], minlength=DIMS))
-    return np.round(x / np.sqrt(np.square(x).sum()) * QUANTUM) / QUANTUM
+def hash_tables() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte (none for white space) and an odd factor for each place in a word."""
+    mixed = np.arange(1, 321, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values, factors = mixed[:256] ^ (mixed[:256] >> np.uint64(27)), mixed[256:] | np.uint64(1)
+    values[SPACES] = 0
+    return values, factors
+
+
+SPACES = [32, 9, 10, 11, 12, 13]
+IS_SPACE = np.isin(np.arange(256), SPACES)
+VALUES, FACTORS = hash_tables()
+PIECE = 1 << 20
+
+
+def count_words(parts: list[bytes]) -> np.ndarray:
+    """For each part the number of its words by hash, as rows of DIMS."""
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    space = IS_SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros((len(parts), DIMS), np.int64)
+    place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], np.diff(np.append(starts, len(data))))
+    hashes = np.add.reduceat(VALUES[data[starts[0] :]] * FACTORS[np.minimum(place, len(FACTORS) - 1)], starts - starts[0])
+    bucket = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
+    part = np.searchsorted(begins, starts, side="right") - 1
+    return np.bincount(part * DIMS + bucket, minlength=len(parts) * DIMS).reshape(len(parts), DIMS)
+
+
+def word_counts(texts: list[str | None]) -> np.ndarray:
+    """Words of whole texts by hash; long texts are cut at white space, so memory stays bounded."""
+    out = np.zeros((len(texts), DIMS), np.int64)
+    parts: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def settle() -> None:
+        nonlocal size
+        np.add.at(out, owners, count_words(parts))
+        parts.clear(), owners.clear()
+        size = 0
+
+    for i, text in enumerate(texts):
+        raw, at = (text or "").lower().encode("utf-8", "surrogatepass"), 0
+        while at < len(raw):
+            end = at + PIECE
+            if end < len(raw):
+                cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
+                end = cut + 1 if cut > at else end
+            parts.append(raw[at:end])
+            owners.append(i)
+            size, at = size + min(end, len(raw)) - at, end
+            if size >= PIECE:
+                settle()
+    if parts:
+        settle()
+    return out
+
+
+def profiles(counts: np.ndarray) -> np.ndarray:
+    """Square roots of word counts, of length 1, in steps of 1 / QUANTUM so that sums hardly depend on their order."""
+    return np.round(np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True))) * QUANTUM) / QUANTUM
 
 
 @dataclass(frozen=True)
@@ -66,27 +120,28 @@ class Topics:
     means: dict[str, np.ndarray]
     axes: np.ndarray
 
-    def name(self, group: str, x: np.ndarray) -> str:
-        y = (x - self.means.get(group, self.means[OTHER])) @ self.axes
-        k = int(np.argmax(np.abs(y)))
-        return f"topic{k}{'+' if y[k] > 0 else '-'}"
+    def names(self, groups: list[str], counts: np.ndarray) -> list[str | None]:
+        centre = np.array([self.means.get(g, self.means[OTHER]) for g in groups]).reshape(-1, DIMS)
+        y = (profiles(counts) - centre) @ self.axes
+        k = np.abs(y).argmax(1)
+        side = np.where(y[np.arange(len(k)), k] > 0, "+", "-")
+        return [f"topic{a}{b}" if some else None for a, b, some in zip(k.tolist(), side.tolist(), counts.any(1).tolist(), strict=True)]
 
 
 def profile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each group of one task the number and the sum of its profiles, and for all the sums of their products."""
-    place: dict[bytes, int] = {}
     sums: dict[str, np.ndarray] = {}
     products = np.zeros((DIMS, DIMS))
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            held = []
-            for group, text in zip(batch.column("group").slice(at, 256).to_pylist(), batch.column("text").slice(at, 256).to_pylist(), strict=True):
-                if words := (text or "").lower().encode("utf-8", "surrogatepass").split():
-                    held.append(profile(words, place))
-                    sums.setdefault(group, np.zeros(DIMS + 1))
-                    sums[group] += np.concatenate([[1.0], held[-1]])
-            if held:
-                products += np.array(held).T @ np.array(held)
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            counts = word_counts(part.column("text").to_pylist())
+            x, groups = profiles(counts), np.array(part.column("group").to_pylist(), object)
+            some = counts.any(1)
+            products += x[some].T @ x[some]
+            for group in set(groups[some].tolist()):
+                own = x[some & (groups == group)]
+                sums[group] = sums.get(group, 0) + np.concatenate([[len(own)], own.sum(0)])
     for group, values in [*sums.items(), *([(None, products.ravel())] if sums else [])]:
         yield pa.RecordBatch.from_arrays([pa.array([group] * len(values), pa.string()), pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], names=["group", "i", "total"])
 
@@ -112,35 +167,23 @@ def fit_topics(docs: DataFrame, group: Column, *, text_col: str = "text", axes:
     return Topics(means, vector / np.sqrt(np.maximum(value[::-1][:axes], 1e-9)))
 
 
-def describe_texts(docs: DataFrame, group: Column, topics: Topics, tokenizer_path: str, *, text_col: str = "text") -> DataFrame:
-    """`docs` without its texts, with topic, n_tokens and draw (a hash of the text). The vocabulary is read from the driver's installation."""
-    with open(tokenizer_path, "rb") as file:
-        vocabulary = file.read()
-    kind = tokenizer_path.rpartition(".")[2]
+def with_topics(docs: DataFrame, group: Column, topics: Topics, *, text_col: str = "text") -> DataFrame:
+    """`docs` with topic, n_words and draw (a hash of the text)."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        place: dict[bytes, int] = {}
-        tokens: dict[str, int] = {}
-        count: Callable[[list[str]], list[int]] | None = None
         for groups, texts in batches:
-            count = count or load_counter(kind, vocabulary)
             names, totals = [], []
-            for g, text in zip(groups, texts, strict=True):
-                words = (text.as_py() or "").split()
-                if len(tokens) > 500_000:
-                    tokens.clear()
-                if fresh := [w for w in dict.fromkeys(words) if w not in tokens]:
-                    tokens.update(zip(fresh, count(fresh), strict=True))
-                totals.append(sum([tokens[w] for w in words]))
-                low = (text.as_py() or "").lower().encode("utf-8", "surrogatepass").split()
-                names.append(topics.name(g.as_py(), profile(low, place)) if low else None)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(totals, pa.int64())], names=["topic", "n_tokens"])
+            for at in range(0, len(texts), 512):
+                counts = word_counts(texts.slice(at, 512).to_pylist())
+                names += topics.names(groups.slice(at, 512).to_pylist(), counts)
+                totals += counts.sum(1).tolist()
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(totals, pa.int64())], names=["topic", "n_words"])
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(run, "struct<topic:string,n_tokens:long>").asNondeterministic()
+    udf = F.arrow_udf(run, "struct<topic:string,n_words:long>").asNondeterministic()
     found = free_name(docs, "found")
     read = docs.withColumn(found, udf(F.coalesce(group.cast("string"), F.lit(OTHER)), F.col(text_col).cast("string")))
-    return read.withColumns({"topic": F.col(f"{found}.topic"), "n_tokens": F.col(f"{found}.n_tokens"), "draw": F.xxhash64(F.col(text_col))}).drop(found)
+    return read.withColumns({"topic": F.col(f"{found}.topic"), "n_words": F.col(f"{found}.n_words"), "draw": F.xxhash64(F.col(text_col))}).drop(found)
 
 
 def rake(held: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = 1000, close: float = 1e-10) -> tuple[np.ndarray, float]:
@@ -190,7 +233,7 @@ def mix_sources(docs: DataFrame, targets: Targets, *, columns: Mapping[str, Colu
     held_by = docs.select(*[own[m].alias(classes[m]) for m in names], tokens.alias("n")).groupBy(*classes.values()).agg(F.sum("n").alias("held"))
     held_by = materialize(held_by, "cells")  # one pass over the documents serves every sum
     targets = dict(targets)
-    for m, power in (tempered or {}).items():
+    for m, power in ((m, p) for m, p in (tempered or {}).items() if m in targets):
         targets[m] = share_out(held_by.groupBy(F.col(classes[m]).alias("value")).agg(F.sum("held").alias("held")), targets[m], power)
     values = {m: [v for v in targets[m] if v != OTHER] + [OTHER] for m in names}
     if np.prod([len(v) for v in values.values()]) > MAX_CELLS:

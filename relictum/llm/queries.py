@@ -11,7 +11,7 @@ from relictum.llm.common import held_out, materialize, table
 from relictum.llm.decontaminate import find_leaks
 from relictum.llm.embedding_dedup import embedding_components
 from relictum.llm.html_text import extract_text, fit_dom_model, sample_pages
-from relictum.llm.mixing import describe_texts, fit_topics, mix_sources
+from relictum.llm.mixing import fit_topics, mix_sources, with_topics
 from relictum.llm.quality import fit_quality, score_quality
 from relictum.llm.secret_scan import joined_spans, scan_secrets
 from relictum.llm.simhash import simhash_components
@@ -37,12 +37,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
-def mixed(docs: DataFrame, *, texts: bool) -> DataFrame:
-    """Documents, with or without their texts, with topic, n_tokens, probability and selected."""
-    described = describe_texts(docs, F.col("lang"), fit_topics(docs, F.col("lang")), tokenizer_path())
+def mixed(docs: DataFrame, *, texts: bool, tokens: str = "n_words") -> DataFrame:
+    """Documents, with or without their texts, with topic, n_tokens, probability and selected. `tokens` names the weights."""
+    described = with_topics(docs, F.col("lang"), fit_topics(docs, F.col("lang")))
     described = materialize(described if texts else described.drop("text"), "described")
     columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic")}
-    return mix_sources(described, MIX_TARGETS, columns=columns, tempered=MIX_TEMPERED, tokens=F.col("n_tokens"), draw=F.col("draw")).drop("draw")
+    return mix_sources(described, MIX_TARGETS, columns=columns, tempered=MIX_TEMPERED, tokens=F.col(tokens), draw=F.col("draw")).drop("draw", "n_words")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,24 +377,29 @@ def test_targets_out_of_reach_are_reported(spark):
 
 
 def test_topics_tell_subjects_apart(spark):
-    from relictum.llm.mixing import describe_texts, fit_topics
+    from relictum.llm.mixing import fit_topics, with_topics
 
     r = random.Random(2)
     subjects = [[f"{'xyz'[k]}{i}word" for i in range(30)] for k in range(3)]
     rows = [(i, " ".join(r.choices(subjects[i % 3], k=60) + ["und"] * 10), "de") for i in range(300)] + [(300, None, "en"), (301, " ", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    path = str(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
-    got = {x.doc_id: x for x in describe_texts(docs, F.col("lang"), fit_topics(docs, F.col("lang"), axes=2), path).collect()}
-    assert got[300].topic is None is got[301].topic and got[300].n_tokens == got[301].n_tokens == 0
+    got = {x.doc_id: x for x in with_topics(docs, F.col("lang"), fit_topics(docs, F.col("lang"), axes=2)).collect()}
+    assert got[300].topic is None is got[301].topic and got[300].n_words == got[301].n_words == 0 and got[5].n_words == 70
     groups = [{got[i].topic for i in range(k, 300, 3)} for k in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    empty = docs.limit(0)
+    assert with_topics(empty, F.col("lang"), fit_topics(empty, F.col("lang"))).count() == 0
 
-    import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    assert all(abs(got[i].n_tokens - len(model.encode(rows[i][1]))) <= 1 for i in range(20))
-    empty = docs.limit(0)
-    assert describe_texts(empty, F.col("lang"), fit_topics(empty, F.col("lang")), path).count() == 0
+def test_words_are_counted_by_their_hash(monkeypatch):
+    from relictum.llm import mixing as M
+
+    texts = ["a bb  a\tccc", None, "", " \n", "bb " * 500, "é É x" * 40, "a"]
+    counts = M.word_counts(texts)
+    assert counts.sum(1).tolist() == [len((t or "").split()) for t in texts]
+    assert (counts[0] >= counts[6]).all() and counts[4].max() == 500 and counts[5].max() >= 39
+    monkeypatch.setattr(M, "PIECE", 64)
+    assert (M.word_counts(texts) == counts).all()
 
 
 def test_mixture_is_close_to_its_targets(spark):
