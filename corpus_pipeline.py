@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from relictum.llm.common import free_name, materialize, table
 from relictum.llm.decontaminate import drop_leaks
-from relictum.llm.queries import QUALITY_THRESHOLD, mixed
+from relictum.llm.queries import QUALITY_THRESHOLD, mixed, tokenizer_path
 from relictum.llm.quality import fit_quality, score_quality
 from relictum.llm.secret_scan import redact_secrets
 from relictum.llm.simhash_wide import drop_similar
+from relictum.llm.token_counts import token_counts
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,9 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by calibrated probabilities; an inverse probability weights each."""
-    return mixed(docs, texts=True).where("selected").withColumn("weight", 1 / F.col("probability")).drop("selected")
+    """Documents drawn by calibrated probabilities over their tokens; an inverse probability weights each."""
+    counted = token_counts(docs, tokenizer_path()).drop("n_bytes")
+    return mixed(counted, texts=True, tokens="n_tokens").where("selected").withColumn("weight", 1 / F.col("probability")).drop("selected")
 
 
 STAGES = [
