@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,8 +96,9 @@ def drawn_rows(docs: DataFrame, drawn: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one task: at most one edge for each node leaves."""
+def local_forest(batches: Iterator[pa.RecordBatch], most_nodes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of one task: at most one edge for each node leaves. Beyond `most_nodes` what is held leaves and
+    the work begins anew; edges that leave say the same as those that came."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -105,15 +107,21 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = parent[x]
         return x
 
+    def held() -> Iterator[pa.RecordBatch]:
+        pairs = np.array([(x, root(x)) for x in list(parent)], np.int64).reshape(-1, 2)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        for i in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, k].copy()) for k in (0, 1)], names=["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, root(x)) for x in list(parent) if root(x) != x]
-    for i in range(0, len(pairs), 50_000):
-        part = pairs[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
+        if len(parent) > most_nodes:
+            yield from held()
+            parent.clear()
+    yield from held()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

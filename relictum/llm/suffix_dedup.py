@@ -234,6 +234,7 @@ def window_hashes(contexts: list[bytes], before: np.ndarray, after: np.ndarray)
         yield step, mixed(h), (step <= before) & (WINDOW - step <= after)
 
 
+WINDOW_NAMES = ["start", "end", "k1", "k2", "grp", "step", "hash"]
 WINDOWS = "start int, end int, k1 long, k2 long, grp long, step int, hash long"
 
 
@@ -254,7 +255,7 @@ def compare_windows(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> It
         opened = np.array([r[0] in open_groups for r in rows], bool)
         steps, shared = [], []
         out: list[list] = [[] for _ in range(7)]
-        lone: list[tuple[int, int, int, bool]] = []
+        lone: list[tuple[np.ndarray, ...]] = []
         for step, hashes, valid in window_hashes([r[7] for r in rows], before, after):
             at = np.flatnonzero(valid)
             both = np.zeros(len(rows), bool)
@@ -264,7 +265,8 @@ def compare_windows(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> It
                 same = key[order][1:] == key[order][:-1]
                 both[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
                 head = order[np.concatenate([[True], ~same])]
-                lone += [(step, i, int(hashes[i].view(np.int64)), bool(repeated[i] or both[i])) for i in head[opened[head]].tolist()]
+                head = head[opened[head]]
+                lone.append((np.full(len(head), step, np.int32), head, hashes[head].view(np.int64), repeated[head] | both[head]))
             steps.append(step)
             shared.append(both)
         shared = np.array(shared, bool).reshape(len(steps), len(rows))
@@ -273,13 +275,14 @@ def compare_windows(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> It
                 place = rows[i][4]
                 for column, value in zip(out, (place - steps[b - 1], place - steps[a] + WINDOW, rows[i][2], rows[i][3], None, None, None), strict=True):
                     column.append(value)
-        for step, i, h, decided in lone:
-            start = rows[i][4] - step
-            span = (None, None, None, None) if decided else (start, start + WINDOW, rows[i][2], rows[i][3])
-            for column, value in zip(out, (*span, rows[i][0], step, h), strict=True):
-                column.append(value)
+        k1, k2, place, grp = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4, 0))
+        for step, i, h, decided in lone:  # one batch a step; a window that is decided has no span
+            start = (place[i] - step).astype(np.int32)
+            span = [pa.array(c, mask=decided) for c in (start, start + np.int32(WINDOW), k1[i], k2[i])]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([*span, pa.array(grp[i]), pa.array(step), pa.array(h)], names=WINDOW_NAMES)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["start", "end", "k1", "k2", "grp", "step", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=WINDOW_NAMES)
 
     first, touched = True, set()
     for batch in batches:
@@ -353,12 +356,12 @@ def repeat_spans(texts: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
     return whole.unionByName(inside).unionByName(across).distinct()
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, most_parts: int = 20_000, chunk: int = CHUNK) -> DataFrame:
     """Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row."""
     content = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), content.cast("binary").alias("content")).withColumns({"k1": F.xxhash64("content"), "k2": F.xxhash64(F.lit(1), "content")})
     total = keyed.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
-    parts = max(8, -(-total // part_bytes))
+    parts = min(most_parts, max(8, -(-total // part_bytes)))  # beyond that, partitions grow and their sorts spill
     once = keyed.groupBy("k1", "k2").agg(F.first("content").alias("content"), (F.count(F.lit(1)) > 1).alias("copied"))
     texts = materialize(once, "texts")
     spans = repeat_spans(texts, parts, chunk)
