@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,23 +33,51 @@ def blocked_ipv4_reason(address: Column) -> Column:
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def ipv6_groups(address: Column) -> Column:
+    """The eight numbers of an IPv6 address however it is written; null if it is none."""
+
+    def without_dots(plain: Column) -> Column:
+        def hexed(tail: Column) -> Column:
+            octet = lambda i: F.get(tail, F.lit(i)).try_cast("int")
+            pair = lambda i: F.lower(F.hex(octet(i) * 256 + octet(i + 1)))
+            return F.when(F.size(tail) == 4, F.concat(F.regexp_replace(plain, r"[\d.]+$", ""), pair(0), F.lit(":"), pair(2))).otherwise(plain)
+
+        return bound(F.split(F.regexp_extract(plain, r"(\d{1,3}(?:\.\d{1,3}){3})$", 1), r"\."), hexed)
+
+    def filled(halves: Column) -> Column:
+        part = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        sides = F.struct(part(0).alias("left"), part(1).alias("right"), F.size(halves).alias("n"))
+
+        def joined(s: Column) -> Column:
+            missing = 8 - F.size(s["left"]) - F.size(s["right"])
+            return F.when((s["n"] == 1) & (missing == 0), s["left"]).when((s["n"] == 2) & (missing >= 1), F.concat(s["left"], F.array_repeat(F.lit("0"), missing), s["right"]))
+
+        return bound(sides, joined)
+
+    numbers = lambda written: F.when(F.forall(written, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(written, lambda g: F.conv(g, 16, 10).cast("int")))
+    whole = bound(F.regexp_extract(F.lower(address), r"^[^%]*", 0), without_dots)
+    return bound(bound(F.split(whole, "::"), filled), numbers)
+
+
 def blocked_ipv6_reason(address: Column) -> Column:
-    plain = F.regexp_extract(F.lower(address), r"^[^%]*", 0)
-    dotted = r"^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$"
-    hexed = r"^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
-    high, low = (F.conv(F.regexp_extract(plain, hexed, i), 16, 10).try_cast("int") for i in (1, 2))
-    embedded = F.concat_ws(".", *[x.cast("string") for x in (F.floor(high / 256), high % 256, F.floor(low / 256), low % 256)])
-    # Likewise.
-    return (
-        F.when(plain == "::", "unspecified ::")
-        .when(plain == "::1", "loopback ::1")
-        .when(plain.rlike(dotted), blocked_ipv4_reason(F.regexp_extract(plain, dotted, 1)))
-        .when(plain.rlike(hexed), blocked_ipv4_reason(embedded))
-        .when(plain.rlike("^f[cd][0-9a-f]{2}:"), "unique local fc00::/7")
-        .when(plain.rlike("^fe[89ab][0-9a-f]:"), "link-local fe80::/10")
-        .when(plain.rlike("^ff[0-9a-f]{2}:"), "multicast ff00::/8")
-        .when(plain.startswith("64:ff9b:"), "NAT64 64:ff9b::/96")
-    )
+    """The reserved range that an IPv6 address lies in, by its numbers; null if it may be connected to."""
+
+    def reason_of(groups: Column) -> Column:
+        g = lambda i: F.get(groups, F.lit(i))
+        empty = lambda n: F.forall(F.slice(groups, 1, n), lambda x: x == 0)
+        embedded = F.concat_ws(".", *[x.cast("string") for i in (6, 7) for x in (F.floor(g(i) / 256), g(i) % 256)])
+        reason = F.when(groups.isNull(), "not an IP address").when(empty(5) & (g(5) == 0xFFFF), bound(embedded, blocked_ipv4_reason))
+        # First number and the bits of it that count, with the reasons that reports give.
+        for first, mask, said in ((0xFC00, 0xFE00, "unique local fc00::/7"), (0xFE80, 0xFFC0, "link-local fe80::/10"), (0xFF00, 0xFF00, "multicast ff00::/8")):
+            reason = reason.when(g(0).bitwiseAND(F.lit(mask)) == first, said)
+        return reason.when((g(0) == 0x64) & (g(1) == 0xFF9B), "NAT64 64:ff9b::/96").when(empty(8), "unspecified ::").when(empty(7) & (g(7) == 1), "loopback ::1")
+
+    return bound(ipv6_groups(address), reason_of)
 
 
 def blocked_address_reason(address: Column) -> Column:

@@ -18,43 +18,45 @@ TOOLBAR_ELEMENT = re.compile(r"""<div\b[^>]*\bid\s*=\s*["']?wm-ipp[\w-]*["']?[^>
 SCRIPT_WITH_SOURCE = r"""<script\b[^>]*\bsrc\s*=\s*["'][^"']*["'][^>]*>\s*</script>"""
 SCRIPT = r"<script\b[^>]*>[\s\S]*?</script>"
 RULES = (
-    ("wayback-toolbar-insert", re.compile(re.escape(TOOLBAR_BEGIN) + r"[\s\S]*?" + re.escape(TOOLBAR_END)), ""),
+    ("wayback-toolbar-insert", re.compile(re.escape(TOOLBAR_BEGIN) + r"[\s\S]*?" + re.escape(TOOLBAR_END)), None),
     ("file-archived-comment", re.compile(r"<!--[\s\S]*?-->"), "FILE ARCHIVED ON"),
-    ("wayback-toolbar-element", None, ""),
+    ("wayback-toolbar-element", None, None),
     ("replay-static-script", re.compile(SCRIPT_WITH_SOURCE, re.IGNORECASE), "/_static/"),
     ("replay-static-stylesheet", re.compile(r"<link\b[^>]*>", re.IGNORECASE), "/_static/"),
     ("replay-analytics-script", re.compile(SCRIPT_WITH_SOURCE, re.IGNORECASE), "archive.org/includes/"),
     ("replay-init-script", re.compile(SCRIPT, re.IGNORECASE), "__wm."),
     ("replay-analytics-inline-script", re.compile(SCRIPT, re.IGNORECASE), "archive_analytics"),
 )
-DIV_EDGE = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
+DIV_EDGE = re.compile(r"<div\b|</div\s*>", re.IGNORECASE)
 
 
-def element_spans(text: str) -> list[tuple[int, int]]:
-    """Toolbar elements with all that they hold; one that never closes is left alone."""
-    spans, at = [], 0
-    while opener := TOOLBAR_ELEMENT.search(text, at):
-        depth, end = 1, None
-        for edge in DIV_EDGE.finditer(text, opener.end()):
-            depth += -1 if edge[1] else 1
-            if not depth:
-                end = edge.end()
-                break
-        if end is None:
-            break
-        spans.append((opener.start(), end))
-        at = end
-    return spans
+def first_element(text: str) -> tuple[int, int] | None:
+    """The first toolbar element with all that it holds; None if there is none or it never closes."""
+    opener = TOOLBAR_ELEMENT.search(text)
+    depth = 1
+    for edge in DIV_EDGE.finditer(text, opener.end()) if opener else ():
+        depth += -1 if edge[0][1] == "/" else 1
+        if not depth:
+            return opener.start(), edge.end()
+    return None
 
 
 def strip(text: str) -> tuple[str, list[tuple[str, int]]]:
-    """The page without injected parts, and (rule, characters) of each removal."""
+    """The page without injected parts, and (rule, characters) of each removal. Inserts and elements are looked for anew after
+    each removal, since what was on both sides of one may make another."""
     removed: list[tuple[str, int]] = []
     for name, pattern, needs in RULES:
         if len(removed) >= MOST_REMOVALS:
             break
-        spans = element_spans(text) if pattern is None else [m.span() for m in pattern.finditer(text) if needs in m[0]]
-        parts, at = [], 0
+        if needs is None:
+            for _ in range(MOST_REMOVALS):
+                span = first_element(text) if pattern is None else (m.span() if (m := pattern.search(text)) else None)
+                if span is None:
+                    break
+                removed.append((name, span[1] - span[0]))
+                text = text[: span[0]] + text[span[1] :]
+            continue
+        spans, parts, at = [m.span() for m in pattern.finditer(text) if needs in m[0]], [], 0
         for start, end in spans[:MOST_REMOVALS]:
             parts.append(text[at:start])
             removed.append((name, end - start))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relictum.operators.captures import FIELDS
+from relictum.workspace import own_folder
 
 CELLS = "array<array<string>>"
 
@@ -59,20 +62,39 @@ def proves_absence(complete: bool, bounded: bool, match_type: str, host: Column,
     return same | host.endswith("." + inventory_host) if match_type == "domain" else same
 
 
-def scan_index(spark: SparkSession, fetch: Callable[[str | None], str | None], *, limit: int, max_pages: int) -> tuple[DataFrame, dict]:
+def page_end(body: str, limit: int) -> tuple[str | None, bool]:
+    """The key that resumes after a page, and whether it filled the limit."""
+    rows = json.loads(body)[1:]
+    end = next((i for i, r in enumerate(rows) if not r), len(rows))
+    after = rows[end + 1] if end + 1 < len(rows) else []
+    return (after[0] if len(after) == 1 else None), end >= limit
+
+
+def scan_index(spark: SparkSession, fetch: Callable[[str | None], str | None], *, limit: int, max_pages: int, batch_bytes: int = 32 << 20) -> tuple[DataFrame, dict]:
     """Index pages one after the other, each asked for with the resume key of the one before: (page_ord, body), and how the
-    scan ended. Pages depend on each other, so they cannot be read in parallel; only keys are looked at here. `fetch` gives
-    the body for a resume key, or None if the request failed."""
-    bodies: list[tuple[int, str]] = []
-    key, failed, full = None, False, False
-    while len(bodies) < max_pages:
+    scan ended. Pages depend on each other, so they cannot be read in parallel; the driver holds `batch_bytes` of them, then
+    writes them to the shared folder. `fetch` gives the body for a resume key, or None if the request failed."""
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}/index"
+    held: list[tuple[int, str]] = []
+    key, failed, full, number, size = None, False, False, 0, 0
+
+    def settle() -> None:
+        spark.createDataFrame(held, "page_ord int, body string").coalesce(1).write.mode("append").parquet(path)
+        held.clear()
+
+    while number < max_pages:
         body = fetch(key)
         if body is None:
             failed = True
             break
-        bodies.append((len(bodies), body))
-        end = page_ends(spark.createDataFrame(bodies[-1:], "page_ord int, body string"), limit).first()
-        key, full = (end.resume_key, full or end.limit_reached) if end else (None, full)
+        held.append((number, body))
+        number, size = number + 1, size + len(body)
+        key, filled = page_end(body, limit)
+        full = full or filled
+        if size >= batch_bytes:
+            settle()
+            size = 0
         if key is None:
             break
-    return spark.createDataFrame(bodies, "page_ord int, body string"), {"pages": len(bodies), "continued": key is not None and not failed, "failed": failed, "limit_reached": full}
+    settle()
+    return spark.read.schema("page_ord int, body string").parquet(path), {"pages": number, "continued": key is not None and not failed, "failed": failed, "limit_reached": full}

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from relictum.operators.acquisition import running_totals
+from relictum.workspace import cut
+
 RULES = "description string, dns map<string,array<string>>, rules array<struct<id:string,urlIncludes:array<string>,urlExcludes:array<string>,respond:array<struct<error:string,status:int,headers:map<string,string>,bodyText:string,bodyUtf8:string,bodyBytes:array<int>>>>>"
 ROWS = "rule_ord int, rule_id string, includes array<string>, excludes array<string>, call int, last boolean, error string, status int, headers map<string,string>, body binary"
 
@@ -58,14 +61,15 @@ def read_fixture(spark: SparkSession, manifest: str) -> DataFrame:
 
 def answer(requests: DataFrame, fixture: DataFrame, max_bytes: int) -> DataFrame:
     """Each request (ord, url) with its response: the first rule all of whose parts the URL holds and none of whose
-    exclusions; a rule's nth request gets its nth response, and the last one repeats. Bodies are cut at `max_bytes`."""
+    exclusions; a rule's nth request gets its nth response, and the last one repeats. Bodies are cut at `max_bytes`. Rules come
+    from a manifest that the driver reads, so they are few; their bodies are joined by rule and call."""
     rules = fixture.select("rule_ord", "includes", "excludes").distinct()
     fits = F.forall("includes", lambda x: F.col("url").contains(x)) & ~F.exists("excludes", lambda x: F.col("url").contains(x))
     matched = requests.join(F.broadcast(rules), fits, "left").groupBy("ord", "url").agg(F.min("rule_ord").alias("rule_ord"))
-    from pyspark.sql import Window
-
-    numbered = matched.withColumn("nth", F.row_number().over(Window.partitionBy("rule_ord").orderBy("ord")) - 1)
-    calls = fixture.select("rule_ord", "call", "last", "error", "status", "headers", "body")
-    met = numbered.join(F.broadcast(calls), "rule_ord", "left").where(F.col("call").isNull() | (F.col("call") == F.col("nth")) | (F.col("last") & (F.col("call") < F.col("nth"))))
+    ranked = running_totals(matched, ["rule_ord", "ord"], {}, cut)
+    calls = fixture.groupBy("rule_ord").agg(F.max("call").alias("last_call"))
+    first = ranked.groupBy("rule_ord").agg(F.min("rank").alias("first_rank")).join(calls, "rule_ord")
+    numbered = ranked.join(first, "rule_ord", "left").withColumn("call", F.least(F.col("rank") - F.col("first_rank"), F.col("last_call")).cast("int"))
+    met = numbered.join(fixture.select("rule_ord", "call", "error", "status", "headers", "body"), ["rule_ord", "call"], "left")
     body = F.substring("body", 1, max_bytes)
     return met.select("ord", "url", "rule_ord", "error", "status", "headers", body.alias("body"), (F.octet_length("body") > max_bytes).alias("truncated"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relictum.functions.url import store_path
 
 JOB_VERSION = 3
+STORED = "hash string, byte_length long, store_path string, bytes binary, prefix string"
 REPORT_VERSION = 5
 
 
@@ -21,21 +22,24 @@ def bodies_by_hash(bodies: DataFrame, column: str = "bytes") -> DataFrame:
 
 
 def write_bodies(bodies: DataFrame, path: str) -> None:
-    """Add the contents that the store lacks; files are parted by the first two letters of the hash."""
+    """Add the contents that the store lacks; files are parted by the first two letters of the hash, and written by as many
+    tasks as the first three tell apart."""
     spark = bodies.sparkSession
     fresh = bodies_by_hash(bodies).drop("references")
     try:
-        held = spark.read.parquet(path).select("hash")
-        fresh = fresh.join(held, "hash", "left_anti")
+        held = spark.read.schema(STORED).parquet(path).select("prefix", "hash")
+        fresh = fresh.withColumn("prefix", F.substring("hash", 1, 2)).join(held, ["prefix", "hash"], "left_anti").drop("prefix")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    fresh.withColumn("prefix", F.substring("hash", 1, 2)).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    fresh.withColumn("prefix", F.substring("hash", 1, 2)).repartition("prefix", F.substring("hash", 3, 1)).write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def read_bodies(spark: SparkSession, path: str, hashes: DataFrame) -> DataFrame:
-    """Stored contents of the hashes; a hash that the store lacks has null bytes."""
-    return hashes.join(spark.read.parquet(path).drop("prefix"), "hash", "left")
+    """Stored contents of the hashes; a hash that the store lacks has null bytes. The prefix takes part in the join, so that only
+    the parts that are asked for are read."""
+    parted = hashes.withColumn("prefix", F.substring("hash", 1, 2))
+    return parted.join(spark.read.schema(STORED).parquet(path), ["prefix", "hash"], "left").drop("prefix")
 
 
 def save_job(tables: dict[str, DataFrame], path: str) -> None:

@@ -49,7 +49,7 @@ def test_query_in_path(spark):
     assert got.startswith("site/a.example/x__q") and got.endswith(".cgi") and len(got) == len("site/a.example/x__q12345678.cgi")
 
 
-@pytest.mark.parametrize("address,reason", [("93.184.216.34", None), ("10.1.2.3", "private 10.0.0.0/8"), ("256.1.1.1", "unparseable IPv4 address"), ("::1", "loopback ::1"), ("::ffff:10.0.0.1", "private 10.0.0.0/8"), ("::ffff:a00:1", "private 10.0.0.0/8"), ("fe80::1%eth0", "link-local fe80::/10"), ("2606:2800::1", None), ("host", "not an IP address")])
+@pytest.mark.parametrize("address,reason", [("93.184.216.34", None), ("10.1.2.3", "private 10.0.0.0/8"), ("256.1.1.1", "unparseable IPv4 address"), ("::1", "loopback ::1"), ("::ffff:10.0.0.1", "private 10.0.0.0/8"), ("::ffff:a00:1", "private 10.0.0.0/8"), ("fe80::1%eth0", "link-local fe80::/10"), ("2606:2800::1", None), ("0:0:0:0:0:0:0:1", "loopback ::1"), ("0:0::0:0", "unspecified ::"), ("0:0:0:0:0:FFFF:7f00:0001", "loopback 127.0.0.0/8"), ("0::ffff:127.0.0.1", "loopback 127.0.0.0/8"), ("64:ff9b::1", "NAT64 64:ff9b::/96"), ("1:2:3:4:5:6:7:8", None), ("1::2::3", "not an IP address"), ("::ffff:300.0.0.1", "not an IP address"), ("host", "not an IP address")])
 def test_addresses(spark, address, reason):
     assert one(spark, blocked_address_reason(F.lit(address))) == reason
 
