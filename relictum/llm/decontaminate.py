@@ -3,8 +3,9 @@
 Texts and benchmark items are lower-cased and every run of other than letters and digits becomes one space. An item of m
 bytes may be changed by k = floor(rate * m) edits, so an occurrence shares at least m - q + 1 - k * q of its q-grams, all on
 neighbouring diagonals (place in the text less place in the item); q is eight, or less for an item so short that the bound
-would not be positive. Shared q-grams are counted in overlapping bands of diagonals; a band that meets the bound is verified
-by a banded alignment, the item whole, the ends in the text free.
+would not be positive. Shared q-grams are counted in overlapping bands of diagonals; a band that meets the bound, and
+whose text also meets the bound for three-byte grams, is verified by a banded alignment, the item whole, the ends in the
+text free.
 
 Items are handed to the tasks in blocks of bounded size, one pass over the documents for each block, and the driver holds one
 block at a time. Pairs of a gram and its places are counted in pieces, so a text that repeats itself takes little memory.
@@ -114,13 +115,19 @@ def index_grams(rows: list[tuple[int | None, bytes]], budget: np.ndarray, used:
     return Items([i for i, _ in rows], [t for _, t in rows], budget, size - q + 1 - budget * q, distinct, first, count, item[order], place[order], narrow, seen, shift, q, short)
 
 
+def shared_grams(item: bytes, region: bytes) -> int:
+    """How many places of the item begin three bytes that the region holds; an edit takes at most three of them away."""
+    held = {region[i : i + 3] for i in range(len(region) - 2)}
+    return sum([item[i : i + 3] in held for i in range(len(item) - 2)])
+
+
 def align(item: bytes, region: bytes, slack: int, budget: int) -> tuple[int, int, int] | None:
     """Least edits between the whole item and a part of the region, with that part; place i of the item may meet places
     i .. i + slack of the region. None if more than `budget` edits are needed."""
     at = region.find(item)
     if at >= 0:
         return 0, at, at + len(item)
-    if not budget:
+    if not budget or shared_grams(item, region) < len(item) - 2 - 3 * budget:
         return None
     a, b = np.frombuffer(item, np.uint8), np.frombuffer(region + b"\0" * (slack + len(item) + 2), np.uint8)
     far = len(item) + 1
