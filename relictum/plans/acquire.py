@@ -385,7 +385,8 @@ class Run:
         else:
             known, runs, bodies = previous["captures"], previous["runs"], previous["bodies"]
             settled, front = self.resumed(previous["items"], retry_failed)
-        items, number, stop = settled, 0, None
+        items, stop = settled, None
+        number = 0 if settled is None else previous["items"].agg(F.coalesce(F.max("wave"), F.lit(0))).first()[0]
         listed = front if settled is None else settled.select("original_url").unionByName(front.select("original_url"))
         while not front.isEmpty():
             said = signal()
