@@ -21,7 +21,7 @@ import html
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +34,7 @@ from relictum.llm.common import text_udf
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 COMMENT_END = re.compile(r"-?>|--!?>")
 STOP = re.compile(r"[>=]")
+USUAL = re.compile(r"""(?:\s+[^\s"'=<>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?+)*+\s*/?""")
 SPACE, BARE = re.compile(r"\s*"), re.compile(r"[^\s>]*")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -59,6 +60,9 @@ class Node:
 def tag_end(page: str, at: int, open_ended: set[str]) -> int:
     """Place of the > that ends a tag whose attributes begin at `at`, or -1. Quoted values may hold one; a quotation mark that
     never closes is read as part of a bare value, and `open_ended` keeps such marks, so that they are looked for once."""
+    first = page.find(">", at)
+    if first < 0 or USUAL.fullmatch(page, at, first):
+        return first
     while (m := STOP.search(page, at)) is not None:
         if m[0] == ">":
             return m.start()
@@ -78,7 +82,7 @@ def parse(page: str) -> list[Node]:
     below DEEP open ones are not nested further, though their text stays."""
     nodes = [Node(-1, "root")]
     stack: list[tuple[str, int]] = [("", 0)]
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, int] = defaultdict(int)
     pieces: list[str] = []
     linked = [0, 0]
     hidden = 0
@@ -156,10 +160,10 @@ def parse(page: str) -> list[Node]:
         if closing:
             if tag == "br":
                 add(" ")
-            elif depth := innermost((tag,), () if tag in FENCE else FENCE):
+            elif opened[tag] > 0 and (depth := innermost((tag,), () if tag in FENCE else FENCE)):
                 shut(depth)
             continue
-        if tag not in IN_HEAD:
+        if opened["head"] and tag not in IN_HEAD:
             leave_head()
         if tag in VOID:
             if tag == "hr":
@@ -176,7 +180,7 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in BLOCK:
             flush()
-        if tag in CLOSES_P and (depth := innermost(("p",), FENCE)):
+        if opened["p"] > 0 and tag in CLOSES_P and (depth := innermost(("p",), FENCE)):
             shut(depth)
         if tag in SAME and (depth := innermost(SAME[tag], ("table", "ul", "ol", "dl"))):
             shut(depth)
