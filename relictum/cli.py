@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +40,25 @@ def reclassify(tables: dict) -> dict:
     return tables | {"items": done, "gaps": evidence.gaps(widened(done))}
 
 
+def stored_job(spark: SparkSession, path: str) -> dict | None:
+    """The tables of the job at `path`, if there is one."""
+    try:
+        return load_job(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="relictum")
     sub = parser.add_subparsers(dest="command", required=True)
     run = sub.add_parser("acquire", help="index pages and responses (Parquet) to a job")
     for name in ("--project", "--index", "--responses", "--job"):
         run.add_argument(name, required=True)
+    run.add_argument("--lookups", help="recorded answers to lookups of one URL (Parquet)")
+    run.add_argument("--resume", action="store_true", help="go on with the job that is there")
+    run.add_argument("--retry-failed", action="store_true", help="with --resume: try again what failed for a passing reason")
     for name, said in (("report", "totals of a job as JSON"), ("reclassify", "outcomes and scores again from what a job stores, without a request")):
         again = sub.add_parser(name, help=said)
         again.add_argument("--job", required=True)
@@ -56,8 +71,13 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "acquire":
             project = parse_project(spark.read.text(args.project, wholetext=True).first().value, args.project)
-            tables = Run(spark, project, f"{args.job}/work").execute(spark.read.parquet(args.index), spark.read.parquet(args.responses))
-            save_job(tables, args.job)
+            previous = stored_job(spark, args.job)
+            if previous is not None and not args.resume:
+                raise ValueError(f"a job exists in {args.job}; pass --resume to go on with it")
+            lookups = spark.read.parquet(args.lookups) if args.lookups else None
+            run_of = Run(spark, project, f"{args.job}/work/{uuid.uuid4().hex}")
+            tables = run_of.execute(spark.read.parquet(args.index), spark.read.parquet(args.responses), lookups=lookups, previous=previous, retry_failed=args.retry_failed)
+            save_job(tables if previous is None else {n: run_of.cut(t, n) for n, t in tables.items()}, args.job)
         tables = load_job(spark, args.job)
         if args.command == "reclassify":
             tables = reclassify(tables)

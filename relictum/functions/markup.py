@@ -119,6 +119,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def validation_failure(text: Column, relation: Column, content_type: Column, byte_length: Column, truncated: Column, binary_reason: Column) -> Column:
     """(kind, message) of the first check that a body fails; null if it passes. `text` is null for a binary body."""
+    # Kinds and messages, in the order in which they are tried.
     fail = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), F.concat(*parts).alias("message"))
     marker = archive_error_marker(text)
     return (

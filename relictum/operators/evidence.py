@@ -54,6 +54,7 @@ def gaps(items: DataFrame) -> DataFrame:
     complete = (c["status"] == "fetched") & c["body_hash"].isNotNull() & yes(c["validated"])
     trail = F.when(c["reselection_trail"].isNotNull(), text("; captures tried: ", c["reselection_trail"])).otherwise("")
     budget = c["unattempted_reason"] == "budget-exhausted"
+    # The sentences of a report.
     found = (
         (yes(c["distant"]), text("acquired from ", F.coalesce(c["served_ts"], c["requested_ts"]), ", ", c["distance_text"], " from the referring page"), F.lit(REMEDY["temporally-distant-asset"])),
         (yes(c["digests"] > 1), text("this URL served ", c["digests"], " distinct content hashes; ", c["resolution_detail"]), F.lit(REMEDY["asset-content-drift"])),
@@ -74,6 +75,7 @@ def gaps(items: DataFrame) -> DataFrame:
 
 def inventory_reasons(runs: DataFrame) -> DataFrame:
     """Why an inventory may be partial: one row for each run and reason. Needs run_id, continued, failed and limit_reached."""
+    # Likewise.
     reasons = F.array(
         F.when(F.col("continued"), F.lit("the provider offered more rows than were read")),
         F.when(F.col("failed"), F.lit("an index request failed")),

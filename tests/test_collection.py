@@ -179,6 +179,9 @@ def test_command_line(spark, inputs, tmp_path, capsys):
     assert main(["reclassify", "--job", f"{root}/job", "--out", f"{root}/report"]) == 0 and json.loads(capsys.readouterr().out) == first
     assert main(["reclassify", "--job", f"{root}/job", "--out", f"{root}/report"]) == 0
     assert recorded_revisions(spark, f"{root}/report") == [{"code": "relictum-1"}] and "parked-domain 1" in summary(first)
+    assert main(["acquire", *args]) == 1  # a job is there
+    capsys.readouterr()
+    assert main(["acquire", *args, "--resume"]) == 0 and json.loads(capsys.readouterr().out)["counts"] == first["counts"]
     assert main(["nonsense"]) == 2
     (tmp_path / "bad.json").write_text("{}")
     assert main(["acquire", "--project", f"{root}/bad.json", *args[2:]]) == 1
