@@ -52,7 +52,7 @@ def test_near_duplicate_stage(stages):
     kept = list(after.items())
     assert not [(i, j) for n, (i, a) in enumerate(kept) for j, b in kept[:n] if alike(a, b) >= 0.85]
     for i in set(before) - set(after):
-        assert max(alike(before[i], b) for j, b in before.items() if j != i) >= 0.6
+        assert max(alike(before[i], b) for j, b in before.items() if j != i) >= 0.8
 
 
 def test_decontamination_stage(spark, stages):
