@@ -58,7 +58,7 @@ def hash_tables() -> tuple[np.ndarray, np.ndarray]:
 SPACES = [32, 9, 10, 11, 12, 13]
 IS_SPACE = np.isin(np.arange(256), SPACES)
 VALUES, FACTORS = hash_tables()
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def count_words(parts: list[bytes]) -> np.ndarray:

@@ -57,10 +57,6 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def statistics_array(texts: list[str]) -> pa.Array:
-    return pa.array([statistics(x) for x in texts], pa.list_(pa.float64()))
-
-
 @dataclass(frozen=True)
 class Discriminant:
     """`whiten[k] @ (x - mean[k])` has the identity as covariance in class k; offset[k] is its log prior less its log volume."""
@@ -78,10 +74,10 @@ class Discriminant:
 
 
 def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class of one task: the sums of 1, of x and of x x', as (class, place, sum)."""
+    """For each class of one task: the sums of 1, of x and of x x' of its texts, as (class, place, sum)."""
     total = np.zeros((2, 1 + FEATURES + FEATURES * FEATURES))
     for batch in batches:
-        x = np.array(batch.column("x").to_pylist(), float).reshape(-1, FEATURES)
+        x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, FEATURES)
         y = batch.column("y").to_numpy(zero_copy_only=False)
         for k in (0, 1):
             own = x[y == k]
@@ -94,7 +90,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
     """Learn from about `sample_rows` labelled ids of each class outside the held-out fifth, or all where there are fewer; only
     their texts are described. Each row is weighed by the share of its class that was drawn."""
     drawn, _, share = drawn_labels(labels, label_col, sample_rows)
-    rows = drawn_rows(docs, drawn, text_col).select(text_udf(statistics_array, "array<double>")(F.col("text")).alias("x"), "y")
+    rows = drawn_rows(docs, drawn, text_col).select("text", "y")
     sums = rows.mapInArrow(moments, "k int, i int, total double").groupBy("k", "i").agg(F.sum("total").alias("total")).collect()
     total = np.zeros((2, 1 + FEATURES + FEATURES * FEATURES))
     for r in sums:
