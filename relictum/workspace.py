@@ -28,14 +28,15 @@ def own_folder(spark: SparkSession) -> str:
     return f"{workdir(spark)}/relictum/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a table in the shared folder and read it back: this cuts the lineage and survives lost executors. Spark deletes the
-    shuffle files of a written table; that setting is made once for the session, so that threads do not undo it."""
+    shuffle files of a written table; that setting is made once for the session, so that threads do not undo it, and stays on.
+    `by` names a column of few values whose rows lie apart, so that a filter on it reads nothing else."""
     spark = df.sparkSession
     if spark.conf.get(CLEANUP, "false") != "true":
         spark.conf.set(CLEANUP, "true")
     path = f"{own_folder(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
