@@ -32,6 +32,7 @@ USER_DEFINED, BYTE = 4, 6
 TYPES = {"n_tokens": "long", "ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "packed": "binary", "covered": "long", "decoded": "string"}
 
 
+@functools.lru_cache(maxsize=2)
 def compiled_rules(blob: bytes) -> dict[str, str]:
     """The rules of a compiled character map: a double-array trie over UTF-8 whose values are places among the replacements,
     which end by a zero byte."""
@@ -42,14 +43,15 @@ def compiled_rules(blob: bytes) -> dict[str, str]:
     replaced = blob[4 + size :]
     offsets = (units >> 10) << ((units & (1 << 9)) >> 6)
     labels, leaf, values = units & 0x800000FF, (units >> 8) & 1, units & 0x7FFFFFFF
+    letters = np.arange(1, 256)
     rules: dict[str, str] = {}
     held = [(b"", int(offsets[0]))]
     while held:
         prefix, base = held.pop()
-        for byte in range(1, 256):
+        nodes = base ^ letters
+        inside = nodes < len(units)
+        for byte in letters[inside][labels[nodes[inside]] == letters[inside]].tolist():
             node = base ^ byte
-            if node >= len(units) or labels[node] != byte:
-                continue
             key, below = prefix + bytes([byte]), node ^ int(offsets[node])
             if leaf[node]:
                 at = int(values[below])

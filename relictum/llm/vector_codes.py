@@ -124,6 +124,8 @@ def part_sums(books: list[np.ndarray], d: int):
         total = np.zeros((len(books), len(books[0]), width), np.int64)
         count = np.zeros(total.shape[:2], np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = matrix(batch, d)
             for p, (book, tree) in enumerate(zip(books, trees, strict=True)):
                 part = x[:, p * width : (p + 1) * width]
@@ -141,6 +143,8 @@ def part_sums(books: list[np.ndarray], d: int):
 def fit_codebooks(integers: DataFrame, d: int, *, parts: int = 8, entries: int = 16, rounds: int = 6) -> list[np.ndarray]:
     """The codebook of each part: an array (entries, d / parts). A round brings entries * d numbers to the driver."""
     width = d // parts
+    if not d:
+        return [np.zeros((0, 0), np.int64)] * parts
     seeds = np.array([r.v for r in integers.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").limit(entries).collect()], np.int64).reshape(-1, d)
     books = [seeds[:, p * width : (p + 1) * width].copy() for p in range(parts)]
     for _ in range(rounds if len(seeds) else 0):
@@ -159,6 +163,8 @@ def encode_vectors(integers: DataFrame, d: int, books: list[np.ndarray]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = matrix(batch, d)
             found = [nearest(t, b, x[:, p * width : (p + 1) * width]) for p, (b, t) in enumerate(zip(books, trees, strict=True))]
             codes = np.stack([who for who, _ in found], 1).astype(np.uint8)
