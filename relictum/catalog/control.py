@@ -116,12 +116,46 @@ def worklist_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.waves(roots, cut(a.union(b).union(c).distinct(), "edges"), cut).select("node", "wave")
 
 
-#: Pages as captures of a site: every fifth answers 503, every fifth leads elsewhere, every fifth is gone.
+#: Orders as rows of an index, so many keys a page.
+KEYS_A_PAGE = 20_000
+
+
+@query(f"""
+with o as (select *, dense_rank() over (order by o_orderkey // {KEYS_A_PAGE}) - 1 as page_ord from orders)
+select page_ord, cast(row_number() over (partition by page_ord order by o_orderkey) - 1 as int) as row_ord, '' as urlkey, strftime(o_orderdate, '%Y%m%d%H%M%S') as timestamp, 'http://site.example/' || o_orderkey as original,
+  'text/html' as mimetype, '200' as statuscode, cast(o_custkey as varchar) as digest, cast(cast(floor(o_totalprice) as bigint) as varchar) as length
+from o
+""")
+def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A streamed scan that its budget stops after a page and that goes on from its key."""
+    from pyspark.sql import Window
+
+    from relictum.sources.index_stream import recorded_pages, scan_index
+    from relictum.workspace import own_folder
+
+    o = table(spark, sf_dir, "orders")
+    cells = F.array(F.lit(""), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.concat(F.lit("http://site.example/"), F.col("o_orderkey").cast("string")), F.lit("text/html"), F.lit("200"), F.col("o_custkey").cast("string"), F.floor("o_totalprice").cast("string"))
+    held = o.select(F.floor(F.col("o_orderkey") / KEYS_A_PAGE).alias("page"), "o_orderkey", F.to_json(cells).alias("row")).groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), ",").alias("rows"))
+    w = Window.orderBy("page")  # one row a page
+    keyed = held.select("page", "rows", F.lead("page").over(w).alias("next"), F.lag("page").over(w).alias("last"))
+    key = lambda c: F.concat(F.lit("key-"), c.cast("string"))
+    more = F.when(F.col("next").isNotNull(), F.concat(F.lit(',[],["'), key(F.col("next")), F.lit('"]'))).otherwise("")
+    body = F.concat(F.lit("[" + json.dumps(list(C.FIELDS)) + ","), "rows", more, F.lit("]"))
+    root = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    keyed.select(F.when(F.col("last").isNull(), "").otherwise(key(F.col("page"))).alias("resume_key"), body.alias("body")).write.parquet(f"{root}/recorded")
+    fetch, most = recorded_pages(f"{root}/recorded"), 1_000_000
+    scan_index(spark, fetch, f"{root}/scan", limit=KEYS_A_PAGE, most=1)
+    pages, _ = scan_index(spark, fetch, f"{root}/scan", limit=KEYS_A_PAGE, most=most)
+    return cdx.page_rows(pages)
+
+
+#: Pages as captures of a site: every fifth answers 503, every fifth leads elsewhere, every fifth is gone. Each 500 rows of the index
+#: are a request too, and the item that the budget of requests refuses has made what was left of them.
 @query("""
 with p as (select page_id, page_id % 5 as kind, case page_id % 5 when 1 then 3 when 2 then 2 else 1 end as requests from pages),
-run as (select *, sum(requests) over (order by page_id) as upto from p), stop as (select min(page_id) as halt from run where upto > 60)
+run as (select *, sum(requests) over (order by page_id) as upto from p), stop as (select min(page_id) as halt from run where upto > 60 - (select count(distinct page_id // 500) from p))
 select 'http://site.example/' || page_id as original_url, case when page_id >= halt then 'unattempted' when kind in (1, 3) then 'failed' else 'fetched' end as status,
-  case when page_id >= halt then 'unattempted' when kind = 1 then 'rate-limited' when kind = 3 then 'not-archived' else 'ok' end as outcome, cast(case when page_id >= halt then 0 else requests end as bigint) as requests
+  case when page_id >= halt then 'unattempted' when kind = 1 then 'rate-limited' when kind = 3 then 'not-archived' else 'ok' end as outcome, cast(case when page_id > halt then 0 when page_id = halt then 60 - (select count(distinct page_id // 500) from p) - (upto - requests) else requests end as bigint) as requests
 from run, stop
 """)
 def acquisition_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +167,8 @@ def acquisition_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.lit("19990101000000")
     row = F.to_json(F.array(F.lit(""), stamp, F.col("url"), F.lit("text/html"), F.lit("200"), F.col("page_id").cast("string"), F.lit("1")))
     header = F.lit(json.dumps(list(C.FIELDS)))
-    index = pages.select(F.col("page_id").alias("page_ord"), F.concat(F.lit("["), header, F.lit(","), row, F.lit("]")).alias("body"))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", row.alias("row")))), lambda x: x["row"]), ",")
+    index = pages.groupBy(F.floor(F.col("page_id") / 500).alias("page_ord")).agg(F.concat(F.lit("["), header, F.lit(","), rows, F.lit("]")).alias("body"))
     kind = F.col("page_id") % 5
     status = F.get(F.array(*[F.lit(x) for x in (200, 503, 302, 404, 200)]), kind.cast("int"))
     answers = pages.where("page_id % 5 != 2").select("url", status.alias("http_status"), F.lit(None).cast("string").alias("location"), "html")
@@ -274,6 +309,33 @@ def blocked_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b).select("s_suppkey", "address", blocked_address_reason(F.col("address")).alias("reason"))
 
 
+#: What hosts of pages resolve to: one address for each page, of four families, reserved for some.
+@query("""
+with h as (select page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) as host, (page_id * 37) % 256 as a, (page_id * 91) % 256 as b, page_id % 3 as c from pages),
+t as (select *, case page_id % 4 when 0 then a || '.' || b || '.' || c || '.9' when 1 then '::ffff:' || a || '.' || b || '.' || c || '.9' when 2 then printf('%x', 64768 + (page_id * 13) % 768) || '::' || c else '64:ff9b::' || c end as address from h),
+r as (select *, case
+  when page_id % 4 = 3 then 'NAT64 64:ff9b::/96' when page_id % 4 = 2 then case when (page_id * 13) % 768 < 256 then 'unique local fc00::/7' when (page_id * 13) % 768 between 384 and 447 then 'link-local fe80::/10' when (page_id * 13) % 768 >= 512 then 'multicast ff00::/8' end
+  when a = 0 then 'unspecified 0.0.0.0/8' when a = 10 then 'private 10.0.0.0/8' when a = 127 then 'loopback 127.0.0.0/8' when a = 100 and b between 64 and 127 then 'carrier-grade NAT 100.64.0.0/10'
+  when a = 169 and b = 254 then 'link-local 169.254.0.0/16 (includes cloud metadata)' when a = 172 and b between 16 and 31 then 'private 172.16.0.0/12' when a = 192 and b = 0 and c = 0 then 'IETF protocol assignments 192.0.0.0/24'
+  when a = 192 and b = 168 then 'private 192.168.0.0/16' when a = 198 and b in (18, 19) then 'benchmarking 198.18.0.0/15' when a >= 224 then 'multicast or reserved 224.0.0.0/3' end as reason from t),
+f as (select host, min(page_id) filter (reason is not null) as ord from r group by host)
+select r.page_id, r.host, r.address, r.reason, case when f.ord is not null then r.host || ' resolves to ' || b.address || ', which is ' || b.reason end as refusal
+from r join f using (host) left join r b on b.page_id = f.ord
+""")
+def guarded_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relictum.functions.address import block_table, blocked_addresses, refused_hosts
+    from relictum.functions.url import host_of
+
+    i, text = F.col("page_id"), lambda c: c.cast("string")
+    a, b, c = text(i * 37 % 256), text(i * 91 % 256), text(i % 3)
+    four = F.concat_ws(".", a, b, c, F.lit("9"))
+    six = F.concat(F.lower(F.hex(64768 + i * 13 % 768)), F.lit("::"), c)
+    address = F.get(F.array(four, F.concat(F.lit("::ffff:"), four), six, F.concat(F.lit("64:ff9b::"), c)), (i % 4).cast("int"))
+    resolved = cut(table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), i.alias("ord"), address.alias("address")), "resolved")
+    blocks = block_table(spark)
+    return blocked_addresses(resolved, blocks).join(refused_hosts(resolved, blocks), "host").select("page_id", "host", "address", "reason", "refusal")
+
+
 CASES = (
     ("https://web.archive.example/x", ["93.184.216.34"], None),
     ("ftp://web.archive.example/x", ["93.184.216.34"], "scheme ftp: is not http or https"),

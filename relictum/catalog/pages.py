@@ -13,6 +13,7 @@ from relictum.operators import fidelity as FI
 from relictum.operators import links as L
 from relictum.operators import outcomes as O
 
+META_REFRESH = r"""(?i)<meta\b[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
 ITEM = "item as (select page_id, page_id as ord, regexp_replace(url, '#.*$', '') as original_url, html as text, case when page_id % 10 = 0 then '404' else '200' end as archive_status from pages)"
 
 
@@ -305,7 +306,7 @@ REDIRECT = f"""
 redirect as (
   select page_id, case when meta is not null then meta else script end as raw, case when meta is not null then 'meta-refresh' when script is not null then 'script-location' end as mechanism from (
     select page_id,
-      list_filter(list_transform(regexp_extract_all(text, {quoted(M.META_REFRESH)}), lambda t: trim(regexp_extract(regexp_replace(regexp_extract(t, {quoted(M.REFRESH_CONTENT)}, 1), '^["'']|["'']$', '', 'g'), {quoted(M.REFRESH_URL)}, 1))), lambda u: u <> '')[1] as meta,
+      list_filter(list_transform(regexp_extract_all(text, {quoted(META_REFRESH)}), lambda t: trim(regexp_extract(regexp_replace(regexp_extract(t, {quoted(M.REFRESH_CONTENT)}, 1), '^["'']|["'']$', '', 'g'), {quoted(M.REFRESH_URL)}, 1))), lambda u: u <> '')[1] as meta,
       list_filter(list_transform(regexp_extract_all(text, {quoted(M.SCRIPT_BLOCK)}, 1), lambda s: regexp_extract(s, {quoted(M.SCRIPT_LOCATION)}, 1)), lambda u: trim(u) <> '')[1] as script
     from staged))
 """

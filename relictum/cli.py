@@ -7,7 +7,6 @@ import json
 import sys
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +39,6 @@ def reclassify(tables: dict) -> dict:
     return tables | {"items": done, "gaps": evidence.gaps(widened(done))}
 
 
-def stored_job(spark: SparkSession, path: str) -> dict | None:
-    """The tables of the job at `path`, if there is one."""
-    try:
-        return load_job(spark, path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="relictum")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -71,14 +60,16 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "acquire":
             project = parse_project(spark.read.text(args.project, wholetext=True).first().value, args.project)
-            previous = stored_job(spark, args.job)
+            previous = load_job(spark, args.job)
             if previous is not None and not args.resume:
                 raise ValueError(f"a job exists in {args.job}; pass --resume to go on with it")
             lookups = spark.read.parquet(args.lookups) if args.lookups else None
             run_of = Run(spark, project, f"{args.job}/work/{uuid.uuid4().hex}")
             tables = run_of.execute(spark.read.parquet(args.index), spark.read.parquet(args.responses), lookups=lookups, previous=previous, retry_failed=args.retry_failed)
-            save_job(tables if previous is None else {n: run_of.cut(t, n) for n, t in tables.items()}, args.job)
+            save_job(tables, args.job)
         tables = load_job(spark, args.job)
+        if tables is None:
+            raise ValueError(f"no job in {args.job}")
         if args.command == "reclassify":
             tables = reclassify(tables)
         said = report(tables)

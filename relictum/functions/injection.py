@@ -5,62 +5,127 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from relictum.functions.markup import INJECTION_MARKERS
 
 MOST_REMOVALS = 64
-# The names of the rules, in their order, and the patterns they look for.
+# The names of the rules, in their order, with the texts that a removed part holds.
 TOOLBAR_BEGIN, TOOLBAR_END = "<!-- BEGIN WAYBACK TOOLBAR INSERT -->", "<!-- END WAYBACK TOOLBAR INSERT -->"
-TOOLBAR_ELEMENT = re.compile(r"""<div\b[^>]*\bid\s*=\s*["']?wm-ipp[\w-]*["']?[^>]*>""", re.IGNORECASE)
-SCRIPT_WITH_SOURCE = r"""<script\b[^>]*\bsrc\s*=\s*["'][^"']*["'][^>]*>\s*</script>"""
-SCRIPT = r"<script\b[^>]*>[\s\S]*?</script>"
-RULES = (
-    ("wayback-toolbar-insert", re.compile(re.escape(TOOLBAR_BEGIN) + r"[\s\S]*?" + re.escape(TOOLBAR_END)), None),
-    ("file-archived-comment", re.compile(r"<!--[\s\S]*?-->"), "FILE ARCHIVED ON"),
-    ("wayback-toolbar-element", None, None),
-    ("replay-static-script", re.compile(SCRIPT_WITH_SOURCE, re.IGNORECASE), "/_static/"),
-    ("replay-static-stylesheet", re.compile(r"<link\b[^>]*>", re.IGNORECASE), "/_static/"),
-    ("replay-analytics-script", re.compile(SCRIPT_WITH_SOURCE, re.IGNORECASE), "archive.org/includes/"),
-    ("replay-init-script", re.compile(SCRIPT, re.IGNORECASE), "__wm."),
-    ("replay-analytics-inline-script", re.compile(SCRIPT, re.IGNORECASE), "archive_analytics"),
-)
-DIV_EDGE = re.compile(r"<div\b|</div\s*>", re.IGNORECASE)
-
-
-def first_element(text: str) -> tuple[int, int] | None:
-    """The first toolbar element with all that it holds; None if there is none or it never closes."""
-    opener = TOOLBAR_ELEMENT.search(text)
-    depth = 1
-    for edge in DIV_EDGE.finditer(text, opener.end()) if opener else ():
-        depth += -1 if edge[0][1] == "/" else 1
-        if not depth:
-            return opener.start(), edge.end()
+INSERT, ARCHIVED, ELEMENT = "wayback-toolbar-insert", "file-archived-comment", "wayback-toolbar-element"
+STATIC_SCRIPT, STATIC_STYLE, ANALYTICS = "replay-static-script", "replay-static-stylesheet", "replay-analytics-script"
+INIT, INLINE = "replay-init-script", "replay-analytics-inline-script"
+HOLDS = {ARCHIVED: "FILE ARCHIVED ON", STATIC_SCRIPT: "/_static/", STATIC_STYLE: "/_static/", ANALYTICS: "archive.org/includes/", INIT: "__wm.", INLINE: "archive_analytics"}
+# Pieces of markup that the scans look for.
+OPENING = {tag: re.compile(rf"(?i)<{tag}\b") for tag in ("div", "script", "link")}
+TOOLBAR_ID = re.compile(r"""(?i)\bid\s*=\s*["']?wm-ipp""")
+DIV_EDGE = re.compile(r"(?i)<div\b|</div\s*>")
+SOURCE = re.compile(r"""(?i)\bsrc\s*=\s*["']""")
+QUOTE = re.compile("[\"']")
+SCRIPT_END = re.compile("(?i)</script>")
+EMPTY_END = re.compile(r"(?i)\s*</script>")
+
+Span = tuple[int, int]
+
+
+def inserts(text: str, at: int) -> Span | None:
+    start = text.find(TOOLBAR_BEGIN, at)
+    end = text.find(TOOLBAR_END, start + len(TOOLBAR_BEGIN)) if start >= 0 else -1
+    return (start, end + len(TOOLBAR_END)) if end >= 0 else None
+
+
+def elements(text: str, at: int) -> Span | None:
+    """The next toolbar element with all that it holds; None if there is none or it never closes. Openings that share the end of a tag
+    share their fate, so each end is tried once."""
+    while (opening := OPENING["div"].search(text, at)) and (end := text.find(">", opening.end())) >= 0:
+        at = end + 1
+        if not TOOLBAR_ID.search(text, opening.end(), end):
+            continue
+        depth = 1
+        for edge in DIV_EDGE.finditer(text, at):
+            depth += -1 if edge[0][1] == "/" else 1
+            if not depth:
+                return opening.start(), edge.end()
+        return None
     return None
 
 
+def comments(text: str) -> Iterator[Span]:
+    at = 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        at = end + 3
+        yield start, at
+
+
+def tags(text: str) -> Iterator[Span]:
+    at = 0
+    while (opening := OPENING["link"].search(text, at)) and (end := text.find(">", opening.end())) >= 0:
+        at = end + 1
+        yield opening.start(), at
+
+
+def scripts(text: str) -> Iterator[Span]:
+    at = 0
+    while (opening := OPENING["script"].search(text, at)) and (end := text.find(">", opening.end())) >= 0 and (close := SCRIPT_END.search(text, end + 1)):
+        at = close.end()
+        yield opening.start(), at
+
+
+def sourced_scripts(text: str) -> Iterator[Span]:
+    """Scripts with a quoted source and nothing inside. The value may hold the end of a tag; of several sources in one tag the last
+    that fits counts. Openings that share the end of a tag share their sources."""
+    at = 0
+    ends: dict[int, int] = {}  # by the place after a tag, where an empty script ends; 0 if it does not
+    while (opening := OPENING["script"].search(text, at)) and (edge := text.find(">", opening.end())) >= 0:
+        at = edge + 1
+        for source in reversed(list(SOURCE.finditer(text, opening.end(), edge))):
+            quote = QUOTE.search(text, source.end())
+            close = 0 if not quote else edge + 1 if quote.end() <= edge else text.find(">", quote.end()) + 1
+            if not close:
+                continue
+            if close not in ends:
+                found = EMPTY_END.match(text, close)
+                ends[close] = found.end() if found else 0
+            if ends[close]:
+                at = ends[close]
+                yield opening.start(), at
+                break
+
+
+AGAIN = ((INSERT, inserts, len(TOOLBAR_BEGIN) - 1), (ELEMENT, elements, len("<div")))
+ONCE = {ARCHIVED: comments, STATIC_SCRIPT: sourced_scripts, STATIC_STYLE: tags, ANALYTICS: sourced_scripts, INIT: scripts, INLINE: scripts}
+ORDER = (INSERT, ARCHIVED, ELEMENT, STATIC_SCRIPT, STATIC_STYLE, ANALYTICS, INIT, INLINE)
+
+
 def strip(text: str) -> tuple[str, list[tuple[str, int]]]:
-    """The page without injected parts, and (rule, characters) of each removal. Inserts and elements are looked for anew after
-    each removal, since what was on both sides of one may make another."""
+    """The page without injected parts, and (rule, characters) of each removal. Every rule is one scan from left to right. After the
+    removal of an insert or element the scan goes on as far before it as an opening may reach that the two sides make together."""
+    again = {name: (scan, reach) for name, scan, reach in AGAIN}
     removed: list[tuple[str, int]] = []
-    for name, pattern, needs in RULES:
+    for name in ORDER:
         if len(removed) >= MOST_REMOVALS:
             break
-        if needs is None:
+        if name in again:
+            scan, reach = again[name]
+            at = 0
             for _ in range(MOST_REMOVALS):
-                span = first_element(text) if pattern is None else (m.span() if (m := pattern.search(text)) else None)
+                span = scan(text, at)
                 if span is None:
                     break
                 removed.append((name, span[1] - span[0]))
                 text = text[: span[0]] + text[span[1] :]
+                at = max(0, span[0] - reach)
             continue
-        spans, parts, at = [m.span() for m in pattern.finditer(text) if needs in m[0]], [], 0
-        for start, end in spans[:MOST_REMOVALS]:
-            parts.append(text[at:start])
-            removed.append((name, end - start))
-            at = end
+        parts, at, most = [], 0, len(removed) + MOST_REMOVALS
+        for start, end in ONCE[name](text):
+            if len(removed) == most:
+                break
+            if text.find(HOLDS[name], start, end) >= 0:
+                parts.append(text[at:start])
+                removed.append((name, end - start))
+                at = end
         text = "".join([*parts, text[at:]])
     return text, removed
 
@@ -71,16 +136,18 @@ STRIPPED = "text string, rules array<string>, removed_nodes int, removed_charact
 def strip_injection(text: Column) -> Column:
     """Vectorised; only pages that hold a marker need it, so callers test `has_injection` first."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = []
-            for t in texts:
+            for t in texts.to_pylist():
                 if t is None:
                     rows.append((None, [], 0, 0, []))
                     continue
                 clean, removed = strip(t)
                 rows.append((clean, list(dict.fromkeys(n for n, _ in removed)), len(removed), sum(c for _, c in removed), [m for m in INJECTION_MARKERS if m in clean]))
-            yield pd.DataFrame(rows, columns=["text", "rules", "removed_nodes", "removed_characters", "residual"])
+            kinds = {"text": pa.string(), "rules": pa.list_(pa.string()), "removed_nodes": pa.int32(), "removed_characters": pa.int64(), "residual": pa.list_(pa.string())}
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, STRIPPED)(text)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, STRIPPED)(text)

@@ -161,9 +161,11 @@ def split_url(url: str) -> tuple[str, str, str, str] | None:
 def build_url(scheme: str, authority: str, path: str, query: str, fragment: str) -> str | None:
     user, at, host = authority.rpartition("@")
     port = ""
-    if (m := re.fullmatch(r"(\[[0-9A-Fa-f:.]+\]|[^:]*)(?::(\d*))?", host)) is None:
+    if (m := re.fullmatch(r"(\[[0-9A-Fa-f:.]+\]|[^:]*)(?::([0-9]*))?", host)) is None:
+        return None
+    host, port = m[1].lower(), (m[2] or "").lstrip("0") or ("0" if m[2] else "")
+    if len(port) > 5:  # before it becomes a number: a page may hold one of any length
         return None
-    host, port = m[1].lower(), m[2] or ""
     if not host.isascii():
         try:
             host = host.encode("idna").decode()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relictum.functions.markup import attribute
+from relictum.functions.markup import attribute, closed_tags
 from relictum.functions.url import host_matches, host_of, refined_relation, resolve_url, without_fragment
 
 MOST_LINKS = 500
@@ -34,7 +34,7 @@ def matches(text: Column, number: int, tag: str, name: str, relation: str) -> Co
         location = F.concat(F.lit("<"), F.lower(F.regexp_extract(found, r"<\s*([A-Za-z0-9]+)", 1)), F.lit(f" {name}>"))
         return F.struct(F.lit(number).alias("rule_ord"), place.alias("match_ord"), attribute(found, name).alias("raw_url"), F.lit(relation).alias("relation"), location.alias("location"))
 
-    return F.transform(F.regexp_extract_all(text, F.lit("(?i)" + tag), F.lit(0)), link)
+    return F.transform(closed_tags(text, "(?i)" + tag), link)
 
 
 def raw_links(pages: DataFrame, *, key: str = "page_id", text: str = "html") -> DataFrame:
@@ -46,7 +46,7 @@ def raw_links(pages: DataFrame, *, key: str = "page_id", text: str = "html") ->
 
 def base_url(text: Column, url: Column) -> Column:
     """What links resolve against: the first base element, else the page's own URL."""
-    tag = F.regexp_extract(text, r"(?i)<base\b[^>]*>", 0)
+    tag = F.coalesce(F.get(closed_tags(text, r"(?i)<base\b[^>]*>"), 0), F.lit(""))
     return F.when(tag != "", F.coalesce(resolve_url(attribute(tag, "href"), url), url)).otherwise(url)
 
 

@@ -15,8 +15,8 @@ from relictum.operators import fidelity as FI
 from relictum.operators import links as L
 from relictum.operators import outcomes as O
 from relictum.plans.acquire import Run
-from relictum.sources.cdx import page_rows, scan_index
-from relictum.sources.store import bodies_by_hash, load_job, load_manifest, read_bodies, recorded_revisions, revision, save_job, summary, write_bodies
+from relictum.sources import store
+from relictum.sources.store import Snapshots, bodies_by_hash, compact_bodies, load_job, load_manifest, read_bodies, recorded_revisions, revision, save_job, stored_bodies, summary, write_bodies
 
 
 def pages(spark, *rows):
@@ -158,14 +158,6 @@ def test_pages_without_content_get_another_capture(spark, tmp_path):
     assert got["b"].outcome == "parked-domain" and got["b"].reselection_trail == "19991201000000=parked-domain"
 
 
-def test_index_scans_resume(spark):
-    bodies = {None: [INDEX[0], INDEX[1], INDEX[2], [], ["k1"]], "k1": [INDEX[0], INDEX[3]]}
-    pages, end = scan_index(spark, lambda k: json.dumps(bodies[k]), limit=2, max_pages=5)
-    assert pages.count() == 2 and page_rows(pages).count() == 3 and end == {"pages": 2, "continued": False, "failed": False, "limit_reached": True}
-    assert scan_index(spark, lambda k: json.dumps(bodies[k]), limit=2, max_pages=1)[1]["continued"]
-    assert scan_index(spark, lambda k: None if k else json.dumps(bodies[k]), limit=2, max_pages=5)[1] == {"pages": 1, "continued": False, "failed": True, "limit_reached": True}
-
-
 def test_command_line(spark, inputs, tmp_path, capsys):
     root = f"file://{tmp_path}"
     (tmp_path / "project.json").write_text(json.dumps(PROJECT))
@@ -193,19 +185,57 @@ def test_bodies_are_stored_once(spark, tmp_path):
     assert sorted(r.references for r in bodies_by_hash(df).collect()) == [1, 2]
     write_bodies(df, path)
     write_bodies(df.union(spark.createDataFrame([(bytearray(b"three"),)], "bytes binary")), path)
-    assert spark.read.parquet(path).count() == 3
+    assert stored_bodies(spark, path).count() == 3
     wanted = bodies_by_hash(df).select("hash").union(spark.createDataFrame([("0" * 64,)], "hash string"))
     assert sorted(bytes(r.bytes or b"-") for r in read_bodies(spark, path, wanted).collect()) == [b"-", b"one", b"two"]
 
 
+def test_two_writers_of_one_body(spark, tmp_path, monkeypatch):
+    """A writer that another one overtakes between its look at the store and its commit: both parts stay, readers see one copy, and
+    a compaction leaves one."""
+    path = f"file://{tmp_path}/store"
+    df = spark.createDataFrame([(bytearray(b"one"),), (bytearray(b"two"),)], "bytes binary")
+    plain = store.write_part
+
+    def overtaken(fresh, at):
+        part = plain(fresh, at)
+        monkeypatch.setattr(store, "write_part", plain)
+        write_bodies(df.limit(1), at)
+        return part
+
+    monkeypatch.setattr(store, "write_part", overtaken)
+    write_bodies(df, path)
+    assert stored_bodies(spark, path).count() == 3 and Snapshots(spark, path).numbers() == [1, 2]
+    wanted = bodies_by_hash(df).select("hash")
+    assert read_bodies(spark, path, wanted.union(wanted)).count() == 4
+    assert compact_bodies(spark, path) and stored_bodies(spark, path).count() == 2
+    assert len(Snapshots(spark, path).sweep("parts", age_s=-5)) == 0  # the manifest before still names them
+    write_bodies(df, path, most_parts=1)
+    assert stored_bodies(spark, path).count() == 2 and len(Snapshots(spark, path).sweep("parts", age_s=-5)) == 3
+
+
+def test_a_save_that_dies_leaves_the_job(spark, tmp_path):
+    path = f"file://{tmp_path}/job"
+    assert load_job(spark, path) is None
+    save_job({"a": spark.range(3), "b": spark.range(4)}, path)
+    broken = spark.range(5).select(F.when(F.col("id") > 2, F.raise_error(F.lit("gone"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="gone"):
+        save_job({"a": spark.range(9), "b": broken}, path)
+    assert {n: t.count() for n, t in load_job(spark, path).items()} == {"a": 3, "b": 4}
+    job = load_job(spark, path)
+    save_job({"a": job["a"].union(job["b"]), "b": job["b"]}, path)  # what is read stays while it is written anew
+    assert {n: t.count() for n, t in load_job(spark, path).items()} == {"a": 7, "b": 4}
+    taken = Snapshots(spark, path)
+    assert not taken.commit(max(taken.numbers()), {}) and max(taken.numbers()) == 2
+
+
 def test_jobs_and_manifests(spark, tmp_path):
-    save_job({"t": spark.range(3)}, f"file://{tmp_path}/job")
-    assert load_job(spark, f"file://{tmp_path}/job")["t"].count() == 3
-    meta = next((tmp_path / "job" / "_meta").glob("part-*"))
-    spark.createDataFrame([(json.dumps({"version": 1, "tables": []}),)], "value string").write.mode("overwrite").text(f"file://{tmp_path}/job/_meta")
+    path = f"file://{tmp_path}/job"
+    save_job({"t": spark.range(3)}, path)
+    assert load_job(spark, path)["t"].count() == 3
+    assert Snapshots(spark, path).commit(2, {"version": 1, "tables": [], "parts": []})
     with pytest.raises(ValueError):
-        load_job(spark, f"file://{tmp_path}/job")
-    assert meta is not None
+        load_job(spark, path)
     (tmp_path / "m.json").write_text('{"rules": []}')
     assert load_manifest(spark, f"file://{tmp_path}/m.json") == '{"rules": []}' and len(revision(spark, f"file://{tmp_path}/m.json")) == 64
     (tmp_path / "n.json").write_text("{}")
