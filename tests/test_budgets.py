@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from relictum.config import parse_project
 from relictum.functions.address import block_table, blocked_address_reason, blocked_addresses
 from relictum.operators.captures import FIELDS
-from relictum.plans.acquire import LOOKUP_ROWS, Run
+from relictum.plans.acquire import Run
 from relictum.sources.cdx import page_rows
 from relictum.sources.index_stream import recorded_pages, scan_index, scan_offset
 
@@ -104,13 +104,6 @@ def test_lookups_are_charged_page_by_page(spark, tmp_path, gallery):
     assert got["three.gif"].resolution_detail.endswith("a later page of the capture lookup failed after 1 page(s)") and "lookup" not in got["one.gif"].resolution_detail
 
 
-def test_a_lookup_has_so_many_pages_at_most(spark, tmp_path, gallery):
-    rows, answers, lookups = gallery
-    got = named(execute(spark, tmp_path / "cap", rows, answers, lookups=lookups, assetResolution={"maxLookupPages": 2})[0])
-    assert "capped after 2 page(s) (assetResolution.maxLookupPages=2)" in got["two.gif"].resolution_detail and got["one.gif"].index_requests == got["two.gif"].index_requests == 2
-    assert LOOKUP_ROWS == 100
-
-
 def test_index_pages_are_charged(spark, tmp_path):
     pages = [(p, json.dumps([list(FIELDS), row(f"p{p}"), *([[], [f"k{p}"]] if p < 3 else [])])) for p in range(4)]
     answers = [(SITE + f"p{p}", T, 200, "text/html", None, REAL) for p in range(4)]
@@ -149,8 +142,8 @@ def test_every_hop_is_guarded(spark, tmp_path):
     assert said["inside.gif"][1] == "in.web.archive.org resolves to 10.0.0.7, which is private 10.0.0.0/8" and said["unknown.gif"][1] == "cannot resolve no.web.archive.org: no address is recorded"
     assert said["live.gif"][1].endswith("is no capture")
     private = spark.createDataFrame([("web.archive.org", 0, "192.168.0.1")], "host string, ord int, address string")
-    tables, run = execute(spark, tmp_path / "private", rows, answers, addresses=private)
-    assert {(r.status, r.failure.message) for r in tables["items"].collect()} == {("failed", "web.archive.org resolves to 192.168.0.1, which is private 192.168.0.0/16")} and run.spent.requests == 0
+    assert Run(spark, project(), f"file://{tmp_path}/private", addresses=private).endpoint_refusal == "web.archive.org resolves to 192.168.0.1, which is private 192.168.0.0/16"
+    assert Run(spark, project(), f"file://{tmp_path}/none").endpoint_refusal is None
 
 
 def test_blocks_agree_with_literal_reasons(spark):
@@ -202,8 +195,8 @@ def test_a_scan_that_dies_writes_no_page_twice(spark, tmp_path, recorded):
     """The third batch is planned and its files may be there, but it was never committed."""
     path = f"file://{tmp_path}/scan"
     scan_index(spark, recorded, path, limit=3, most=3)
-    for f in (tmp_path / "scan" / "checkpoint" / "commits").glob("*2"):
-        f.unlink()
+    for name in ("2", ".2.crc"):
+        (tmp_path / "scan" / "checkpoint" / "commits" / name).unlink()
     assert scan_offset(spark, path)["requests"] == 2
     pages, at = scan_index(spark, recorded, path, limit=3, most=9)
     assert sorted(r.page_ord for r in pages.collect()) == list(range(5)) and at["state"] == "complete"
@@ -221,5 +214,4 @@ def test_a_run_scans_what_it_wants(spark, tmp_path, recorded):
     run = Run(spark, project(budgets={"maxPages": 4}), f"file://{tmp_path}/run")
     pages = run.scan(recorded, f"file://{tmp_path}/scan")
     assert pages.count() == 2  # six pages of the site; four are wanted
-    tables = run.execute(pages, spark.createDataFrame([], ANSWER))
-    assert run.spent.index_requests == 2 and tables["items"].count() == 4
+    assert run.charged_index(pages)[0].count() == 2 and run.spent.index_requests == 2

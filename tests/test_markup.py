@@ -15,7 +15,7 @@ from relictum.functions.url import join_url
 from relictum.operators.links import RULES, matches
 
 BITS = ["<div ", "<div>", "</div>", "</div >", 'id="wm-ipp-x"', ">", "<script>", "<script src='/_static/a.js'>", "<script ", "</script>", "</script >", "</style>", "<style>", "<STYLE ", "<title>", "<title ", "</title>", " ", "\n", "__wm.", "<link rel=x href=/_static/a>", "<link ", "<!--", "-->", "<!-->", "FILE ARCHIVED ON", "text", "Word &nbsp;", "'", '"', "src=", "<p>", "<", "<meta ", "http-equiv=refresh ", "content='0;url=/x'>", "location = '/y'", "location.replace( '/z')", "\ufdd0", "\ufdd01", "a1.b", "http://x/y", "/p", "<h1>", "</h1>"]
-OPENINGS = ["<script>", "<div ", "<script src=' ", "<!--", "<div id=wm-ipp></div>", "<link ", "<!-- BEGIN WAYBACK TOOLBAR INSERT -->", "<script src='/_static/'>   ", "</div   ", "<", "<title ", "<style>", "<meta http-equiv=refresh content='", "location(   ", "a1", "<a href='"]
+OPENINGS = ["<script>", "<script src=' ", "<!--", "<link ", "<script src='/_static/'>   ", "<", "<title ", "location(   ", "a1"]
 TAILS = ["", ">", "</script></title></style>-->'://x"]
 
 
