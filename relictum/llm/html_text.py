@@ -79,10 +79,11 @@ def tag_end(page: str, at: int, open_ended: set[str]) -> int:
 
 def parse(page: str) -> list[Node]:
     """Elements and blocks in page order; a parent comes before its children. The time is linear in the page: elements
-    below DEEP open ones are not nested further, though their text stays."""
+    below DEEP open ones are not nested further, though their text stays and their closing tags close nothing else."""
     nodes = [Node(-1, "root")]
     stack: list[tuple[str, int]] = [("", 0)]
     opened: defaultdict[str, int] = defaultdict(int)
+    unnested: defaultdict[str, int] = defaultdict(int)
     pieces: list[str] = []
     linked = [0, 0]
     hidden = 0
@@ -105,6 +106,7 @@ def parse(page: str) -> list[Node]:
         nonlocal hidden
         if any(tag in BLOCK for tag, _ in stack[depth:]):
             flush()
+        unnested.clear()
         for tag, _ in stack[depth:]:
             opened[tag] -= 1
             hidden -= tag in HIDDEN
@@ -160,6 +162,10 @@ def parse(page: str) -> list[Node]:
         if closing:
             if tag == "br":
                 add(" ")
+            elif unnested[tag] > 0:
+                unnested[tag] -= 1
+                if tag in BLOCK:
+                    flush()
             elif opened[tag] > 0 and (depth := innermost((tag,), () if tag in FENCE else FENCE)):
                 shut(depth)
             continue
@@ -185,6 +191,7 @@ def parse(page: str) -> list[Node]:
         if tag in SAME and (depth := innermost(SAME[tag], ("table", "ul", "ol", "dl"))):
             shut(depth)
         if len(stack) >= DEEP and (hidden or tag not in HIDDEN):
+            unnested[tag] += 1
             continue
         if tag in BLOCK:
             node = Node(stack[-1][1], tag)
@@ -198,7 +205,29 @@ def parse(page: str) -> list[Node]:
         opened[tag] += 1
         hidden += tag in HIDDEN
     flush()
-    return nodes
+    return without_chains(nodes)
+
+
+def without_chains(nodes: list[Node]) -> list[Node]:
+    """An element that is its parent's only child and says nothing that the parent does not (the same tag, no names) becomes one
+    with it, so that beliefs do not fade along wrappers within wrappers."""
+    kept: list[Node] = []
+    place: list[int] = []
+    for node in nodes:
+        up = nodes[node.parent] if node.parent >= 0 else None
+        if up is not None and node.text is None and len(up.children) == 1 and node.features == up.features and len(node.features) == 1:
+            place.append(place[node.parent])
+            continue
+        place.append(len(kept))
+        if up is not None:
+            node.parent = place[node.parent]
+        kept.append(node)
+    for node in kept:
+        node.children = []
+    for i, node in enumerate(kept):
+        if node.parent >= 0:
+            kept[node.parent].children.append(i)
+    return kept
 
 
 def node_kind(kind: str) -> str:

@@ -262,6 +262,22 @@ def test_text_below_very_deep_elements_stays():
     assert blocks_of("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after</p>") == ["deep", "after"]
 
 
+@pytest.mark.parametrize("depth", [1, 3, 100, 400, 511, 512, 600, 3000])
+def test_depth_inside_an_article_changes_nothing(dom_model, depth):
+    first, nested, *after = ("The harbour was rebuilt over nine years by people who had seen it burn." + f" Part {i}." for i in range(4))
+    blocks = "".join(f"<p>{t}</p>" for t in after)
+    page = f'<body><div class="menu"><a href="/">Home</a></div><div class="article content"><h1>The harbour</h1><p>{first}</p>{"<div>" * depth}<p>{nested}</p>{"</div>" * depth}{blocks}</div></body>'
+    got = dom_model.extract(page).split("\n\n")
+    assert got == ["The harbour", first, nested, *after]
+
+
+def test_closing_tags_of_unnested_elements_close_nothing_else():
+    nodes = parse('<div class="outer">' + "<div>" * 600 + "x" + "</div>" * 600 + "<p>y</p></div>z")
+    kinds = {n.text: n for n in nodes if n.text}
+    outer = next(i for i, n in enumerate(nodes) if "name:outer" in n.features)
+    assert nodes[kinds["y"].parent].parent == outer and kinds["z"].parent != outer
+
+
 def test_pages_over_spark(spark, dom_model):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>" * 3000 + "x"), (4, "<!-- never closed <p>a"), (5, "<div" * 50)], "page_id long, html string").withColumn("text", F.lit(1))
     got = {r.page_id: r.text for r in extract_text(pages, dom_model).collect()}
