@@ -13,6 +13,7 @@ from relictum.functions.address import blocked_address_reason, destination_refus
 from relictum.operators import acquisition as A
 from relictum.operators import captures as C
 from relictum.operators import evidence as V
+from relictum.operators import report as R
 from relictum.sources import cdx
 from relictum.sources.fixture import answer, read_fixture
 from relictum.streaming.feeds import crawl_sessions as sessions
@@ -277,6 +278,69 @@ def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.evidence_counts(wide(spark, sf_dir).withColumn("promotion_blocked", (F.col("band") == "review-required") & ~F.col("overridden")))
 
 
+#: What a report reads besides: orders as items of which every third is an asset.
+REPORTED = WIDE | {
+    "kind": "case when o_orderkey % 3 = 0 then 'dependency' else 'page' end",
+    "referring_timestamp": "case when o_orderkey % 3 = 0 then '20000101000000' end",
+    "requested_ts": "case when o_orderkey % 10 <> 3 then '19990101000000' end",
+    "served_ts": "case when o_orderkey % 13 <> 0 then '20010101000000' end",
+    "temporally_distant": "o_orderkey % 8 = 0",
+    "index_requests": "cast(o_orderkey % 4 as bigint)",
+    "score": "case when o_orderkey % 3 > 0 then 5e-1 end",
+    "structure": "case when o_orderkey % 2 = 0 then 1e0 end",
+    "boilerplate": "25e-2",
+    "encoding_signal": "1e0",
+    "promotion_blocked": "o_orderkey % 7 = 0 and not o_orderkey % 14 = 0",
+}
+REPORTED_SQL = "reported as (select " + ", ".join(f"{v} as {k}" for k, v in REPORTED.items()) + " from orders)"
+DISTANT = "(coalesce(temporally_distant, false) or (served_ts is not null and 366 * 86400 > 300 * 86400))"
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "orders").select(*[F.expr(v).alias(k) for k, v in REPORTED.items()])
+    return items.drop("encoding", "failure").withColumnRenamed("encoding_signal", "encoding")
+
+
+def totals_sql(section: str, counts: dict[str, str]) -> str:
+    return " union all ".join(f"select '{section}' as section, '{name}' as name, count(*) filter ({test}) as n from reported" for name, test in counts.items())
+
+
+@query(f"with {REPORTED_SQL} " + " union all ".join([
+    totals_sql("counts", {
+        "items": "true", "indexed": "true", "fetched": "status = 'fetched'", "failed": "status = 'failed'", "unattempted": "status = 'unattempted'", "skipped": "status = 'skipped'",
+        "recoveredFiles": "status = 'fetched' and body_hash is not null and validated", "referenceEligible": "outcome = 'ok'",
+    }),
+    totals_sql("assets", {
+        "assets": "referring_timestamp is not null", "lookups": "referring_timestamp is not null and index_requests > 0", "resolvedFromInventory": "referring_timestamp is not null and requested_ts is not null and index_requests = 0",
+        "withoutCapture": "referring_timestamp is not null and requested_ts is null", "temporallyDistant": f"referring_timestamp is not null and {DISTANT}",
+    }),
+    "select 'assets', 'lookupIndexRequests', cast(sum(index_requests) filter (referring_timestamp is not null) as bigint) from reported",
+    totals_sql("fidelity", {
+        "scored": "score is not null", "accept": "score is not null and band = 'accept'", "acceptWithWarning": "false", "reviewRequired": "score is not null and band = 'review-required'",
+        "promotable": "score is not null and outcome = 'ok' and not promotion_blocked", "overridden": "score is not null and overridden",
+    }),
+]))
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.total_rows(reported(spark, sf_dir), 300)
+
+
+@query(f"""
+with {REPORTED_SQL} select original_url, requested_ts as resolved_ts, served_ts, case when served_ts is not null then cast(366 * 86400 as bigint) end as served_delta_seconds, {DISTANT} as temporally_distant,
+  case when requested_ts is null then 'none' when index_requests > 0 then 'targeted-lookup' else 'inventory' end as source, digests, status from reported where referring_timestamp is not null
+""")
+def report_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.asset_entries(reported(spark, sf_dir), 300).select("original_url", "resolved_ts", "served_ts", "served_delta_seconds", "temporally_distant", "source", "digests", "status")
+
+
+@query(f"""
+with {REPORTED_SQL}, signal as (select * from (values ('structure', 3e-1), ('boilerplate', 25e-2), ('encoding', 25e-2), ('assets', 15e-2), ('cross-capture', 1e-1)) s(signal, w)),
+valued as (select original_url, signal, w, case signal when 'structure' then structure when 'boilerplate' then boilerplate when 'encoding' then encoding_signal end as value from reported, signal where score is not null)
+select original_url, signal, value, case when value is null then 0e0 else w end as weight, coalesce(floor(value * w * 10000 + 0.5) / 10000, 0e0) as contribution from valued
+""")
+def report_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.scored(reported(spark, sf_dir)).select("original_url", "signal", "value", "weight", "contribution")
+
+
 @query(f"with {WIDE_SQL} select status, original_url, row_number() over (partition by status order by original_url) as place, count(*) over (partition by status) as n from wide")
 def items_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each item with its place among those of its status; sorted in ranges, so that a status may have very many."""

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from relictum.catalog.registry import cut
 from relictum.config import ConfigError, parse_project
 from relictum.operators import evidence, outcomes
+from relictum.operators import report as report_of
 from relictum.plans.acquire import Run, widened
-from relictum.plans.collection import classify_collection
+from relictum.plans.collection import classify_collection, override_table
 from relictum.sources.store import load_job, save_job, write_report
 
 #: Names the code in recorded revisions.
@@ -22,21 +23,41 @@ CODE = "relictum-1"
 
 
 def report(tables: dict) -> dict:
-    """The report's totals: small aggregates alone reach the driver."""
-    items = tables["items"]
+    """A job's report without its lists: what was declared and spent, and totals. Small aggregates alone reach the driver."""
+    items, project = tables["items"], declared(tables)
+    found = report_of.totals(items, project["window_days"]).first().asDict(recursive=True)
+    tally = lambda df, c: {r[c]: r.n for r in df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()}
+    partial = sorted(r.reason for r in evidence.inventory_reasons(tables["runs"]).select("reason").distinct().collect())
+    events = [r.asDict() for r in tables["events"].orderBy("seq").collect()]  # a few for each run
     return {
-        "counts": evidence.evidence_counts(items).first().asDict(),
+        "projectId": project["project_id"],
+        "runState": events[-1]["kind"],
+        "scope": {k: project[k] for k in ("url", "match_type", "start", "end", "seed_urls", "dependency_hosts")},
+        "budgets": project["budgets"],
+        "spend": tables["spend"].first().asDict(),
+        "inventory": {"runs": [r.asDict() for r in tables["runs"].collect()], "candidateFilters": project["candidate_filters"], "timeline": tally(tables["captures"], "excluded_by"), "partial": bool(partial), "partialReasons": partial},
+        "assets": {"windowDays": project["window_days"], **found["assets"]},
+        "fidelity": found["fidelity"],
+        "counts": found["counts"] | {"timelineRows": tables["captures"].where("excluded_by is not null").count()},
         "outcomes": {r.outcome: r.n for r in outcomes.outcome_counts(items).collect()},
-        "bands": {r.band: r.n for r in items.where("band is not null").groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()},
-        "gaps": {r.kind: r.n for r in tables["gaps"].groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()},
+        "bands": tally(items, "band"),
+        "gaps": tally(tables["gaps"], "kind"),
+        "events": events,
     }
 
 
+def declared(tables: dict) -> dict:
+    return json.loads(tables["project"].first().document)
+
+
 def reclassify(tables: dict) -> dict:
     """A job's tables with new outcomes, scores and gaps."""
-    decided = ("outcome", "outcome_source", "outcome_detail", "reference_eligible", "structure", "boilerplate", "encoding", "assets", "cross-capture", "applied_weight", "weakest", "score", "band", "overridden", "promotion_blocked", "matched_template", "redirect_raw")
-    done = classify_collection(tables["items"].drop(*decided), tables["assets"], tables["captures"], cut)
-    return tables | {"items": done, "gaps": evidence.gaps(widened(done))}
+    decided = ("outcome", "outcome_source", "outcome_detail", "reference_eligible", "structure", "boilerplate", "encoding", "assets", "cross-capture", "applied_weight", "weakest", "score", "band", "overridden", "promotion_blocked", "override_reason", "matched_template", "redirect_raw")
+    project = declared(tables)
+    overrides, thresholds = override_table(tables["items"].sparkSession, project["overrides"]), (project["accept"], project["accept_with_warning"])
+    done = classify_collection(tables["items"].drop(*decided), tables["assets"], tables["captures"], cut, overrides=overrides, thresholds=thresholds)
+    partial = evidence.inventory_gaps(tables["runs"], project["url"])
+    return tables | {"items": done, "gaps": evidence.gaps(widened(done, project["window_days"])).unionByName(partial)}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -74,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
             tables = reclassify(tables)
         said = report(tables)
         if getattr(args, "out", None):
-            write_report(spark, said, args.out, {"code": CODE})
+            write_report(spark, said, args.out, {"code": CODE}, report_of.sections(tables, declared(tables)["window_days"]))
         print(json.dumps(said, indent=2, sort_keys=True))
     except (ConfigError, ValueError) as e:
         print(e, file=sys.stderr)

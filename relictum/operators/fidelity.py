@@ -101,7 +101,7 @@ def cross_capture_signal(state: Column) -> Column:
     return F.when(state == "identical", 1.0)
 
 
-def composite(signals: DataFrame, overrides: DataFrame | None = None, tuning: Tuning = Tuning(), *, url: str = "original_url") -> DataFrame:
+def composite(signals: DataFrame, overrides: DataFrame | None = None, tuning: Tuning = Tuning(), *, url: str = "original_url", thresholds: tuple[float, float] = (ACCEPT, ACCEPT_WITH_WARNING)) -> DataFrame:
     """The weighted mean over measured signals, its band, and whether promotion is blocked. The band is that of the score
     before rounding. `overrides` has url, reason and recorded_by."""
     names = list(WEIGHTS)
@@ -110,7 +110,7 @@ def composite(signals: DataFrame, overrides: DataFrame | None = None, tuning: Tu
     gained = sum((F.when(values[n].isNotNull(), rounded(values[n] * tuning.weights[n])).otherwise(0.0) for n in names), F.lit(0.0))
     raw = F.when(total == 0, 0.0).otherwise(gained / total)
     weakest = F.array_min(F.filter(F.array(*[F.when(values[n].isNotNull(), F.struct(values[n].alias("value"), F.lit(i).alias("i"), F.lit(n).alias("name"))) for i, n in enumerate(names)]), lambda s: s.isNotNull()))
-    out = signals.withColumns({"__raw": raw, "applied_weight": rounded(total), "weakest": weakest["name"]}).withColumns({"score": rounded(F.col("__raw")), "band": band(F.col("__raw"))}).drop("__raw")
+    out = signals.withColumns({"__raw": raw, "applied_weight": rounded(total), "weakest": weakest["name"]}).withColumns({"score": rounded(F.col("__raw")), "band": band(F.col("__raw"), *thresholds)}).drop("__raw")
     review = F.col("band") == BANDS[2]
     if overrides is None:
         return out.withColumns({"overridden": F.lit(False), "promotion_blocked": review})

@@ -10,6 +10,7 @@ What a wave costs is decided on the statuses and sizes of answers; only bodies o
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -22,8 +23,8 @@ from relictum.functions.time import distance_seconds, format_days, selection_tar
 from relictum.functions.url import IDENTITY_MODIFIER, capture_key, host_matches, host_of, item_id, local_path, replay_modifier, replay_parts, replay_url, resolve_url
 from relictum.operators import acquisition as A
 from relictum.operators import captures as C
-from relictum.operators import evidence, links, outcomes
-from relictum.plans.collection import classify_collection, decode_bodies, item_outcomes, validated
+from relictum.operators import evidence, links, outcomes, report
+from relictum.plans.collection import classify_collection, decode_bodies, item_outcomes, override_table, validated
 from relictum.sources.cdx import page_ends, page_rows, proves_absence
 from relictum.sources.index_stream import Fetch, scan_index
 
@@ -43,9 +44,12 @@ SETTLED = ("ok", "attempt-limit", "no-remaining-alternative")
 ALWAYS_GO = lambda: "continue"
 
 
-def widened(items: DataFrame) -> DataFrame:
-    """Classified items with the flat columns that evidence reads."""
-    return items.withColumns({"failure_kind": F.col("failure.kind"), "failure_message": F.col("failure.message"), "retryable": F.col("failure.retryable"), "distant": F.coalesce("temporally_distant", F.lit(False)), "degraded": F.col("decoded.degraded"), "encoding": F.col("decoded.chosen_encoding")})
+def widened(items: DataFrame, window_days: int = report.DEFAULT_WINDOW_DAYS) -> DataFrame:
+    """Classified items with the flat columns that evidence reads. An asset is from another era if what was chosen is, or what was
+    served."""
+    items = with_missing(items, {c: report.ITEM[c] for c in ("referring_timestamp", "served_ts", "temporally_distant", "delta_seconds")})
+    far = format_days(F.coalesce(report.served_delta(), "delta_seconds"))
+    return items.withColumns({"distance_text": far, "failure_kind": F.col("failure.kind"), "failure_message": F.col("failure.message"), "retryable": F.col("failure.retryable"), "distant": report.distant(window_days), "degraded": F.col("decoded.degraded"), "encoding": F.col("decoded.chosen_encoding")})
 
 
 def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -99,6 +103,22 @@ class Run:
     addresses: DataFrame | None = None
     spent: Spent = field(default_factory=Spent)
     number: int = 0
+    #: What happened to the run as a whole: (kind, detail, at_ms).
+    events: list[tuple[str, str, int]] = field(default_factory=list)
+
+    def note(self, kind: str, detail: str) -> None:
+        """An event, at the time that the spacing of requests adds up to."""
+        self.events.append((kind, detail, self.spent.made * self.project.min_interval_ms + self.spent.wait_ms))
+
+    def history(self, previous: dict[str, DataFrame] | None) -> DataFrame:
+        """Events of all runs of the job in order; a few for each run."""
+        earlier = [tuple(r) for r in previous["events"].orderBy("seq").collect()] if previous and "events" in previous else []
+        rows = earlier + [(len(earlier) + i, *e) for i, e in enumerate(self.events)]
+        return self.cut(self.spark.createDataFrame(rows, "seq int, kind string, detail string, at_ms long"), "events")
+
+    def declared(self) -> DataFrame:
+        """The project as it was declared for this run, as JSON."""
+        return self.cut(self.spark.createDataFrame([(self.project.project_id, json.dumps(asdict(self.project), sort_keys=True))], "project_id string, document string"), "project")
 
     @functools.cached_property
     def hosts(self) -> DataFrame | None:
@@ -288,7 +308,7 @@ class Run:
             "digests": F.when(asset, F.col("digests")),
             "resolution_detail": F.when(said.isNotNull() & F.col("lookup_note").isNotNull(), F.concat(said, F.lit("; "), F.col("lookup_note"))).otherwise(F.coalesce(said, "lookup_note")),
             "distance_text": format_days(F.col("delta_seconds")),
-        }).drop("resolved_timestamp", "resolved_status", "resolved_excluded", "considered")
+        }).drop("resolved_timestamp", "resolved_status", "resolved_excluded")
 
     # requests
 
@@ -421,7 +441,7 @@ class Run:
     def parked(items: DataFrame, which: Column, reason: str) -> DataFrame:
         """Items that were not attempted: nothing of a request stays on them."""
         kinds = dict(items.dtypes)
-        gone = [c for c in ("failure", "body", "body_hash", "served_ts", "distance_seconds", "content_type", "http_status", "truncated", "redirects", "delta_seconds", "temporally_distant", "distance_text", "digests", "resolution_detail", "lookup_note") if c in kinds]
+        gone = [c for c in ("failure", "body", "body_hash", "served_ts", "distance_seconds", "content_type", "http_status", "truncated", "redirects", "delta_seconds", "temporally_distant", "distance_text", "digests", "considered", "resolution_detail", "lookup_note") if c in kinds]
         none = {c: F.when(~which, F.col(c)) for c in gone}
         zero = {c: F.when(which, F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("requests", "index_requests", "bytes_read", "bytes_before_last", "wait_ms") if c in kinds}
         asset = {"requested_ts": F.when(which & F.col("referring_timestamp").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("requested_ts"))}
@@ -565,24 +585,29 @@ class Run:
         return known, self.cut(now, "runs"), self.cut(front.unionByName(self.seeds(self.cut(self.choose(known), "chosen"), listed)), "queued")
 
     def execute(self, index_pages: DataFrame, responses: DataFrame, *, lookups: DataFrame | None = None, previous: dict[str, DataFrame] | None = None, retry_failed: bool = False, signal: Callable[[], str] = ALWAYS_GO) -> dict[str, DataFrame]:
-        """All tables of a run: captures, runs, items, bodies, assets, gaps and spend. `lookups` holds recorded answers to lookups of one
+        """All tables of a run: captures, runs, items, bodies, assets, gaps, spend, events and project. `lookups` holds recorded answers to lookups of one
         URL: original_url, page (from 0) and body. `previous` holds the tables of an earlier run of this job, which goes on
         where that one stopped. `signal` is asked before each wave and may say pause or cancel."""
         recorded = self.recorded(responses)
         settled = bodies = None
+        self.events = []
         if previous is None:
+            self.note("started", f"project {self.project.project_id}")
             asked, cut_short = self.charged_index(index_pages)
             known, runs = self.inventory(asked), self.index_runs(asked, cut_short)
             front = self.seeds(self.cut(self.choose(known), "chosen"))
         else:
             known, runs, bodies = previous["captures"], previous["runs"], previous["bodies"]
             settled, front = self.resumed(previous["items"], retry_failed, previous.get("spend"))
+            self.note("resumed", f"{front.count()} item(s) queued")
             known, runs, front = self.index_goes_on(index_pages, known, runs, settled, front)
         number = 0 if settled is None else previous["items"].agg(F.coalesce(F.max("wave"), F.lit(0))).first()[0]
         listed = front if settled is None else settled.select("original_url").unionByName(front.select("original_url"))
         state = State(known, runs, settled, bodies, listed, number)
         self.work(state, front, lookups, recorded, signal)
-        return self.finished(state, lookups, recorded, signal)
+        tables = self.finished(state, lookups, recorded, signal)
+        self.note(*{None: ("completed", "nothing is left"), "budget-exhausted": ("paused", "budget exhausted")}.get(state.stop, (state.stop, "stopped by a signal")))
+        return tables | {"events": self.history(previous), "project": self.declared()}
 
     @staticmethod
     def joined(items: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -602,8 +627,8 @@ class Run:
         read, known, bodies = self.cut(state.items.withColumn("reselection_trail", tried), "items"), state.known, state.bodies
         bodies = self.cut((bodies if bodies is not None else self.spark.createDataFrame([], "hash string, bytes binary")).dropDuplicates(["hash"]), "bodies")
         assets = self.cut(read.where("referrer is not null").select(F.col("referrer").alias("page_url"), "original_url", (F.col("requested_ts").isNotNull()).alias("resolved"), (F.col("status") == "fetched").alias("acquired"), F.coalesce("temporally_distant", F.lit(False)).alias("distant")), "assets")
-        overrides = self.spark.createDataFrame([(u, r) for u, r, _ in self.project.overrides], "original_url string, override_reason string") if self.project.overrides else None
-        done = self.cut(classify_collection(read, assets, known, self.cut, overrides=overrides), "done")
+        overrides, thresholds = override_table(self.spark, self.project.overrides), (self.project.accept, self.project.accept_with_warning)
+        done = self.cut(classify_collection(read, assets, known, self.cut, overrides=overrides, thresholds=thresholds), "done")
         partial = evidence.inventory_gaps(runs, self.project.url)
         spend = self.spark.createDataFrame([tuple(asdict(self.spent).values())], ", ".join(f"{c} long" for c in asdict(self.spent)))
-        return {"captures": known, "runs": runs, "items": done, "bodies": bodies, "assets": assets, "gaps": self.cut(evidence.gaps(widened(done)).unionByName(partial), "gaps"), "spend": self.cut(spend, "spend")}
+        return {"captures": known, "runs": runs, "items": done, "bodies": bodies, "assets": assets, "gaps": self.cut(evidence.gaps(widened(done, self.project.window_days)).unionByName(partial), "gaps"), "spend": self.cut(spend, "spend")}

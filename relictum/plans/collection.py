@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relictum.functions.encoding import decoded
 from relictum.functions.injection import strip_injection
 from relictum.functions.markup import has_injection, validation_failure
+from relictum.functions.url import capture_key
 from relictum.operators import fidelity, links, outcomes
 
 Cut = Callable[[DataFrame, str], DataFrame]
@@ -44,7 +45,15 @@ def item_outcomes(items: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, Dat
     return cut(classed, "classified"), found, held
 
 
-def classify_collection(items: DataFrame, assets: DataFrame, captures: DataFrame, cut: Cut, *, overrides: DataFrame | None = None) -> DataFrame:
+def override_table(spark: SparkSession, declared: Sequence[Sequence[str]]) -> DataFrame | None:
+    """A project's overrides (URL, reason, who recorded it) by normalised URL; None if there are none."""
+    if not declared:
+        return None
+    given = spark.createDataFrame([tuple(o) for o in declared], "url string, reason string, recorded_by string")
+    return given.select(capture_key(F.col("url")).alias("original_url"), "reason", "recorded_by")
+
+
+def classify_collection(items: DataFrame, assets: DataFrame, captures: DataFrame, cut: Cut, *, overrides: DataFrame | None = None, thresholds: tuple[float, float] = (fidelity.ACCEPT, fidelity.ACCEPT_WITH_WARNING)) -> DataFrame:
     """Outcome and fidelity of every item. `items` has item_id, ord, original_url, relation, status, unattempted_reason,
     failure, validated, archive_status, text, replacement_ratio and requested_ts; `assets` has page_url, resolved, acquired
     and distant; `captures` has capture_key, timestamp, digest and ord. `cut` writes a table and reads it back."""
@@ -64,5 +73,5 @@ def classify_collection(items: DataFrame, assets: DataFrame, captures: DataFrame
         .join(agreed.select("original_url", fidelity.cross_capture_signal(F.col("state")).alias("cross-capture")), "original_url", "left")
         .withColumn("boilerplate", F.coalesce("boilerplate", F.lit(0.0)))
     )
-    scores = fidelity.composite(signals, overrides)
+    scores = fidelity.composite(signals, overrides, thresholds=thresholds)
     return classed.join(scores.drop("original_url", "override_reason"), "item_id", "left")

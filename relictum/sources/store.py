@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from relictum.functions.url import store_path
 
-JOB_VERSION = 4
+JOB_VERSION = 5
 STORED = "hash string, byte_length long, store_path string, bytes binary, prefix string"
 MANIFEST = re.compile(r"manifest-(\d{12})\.json")
 #: Manifests that a sweep keeps, and the age below which files may belong to a writer at work.
 KEPT_MANIFESTS, SWEEP_AGE_S = 2, 24 * 3600
-REPORT_VERSION = 5
+REPORT_VERSION = 6
 
 
 def bodies_by_hash(bodies: DataFrame, column: str = "bytes") -> DataFrame:
@@ -179,10 +179,15 @@ def recorded_revisions(spark: SparkSession, path: str) -> list[dict]:
         return []
 
 
-def write_report(spark: SparkSession, report: dict, path: str, revision_now: dict) -> None:
-    """A report as JSON. Revisions recorded before stay; a new one is added once."""
+def write_report(spark: SparkSession, report: dict, path: str, revision_now: dict, lists: dict[str, DataFrame] | None = None) -> None:
+    """A report as JSON. Revisions recorded before stay; a new one is added once. Its lists go as lines of JSON to a folder beside
+    it that the report names, new for each report, so that totals and lists are always of one job."""
     kept = recorded_revisions(spark, path)
     revisions = kept if revision_now in kept else [*kept, revision_now]
+    if lists:
+        report = report | {"lists": {name: f"{path}.lists/{uuid.uuid4().hex}/{name}" for name in lists}}
+        for name, df in lists.items():
+            df.write.json(report["lists"][name])
     text = json.dumps(report | {"schemaVersion": REPORT_VERSION, "revisions": revisions}, indent=2, sort_keys=True)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from relictum.catalog.registry import cut
-from relictum.cli import main
+from relictum.cli import main, report
 from relictum.config import ConfigError, parse_project
 from relictum.operators import acquisition as A
 from relictum.operators import fidelity as FI
 from relictum.operators import links as L
 from relictum.operators import outcomes as O
+from relictum.operators.report import asset_entries, sections, totals
 from relictum.plans.acquire import Run
 from relictum.sources import store
 from relictum.sources.store import Snapshots, bodies_by_hash, compact_bodies, load_job, load_manifest, read_bodies, recorded_revisions, revision, save_job, stored_bodies, summary, write_bodies
@@ -158,6 +159,38 @@ def test_pages_without_content_get_another_capture(spark, tmp_path):
     assert got["b"].outcome == "parked-domain" and got["b"].reselection_trail == "19991201000000=parked-domain"
 
 
+def test_report_of_a_run(spark, inputs, tmp_path):
+    declared = PROJECT | {"fidelity": {"thresholds": {"accept": 0.99, "acceptWithWarning": 0.98}, "overrides": [{"originalUrl": "http://A.example/#top", "reason": "seen", "recordedBy": "n"}]}}
+    run = Run(spark, parse_project(json.dumps(declared)), f"file://{tmp_path}/run")
+    tables = run.execute(*inputs)
+    said, lists = report(tables), {k: [r.asDict() for r in v.collect()] for k, v in sections(tables).items()}
+    assert said["counts"] == {"items": 7, "indexed": 7, "fetched": 3, "failed": 3, "unattempted": 0, "skipped": 1, "recoveredFiles": 3, "referenceEligible": 2, "timelineRows": 1}
+    assert said["counts"]["items"] == sum(said["outcomes"].values()) and said["spend"]["requests"] == run.spent.requests
+    assert said["assets"] == {"windowDays": 365, "assets": 3, "lookupIndexRequests": 0, "lookups": 0, "resolvedFromInventory": 2, "withoutCapture": 1, "temporallyDistant": 1}
+    # declared thresholds and overrides count
+    assert said["fidelity"] == {"scored": 1, "accept": 0, "acceptWithWarning": 0, "reviewRequired": 1, "promotable": 1, "overridden": 1}
+    assert said["scope"]["url"] == PROJECT["scope"]["url"] and said["budgets"]["max_requests"] > 0 and said["runState"] == "completed"
+    assert [e["kind"] for e in said["events"]] == ["started", "completed"] and said["events"][1]["at_ms"] >= said["events"][0]["at_ms"]
+    assert {k: len(v) for k, v in lists.items() if k not in ("gaps", "events")} == {"indexed": 7, "fetched": said["counts"]["fetched"], "failed": said["counts"]["failed"], "unattempted": 0, "recovered_files": said["counts"]["recoveredFiles"], "assets": 3, "lookups": 0, "fidelity": 5, "timeline": 1}
+    late = next(a for a in lists["assets"] if a["original_url"].endswith("late.gif"))
+    assert late["temporally_distant"] and late["source"] == "inventory" and late["candidates"] == 1 and late["referring_page"] == "http://a.example/" and late["local_path"] == "site/a.example/late.gif"
+    signals = lists["fidelity"]
+    assert abs(sum(s["contribution"] for s in signals) / sum(s["weight"] for s in signals) - signals[0]["score"]) < 1e-3 and all(s["overridden"] for s in signals)
+
+
+def test_an_asset_served_from_another_era_is_distant(spark):
+    row = ("http://a/x.gif", "19990101000000", "19990102000000", "20030101000000", False, 86400, 0, "fetched")
+    items = spark.createDataFrame([row, ("http://a/y.gif", "19990101000000", None, None, None, None, 2, "skipped")], "original_url string, referring_timestamp string, requested_ts string, served_ts string, temporally_distant boolean, delta_seconds long, index_requests long, status string")
+    got = {r.original_url[-5]: r for r in asset_entries(items).collect()}
+    assert got["x"].temporally_distant and got["x"].served_delta_seconds == 1461 * 86400 and got["x"].source == "inventory"
+    assert not got["y"].temporally_distant and got["y"].source == "none" and got["y"].served_delta_seconds is None
+    assert asset_entries(items, 2000).where("temporally_distant").count() == 0
+    one = totals(items).first()
+    assert (one.assets.assets, one.assets.lookupIndexRequests, one.assets.temporallyDistant, one.assets.withoutCapture) == (2, 2, 1, 1)
+    none = totals(items.limit(0)).first()
+    assert none.counts["items"] == none.assets.lookupIndexRequests == none.fidelity.scored == 0
+
+
 def test_command_line(spark, inputs, tmp_path, capsys):
     root = f"file://{tmp_path}"
     (tmp_path / "project.json").write_text(json.dumps(PROJECT))
@@ -171,6 +204,8 @@ def test_command_line(spark, inputs, tmp_path, capsys):
     assert main(["reclassify", "--job", f"{root}/job", "--out", f"{root}/report"]) == 0 and json.loads(capsys.readouterr().out) == first
     assert main(["reclassify", "--job", f"{root}/job", "--out", f"{root}/report"]) == 0
     assert recorded_revisions(spark, f"{root}/report") == [{"code": "relictum-1"}] and "parked-domain 1" in summary(first)
+    kept = json.loads(spark.read.text(f"{root}/report", wholetext=True).first().value)
+    assert spark.read.json(kept["lists"]["indexed"]).count() == 7 and spark.read.json(kept["lists"]["gaps"]).count() == sum(first["gaps"].values())
     assert main(["acquire", *args]) == 1  # a job is there
     capsys.readouterr()
     assert main(["acquire", *args, "--resume"]) == 0 and json.loads(capsys.readouterr().out)["counts"] == first["counts"]
