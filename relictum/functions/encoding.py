@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relictum.functions.url import bound
+
 REPLACEMENT = "�"
 REPLACEMENT_THRESHOLD = 0.01
 ERA_DEFAULT = "windows-1252"
@@ -25,6 +27,8 @@ LABELS = {
 SIGNATURES = (("PNG", "89504e470d0a1a0a"), ("GIF", "47494638"), ("JPEG", "ffd8ff"), ("ZIP", "504b0304"), ("GZIP", "1f8b"), ("PDF", "255044462d"), ("OLE compound document", "d0cf11e0"), ("Java class", "cafebabe"))
 MARKS = (("utf-8", "efbbbf"), ("utf-16le", "fffe"), ("utf-16be", "feff"))
 CANDIDATES = ("shift_jis", "euc-kr")
+#: What windows-1252 has in place of the controls from 0x80 to 0x9F; its five free bytes stay controls.
+WESTERN = "".join(bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0))
 # The encodings that pages may declare, with the codec that reads each here. Any other label is unknown, however
 # many codecs Python has besides.
 CODECS = {
@@ -170,28 +174,63 @@ def decode_column(body: Column, mark: Column, header: Column, meta: Column, meta
     return F.pandas_udf(run, DECODED)(body, mark, header, meta, meta_source)
 
 
+def plain_decoding(body: Column, mark: Column, header: Column, meta: Column, meta_source: Column) -> Column:
+    """`decode_column` by built-in functions for bodies without a byte mark that are valid UTF-8, or declared as Latin-1, ASCII or
+    windows-1252; null for those whose encoding has to be found out or is another one."""
+    chars = body.cast("string")
+    valid = F.is_valid_utf8(chars)
+    ascii_only = valid & (F.octet_length(body) == F.length(chars))
+    latin = F.decode(body, "ISO-8859-1")
+    western = F.translate(latin, "".join(map(chr, range(0x80, 0xA0))), WESTERN)
+    single = ("iso-8859-1", "us-ascii", "windows-1252")
+    usable = lambda x: F.coalesce(((x == "utf-8") & valid) | x.isin(*single), F.lit(False))
+    passed = lambda x: x.isNull() | ((x == "utf-8") & ~valid)
+
+    def row(text: Column, label: Column, source: Column, confidence: float, upgraded: Column, overridden: Column) -> Column:
+        values = (text, label, source, F.lit(confidence), upgraded, overridden)
+        return F.struct(*[v.alias(c.split()[0]) for v, c in zip(values, DECODED.split(", "), strict=True)])
+
+    def declared(label: Column, source: Column, overridden: Column) -> Column:
+        upgraded = ((label == "iso-8859-1") & latin.rlike(r"[\x{80}-\x{9f}]")) | ((label == "us-ascii") & ~ascii_only)
+        text = F.when(label == "utf-8", chars).when(upgraded | (label == "windows-1252"), western).otherwise(latin)
+        return row(text, F.when(upgraded, "windows-1252").otherwise(label), source, 1.0, upgraded, overridden)
+
+    found = row(chars, F.when(ascii_only, "us-ascii").otherwise("utf-8"), F.lit("detected"), 0.99, F.lit(False), header.isNotNull() | meta.isNotNull())
+    choice = (
+        F.when(usable(header), declared(header, F.lit("http-header"), F.lit(False)))
+        .when(passed(header) & usable(meta), declared(meta, meta_source, header.isNotNull()))
+        .when(passed(header) & passed(meta) & valid & (F.octet_length(body) > 0), found)
+    )
+    return F.when(body.isNotNull() & mark.isNull(), choice)
+
+
 def decoded(body: Column, content_type: Column) -> Column:
     """The whole decision on a body: kind, text, declarations, choice and fit."""
     window = F.decode(F.substring(body, 1, PRESCAN), "ISO-8859-1")
     header, meta = header_charset(content_type), meta_charset(window)
-    mark = byte_mark(body)
-    binary = F.when(mark.isNull(), binary_reason(body))
-    text_body = F.when(binary.isNull(), body)
-    result = decode_column(text_body, mark, header, meta["label"], meta["source"])
-    text = result["text"]
-    ratio = replacement_ratio(text)
-    return F.struct(
-        F.when(binary.isNull(), "text").otherwise("binary").alias("kind"),
-        text.alias("text"),
-        header.alias("http_charset"),
-        meta["label"].alias("meta_charset"),
-        (header.isNotNull() & meta["label"].isNotNull() & (header != meta["label"])).alias("declaration_conflict"),
-        result["chosen_encoding"].alias("chosen_encoding"),
-        F.coalesce(result["chosen_source"], F.lit("none")).alias("chosen_source"),
-        F.coalesce(result["detection_confidence"], F.lit(0.0)).alias("detection_confidence"),
-        F.coalesce(result["cp1252_upgrade"], F.lit(False)).alias("cp1252_upgrade"),
-        F.coalesce(result["declaration_overridden"], F.lit(False)).alias("declaration_overridden"),
-        F.coalesce(ratio, F.lit(0.0)).alias("replacement_ratio"),
-        F.coalesce(ratio > REPLACEMENT_THRESHOLD, F.lit(False)).alias("degraded"),
-        binary.alias("binary_reason"),
-    )
+    binary = F.when(byte_mark(body).isNull(), binary_reason(body))
+    facts = F.struct(F.when(binary.isNull(), body).alias("body"), byte_mark(body).alias("mark"), header.alias("header"), meta.alias("meta"))
+    plain = bound(facts, lambda x: plain_decoding(x["body"], x["mark"], x["header"], x["meta"]["label"], x["meta"]["source"]))
+    left = F.when(binary.isNull() & plain.isNull(), body)  # Python gets nulls for all other rows
+    result = F.coalesce(plain, decode_column(left, byte_mark(body), header, meta["label"], meta["source"]))
+
+    def told(x: Column) -> Column:
+        r, http, meta_label = x["result"], x["header"], x["meta"]["label"]
+        ratio = replacement_ratio(r["text"])
+        return F.struct(
+            F.when(x["binary"].isNull(), "text").otherwise("binary").alias("kind"),
+            r["text"].alias("text"),
+            http.alias("http_charset"),
+            meta_label.alias("meta_charset"),
+            (http.isNotNull() & meta_label.isNotNull() & (http != meta_label)).alias("declaration_conflict"),
+            r["chosen_encoding"].alias("chosen_encoding"),
+            F.coalesce(r["chosen_source"], F.lit("none")).alias("chosen_source"),
+            F.coalesce(r["detection_confidence"], F.lit(0.0)).alias("detection_confidence"),
+            F.coalesce(r["cp1252_upgrade"], F.lit(False)).alias("cp1252_upgrade"),
+            F.coalesce(r["declaration_overridden"], F.lit(False)).alias("declaration_overridden"),
+            F.coalesce(ratio, F.lit(0.0)).alias("replacement_ratio"),
+            F.coalesce(ratio > REPLACEMENT_THRESHOLD, F.lit(False)).alias("degraded"),
+            x["binary"].alias("binary_reason"),
+        )
+
+    return bound(F.struct(result.alias("result"), header.alias("header"), meta.alias("meta"), binary.alias("binary")), told)

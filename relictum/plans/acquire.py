@@ -40,6 +40,8 @@ PAGES = ("page", "frame")
 LOOKUP_ROWS = 100
 #: The captures that a page tried one after the other, and why it stopped.
 RESELECTION = "struct<attempts:array<struct<timestamp:string,outcome:string>>,stop:string>"
+#: What an item's requests cost, its further tries included.
+COSTS = ("requests", "bytes_read", "wait_ms")
 SETTLED = ("ok", "attempt-limit", "no-remaining-alternative")
 ALWAYS_GO = lambda: "continue"
 
@@ -508,9 +510,9 @@ class Run:
             made = F.coalesce("reselection.attempts", F.array().cast("array<struct<timestamp:string,outcome:string>>"))
             further = F.greatest(F.size(made) - 1, F.lit(0))
             open_ = (F.col("kind") == "page") & F.col("requested_ts").isNotNull() & ~F.coalesce(F.col("reselection.stop").isin(*SETTLED), F.lit(False)) & (further < most)
-            now = item_outcomes(state.items.drop(*old), self.cut)[0] if now is None else now.drop("reselection").join(state.items.select("item_id", "reselection"), "item_id")
+            now = item_outcomes(state.items.drop(*old), self.cut)[0] if now is None else now.drop("reselection", *COSTS).join(state.items.select("item_id", "reselection", *COSTS), "item_id")
             poor = now.where(open_ & F.when(F.size(made) > 0, F.col("outcome") != "ok").otherwise(F.col("outcome").isin(*outcomes.RESELECTABLE)))
-            poor = self.cut(poor.select("item_id", *listed, F.when(F.size(made) > 0, made).otherwise(F.array(attempt(F.col("requested_ts")))).alias("attempts")), "poor")
+            poor = self.cut(poor.select("item_id", *listed, F.when(F.size(made) > 0, made).otherwise(F.array(attempt(F.col("requested_ts")))).alias("attempts"), F.struct(*COSTS).alias("paid")), "poor")
             if poor.isEmpty():
                 return
             if said := {"pause": "paused", "cancel": "cancelled"}.get(signal()):
@@ -523,7 +525,7 @@ class Run:
             met = self.cut(poor.drop("requested_ts", "archive_status", "from_excluded").join(picked, "original_url", "left"), "picked")
             nothing = {"index_requests": F.lit(0).cast("long"), "index_refused": F.lit(False), "lookup_failed": F.lit(False)}
             front = met.where("requested_ts is not null")
-            asked, refused = self.admitted(self.cut(self.asked(front.drop("attempts").withColumns(nothing), tries), "tries"))
+            asked, refused = self.admitted(self.cut(self.asked(front.drop("attempts", "paid").withColumns(nothing), tries), "tries"))
             went = asked if refused is None else asked.where(F.col("ord") < refused)
             answered = self.cut(self.answered(went, responses), "tried")
             held = self.cut(self.contents(answered), "bodies")
@@ -536,13 +538,17 @@ class Run:
             if not (lost := looked.where("not validated")).isEmpty():
                 called = called.unionByName(item_outcomes(lost, self.cut)[0].select("item_id", "outcome"))
             record = met.join(called.select("item_id", F.col("outcome").alias("outcome"), F.lit(True).alias("went")), "item_id", "left")
+            # A try costs its page, whether it takes its place or not; so the items add up to the spend.
+            record = record.join(asked.select("item_id", F.struct(*COSTS).alias("cost")), "item_id", "left")
+            paid = F.struct(*[(F.coalesce(F.col("paid")[c], F.lit(0)) + F.coalesce(F.col("cost")[c], F.lit(0))).cast("long").alias(c) for c in COSTS])
             tried = F.when(F.col("went"), F.concat("attempts", F.array(attempt(F.col("requested_ts"))))).otherwise(F.col("attempts"))
             stop = F.when(F.col("requested_ts").isNull(), "no-remaining-alternative").when(F.col("went").isNull(), F.when(F.col("ord") == F.lit(refused), "budget-exhausted")).when(F.col("outcome") == "ok", "ok").when(F.size("attempts") >= most, "attempt-limit")
-            record = self.cut(record.select("item_id", F.struct(tried.alias("attempts"), stop.alias("stop")).cast(RESELECTION).alias("record")), "record")
+            record = self.cut(record.select("item_id", F.struct(tried.alias("attempts"), stop.alias("stop")).cast(RESELECTION).alias("record"), paid.alias("paid")), "record")
             items = self.joined(rest, better.withColumn("reselection", F.lit(None).cast(RESELECTION)))
             # A page that a budget kept from its first try has not begun.
             begun = F.when((F.size("record.attempts") > 1) | F.col("record.stop").isNotNull(), F.col("record"))
-            state.items = self.cut(items.join(record, "item_id", "left").withColumn("reselection", F.coalesce(begun, "reselection")).drop("record"), "items")
+            charged = {c: F.coalesce(F.col("paid")[c], F.col(c)) for c in COSTS}
+            state.items = self.cut(items.join(record, "item_id", "left").withColumns({"reselection": F.coalesce(begun, "reselection"), **charged}).drop("record", "paid"), "items")
             state.bodies = held if state.bodies is None else state.bodies.unionByName(held)
             if refused is not None:
                 state.stop = "budget-exhausted"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,23 @@ def test_resolution_in_columns(spark):
     assert one(spark, U.capture_key(F.lit("HTTP://A.example#x"))) == "http://a.example/" and one(spark, U.capture_key(F.lit("no url"))) == "no url"
 
 
+ODD = ("", "/", "//", "/a//b", "/./a", "/a/../b", "/a/.hidden", "/%2E./x", "a%2e/x", "a:b/c", "a?x:y", "a?x=1'2", "a#b'c", "?q", "#f", "a\\b", "/a`b", "a{b}", "/a?{`}", "/a#`", "x y", "x\ty", "x\n", "\nx", "ü", "/a?ü", "a|b^c[d]~e", ".x", "..", "a/.", "..a/b", "a/..", "http://h.example", "http://h.example/", "http://h.example/x\n", "http://H.example/", "http://h.example:80/", "http://h.example:8080/", "http://u@h.example/", "https://h.example/a/../b?c=/./d#e", "http:/x", "http:x", "https:x", "http:///x", "http://h_1.example/a%zz?b#c#d", "file:///x", "a%", "/<a>", 'q"r', "http://./a", "http://-/", "http://1.2.3/", "/" + "a" * 5000, "a" + "/b" * 5000)
+ODD_BASES = (None, "", "nonsense", "http://a.example", "http://a.example/", "http://a.example/d/e/f?g/h#i/j", "https://a.example/d/../e/", "http://a.example:81/d/", "http://A.example/d", "mailto:x", "http://a.example/d e/f", "http://a.example/x?y=/.z/w", "http://a.example/x\n", "ftp://a.example/d/")
+
+
+def test_plain_and_parsed_urls_agree(spark):
+    """Wherever the patterns answer, they say what the parser says; on usual links they answer."""
+    pieces = ("a", "B9", "/", "//", ".", "..", "%2e", "%", ":", "?", "#", "'", "`", "|", "\\", " ", "é", "http://", "HTTP:", "https://h.example", ":80", "@", "[", "]", "&", "{", "\n")
+    rng = random.Random(3)
+    made = ["".join(rng.choices(pieces, k=rng.randrange(1, 7))) for _ in range(3000)]
+    pairs = [(r, b) for r in ODD for b in ODD_BASES] + [(r, rng.choice(ODD_BASES)) for r in made] + [(rng.choice(ODD), r) for r in made] + [(None, ODD_BASES[4])]
+    got = spark.createDataFrame(pairs, "r string, b string").select("r", "b", U.plain_url(F.col("r"), F.col("b")).alias("p"), U.resolve_url(F.col("r"), F.col("b")).alias("u")).collect()
+    assert [x for x in got if x.p is not None and x.p != U.join_url(x.r, x.b)] == []
+    assert [x for x in got if x.u != U.join_url(x.r, x.b)] == []
+    usual = [("img/a.gif", BASE), ("/b/c.html?d=1#e", BASE), ("http://h.example/", None), ("b.html", "http://a.example/")]
+    assert all(x.p for x in spark.createDataFrame(usual, "r string, b string").select(U.plain_url(F.col("r"), F.col("b")).alias("p")).collect())
+
+
 @pytest.mark.parametrize("url,path", [
     ("http://A.example/", "site/a.example/index.html"), ("http://a.example/b/c.gif", "site/a.example/b/c.gif"), ("http://a.example/b/c", "site/a.example/b/c/index.html"), ("http://a.example/..x/y!.png", "site/a.example/_x/y_.png"), ("nonsense", None),
 ])
@@ -99,6 +118,20 @@ def test_binary_bodies(spark, body, reason):
     assert d.kind == "binary" and d.binary_reason == reason and d.text is None
 
 
+def test_plain_and_parsed_bodies_agree(spark):
+    """Bodies decoded by built-in functions are what the decoder in Python makes of them."""
+    bodies = [b"", b"plain", "é€".encode(), "日本語".encode(), bytes(range(1, 256)), bytes(range(0xA0, 256)), b"caf\xe9", b"\x80\x81\x8d\x8f\x90\x9d\x9f", b"\x93q\x94", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", "\U0001f600�".encode(), "かな".encode("shift_jis"), b"\xef\xbb\xbfx", b"\xff\xfea\x00", b"a\xffb" * 50, None]
+    labels = [None, "utf-8", "iso-8859-1", "us-ascii", "windows-1252", "shift_jis", "koi8-r", "no-such"]
+    rows = [(i, bytearray(b) if b is not None else None, h, m, "meta-charset" if m else None) for i, (b, h, m) in enumerate((b, h, m) for b in bodies for h in labels for m in labels)]
+    df = spark.createDataFrame(rows, "i int, b binary, h string, m string, s string").withColumn("mark", E.byte_mark(F.col("b")))
+    of = [F.col(c) for c in ("b", "mark", "h", "m", "s")]
+    got = df.select("i", "b", "h", E.plain_decoding(*of).alias("p"), E.decode_column(*of).alias("q")).collect()
+    assert [x for x in got if x.p is not None and x.p != x.q] == []
+    answered = {(bytes(x.b), x.h) for x in got if x.p is not None}
+    assert {("é€".encode(), None), ("é€".encode(), "utf-8"), (b"caf\xe9", "iso-8859-1"), (b"\x93q\x94", "windows-1252")} <= answered and not any(b.startswith(b"\xef\xbb\xbf") for b, _ in answered)
+    assert not any(x.p for x in got if x.h in ("shift_jis", "koi8-r", "no-such"))
+
+
 def test_conflict_and_ratio(spark):
     d = spark.createDataFrame([(bytearray("<meta charset=utf-8>é".encode()), "text/html; charset=iso-8859-1")], "b binary, h string").select(E.decoded(F.col("b"), F.col("h")).alias("d")).first().d
     assert d.declaration_conflict and d.chosen_encoding == "iso-8859-1"
