@@ -34,3 +34,8 @@ def same(spark, tmp_path, sf_dir):
 def test_spacing_beyond_32_bits(same):
     """2,000 requests of a host, 25 minutes apart, are more milliseconds than an int holds."""
     assert len(same("rate_limit_schedule", events="select i as event_id, timestamp '2024-01-01' + interval (i) second as ts, 50 as user_id, 'view' as event_type, 1e0 as value from range(2000) t(i)")) == 2000
+
+
+def test_a_run_over_many_index_pages(same):
+    """22 pages of the index are more than the budget of index requests that a project has unless it says otherwise."""
+    assert len(same("acquisition_run", pages="select i * 500 as page_id, '' as url, '<p>words of a page</p>' as html from range(22) t(i)")) == 22
