@@ -39,3 +39,10 @@ def test_spacing_beyond_32_bits(same):
 def test_a_run_over_many_index_pages(same):
     """22 pages of the index are more than the budget of index requests that a project has unless it says otherwise."""
     assert len(same("acquisition_run", pages="select i * 500 as page_id, '' as url, '<p>words of a page</p>' as html from range(22) t(i)")) == 22
+
+
+def test_scores_with_a_capture_at_any_instant(same):
+    """The first capture and the one nearest to it agree; one of New Year 1995 agrees with none."""
+    orders = """select c * 10 + k as o_orderkey, c as o_custkey, 'O' as o_orderstatus, 1e0 as o_totalprice, timestamp '1994-12-01' + interval (31 * (k % 2) + 3 * (k // 2)) day as o_orderdate,
+      case when k in (0, 2) then 'A' else 'B' || k end as o_orderpriority from range(120) t(c), range(4) u(k)"""
+    assert len(same("collection_scores", orders=orders)) > 0
