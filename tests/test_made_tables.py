@@ -46,3 +46,9 @@ def test_scores_with_a_capture_at_any_instant(same):
     orders = """select c * 10 + k as o_orderkey, c as o_custkey, 'O' as o_orderstatus, 1e0 as o_totalprice, timestamp '1994-12-01' + interval (31 * (k % 2) + 3 * (k // 2)) day as o_orderdate,
       case when k in (0, 2) then 'A' else 'B' || k end as o_orderpriority from range(120) t(c), range(4) u(k)"""
     assert len(same("collection_scores", orders=orders)) > 0
+
+
+def test_a_host_alone_is_not_those_below_it(same):
+    hosts = ("casino-win.example.net", "blog.casino-win.example.net", "example.com", "a.example.com", "notexample.com")
+    made = " union all ".join(f"select {i} as page_id, 'http://{h}/x' as url, '' as html" for i, h in enumerate(hosts))
+    assert [r[2] for r in sorted(same("host_scope", pages=made))] == [True, False, True, True, False]
