@@ -52,3 +52,16 @@ def test_a_host_alone_is_not_those_below_it(same):
     hosts = ("casino-win.example.net", "blog.casino-win.example.net", "example.com", "a.example.com", "notexample.com")
     made = " union all ".join(f"select {i} as page_id, 'http://{h}/x' as url, '' as html" for i, h in enumerate(hosts))
     assert [r[2] for r in sorted(same("host_scope", pages=made))] == [True, False, True, True, False]
+
+
+def test_days_are_rounded_from_the_exact_value(spark, same):
+    """Halves of the last digit: what lies below them in binary goes down, above them up, and quarter days are ties."""
+    rows = same("served_and_retry", orders="select 4320 * i as o_orderkey, 1 as o_custkey, 'O' as o_orderstatus, 1e0 as o_totalprice, timestamp '1996-01-01' as o_orderdate, 'A' as o_orderpriority from range(400) t(i)")
+    assert "1.2d" in {r[3] for r in rows}
+
+    from pyspark.sql import functions as F
+
+    from relictum.functions.time import format_days
+
+    shown = spark.range(5, 8).select(format_days(F.col("id") * 21600).alias("s"))
+    assert [r.s for r in shown.collect()] == ["1.3d", "1.5d", "1.8d"]
