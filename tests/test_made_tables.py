@@ -65,3 +65,21 @@ def test_days_are_rounded_from_the_exact_value(spark, same):
 
     shown = spark.range(5, 8).select(format_days(F.col("id") * 21600).alias("s"))
     assert [r.s for r in shown.collect()] == ["1.3d", "1.5d", "1.8d"]
+
+
+def test_a_long_scan_takes_few_batches(spark, tmp_path):
+    """Forty pages, each with the key of the next one; the recorded table is opened once, and a page is parsed once."""
+    import json
+
+    from relictum.operators.captures import FIELDS
+    from relictum.sources.cdx import page_rows
+    from relictum.sources.index_stream import recorded_pages, scan_index
+
+    pages = [("" if p == 0 else f"k{p}", json.dumps([list(FIELDS), ["", f"{p}"], ["", "x"], *([[], [f"k{p + 1}"]] if p < 39 else [])])) for p in range(40)]
+    spark.createDataFrame(pages, "resume_key string, body string").write.parquet(f"file://{tmp_path}/recorded")
+    found, at = scan_index(spark, recorded_pages(f"file://{tmp_path}/recorded"), f"file://{tmp_path}/scan", limit=2, most=99)
+    rows = page_rows(found)
+    assert at["state"] == "complete" and at["requests"] == 40 and found.where("resume_key = 'k' || page_ord").count() == 39
+    assert [r.timestamp for r in rows.where("row_ord = 0").orderBy("page_ord").collect()] == [str(p) for p in range(40)] and rows.count() == 80
+    assert len([f for f in (tmp_path / "scan" / "checkpoint" / "commits").iterdir() if f.name.isdigit()]) < 20
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
