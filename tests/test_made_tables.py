@@ -83,3 +83,23 @@ def test_a_long_scan_takes_few_batches(spark, tmp_path):
     assert [r.timestamp for r in rows.where("row_ord = 0").orderBy("page_ord").collect()] == [str(p) for p in range(40)] and rows.count() == 80
     assert len([f for f in (tmp_path / "scan" / "checkpoint" / "commits").iterdir() if f.name.isdigit()]) < 20
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_few_captures_meet_their_dependencies_in_one_join(spark):
+    """Keys with few captures and keys with many get the answers of the sorted way, odd rows included, and few need few shuffles."""
+    import random
+
+    from relictum.operators import captures as C
+
+    draw = random.Random(7)
+    stamp = lambda: draw.choice(["1999", "19991301000000", "bad", *[f"199{draw.randrange(10)}0{draw.randrange(1, 10)}{draw.randrange(10, 29)}000000"] * 9])
+    known = [(f"u{min(draw.randrange(9), 6)}", stamp(), draw.choice([None, 5, 9]), "D", i, draw.choice([None, "x"]) if i % 3 else "x") for i in range(150)]
+    known += [("only-excluded", "19990101000000", 1, "D", 200, "x"), ("undated", "19991301000000", 1, "D", 201, None)]
+    captures = spark.createDataFrame(known, "capture_key string, timestamp string, length long, digest string, ord long, excluded_by string")
+    keys = [f"u{i}" for i in range(7)] + ["only-excluded", "undated", "unknown"]
+    asked = spark.createDataFrame([(i, draw.choice(keys), draw.choice([None, stamp()])) for i in range(300)], "dep_id long, capture_key string, referring_timestamp string")
+    listed = C.resolve_assets(asked, captures)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(listed) == rows(C.resolve_assets(asked, captures, most=0)) == rows(C.resolve_assets(asked, captures, most=20)) and listed.count() == 300
