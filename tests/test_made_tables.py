@@ -103,3 +103,17 @@ def test_few_captures_meet_their_dependencies_in_one_join(spark):
     assert plan.count("Exchange hashpartitioning") <= 3
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert rows(listed) == rows(C.resolve_assets(asked, captures, most=0)) == rows(C.resolve_assets(asked, captures, most=20)) and listed.count() == 300
+
+
+def test_a_fingerprint_reads_a_page_once(spark):
+    """Letters are worked out once, not once for each mention; addresses go, whatever runs of letters stand before them."""
+    from pyspark.sql import functions as F
+
+    from relictum.functions.markup import error_fingerprint
+
+    page = lambda a: f"<p>{'the page that was asked for is not here ' * 3}{a} more</p>"
+    df = spark.createDataFrame([(page("-http://x.example/a"),), (page("9.ab.c+d://q"),), (page("  "),), ("<p>short ftp://x.example/longer/than/it/is</p>",)], "t string")
+    found = df.select(error_fingerprint(F.col("t")).alias("f"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^a-z ]+") == 1
+    rows = [r.f for r in found.collect()]
+    assert rows[0] == rows[1] == rows[2] is not None and rows[3] is None
