@@ -117,3 +117,17 @@ def test_a_fingerprint_reads_a_page_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("[^a-z ]+") == 1
     rows = [r.f for r in found.collect()]
     assert rows[0] == rows[1] == rows[2] is not None and rows[3] is None
+
+
+def test_totals_of_removals_take_no_pages_back(spark):
+    """What Python hands back are names and numbers, made a few pages at a time and in the order of the pages."""
+    from pyspark.sql import functions as F
+
+    from relictum.functions.injection import injection_removals, strip_injection
+
+    marked = '<!-- FILE ARCHIVED ON 1999 --><div id="wm-ipp">x</div>'
+    pages = spark.range(0, 300, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.repeat(F.lit("a"), (F.col("id") % 5).cast("int")), F.when(F.col("id") % 3 == 0, marked).otherwise("plain"))).alias("t"))
+    both = pages.select("id", strip_injection(F.col("t")).alias("s"), injection_removals(F.col("t")).alias("r"))
+    assert both.where("s.rules != r.rules or s.removed_characters != r.removed_characters").count() == 0
+    assert {(r.n, tuple(r.rules)) for r in both.select(F.col("r.removed_characters").alias("n"), "r.rules").collect()} == {(0, ()), (54, ("file-archived-comment", "wayback-toolbar-element"))}
+    assert "residual" not in queries()["injection_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
