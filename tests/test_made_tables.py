@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import duckdb
@@ -131,3 +132,24 @@ def test_totals_of_removals_take_no_pages_back(spark):
     assert both.where("s.rules != r.rules or s.removed_characters != r.removed_characters").count() == 0
     assert {(r.n, tuple(r.rules)) for r in both.select(F.col("r.removed_characters").alias("n"), "r.rules").collect()} == {(0, ()), (54, ("file-archived-comment", "wayback-toolbar-element"))}
     assert "residual" not in queries()["injection_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [3, 63, 64, 65, 300])
+def test_totals_count_every_injected_part(spark, tmp_path, n):
+    """A page may hold any number of injected parts beside the one that the query adds."""
+    comment, bar = "<!-- FILE ARCHIVED ON 2001 -->", "<div id='wm-ipp'>bar</div>"
+    html = f"case id % 3 when 0 then repeat('{comment}', {n}) || 'text' when 1 then repeat(\"{bar}\", {n}) || 'text' else 'text' end"
+    spark.sql(f"select id as page_id, '' as url, {html} as html from range(9)").write.parquet(f"{tmp_path}/pages.parquet")
+    gone = (30 + n * len(comment), 37 + n * len(bar), 0)
+    found = {r.rule: (r.pages, r.removed_characters) for r in queries()["injection_totals"](spark, str(tmp_path)).collect()}
+    assert found == {"file-archived-comment": (3, 3 * gone[0]), "wayback-toolbar-element": (3, 3 * gone[1])}
+    stripped = {r.page_id: (r.clean_hash, r.removed_characters) for r in queries()["injection_strip"](spark, str(tmp_path)).collect()}
+    assert stripped == {i: (hashlib.sha256(b"text").hexdigest(), gone[i % 3]) for i in range(9)}
+
+
+def test_totals_see_what_any_rule_finds(spark, tmp_path):
+    """Pages that hold none of the markers as written, but something that a rule takes out."""
+    alone = ("<script src='//archive.org/includes/a.js'></script>", "<DIV ID=WM-IPP></DIV>", "<p>wm_ipp archive.org</p>")
+    spark.createDataFrame([(2 + 3 * i, "", html) for i, html in enumerate(alone)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {tuple(r) for r in queries()["injection_totals"](spark, str(tmp_path)).select("rule", "pages", "removed_characters").collect()}
+    assert found == {("replay-analytics-script", 1, len(alone[0])), ("wayback-toolbar-element", 1, len(alone[1]))}

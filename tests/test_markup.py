@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import time
@@ -135,6 +136,54 @@ def test_strip_equals_its_rules():
     assert I.strip(many) == plain_removal(many)
 
 
+def plain_whole(text):
+    """All that the rules find, however many."""
+    removed = []
+    for name, pattern, needs in PLAIN:
+        at = 0
+        while True:
+            span = plain_element(text) if pattern is None else next((m.span() for m in re.compile(pattern).finditer(text, at) if needs is None or needs in m[0]), None)
+            if span is None:
+                break
+            removed.append((name, span[1] - span[0]))
+            text = text[: span[0]] + text[span[1] :]
+            at = span[0] if needs else 0
+    return text, removed
+
+
+def test_strip_takes_out_every_part(spark):
+    """200 parts of each rule go, also from what removals put together; rules after one that found many still run."""
+    r = random.Random(11)
+    ends = ["<!-- BEGIN WAYBACK ", "TOOLBAR INSERT -->", I.TOOLBAR_BEGIN, I.TOOLBAR_END, I.TOOLBAR_BEGIN[:-1], "<di", "<d", "<", "v id=wm-ipp>", "iv id=wm-ipp>", "<div ", "<div id=wm-ipp>", "</div>", "<div>", ">", "x", ""]
+    for _ in range(20_000):
+        text = "".join(r.choice(ends) for _ in range(r.randint(1, 40)))
+        assert I.strip(text, math.inf) == plain_whole(text), text
+    parts = ("<!-- FILE ARCHIVED ON 1 -->", "<div id=wm-ipp>a<div></div></div>", "<script src='/_static/a.js'></script>", "<link href=/_static/a>", "<script src='//archive.org/includes/a.js'></script>", "<script>__wm.a</script>", "<script>archive_analytics</script>", I.TOOLBAR_BEGIN + "a" + I.TOOLBAR_END)
+    pages = ["b".join([*[p] * 200, ""]) for p in parts]
+    pages += ["c".join([*["".join(parts)] * 200, ""]), "<di" * 200 + parts[1] + "v id=wm-ipp></div>" * 200 + "d", I.TOOLBAR_BEGIN[:20] * 200 + parts[-1] + (I.TOOLBAR_BEGIN[20:] + I.TOOLBAR_END) * 200 + "e"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, t string").select("id", I.strip_injection(F.col("t")).alias("s"), I.injection_removals(F.col("t")).alias("r"))
+    for i, s, n in df.collect():
+        text, removed = plain_whole(pages[i])
+        assert (s.text, s.removed_nodes, s.removed_characters, s.residual) == (text, len(removed), sum(c for _, c in removed), []), i
+        assert s.rules == n.rules == list(dict.fromkeys(rule for rule, _ in removed)) and n.removed_characters == s.removed_characters and len(text) in (200, 1), i
+
+
+@pytest.mark.parametrize("part", [I.TOOLBAR_BEGIN + I.TOOLBAR_END, "<div id=wm-ipp></div>", "<script src='/_static/'></script>", "<link /_static/>", "<script>__wm.</script>", "<!--FILE ARCHIVED ON-->"])
+def test_megabytes_of_removals(part):
+    """Eight megabytes of parts go in seconds; a copy of the page for each would take minutes."""
+    n = (8 << 20) // len(part)
+    begin = time.perf_counter()
+    text, removed = I.strip((part + "a") * n, math.inf)
+    assert text == "a" * n and len(removed) == n and time.perf_counter() - begin < 40
+
+
+def test_megabytes_of_removals_that_make_the_next():
+    n = (8 << 20) // len("<div id=wm-ipp></div>")
+    begin = time.perf_counter()
+    text, removed = I.strip("<di" * n + "<div id=wm-ipp></div>" + "v id=wm-ipp></div>" * n, math.inf)
+    assert text == "" and removed == [(I.ELEMENT, len("<div id=wm-ipp></div>"))] * (n + 1) and time.perf_counter() - begin < 40
+
+
 PAGE = '<html><head><title>Demo</title><link rel="stylesheet" href="/style.css"></head><body><h1>Demo</h1><p>Text.</p></body></html>'
 BAR = '<div id="wm-ipp-base"><div id="wm-ipp"><div id="x"></div></div></div>'
 HEAD = '<script src="//archive.org/includes/a.js?c=true" type="text/javascript"></script><script>archive_analytics.x=1;</script><script type="text/javascript" src="//web.archive.org/_static/js/b.js" charset="utf-8"></script><script>__wm.init("x");</script><link rel="stylesheet" href="//web.archive.org/_static/c.css">'
